@@ -15,7 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from presscan.functions.text import _col, trim_space
+from presscan.functions.reuse import built_once
+from presscan.functions.text import bind, trim_space
 
 # English month and weekday names, and the names of UTC.
 MONTHS = (
@@ -97,15 +98,14 @@ def _assemble(f: Column) -> Column:
         .otherwise(F.lit(""))
     )
     clock = F.concat_ws(":", *[two(x.cast("string")) for x in (hour, minute, second)])
-    return F.when(
-        day.try_cast("date").isNotNull() & (part(0) != "0000") & in_range,
-        F.concat(day, F.lit("T"), clock, fraction, offset),
-    )
+    valid = day.try_cast("date").isNotNull() & (part(0) != "0000") & in_range
+    return F.when(f.isNotNull() & valid, F.concat(day, F.lit("T"), clock, fraction, offset))
 
 
+@built_once
 def iso_or_null(value: Column | str) -> Column:
     """The native layouts alone."""
-    return _assemble(_fields(trim_space(value)))
+    return bind(trim_space(value), lambda text: bind(_fields(text), _assemble))
 
 
 @F.arrow_udf(StringType())
@@ -142,11 +142,15 @@ def to_iso8601(value: Column | str, exact: bool = False) -> Column:
     ``exact`` adds the helper for rare layouts; rows a native layout took, and
     blank ones, cross to Python as NULL.
     """
-    text = trim_space(_col(value))
-    fields = _fields(text)
-    native = _assemble(fields)
     if not exact:
-        return native
+        return iso_or_null(value)
+    return F.coalesce(iso_or_null(value), _parse_other(_unknown_layout(value)))
+
+
+@built_once
+def _unknown_layout(value: Column | str) -> Column:
+    """The text, where no native layout takes it and it may be a date."""
     # Without a digit there is no complete date.
-    other = F.when(fields.isNull() & F.regexp_like(text, F.lit(r"\d")), text)
-    return F.coalesce(native, _parse_other(other))
+    return bind(
+        trim_space(value), lambda text: F.when(_fields(text).isNull() & F.regexp_like(text, F.lit(r"\d")), text)
+    )

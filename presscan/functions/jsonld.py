@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presscan.functions.text import _col, trim_space
+from presscan.functions.reuse import built_once
+from presscan.functions.text import _col, bind, nonblank
 
 # Schema.org article types, most wanted first.
 ARTICLE_TYPES = (
@@ -65,6 +66,7 @@ def _flat(blocks: Column) -> Column:
     return nodes
 
 
+@built_once
 def jsonld_nodes(blocks: Column | str) -> Column:
     """``array<struct<path, v>>`` of all object nodes, in order."""
     objects = F.filter(_flat(_col(blocks)), lambda n: _is_object(n["v"]))
@@ -83,6 +85,7 @@ def node_types(node: Column) -> Column:
     return F.transform(types, lambda t: F.lower(t))
 
 
+@built_once
 def pick_article_node(blocks: Column | str) -> Column:
     """The VARIANT node of the most wanted type, first in order within it."""
     wanted = F.array(*[F.lit(t) for t in ARTICLE_TYPES])
@@ -111,31 +114,38 @@ def pick_article_node(blocks: Column | str) -> Column:
 
 def _string(value: Column) -> Column:
     """Trimmed text of a JSON string; other types and blanks are missing."""
-    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-    return F.nullif(trim_space(text), F.lit(""))
+    def text(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    return nonblank(bind(value, text))
 
 
 def jsonld_field(node: Column | str, name: str) -> Column:
     return F.try_variant_get(_col(node), f"$['{name}']", "variant")
 
 
+@built_once
 def jsonld_string(node: Column | str, name: str) -> Column:
     return _string(jsonld_field(node, name))
 
 
 def _resolved(value: Column, from_object, from_list, nesting: int) -> Column:
     """Dispatch on string, object and list; lists may nest ``nesting`` deep."""
-    kind = F.schema_of_variant(value)
-    result = F.when(kind == "STRING", _string(value)).when(F.startswith(kind, F.lit("OBJECT")), from_object(value))
-    if nesting:
-        inner = F.filter(
-            F.transform(_elements(value), lambda v: _resolved(v, from_object, from_list, nesting - 1)),
-            lambda r: r.isNotNull(),
-        )
-        result = result.when(F.startswith(kind, F.lit("ARRAY")), from_list(inner))
-    return result
+
+    def dispatch(v: Column) -> Column:
+        result = F.when(_is_object(v), from_object(v))
+        if nesting:
+            inner = F.filter(
+                F.transform(_elements(v), lambda e: _resolved(e, from_object, from_list, nesting - 1)),
+                lambda r: r.isNotNull(),
+            )
+            result = result.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), from_list(inner))
+        return F.coalesce(_string(v), result)
+
+    return bind(value, dispatch)
 
 
+@built_once
 def jsonld_name(value: Column | str) -> Column:
     """Author name: a string, an object's name, or the distinct names of a list."""
     return _resolved(
@@ -146,6 +156,7 @@ def jsonld_name(value: Column | str) -> Column:
     )
 
 
+@built_once
 def jsonld_url(value: Column | str) -> Column:
     """Image URL: a string, an object's URL, or the first of a list."""
     return _resolved(

@@ -14,7 +14,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presscan.functions.text import _col, trim_space
+from presscan.functions.reuse import built_once
+from presscan.functions.text import _col, bind, trim_space
 
 # White space of HTML, and what script text is trimmed of.
 _HTML_SPACE = "\t\n\f\r "
@@ -44,9 +45,12 @@ def _attribute(tag: Column, name: str) -> Column:
         rf"(?is)^<[a-z]+(?:[\s/]++|(?!{name}[\s=/>]){_ATTRIBUTE}|=)*+"
         rf"{name}(?=[\s=/>])\s*+=\s*+({_VALUE})"
     )
-    raw = F.regexp_extract(tag, pattern, 1)
-    quoted = F.substring(raw, 1, 1).isin('"', "'")
-    return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+
+    def unquoted(raw: Column) -> Column:
+        quoted = F.substring(raw, 1, 1).isin('"', "'")
+        return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+
+    return bind(F.regexp_extract(tag, pattern, 1), unquoted)
 
 
 @cache
@@ -62,15 +66,19 @@ def _numeric(digits: Column, base: int) -> Column:
 
     128 to 159 are read as Windows-1252; what is no character becomes U+FFFD.
     """
-    code = F.conv(digits, base, 10).try_cast("bigint")
     western = F.lit("".join(_windows_1252(i) for i in range(128, 160)))
-    as_hex = F.lpad(F.hex(code), 8, "0")
-    bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | (F.length(digits) > 12)
-    return (
-        F.when(bad, F.lit("�"))
-        .when(code.between(128, 159), F.substring(western, (code - 127).cast("int"), F.lit(1)))
-        .otherwise(F.decode(F.unhex(as_hex), "UTF-32"))
-    )
+
+    def character(code: Column) -> Column:
+        bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return (
+            F.when(bad, F.lit("\ufffd"))
+            .when(code.between(128, 159), F.substring(western, (code - 127).cast("int"), F.lit(1)))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+
+    significant = F.ltrim(digits, F.lit("0"))
+    code = F.when(F.length(significant) <= 8, F.conv(digits, base, 10).try_cast("bigint"))
+    return bind(code, character)
 
 
 def _windows_1252(code: int) -> str:
@@ -82,48 +90,57 @@ def _windows_1252(code: int) -> str:
 
 def _dereference(ref: Column, in_attribute: bool) -> Column:
     names, values, legacy = _references()
-    name = F.regexp_extract(ref, "^&([A-Za-z0-9]*)", 1)
-    at = F.array_position(F.split(F.lit(names), "\n"), name)
-    value = F.translate(F.get(F.split(F.lit(values), "\n"), (at - 1).cast("int")), "\r", "\n")
+
+    def named(name: Column) -> Column:
+        """The characters of a name, NULL if there is no such name."""
+        return bind(
+            F.array_position(F.split(F.lit(names), "\n"), name),
+            lambda at: F.when(
+                at > 0, F.translate(F.get(F.split(F.lit(values), "\n"), (at - 1).cast("int")), "\r", "\n")
+            ),
+        )
+
+    value = F.when(F.contains(ref, F.lit(";")), named(F.regexp_extract(ref, "^&([A-Za-z0-9]*)", 1)))
     closed = F.contains(ref, F.lit(";"))
     if in_attribute:
         # Without a semicolon and before a letter, digit or ``=`` it is text.
         prefix = F.when(~closed & ~ref.endswith("="), F.regexp_extract(ref, f"^&({legacy})$", 1))
     else:
         prefix = F.regexp_extract(ref, f"^&({legacy})", 1)
-    at_prefix = F.array_position(F.split(F.lit(names), "\n"), prefix)
-    by_prefix = F.concat(
-        F.translate(F.get(F.split(F.lit(values), "\n"), (at_prefix - 1).cast("int")), "\r", "\n"),
-        F.substring(ref, F.length(prefix) + 2, F.length(ref)),
-    )
-    common = F.lit(None).cast("string")
-    for entity in ("amp", "quot", "lt", "gt", "apos", "nbsp"):
-        common = F.when(ref == f"&{entity};", F.lit(html5[entity + ";"])).otherwise(common)
+    by_prefix = bind(prefix, lambda p: F.concat(named(p), F.substring(ref, F.length(p) + 2, F.length(ref))))
+    result = F.when(ref == "&amp;", F.lit("&"))
+    for entity in ("quot", "lt", "gt", "apos", "nbsp"):
+        result = result.when(ref == f"&{entity};", F.lit(html5[entity + ";"]))
     return (
-        F.when(common.isNotNull(), common)
-        .when(ref.rlike("^&#[0-9]"), _numeric(F.regexp_extract(ref, "([0-9]+)", 1), 10))
+        result.when(ref.rlike("^&#[0-9]"), _numeric(F.regexp_extract(ref, "([0-9]+)", 1), 10))
         .when(ref.rlike("^&#[xX]"), _numeric(F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+)", 1), 16))
-        .when(closed & (at > 0), value)
-        .when(at_prefix > 0, by_prefix)
-        .otherwise(ref)
+        .otherwise(F.coalesce(value, by_prefix, ref))
     )
 
 
+@built_once
 def unescape_html(text: Column | str, in_attribute: bool = False) -> Column:
     """Decode character references; text without ``&`` is passed through."""
-    text = _col(text)
     tail = "=?" if in_attribute else ""
     pattern = f"&(?:#[0-9]++;?|#[xX][0-9A-Fa-f]++;?|[A-Za-z][A-Za-z0-9]*+;?{tail})"
-    pieces = F.split(text, pattern)
-    refs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    woven = F.zip_with(
-        pieces, refs, lambda piece, ref: F.concat(piece, F.coalesce(_dereference(ref, in_attribute), F.lit("")))
-    )
-    return F.when(F.contains(text, F.lit("&")), F.array_join(woven, "")).otherwise(text)
+
+    def woven(t: Column) -> Column:
+        parts = F.zip_with(
+            F.split(t, pattern),
+            F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
+            lambda piece, ref: F.concat(piece, F.coalesce(_dereference(ref, in_attribute), F.lit(""))),
+        )
+        return F.when(F.contains(t, F.lit("&")), F.array_join(parts, "")).otherwise(t)
+
+    return bind(text, woven)
 
 
+@built_once
 def page_tokens(html: Column | str) -> Column:
-    return F.regexp_extract_all(_col(html), F.lit(TOKEN), F.lit(0))
+    """The tokens of a page, line ends normalised as an HTML parser does."""
+    html = _col(html)
+    lines = F.when(F.contains(html, F.lit("\r")), F.regexp_replace(html, "\r\n?", "\n")).otherwise(html)
+    return F.regexp_extract_all(lines, F.lit(TOKEN), F.lit(0))
 
 
 def _of_kind(tokens: Column, tag: str) -> Column:
@@ -165,22 +182,27 @@ def _doc_title(tokens: Column) -> Column:
     return F.nullif(collapsed, F.lit(""))
 
 
-def gathered(tokens: Column) -> Column:
+@built_once
+def gathered(tokens: Column | str) -> Column:
     """``struct<ldjson, meta, doc_title>`` from the tokens of a page."""
+    tokens = _col(tokens)
     return F.struct(
         _ldjson(tokens).alias("ldjson"), _meta(tokens).alias("meta"), _doc_title(tokens).alias("doc_title")
     )
 
 
+@built_once
 def gather_page(html: Column | str) -> Column:
     """Raw metadata of a page; stage :func:`page_tokens` first in a hot path."""
     return gathered(page_tokens(html))
 
 
+@built_once
 def page_title(html: Column | str) -> Column:
     return _doc_title(page_tokens(html))
 
 
-def meta_content(meta: Column, key: str) -> Column:
+@built_once
+def meta_content(meta: Column | str, key: str) -> Column:
     """Content of the first tag with that key."""
     return F.get(F.filter(meta, lambda m: m["key"] == key), F.lit(0))["content"]

@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presscan.functions.reuse import built_once
+
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 _JAMO_LEAD, _JAMO_VOWEL, _JAMO_TAIL = 0x1100, 0x1161, 0x11A7
 _VOWELS, _TAILS = 21, 28
@@ -77,6 +80,17 @@ def _char_class(chars: list[str]) -> str:
     return f"(?={_BEYOND_LATIN}){fine}"
 
 
+def bind(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Catalyst copies an expression to every place that uses it; nested, the
+    copies multiply. A column name is passed through: it costs nothing twice.
+    """
+    if isinstance(value, str):
+        return body(F.col(value))
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _jamo(syllable: Column) -> Column:
     """The two or three jamo of a Hangul syllable."""
     index = F.ascii(syllable) - F.lit(_HANGUL_FIRST)
@@ -108,14 +122,19 @@ def _expand(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(_BEYOND_LATIN)), replaced).otherwise(text)
 
 
+@built_once
 def strip_accents(text: Column | str) -> Column:
     """NFKD without combining marks; pure ASCII text is passed through as is."""
-    text = _col(text)
     source, target, *_ = _tables()
-    is_ascii = F.octet_length(text) == F.char_length(text)
-    return F.when(is_ascii, text).otherwise(_expand(F.translate(text, source, target)))
+
+    def stripped(t: Column) -> Column:
+        is_ascii = F.octet_length(t) == F.char_length(t)
+        return F.when(is_ascii, t).otherwise(bind(F.translate(t, source, target), _expand))
+
+    return bind(text, stripped)
 
 
+@built_once
 def fold(text: Column | str) -> Column:
     """Accents stripped and lower-cased, white space untouched."""
     return F.lower(strip_accents(text))
@@ -126,6 +145,7 @@ def trim_space(text: Column | str, chars: str = SPACES) -> Column:
     return F.trim(_col(text), F.lit(chars))
 
 
+@built_once
 def normalize_text(text: Column | str) -> Column:
     """Strip accents, lower-case, collapse white space, trim; NULL gives ``''``."""
     others = SPACES.replace(" ", "")
@@ -133,6 +153,7 @@ def normalize_text(text: Column | str) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(fold(text), runs, " ")), F.lit(""))
 
 
+@built_once
 def keyword_tokens(keyword: Column | str) -> Column:
     """Tokens of a keyword column."""
     return F.filter(F.split(normalize_text(keyword), " "), lambda t: t != "")
@@ -143,6 +164,7 @@ def constant_tokens(keyword: str) -> list[str]:
     return plain(keyword).lower().split()
 
 
+@built_once
 def haystack(*texts: Column | str) -> Column:
     """The folded text the tokens are looked up in.
 
@@ -156,10 +178,22 @@ def contains_tokens(text: Column, tokens: list[str]) -> Column:
     """Every token is a substring of ``text``; no tokens never match."""
     if not tokens:
         return F.lit(False)
-    hit = F.contains(text, F.lit(tokens[0]))
-    for token in tokens[1:]:
-        hit = hit & F.contains(text, F.lit(token))
-    return F.coalesce(hit, F.lit(False))
+
+    def all_in(t: Column) -> Column:
+        hit = F.contains(t, F.lit(tokens[0]))
+        for token in tokens[1:]:
+            hit = hit & F.contains(t, F.lit(token))
+        return hit
+
+    return F.coalesce(F.exists(F.array(text), all_in), F.lit(False))
+
+
+def contains_token_column(text: Column, tokens: Column) -> Column:
+    """The same with tokens that differ from row to row."""
+    return F.exists(
+        F.array(F.struct(text.alias("text"), tokens.alias("tokens"))),
+        lambda row: (F.size(row["tokens"]) > 0) & F.forall(row["tokens"], lambda t: F.contains(row["text"], t)),
+    )
 
 
 def keyword_matches(keyword: str | Column, *texts: Column | str) -> Column:
@@ -171,13 +205,18 @@ def keyword_matches(keyword: str | Column, *texts: Column | str) -> Column:
     text = haystack(*texts)
     if isinstance(keyword, str):
         return contains_tokens(text, constant_tokens(keyword))
-    tokens = keyword_tokens(keyword)
-    return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(text, t))
+    return contains_token_column(text, keyword_tokens(keyword))
 
 
 def first_nonblank(*values: Column | str) -> Column:
     """First value that is not blank, trimmed."""
-    return F.coalesce(*[F.nullif(trim_space(v), F.lit("")) for v in values])
+    return F.coalesce(*[nonblank(v) for v in values])
+
+
+@built_once
+def nonblank(value: Column | str) -> Column:
+    """Trimmed text, NULL if nothing is left."""
+    return bind(trim_space(value), lambda t: F.nullif(t, F.lit("")))
 
 
 def _col(value: Column | str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presscan.functions.text import _col, trim_space
+from presscan.functions.reuse import built_once
+from presscan.functions.text import _col, bind, trim_space
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -25,6 +26,7 @@ def url_path(url: Column | str) -> Column:
     return F.regexp_extract(_col(url), _PATH, 1)
 
 
+@built_once
 def url_origin(url: Column | str) -> Column:
     """``scheme://netloc``; unlike a bare host it keeps the port."""
     return F.concat(url_scheme(url), F.lit("://"), url_netloc(url))
@@ -39,19 +41,25 @@ def last_segment(url: Column | str) -> Column:
     return F.regexp_extract(url_path(url), r"([^/]*)/*$", 1)
 
 
+@built_once
 def percent_decode(text: Column | str) -> Column:
     """Decode ``%XX``; ``+`` stays a plus and a broken escape stays as it is."""
-    text = _col(text)
-    guarded = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
-    guarded = F.replace(guarded, F.lit("+"), F.lit("%2B"))
-    return F.when(F.contains(text, F.lit("%")), F.url_decode(guarded)).otherwise(text)
 
+    def decoded(t: Column) -> Column:
+        guarded = F.regexp_replace(t, "%(?![0-9A-Fa-f]{2})", "%25")
+        guarded = F.replace(guarded, F.lit("+"), F.lit("%2B"))
+        return F.when(F.contains(t, F.lit("%")), F.url_decode(guarded)).otherwise(t)
 
+    return bind(text, decoded)
+
+
+@built_once
 def humanize_slug(slug: Column | str) -> Column:
     """Slug to words: decode, turn ``-`` and ``_`` into spaces, trim."""
     return trim_space(F.translate(percent_decode(slug), "-_", "  "))
 
 
+@built_once
 def slug_text(url: Column | str, strip_regex: Column | str | None = None) -> Column:
     """Words of the last segment, after removing an outlet's trailing code.
 
@@ -59,13 +67,12 @@ def slug_text(url: Column | str, strip_regex: Column | str | None = None) -> Col
     """
     segment = last_segment(url)
     if strip_regex is not None:
-        pattern = _col(strip_regex)
-        segment = F.when(pattern.isNull(), segment).otherwise(
-            F.regexp_replace(segment, pattern, F.lit(""))
-        )
+        never = F.lit("(?!)")
+        segment = F.regexp_replace(segment, F.coalesce(_col(strip_regex), never), F.lit(""))
     return humanize_slug(segment)
 
 
+@built_once
 def is_article_url(
     url: Column | str,
     host_token: Column | str,

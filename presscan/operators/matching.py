@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presscan.functions.reuse import built_once
 from presscan.functions.text import constant_tokens, contains_tokens, haystack
 from presscan.functions.urls import is_article_url, slug_text
 
 
+@built_once
+def _entry_text() -> Column:
+    return haystack("title", slug_text("url", "slug_strip_regex"))
+
+
 def match_entries(entries: DataFrame, sites: DataFrame, keywords: str | Sequence[str]) -> DataFrame:
     """Entries whose title or slug holds every token of a keyword.
 
@@ -24,7 +30,7 @@ def match_entries(entries: DataFrame, sites: DataFrame, keywords: str | Sequence
     shaped = entries.join(dimension, "site_ord").where(
         F.col("title").isNotNull() | is_article_url("url", "host_token", "article_match_on", "article_regex")
     )
-    text = haystack("title", slug_text("url", "slug_strip_regex"))
+    text = _entry_text()
     kept = [*entries.columns, "site_key"]
     if isinstance(keywords, str):
         return shaped.where(contains_tokens(text, constant_tokens(keywords))).select(

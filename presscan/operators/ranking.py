@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presscan.session import checkpointed
+from presscan.session import stored
 from presscan.sources.documents import first_per_key
 
 _SALTS = 64
@@ -67,13 +67,13 @@ def row_number_all(df: DataFrame, group: list[str], order: list[str], rank: str
     Rows are range-partitioned by (group, order), so a large group spans many
     partitions and lies in them in order. A row's number is its place within
     its partition plus the rows of the group in earlier partitions. The
-    partitioned rows are written to the checkpoint folder once: sampled range
-    bounds may differ between two runs of the same stage.
+    partitioned rows are stored once, with their partition number: sampled
+    range bounds may differ between two runs of the same stage.
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in (*group, *order)]).withColumn(
         "_part", F.spark_partition_id()
     )
-    ranged = checkpointed(ranged)
+    ranged = stored(ranged)
     sizes = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
@@ -97,20 +97,18 @@ def interleave(
 
     Groups take turns in the order of their first appearance and keep their
     inner order. ``limit`` cuts the interleaved list; with ``per`` there is one
-    list for every value of those columns. Adds ``turn`` (round, from 1) and
-    ``group_rank`` columns that the result is ordered by.
+    list for every value of those columns. Adds ``turn``, the round from 1.
     """
     keys = [*per, group]
-    if limit is None:
-        ranked = row_number_all(df, keys, list(order), "turn")
-    else:
-        ranked = top_n_per_group(df, keys, list(order), limit, rank="turn")
-    # The first row of each group, in order of appearance.
-    first = ranked.where("turn = 1").select(*keys, F.struct(*order).alias("_first"))
-    lined_up = ranked.join(first, keys)
     position = [F.col("turn"), F.col("_first")]
     if limit is None:
-        return lined_up.orderBy(*per, *position).drop("_first")
+        ranked = row_number_all(df, keys, list(order), "turn")
+        first = ranked.where("turn = 1").select(*keys, F.struct(*order).alias("_first"))
+        return ranked.join(first, keys).orderBy(*per, *position).drop("_first")
+    ranked = top_n_per_group(df, keys, list(order), limit, rank="turn")
+    # At most ``limit`` rows are left of a group, partitioned and sorted already.
+    same = Window.partitionBy(*keys).orderBy(*order)
+    lined_up = ranked.withColumn("_first", F.first(F.struct(*order)).over(same))
     if not per:
         return lined_up.orderBy(*position).limit(limit).drop("_first")
     return top_n_per_group(lined_up, list(per), position, limit, rank="_rn").drop("_rn", "_first")

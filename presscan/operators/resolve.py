@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presscan.functions.dates import to_iso8601
-from presscan.functions.text import haystack, keyword_tokens
+from presscan.functions.reuse import built_once
+from presscan.functions.text import keyword_matches
 from presscan.schema import ARTICLE_FIELDS
 from presscan.sources.pages import METADATA_COLUMNS
 
@@ -41,11 +42,13 @@ def classify(candidates: DataFrame, metadata: DataFrame, exact_dates: bool = Tru
         }
     )
     merged = merged.drop(*[f"_page_{c}" for c in METADATA_COLUMNS])
-    staged = merged.withColumns({"_text": haystack("title", "description"), "_tokens": keyword_tokens("keyword")})
-    matches = (F.size("_tokens") > 0) & F.forall("_tokens", lambda t: F.contains(F.col("_text"), t))
-    return staged.withColumn(
-        "dropped", F.when(F.col("title").isNull(), F.lit("no_title")).when(~matches, F.lit("keyword"))
-    ).drop("_text", "_tokens")
+    return merged.withColumn("dropped", _reason_to_drop())
+
+
+@built_once
+def _reason_to_drop() -> Column:
+    matches = keyword_matches(F.col("keyword"), "title", "description")
+    return F.when(F.col("title").isNull(), F.lit("no_title")).when(~matches, F.lit("keyword"))
 
 
 def resolve_articles(
@@ -61,23 +64,28 @@ def to_articles(resolved: DataFrame, stamp: str) -> DataFrame:
     return resolved.withColumns({"source": F.col("site_key"), "scraped_at": F.lit(stamp)}).select(*ARTICLE_FIELDS)
 
 
-def search_funnel(entries: DataFrame, candidates: DataFrame, classified: DataFrame) -> DataFrame:
+def search_funnel(scanned: DataFrame, candidates: DataFrame, classified: DataFrame) -> DataFrame:
     """Per site: entries scanned, candidates matched, rows kept and dropped.
 
+    ``scanned`` has ``site_key`` and a number of entries ``n`` per document.
+
     The stages are tagged and counted in one aggregation; all of it combines
     map-side into one row per site and task.
     """
 
-    def tagged(df: DataFrame, stage: Column) -> DataFrame:
-        return df.select("site_key", stage.alias("stage"))
+    def tagged(df: DataFrame, stage: Column, n: Column | None = None) -> DataFrame:
+        n = F.lit(1) if n is None else n
+        return df.select("site_key", stage.alias("stage"), n.cast("bigint").alias("n"))
 
     events = (
-        tagged(entries, F.lit("scanned"))
+        tagged(scanned, F.lit("scanned"), F.col("n"))
         .unionByName(tagged(candidates, F.lit("matched")))
         .unionByName(tagged(classified, F.coalesce("dropped", F.lit("resolved"))))
     )
     stages = ("scanned", "matched", "robots", "no_title", "keyword", "resolved")
-    return events.groupBy("site_key").agg(*[F.count_if(F.col("stage") == s).alias(s) for s in stages])
+    return events.groupBy("site_key").agg(
+        *[F.sum(F.when(F.col("stage") == s, F.col("n")).otherwise(0)).alias(s) for s in stages]
+    )
 
 
 def article_report(articles: DataFrame) -> DataFrame:

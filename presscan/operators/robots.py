@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presscan.functions.text import _col, trim_space
+from presscan.functions.reuse import built_once
+from presscan.functions.text import _col, bind, trim_space
 from presscan.functions.urls import percent_decode, url_origin
 from presscan.schema import CRAWL_DELAY, KIND_ROBOTS, USER_AGENT
 from presscan.sources.documents import first_per_key, usable_documents
@@ -33,13 +34,19 @@ _GROUP = r"(?md)^(?:U[^\n]*+\n)++(?:[ADCQ][^\n]*+\n)++"
 
 def _token(line: Column) -> Column:
     """``<letter><raw value>`` for a line that matters, ``B`` for an empty one."""
-    text = trim_space(F.substring_index(line, "#", 1))
-    field = F.lower(trim_space(F.substring_index(text, ":", 1)))
-    value = trim_space(F.regexp_replace(text, r"(?s)^[^:]*:", ""))
-    letter = F.lit(None).cast("string")
-    for name, short in _FIELDS.items():
-        letter = F.when(field == name, F.lit(short)).otherwise(letter)
-    return F.when(line == "", F.lit("B")).when(F.contains(text, F.lit(":")), F.concat(letter, value))
+
+    def letter(field: Column) -> Column:
+        short = F.lit(None).cast("string")
+        for name, code in _FIELDS.items():
+            short = F.when(field == name, F.lit(code)).otherwise(short)
+        return short
+
+    def coded(text: Column) -> Column:
+        field = F.lower(trim_space(F.substring_index(text, ":", 1)))
+        value = trim_space(F.regexp_replace(text, r"(?s)^[^:]*:", ""))
+        return F.when(F.contains(text, F.lit(":")), F.concat(bind(field, letter), value))
+
+    return F.when(line == "", F.lit("B")).otherwise(bind(trim_space(F.substring_index(line, "#", 1)), coded))
 
 
 def _without_empty_parts(path: Column) -> Column:
@@ -53,20 +60,26 @@ def _rule_path(value: Column) -> Column:
     return F.regexp_replace(_without_empty_parts(value), "^//(?=/(?!/))", "")
 
 
-def _target(url: Column) -> Column:
+@built_once
+def _target(url: Column | str) -> Column:
     """What rule paths are prefixes of: decoded path, query and fragment."""
     rest = F.regexp_replace(percent_decode(url), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?", "")
-    rest = _without_empty_parts(rest)
-    return (
-        F.when(rest == "", F.lit("/"))
-        .when(F.startswith(rest, F.lit("//")), F.concat(F.lit("//"), rest))
-        .otherwise(rest)
-    )
+
+    def rooted(path: Column) -> Column:
+        return (
+            F.when(path == "", F.lit("/"))
+            .when(F.startswith(path, F.lit("//")), F.concat(F.lit("//"), path))
+            .otherwise(path)
+        )
+
+    return bind(_without_empty_parts(rest), rooted)
 
 
 def _group(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda l: l != "")
+    return bind(F.filter(F.split(text, "\n"), lambda l: l != ""), _group_of_lines)
+
 
+def _group_of_lines(lines: Column) -> Column:
     def values(letters: str) -> Column:
         return F.filter(lines, lambda l: F.substring(l, 1, 1).isin(*letters))
 
@@ -92,6 +105,7 @@ def _group(text: Column) -> Column:
     )
 
 
+@built_once
 def robots_groups(body: Column | str) -> Column:
     """Groups of a robots file, in file order."""
     tokens = F.filter(F.transform(F.split(_col(body), _LINE_END), _token), lambda t: t.isNotNull())
@@ -129,15 +143,24 @@ def robots_delays(documents: DataFrame) -> DataFrame:
 
 def agent_policy(policies: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     """``(origin, rules, delay)`` of the one group that binds ``user_agent``."""
+    return policies.select("origin", _binding_group(user_agent).alias("_g")).select(
+        "origin", F.col("_g.rules").alias("rules"), F.col("_g.delay").alias("advertised")
+    )
+
+
+@built_once
+def _binding_group(user_agent: str) -> Column:
     agent = F.lit(user_agent.split("/")[0].lower())
     named = F.filter(
         "groups", lambda g: ~g["is_default"] & F.exists(g["agents"], lambda a: F.contains(agent, F.lower(a)))
     )
     default = F.filter("groups", lambda g: g["is_default"])
-    group = F.coalesce(F.get(named, F.lit(0)), F.get(default, F.lit(0)))
-    return policies.select("origin", group.alias("_g")).select(
-        "origin", F.col("_g.rules").alias("rules"), F.col("_g.delay").alias("advertised")
-    )
+    return F.coalesce(F.get(named, F.lit(0)), F.get(default, F.lit(0)))
+
+
+@built_once
+def _decision(rules: str, target: str) -> Column:
+    return F.get(F.filter(rules, lambda r: F.startswith(F.col(target), r["path"])), F.lit(0))["allow"]
 
 
 def robots_verdict(
@@ -152,14 +175,12 @@ def robots_verdict(
     no rule, no group or no robots file is allowed.
     """
     policy = agent_policy(policies, user_agent)
-    target = _target(F.col("url"))
-    decided = F.get(F.filter("rules", lambda r: F.startswith(F.col("_target"), r["path"])), F.lit(0))["allow"]
+    located = urls.select("*", url_origin("url").alias("origin"), _target("url").alias("_target"))
     return (
-        urls.withColumns({"origin": url_origin("url"), "_target": target})
-        .join(policy, "origin", "left")
+        located.join(policy, "origin", "left")
         .select(
             *urls.columns,
-            F.coalesce(decided, F.lit(True)).alias("allowed"),
+            F.coalesce(_decision("rules", "_target"), F.lit(True)).alias("allowed"),
             F.greatest(F.coalesce("advertised", F.lit(default_delay)), F.lit(default_delay)).alias("delay"),
         )
     )

@@ -21,7 +21,7 @@ from presscan.schema import (
     RETRIES,
     USER_AGENT,
 )
-from presscan.session import checkpointed
+from presscan.session import stored
 from presscan.sources.documents import article_pages, first_per_key, first_success
 from presscan.sources.pages import page_metadata
 from presscan.sources.sitemaps import expand_sitemaps, leaf_entries, sitemap_catalog
@@ -50,20 +50,49 @@ class SearchOptions:
             object.__setattr__(self, name, max(0, getattr(self, name)))
 
 
-def scan_entries(documents: DataFrame, sites: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """The entries within every site's budget, in a form that carries order."""
+@dataclass(frozen=True)
+class Corpus:
+    """Fetched documents with what every search needs to know about them."""
+
+    documents: DataFrame
+    catalog: DataFrame
+    policies: DataFrame
+
+    @classmethod
+    def of(cls, documents: DataFrame | Corpus) -> Corpus:
+        """Read robots files and sitemap structure once; keep it for more searches."""
+        if isinstance(documents, Corpus):
+            return documents
+        return cls(documents, stored(sitemap_catalog(documents)), stored(robots_policies(documents)))
+
+
+def scan_plan(corpus: Corpus, sites: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """Url-sets to read, and how many entries of each fit the site's budget."""
     leaves = expand_sitemaps(
         sitemap_roots(sites, options.include_archive),
-        sitemap_catalog(documents),
-        robots_policies(documents),
+        corpus.catalog,
+        corpus.policies,
         MAX_INDEX_DEPTH,
         options.user_agent,
     )
-    return leaf_entries(limit_leaves(leaves, options.max_sitemap_entries), documents, take="take")
+    return stored(limit_leaves(leaves, options.max_sitemap_entries))
+
+
+def scan_entries(
+    documents: DataFrame | Corpus, sites: DataFrame, options: SearchOptions = SearchOptions()
+) -> DataFrame:
+    """The entries within every site's budget, in a form that carries order."""
+    corpus = Corpus.of(documents)
+    return leaf_entries(scan_plan(corpus, sites, options), corpus.documents, take="take")
+
+
+def _first_matches(entries: DataFrame, sites: DataFrame, keywords: str | Sequence[str]) -> DataFrame:
+    matched = match_entries(entries, sites, keywords)
+    return first_per_key(matched, ["keyword", "url"], [F.col(c) for c in ("site_ord", "path", "entry_ord")])
 
 
 def discover(
-    documents: DataFrame,
+    documents: DataFrame | Corpus,
     sites: DataFrame,
     keywords: str | Sequence[str],
     options: SearchOptions = SearchOptions(),
@@ -72,8 +101,7 @@ def discover(
 
     Entries that do not match never take a URL away from a later one.
     """
-    matched = match_entries(scan_entries(documents, sites, options), sites, keywords)
-    return first_per_key(matched, ["keyword", "url"], [F.col(c) for c in ("site_ord", "path", "entry_ord")])
+    return _first_matches(scan_entries(documents, sites, options), sites, keywords)
 
 
 def shortlist(candidates: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -96,15 +124,18 @@ def candidate_metadata(documents: DataFrame, candidates: DataFrame, bound: int,
     return page_metadata(read.drop("attempt"), "body", options.exact_dates)
 
 
-def _resolved(documents: DataFrame, chosen: DataFrame, n_keywords: int, options: SearchOptions) -> DataFrame:
-    verdicts = robots_verdict(chosen, robots_policies(documents), options.user_agent, options.delay)
-    allowed = verdicts.where("allowed").drop("allowed", "delay")
-    metadata = candidate_metadata(documents, chosen, options.max_articles * n_keywords, options)
+def _verdicts(corpus: Corpus, chosen: DataFrame, options: SearchOptions) -> DataFrame:
+    return robots_verdict(chosen, corpus.policies, options.user_agent, options.delay)
+
+
+def _resolved(corpus: Corpus, chosen: DataFrame, n_keywords: int, options: SearchOptions) -> DataFrame:
+    allowed = _verdicts(corpus, chosen, options).where("allowed").drop("allowed", "delay")
+    metadata = candidate_metadata(corpus.documents, chosen, options.max_articles * n_keywords, options)
     return classify(allowed, metadata, options.exact_dates)
 
 
 def search_many(
-    documents: DataFrame,
+    documents: DataFrame | Corpus,
     sites: DataFrame,
     keywords: Sequence[str],
     scraped_at: datetime | str | None = None,
@@ -112,20 +143,21 @@ def search_many(
 ) -> DataFrame:
     """Articles for several keywords at once, each with its own cap.
 
-    The shortlist is written to the checkpoint folder: it is small by its cap,
-    it is used twice below, and without that discovery would run twice.
+    The shortlist is stored: its cap keeps it small, and both the page scan and
+    the final join use it.
     """
     words = list(dict.fromkeys(keywords))
     if not words or any(not w.strip() for w in words):
         raise ValueError("a keyword must not be empty")
     stamp = scraped_at if isinstance(scraped_at, str) else utc_stamp(scraped_at or datetime.now(timezone.utc))
-    chosen = checkpointed(shortlist(discover(documents, sites, words, options), options))
-    kept = _resolved(documents, chosen, len(words), options).where(F.col("dropped").isNull())
+    corpus = Corpus.of(documents)
+    chosen = stored(shortlist(discover(corpus, sites, words, options), options))
+    kept = _resolved(corpus, chosen, len(words), options).where(F.col("dropped").isNull())
     return to_articles(kept, stamp)
 
 
 def search(
-    documents: DataFrame,
+    documents: DataFrame | Corpus,
     sites: DataFrame,
     keyword: str,
     scraped_at: datetime | str | None = None,
@@ -136,14 +168,17 @@ def search(
 
 
 def funnel(
-    documents: DataFrame, sites: DataFrame, keyword: str, options: SearchOptions = SearchOptions()
+    documents: DataFrame | Corpus, sites: DataFrame, keyword: str, options: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """What every stage of :func:`search` kept and dropped, per site."""
-    keys = sites.select("site_ord", "site_key")
-    entries = scan_entries(documents, sites, options).select("site_ord").join(keys, "site_ord")
-    candidates = discover(documents, sites, keyword, options)
-    chosen = checkpointed(shortlist(candidates, options))
-    verdicts = robots_verdict(chosen, robots_policies(documents), options.user_agent, options.delay)
-    refused = verdicts.where(~F.col("allowed")).select("site_key", F.lit("robots").alias("dropped"))
-    classified = _resolved(documents, chosen, 1, options).select("site_key", "dropped")
-    return search_funnel(entries, candidates, classified.unionByName(refused))
+    corpus = Corpus.of(documents)
+    plan = scan_plan(corpus, sites, options)
+    scanned = plan.join(sites.select("site_ord", "site_key"), "site_ord").select("site_key", F.col("take").alias("n"))
+    entries = leaf_entries(plan, corpus.documents, take="take")
+    candidates = stored(_first_matches(entries, sites, keyword))
+    chosen = stored(shortlist(candidates, options))
+    refused = _verdicts(corpus, chosen, options).where(~F.col("allowed"))
+    classified = _resolved(corpus, chosen, 1, options).select("site_key", "dropped")
+    return search_funnel(
+        scanned, candidates, classified.unionByName(refused.select("site_key", F.lit("robots").alias("dropped")))
+    )

@@ -16,7 +16,14 @@ from pyspark.sql import types as T
 from presscan.schema import ARTICLE_FIELDS, ARTICLE_SCHEMA
 
 # Quotes are doubled, an empty field stands for NULL.
-_CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+_CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 #: Deltas a table collects before an upsert folds them into a new base.
 COMPACT_AFTER = 16

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from presscan.functions import jsonld, markup
 from presscan.functions.dates import to_iso8601
-from presscan.functions.text import _col, first_nonblank, trim_space
+from presscan.functions.reuse import built_once
+from presscan.functions.text import first_nonblank, trim_space
 
 METADATA_COLUMNS = ("title", "description", "author", "published_at", "image_url")
 
@@ -25,7 +26,7 @@ def is_real_author(value: Column | str) -> Column:
 def page_metadata(pages: DataFrame, html: str = "html", exact_dates: bool = True) -> DataFrame:
     """``pages`` without ``html``, plus the five metadata columns."""
     tokens = pages.withColumn("_tokens", markup.page_tokens(html)).drop(html)
-    raw = tokens.withColumn("_page", markup.gathered(F.col("_tokens"))).drop("_tokens")
+    raw = tokens.withColumn("_page", markup.gathered("_tokens")).drop("_tokens")
     return resolve_metadata(raw, "_page", exact_dates)
 
 
@@ -36,50 +37,52 @@ def resolve_metadata(gathered: DataFrame, page: str = "gathered", exact_dates: b
     not parse gives NULL, and so does a first meta author that is no name.
     """
     keep = [F.col(c) for c in gathered.columns if c != page]
-    blocks, tags = F.col(f"{page}.ldjson"), F.col("_meta")
     staged = gathered.select(
         *keep,
         F.col(f"{page}.meta").alias("_meta"),
         F.col(f"{page}.doc_title").alias("_doc_title"),
-        jsonld.pick_article_node(blocks).alias("_node"),
+        jsonld.pick_article_node(f"{page}.ldjson").alias("_node"),
     )
+    staged = staged.select(*keep, *_candidates_for_columns("_node", "_meta", "_doc_title"))
+    return staged.select(
+        *keep,
+        "title",
+        "description",
+        _author("_ld_author", "_meta_author").alias("author"),
+        to_iso8601("_date", exact=exact_dates).alias("published_at"),
+        "image_url",
+    )
+
+
+@built_once
+def _candidates_for_columns(node: str, tags: str, doc_title: str) -> list[Column]:
+    """First non-blank value per column, in the order of priority."""
 
     def ld(name: str) -> Column:
-        return jsonld.jsonld_string("_node", name)
+        return jsonld.jsonld_string(node, name)
 
     def meta(*names: str) -> list[Column]:
         return [markup.meta_content(tags, n) for n in names]
 
-    ld_author = jsonld.jsonld_name(jsonld.jsonld_field("_node", "author"))
-    meta_author = first_nonblank(*meta("author", "article:author", "byl"))
-    staged = staged.select(
-        *keep,
-        first_nonblank(ld("headline"), ld("name"), *meta("og:title", "twitter:title"), _col("_doc_title")).alias(
-            "title"
-        ),
+    return [
+        first_nonblank(ld("headline"), ld("name"), *meta("og:title", "twitter:title"), F.col(doc_title)).alias("title"),
         first_nonblank(
             ld("description"), *meta("og:description", "description", "twitter:description")
         ).alias("description"),
-        ld_author.alias("_ld_author"),
-        meta_author.alias("_meta_author"),
+        jsonld.jsonld_name(jsonld.jsonld_field(node, "author")).alias("_ld_author"),
+        first_nonblank(*meta("author", "article:author", "byl")).alias("_meta_author"),
         first_nonblank(
             ld("datePublished"), *meta("article:published_time", "datePublished", "date"), ld("dateCreated")
         ).alias("_date"),
         first_nonblank(
             *meta("og:image"),
-            jsonld.jsonld_url(jsonld.jsonld_field("_node", "image")),
-            jsonld.jsonld_url(jsonld.jsonld_field("_node", "thumbnailUrl")),
+            jsonld.jsonld_url(jsonld.jsonld_field(node, "image")),
+            jsonld.jsonld_url(jsonld.jsonld_field(node, "thumbnailUrl")),
             *meta("twitter:image"),
         ).alias("image_url"),
-    )
-    author = F.when(is_real_author("_ld_author"), F.col("_ld_author")).when(
-        is_real_author("_meta_author"), F.col("_meta_author")
-    )
-    return staged.select(
-        *keep,
-        "title",
-        "description",
-        author.alias("author"),
-        to_iso8601("_date", exact=exact_dates).alias("published_at"),
-        "image_url",
-    )
+    ]
+
+
+@built_once
+def _author(ld_author: str, meta_author: str) -> Column:
+    return F.when(is_real_author(ld_author), F.col(ld_author)).when(is_real_author(meta_author), F.col(meta_author))

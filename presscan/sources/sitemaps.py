@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presscan.functions.text import _col, trim_space
+from presscan.functions.reuse import built_once
+from presscan.functions.text import _col, bind, nonblank
 from presscan.operators.robots import robots_verdict
+from presscan.session import stored
 from presscan.schema import KIND_SITEMAP, MAX_INDEX_DEPTH, USER_AGENT
 from presscan.sources.documents import first_per_key, usable_documents
 
@@ -41,6 +43,7 @@ _CLOSED = rf"(?s)(?:</(?:[\w.\-]+:)?([\w.\-]+)\s*>|/>){_MISC}$"
 ENTRY_COLUMNS = ("source_sitemap", "url", "title", "published_at", "image_url", "entry_ord")
 
 
+@built_once
 def root_name(xml: Column | str) -> Column:
     """Local name of the root element, ``''`` if there is none."""
     return F.regexp_extract(_col(xml), _ROOT, 1)
@@ -48,33 +51,39 @@ def root_name(xml: Column | str) -> Column:
 
 def _text(values: Column) -> Column:
     """Trimmed text of the first element of that name; a blank one is NULL."""
-    return F.nullif(trim_space(F.get(values, F.lit(0))), F.lit(""))
+    return nonblank(F.get(values, F.lit(0)))
 
 
 def _first_of(items: Column, pick) -> Column:
     return F.get(F.filter(F.transform(items, pick), lambda v: v.isNotNull()), F.lit(0))
 
 
-def _parsed(xml: Column, schema: str) -> Column:
+@built_once
+def _parsed(xml: Column | str, schema: str) -> Column:
+    xml = _col(xml)
     body = F.regexp_replace(xml, rf"(?s)({_PROLOG})(?=<)", "")
     return F.from_xml(F.when(_single_root(xml), body), schema, _XML_OPTIONS)
 
 
 def _single_root(xml: Column) -> Column:
     """A root element opens after the prolog and the document ends with it."""
-    root = root_name(xml)
     closing = F.regexp_extract(xml, _CLOSED, 1)
-    return (root != "") & F.regexp_like(xml, F.lit(_CLOSED)) & ((closing == root) | (closing == ""))
+    same = F.exists(
+        F.array(F.struct(root_name(xml).alias("opened"), closing.alias("closed"))),
+        lambda r: (r["opened"] != "") & ((r["closed"] == r["opened"]) | (r["closed"] == "")),
+    )
+    return same & F.regexp_like(xml, F.lit(_CLOSED))
 
 
 def _well_formed(tree: Column) -> Column:
     return tree.isNotNull() & tree["_corrupt"].isNull()
 
 
+@built_once
 def is_sitemap_index(xml: Column | str) -> Column:
     """The root is a ``sitemapindex`` and the document is well formed."""
     xml = _col(xml)
-    return (root_name(xml) == "sitemapindex") & _well_formed(_parsed(xml, _TREE))
+    return (root_name(xml) == "sitemapindex") & bind(_parsed(xml, _TREE), _well_formed)
 
 
 def _children(tree: Column) -> Column:
@@ -89,22 +98,29 @@ def _located(tree: Column) -> Column:
 def sitemap_children(documents: DataFrame, body: str = "body") -> DataFrame:
     """``(source_sitemap, child_ord, url)`` for every child of an index."""
     tree = documents.where(F.contains(F.col(body), F.lit("<"))).select(
-        F.col("url").alias("source_sitemap"), _parsed(F.col(body), _TREE).alias("_tree")
-    )
-    return tree.where(_well_formed(F.col("_tree"))).select(
-        "source_sitemap", F.posexplode(_children(F.col("_tree"))).alias("child_ord", "url")
+        F.col("url").alias("source_sitemap"), _parsed(body, _TREE).alias("_tree")
     )
+    children = F.when(_well_formed(F.col("_tree")), _children(F.col("_tree")))
+    return _exploded(tree, children, ["source_sitemap"], "child_ord", "url")
+
+
+def _exploded(df: DataFrame, items: Column, keep: list[str], position: str, item: str) -> DataFrame:
+    """One row per item.
+
+    The outer form keeps Catalyst from adding a filter on ``items``, which
+    would parse every document a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(position, item))
+    return rows.where(F.col(item).isNotNull())
 
 
 def _published(entry: Column, block: Column) -> Column:
     """The first date in document order, of ``lastmod`` and the news date."""
-    lastmod = _first_of(entry["lastmod"], lambda v: F.nullif(trim_space(v), F.lit("")))
+    lastmod = _first_of(entry["lastmod"], nonblank)
     news = _first_of(entry["news"], lambda n: _text(n["publication_date"]))
-    lastmod_at = F.instr(block, F.lit("<lastmod"))
-    lastmod_at = F.when(lastmod_at > 0, lastmod_at).otherwise(F.instr(block, F.lit(":lastmod")))
-    return F.when(
-        lastmod.isNotNull() & news.isNotNull() & (lastmod_at > F.instr(block, F.lit("publication_date"))), news
-    ).otherwise(F.coalesce(lastmod, news))
+    lastmod_at = F.regexp_instr(block, F.lit(r"<(?:[\w.\-]+:)?lastmod[\s>/]"))
+    news_first = lastmod_at > F.instr(block, F.lit("publication_date"))
+    return F.when(news_first, F.coalesce(news, lastmod)).otherwise(F.coalesce(lastmod, news))
 
 
 def sitemap_entries(
@@ -122,11 +138,24 @@ def sitemap_entries(
         F.col("url").alias("source_sitemap"),
         *carry,
         *([take] if take else []),
-        _parsed(xml, _TREE).alias("_tree"),
-        F.when(both_dates, _parsed(xml, _BLOCKS)["url"]).alias("_blocks"),
+        _parsed(body, _TREE).alias("_tree"),
+        F.when(both_dates, _parsed(body, _BLOCKS)["url"]).alias("_blocks"),
     )
-    tree = F.col("_tree")
-    blocks = F.coalesce(F.col("_blocks"), F.transform(tree["url"], lambda _: F.lit("")))
+    entries = _entries("_tree", "_blocks")
+    if take:
+        entries = F.slice(entries, F.lit(1), F.col(take).cast("int"))
+    rows = _exploded(parsed, entries, ["source_sitemap", *carry], "entry_ord", "_entry")
+    return rows.select(*carry, "source_sitemap", "_entry.*", "entry_ord")
+
+
+iter_entries = sitemap_entries
+
+
+@built_once
+def _entries(tree_name: str, blocks_name: str) -> Column:
+    """Entries of a parsed document; NULL if it is malformed."""
+    tree = F.col(tree_name)
+    blocks = F.coalesce(F.col(blocks_name), F.transform(tree["url"], lambda _: F.lit("")))
     entries = F.transform(
         F.filter(
             F.arrays_zip(tree["url"].alias("e"), blocks.alias("b")),
@@ -139,16 +168,7 @@ def sitemap_entries(
             _first_of(p["e"]["image"], lambda i: _text(i["loc"])).alias("image_url"),
         ),
     )
-    if take:
-        entries = F.slice(entries, F.lit(1), F.col(take).cast("int"))
-    return (
-        parsed.where(_well_formed(tree))
-        .select("source_sitemap", *carry, F.posexplode(entries).alias("entry_ord", "_entry"))
-        .select(*carry, "source_sitemap", "_entry.*", "entry_ord")
-    )
-
-
-iter_entries = sitemap_entries
+    return F.when(_well_formed(tree), entries)
 
 
 def sitemap_catalog(documents: DataFrame) -> DataFrame:
@@ -160,15 +180,17 @@ def sitemap_catalog(documents: DataFrame) -> DataFrame:
             "url",
             "fetched_at",
             (root_name("body") == "sitemapindex").alias("_is_index"),
-            _parsed(F.col("body"), _TREE).alias("_tree"),
+            _parsed("body", _TREE).alias("_tree"),
         )
-        .where(_well_formed(tree))
         .select(
             "url",
             "fetched_at",
             F.col("_is_index").alias("is_index"),
-            F.when(F.col("_is_index"), _children(tree)).otherwise(F.array().cast("array<string>")).alias("children"),
-            F.when(F.col("_is_index"), F.lit(0)).otherwise(F.size(_located(tree))).cast("bigint").alias("n_entries"),
+            F.when(F.col("_is_index") & _well_formed(tree), _children(tree)).alias("children"),
+            F.when(~F.col("_is_index") & _well_formed(tree), F.size(_located(tree)))
+            .otherwise(F.lit(0))
+            .cast("bigint")
+            .alias("n_entries"),
         )
     )
     return first_per_key(facts, ["url"], [F.col("fetched_at")])
@@ -202,7 +224,7 @@ def expand_sitemaps(
     ``path`` holds the position among siblings at every level, so ordering by
     it is the depth-first order of a reader that opens indexes in place. A
     sitemap reached twice is there twice. The depth is fixed, so the joins are
-    unrolled; the catalog side is the same every time.
+    unrolled; a level feeds both the result and the next level, hence stored.
     """
     facts = catalog.select("url", "is_index", "children", "n_entries")
     frontier = roots.select("site_ord", "path", "url")
@@ -211,14 +233,15 @@ def expand_sitemaps(
         if rules is not None:
             frontier = robots_verdict(frontier, rules, user_agent).where("allowed").drop("allowed", "delay")
         found = frontier.join(facts, "url")
+        if depth < max_depth:
+            found = stored(found)
         level = found.where(~F.col("is_index") & (F.col("n_entries") > 0)).select(
             "site_ord", "path", "url", "n_entries"
         )
         leaves = level if leaves is None else leaves.unionByName(level)
         if depth < max_depth:
             frontier = (
-                found.where("is_index")
-                .select("site_ord", "path", F.posexplode("children").alias("_pos", "url"))
+                _exploded(found.where("is_index"), F.col("children"), ["site_ord", "path"], "_pos", "url")
                 .select("site_ord", F.concat("path", F.array("_pos")).alias("path"), "url")
             )
     return leaves
