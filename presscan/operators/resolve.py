@@ -60,8 +60,9 @@ def resolve_articles(
     return to_articles(kept, stamp)
 
 
-def to_articles(resolved: DataFrame, stamp: str) -> DataFrame:
-    return resolved.withColumns({"source": F.col("site_key"), "scraped_at": F.lit(stamp)}).select(*ARTICLE_FIELDS)
+def to_articles(resolved: DataFrame, stamp: str, *extra: Column) -> DataFrame:
+    stamped = resolved.withColumns({"source": F.col("site_key"), "scraped_at": F.lit(stamp)})
+    return stamped.select(*ARTICLE_FIELDS, *extra)
 
 
 def search_funnel(scanned: DataFrame, candidates: DataFrame, classified: DataFrame) -> DataFrame:

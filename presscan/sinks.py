@@ -28,6 +28,9 @@ _CSV = {
 #: Deltas a table collects before an upsert folds them into a new base.
 COMPACT_AFTER = 16
 
+#: Marks a row of a delta that takes its key out of the table.
+REMOVED = "_removed"
+
 
 def as_rows(df: DataFrame) -> DataFrame:
     return df.select(*ARTICLE_FIELDS)
@@ -95,20 +98,21 @@ class UpsertTable:
         for seq in deltas:
             rows = self._load("delta", seq).withColumn("_seq", F.lit(seq))
             layers = rows if layers is None else layers.unionByName(rows)
-        if layers is not None:
-            layers = _last_per_key(layers, self.key, "_seq")
-        if base is None:
-            return self.spark.createDataFrame([], self.schema) if layers is None else layers
-        rows = self._load("base", base)
+        rows = None if base is None else self._load("base", base)
         if layers is None:
-            return rows
-        return rows.join(layers.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(layers)
+            return self.spark.createDataFrame([], self.schema) if rows is None else rows
+        latest = _last_per_key(layers, self.key, "_seq")
+        current = latest.where(~F.col(REMOVED)).drop(REMOVED)
+        if rows is None:
+            return current
+        return rows.join(latest.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(current)
 
     def upsert(self, df: DataFrame, order: str | None = None, seq: int | None = None) -> int:
         """Insert or replace whole rows; returns the batch size.
 
         ``order`` is the batch position that decides between rows of one key;
         it is not stored. Without it the rows count in the order they have.
+        A true ``_removed`` in the batch takes the key out of the table.
         ``seq`` names the write, for callers that may repeat
         one (a streaming batch).
         """
@@ -120,6 +124,8 @@ class UpsertTable:
         if order is None:
             order = "_position"
             df = df.withColumn(order, F.monotonically_increasing_id())
+        if REMOVED not in df.columns:
+            df = df.withColumn(REMOVED, F.lit(False))
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             size = df.count()

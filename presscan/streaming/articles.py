@@ -13,10 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from presscan.functions.urls import url_origin
 from presscan.operators.matching import match_entries
-from presscan.operators.resolve import resolve_articles, utc_stamp
+from presscan.operators.resolve import classify, to_articles, utc_stamp
 from presscan.operators.robots import robots_verdict
 from presscan.schema import DOCUMENT_SCHEMA, KIND_SITEMAP, USER_AGENT
-from presscan.sinks import UpsertTable
+from presscan.sinks import REMOVED, UpsertTable
 from presscan.sources.documents import article_pages, first_per_key, usable_documents
 from presscan.sources.pages import METADATA_COLUMNS, page_metadata
 from presscan.sources.sitemaps import sitemap_entries
@@ -116,7 +116,10 @@ def stream_articles(
             known = candidates.read().join(touched, "url", "left_semi")
             metadata = pages.read().join(touched, "url", "left_semi")
             stamp = scraped_at or utc_stamp(datetime.now(timezone.utc))
-            articles.upsert(resolve_articles(known, metadata, stamp), seq=batch_id)
+            # A page can show that an entry's article does not qualify after all.
+            judged = classify(known, metadata)
+            dropped = F.col("dropped").isNotNull().alias(REMOVED)
+            articles.upsert(to_articles(judged, stamp, dropped), seq=batch_id)
         finally:
             batch.unpersist()
 

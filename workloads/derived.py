@@ -218,7 +218,8 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = titled_pages(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     html = F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), _injected()))
     tries = F.when(F.col("page_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    attempts = pages.select("page_id", "url", html.alias("_html"), F.explode(tries).alias("_try"))
+    # In one select with a generator the struct above would lose its field names.
+    attempts = pages.select("page_id", "url", html.alias("_html")).withColumn("_try", F.explode(tries))
     failed = (F.col("page_id") % 7 == 0) | ((F.col("page_id") % 3 == 0) & (F.col("_try") == 1))
     status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
     return attempts.select(
