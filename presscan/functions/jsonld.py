@@ -30,6 +30,16 @@ def _is_object(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
+def _parsed(block: Column) -> Column:
+    """The value of a block, NULL if it is no JSON.
+
+    The parser stops after the first value; inside brackets, whatever follows
+    it is an error or a second element.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), block, F.lit("]")))
+    return bind(_elements(wrapped), lambda values: F.when(F.size(values) == 1, F.get(values, F.lit(0))))
+
+
 def _expand_once(nodes: Column) -> Column:
     """Open every list and ``@graph`` list among the nodes still open."""
 
@@ -57,7 +67,7 @@ def _flat(blocks: Column) -> Column:
     roots = F.transform(
         blocks,
         lambda b, i: F.struct(
-            F.array(i).alias("path"), F.try_parse_json(b).alias("v"), F.lit(True).alias("open")
+            F.array(i).alias("path"), _parsed(b).alias("v"), F.lit(True).alias("open")
         ),
     )
     nodes = F.filter(roots, lambda n: n["v"].isNotNull())
