@@ -36,6 +36,12 @@ _ZONE = rf"(z|utc|gmt|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?|{_RESERVED}(?-i:[A-Z]{
 _TIME = rf"(?:{_SEP}(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:[.,](\d{{1,9}}))?)?\s*(?:([ap])\.?m?\.?(?![a-z]))?\s*{_ZONE})?"
 _COMPACT_TIME = rf"(?:t?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:\.(\d{{1,9}}))?)?()\s*{_ZONE})?"
 
+#: Already in the form of the result, but for an offset of minus zero.
+_CANONICAL = (
+    r"^(?!0000)\d{4}-\d{2}-\d{2}T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d"
+    r"(?!-00:00)(?:[+-](?:[01]\d|2[0-3]):[0-5]\d)?$"
+)
+
 #: pattern -> order in which its date groups give (year, month, day).
 _LAYOUTS = (
     (rf"(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){_TIME}", ("$1", "$3", "$4"), 5),
@@ -104,8 +110,14 @@ def _assemble(f: Column) -> Column:
 
 @built_once
 def iso_or_null(value: Column | str) -> Column:
-    """The native layouts alone."""
-    return bind(trim_space(value), lambda text: bind(_fields(text), _assemble))
+    """The native layouts alone; the common one is only checked."""
+
+    def normal(text: Column) -> Column:
+        is_day = F.substring(text, 1, 10).try_cast("date").isNotNull()
+        checked = F.when(is_day, text)
+        return F.when(F.regexp_like(text, F.lit(_CANONICAL)), checked).otherwise(bind(_fields(text), _assemble))
+
+    return bind(trim_space(value), normal)
 
 
 @F.arrow_udf(StringType())
