@@ -116,7 +116,9 @@ def robots_groups(body: Column | str) -> Column:
 def robots_policies(documents: DataFrame) -> DataFrame:
     """``(origin, groups)``: the one robots file of every origin that has one."""
     files = usable_documents(documents, KIND_ROBOTS).where(
-        F.col("url").endswith("/robots.txt") & (F.col("attempt") == 1) & (F.col("body") != "")
+        (F.col("url") == F.concat(url_origin("url"), F.lit("/robots.txt")))
+        & (F.col("attempt") == 1)
+        & (F.col("body") != "")
     )
     per_origin = files.select(url_origin("url").alias("origin"), "fetched_at", "body")
     first = first_per_key(per_origin, ["origin"], [F.col("fetched_at")])

@@ -4,11 +4,10 @@ import html as stdlib_html
 import json
 import random
 
-import pytest
+from pyspark.sql import functions as F
 
 import presscan as ps
 from presscan.functions.jsonld import jsonld_nodes
-from pyspark.sql import functions as F
 
 
 def metadata(spark, *pages: str) -> list[tuple]:
@@ -83,23 +82,19 @@ def test_choice_of_the_article_node(spark):
     ) == ["last", "one", "a", "list", "nested", None, "outer", "b", "name"]
 
 
-@pytest.mark.parametrize(
-    ("author", "expected"),
-    [
-        (" Ana ", "Ana"), ({"name": "Ana"}, "Ana"), ({"name": 3}, None), (["Ana", {"name": "Eva"}, "Ana", 7, None], "Ana, Eva"),
-        ("/people/ana", None), ("https://x/ana", None), ("a/b", None), ("Ana / Eva", "Ana / Eva"), ([], None), (7, None),
-    ],
-)
-def test_author_shapes(spark, author, expected):
-    assert metadata(spark, ld({**ARTICLE, "author": author}))[0][2] == expected
+AUTHORS = [
+    (" Ana ", "Ana"), ({"name": "Ana"}, "Ana"), ({"name": 3}, None), (["Ana", {"name": "Eva"}, "Ana", 7, None], "Ana, Eva"),
+    ("/people/ana", None), ("https://x/ana", None), ("a/b", None), ("Ana / Eva", "Ana / Eva"), ([], None), (7, None),
+    ([["Ana", "Eva"], "Ana"], "Ana, Eva, Ana"),
+]
+IMAGES = [("u", "u"), ({"url": " ", "contentUrl": "c"}, "c"), ([{"x": 1}, [" "], "u"], "u"), ([], None), (3, None)]
 
 
-@pytest.mark.parametrize(
-    ("image", "expected"),
-    [("u", "u"), ({"url": " ", "contentUrl": "c"}, "c"), ([{"x": 1}, [" "], "u"], "u"), ([], None), (3, None)],
-)
-def test_image_shapes(spark, image, expected):
-    assert metadata(spark, ld({**ARTICLE, "image": image}))[0][4] == expected
+def test_author_and_image_shapes(spark):
+    authors = metadata(spark, *[ld({**ARTICLE, "author": a}) for a, _ in AUTHORS])
+    assert [m[2] for m in authors] == [e for _, e in AUTHORS]
+    images = metadata(spark, *[ld({**ARTICLE, "image": i}) for i, _ in IMAGES])
+    assert [m[4] for m in images] == [e for _, e in IMAGES]
 
 
 def test_markup_that_is_not_markup(spark):

@@ -25,7 +25,8 @@ def test_disallow_allow_and_delay(spark, web):
 
 
 def test_missing_and_failed_files_allow_everything(spark, web):
-    docs = web(("https://b.test/robots.txt", "robots", "User-agent: *\nDisallow: /", 1, 503), ("https://c.test/robots.txt", "robots", ""))
+    docs = web(("https://b.test/robots.txt", "robots", "User-agent: *\nDisallow: /", 1, 503), ("https://c.test/robots.txt", "robots", ""),
+               ("https://a.test/sub/robots.txt", "robots", "User-agent: *\nDisallow: /"))
     urls = spark.createDataFrame([(f"https://{h}.test/x",) for h in "abc"], "url string")
     assert [r["allowed"] for r in ps.robots_verdict(urls, ps.robots_policies(docs)).collect()] == [True] * 3
 
