@@ -162,7 +162,12 @@ def to_iso8601(value: Column | str, exact: bool = False) -> Column:
 @built_once
 def _unknown_layout(value: Column | str) -> Column:
     """The text, where no native layout takes it and it may be a date."""
-    # Without a digit there is no complete date.
-    return bind(
-        trim_space(value), lambda text: F.when(_fields(text).isNull() & F.regexp_like(text, F.lit(r"\d")), text)
-    )
+
+    def unknown(text: Column) -> Column:
+        known = F.regexp_like(text, F.lit(_CANONICAL))
+        for pattern, *_ in _LAYOUTS:
+            known = known | F.regexp_like(text, F.lit(f"^(?i){pattern}$"))
+        # Without a digit there is no complete date.
+        return F.when(F.regexp_like(text, F.lit(r"\d")) & ~known, text)
+
+    return bind(trim_space(value), unknown)

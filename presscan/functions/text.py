@@ -62,22 +62,25 @@ def _tables() -> tuple[str, str, str, list[str], str]:
     return source, "".join(targets), "".join(longer), expansions, _char_class(longer)
 
 
-def _char_class(chars: list[str]) -> str:
-    """A regular expression class over code-point ranges, Hangul included.
+def _ranges(chars: str | list[str], gap: int = 1) -> str:
+    """Characters as ranges of a regular expression class.
 
-    Gaps of up to 16 code points are bridged: a bridged character maps to
-    itself, and fewer ranges make the test cheaper.
+    Gaps below ``gap`` are bridged; fewer ranges make the test cheaper.
     """
-    codes = sorted([ord(c) for c in chars] + [_HANGUL_FIRST, _HANGUL_LAST])
+    codes = sorted(ord(c) for c in chars)
     ranges = [[codes[0], codes[0]]]
     for code in codes[1:]:
-        bridged = code == _HANGUL_LAST or code - ranges[-1][1] <= 16
-        if bridged:
+        if code - ranges[-1][1] <= gap:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    fine = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-    return f"(?={_BEYOND_LATIN}){fine}"
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+def _char_class(chars: list[str]) -> str:
+    """Characters with a longer result; a bridged one maps to itself."""
+    hangul = f"\\x{{{_HANGUL_FIRST:x}}}-\\x{{{_HANGUL_LAST:x}}}"
+    return f"(?={_BEYOND_LATIN})[{_ranges(chars, gap=16)}{hangul}]"
 
 
 def bind(value: Column | str, body: Callable[[Column], Column]) -> Column:
@@ -148,8 +151,9 @@ def trim_space(text: Column | str, chars: str = SPACES) -> Column:
 @built_once
 def normalize_text(text: Column | str) -> Column:
     """Strip accents, lower-case, collapse white space, trim; NULL gives ``''``."""
-    others = SPACES.replace(" ", "")
-    runs = f"[{others}][{SPACES}]*+| [{SPACES}]++"
+    # Visible ASCII is rejected by one range, before the many of white space.
+    others, spaces = _ranges(SPACES.replace(" ", "")), _ranges(SPACES)
+    runs = f"(?![!-~])(?:[{others}][{spaces}]*+| [{spaces}]++)"
     return F.coalesce(F.trim(F.regexp_replace(fold(text), runs, " ")), F.lit(""))
 
 
