@@ -105,7 +105,7 @@ def _document(url: Column, kind: str, body: Column, attempt: Column | int = 1, s
 
 
 def _joined(group: DataFrame, keys: list[str], order: str, text: str, head: str, tail: str) -> DataFrame:
-    """Bodies of at most a few hundred short parts each, in order."""
+    """Bodies of at most about a thousand short parts each, in order."""
     parts = F.array_sort(F.collect_list(F.struct(order, text)))
     body = F.array_join(F.transform(parts, lambda p: p[text]), "")
     return group.groupBy(*keys).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("body"))
