@@ -11,6 +11,7 @@ and only the model (one row) reaches the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +22,21 @@ from presscan.session import stored
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 ITERATIONS = 25
-#: Every rule is taken to be right more often than wrong, and never to be infallible.
-ACCURACY = (0.55, 0.98)
-PRIOR = (0.05, 0.95)
+#: Bounds of a rule's rates: it passes good documents more often than not, and is never infallible.
+PASSES_GOOD = (0.6, 0.999)
+CATCHES_BAD = (0.02, 0.999)
+#: Bad documents are the minority.
+PRIOR = (0.5, 0.98)
+START = (0.8, 0.995, 0.4)
 
 
 @dataclass(frozen=True)
 class QualityModel:
+    """Share of good documents; per rule how often its vote is right on good and on bad ones."""
+
     prior: float
-    accuracies: tuple[float, ...]
+    on_good: tuple[float, ...]
+    on_bad: tuple[float, ...]
 
 
 def _repeat_words(n_words: str) -> Column:
@@ -103,36 +110,47 @@ def votes() -> Column:
 def fit(voted: DataFrame) -> QualityModel:
     """Expectation-maximisation over vote patterns (at most 3 to the power of rules).
 
-    A vote is right with its rule's accuracy, whatever the class, so the log odds
-    of good are the prior's plus the votes weighted by the log odds of accuracy.
+    A rule has two accuracies: how often it votes good on good documents and bad
+    on bad ones. An abstention says nothing. The good votes of a rule that most bad
+    documents pass therefore weigh little, its bad votes much.
     """
     patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p")).filter("size(p) > 0")
-    low, high = ACCURACY
-    odds = "ln(m.prior / (1 - m.prior)) + aggregate(zip_with(x.votes, m.acc, (v, a) -> v * ln(a / (1 - a))), 0D, (s, y) -> s + y)"
+    odds = (
+        "aggregate(zip_with(x.votes, m.rates, (v, r) -> CASE v WHEN 1 THEN ln(r.s / (1 - r.t)) "
+        "WHEN -1 THEN ln((1 - r.s) / r.t) ELSE 0D END), ln(m.prior / (1 - m.prior)), (a, y) -> a + y)"
+    )
     expected = f"transform(p, x -> struct(x.votes AS votes, x.n AS n, 1 / (1 + exp(-({odds}))) AS q))"
-    right = "aggregate(e, 0D, (s, x) -> s + x.n * CASE x.votes[j] WHEN 1 THEN x.q WHEN -1 THEN 1 - x.q ELSE 0 END)"
-    cast = "aggregate(e, 0D, (s, x) -> s + x.n * abs(x.votes[j]))"
+
+    def total(value: str) -> str:
+        return f"aggregate(e, 0D, (a, x) -> a + x.n * {value})"
+
+    def rate(share: str, vote: int, bounds: tuple[float, float]) -> str:
+        part = f"try_divide({total(f'{share} * int(x.votes[j] = {vote})')}, {total(f'{share} * abs(x.votes[j])')})"
+        return f"greatest({bounds[0]}D, least({bounds[1]}D, coalesce({part}, 0.9D)))"
+
     rules = "sequence(0, size(p[0].votes) - 1)"
-    step = (
-        f"transform(array({expected}), e -> struct("
-        f"greatest({PRIOR[0]}D, least({PRIOR[1]}D, aggregate(e, 0D, (s, x) -> s + x.n * x.q) / aggregate(e, 0D, (s, x) -> s + x.n))) AS prior, "
-        f"transform({rules}, j -> greatest({low}D, least({high}D, coalesce(try_divide({right}, {cast}), 0.7D)))) AS acc))[0]"
+    rates = (
+        f"transform({rules}, j -> transform(array(struct({rate('x.q', 1, PASSES_GOOD)} AS s, {rate('(1 - x.q)', -1, CATCHES_BAD)} AS t)), "
+        "r -> struct(r.s AS s, greatest(r.t, 1.001D - r.s) AS t))[0])"
     )
-    start = f"struct(0.8D AS prior, transform({rules}, j -> 0.8D) AS acc)"
+    prior = f"greatest({PRIOR[0]}D, least({PRIOR[1]}D, {total('x.q')} / {total('1')}))"
+    step = f"transform(array({expected}), e -> struct({prior} AS prior, {rates} AS rates))[0]"
+    start = f"struct({START[0]}D AS prior, transform({rules}, j -> struct({START[1]}D AS s, {START[2]}D AS t)) AS rates)"
     model = one.select(F.expr(f"aggregate(sequence(1, {ITERATIONS}), {start}, (m, _) -> {step})").alias("m")).first()
     if model is None:
-        return QualityModel(0.8, (0.8,) * 7)
-    return QualityModel(model["m"]["prior"], tuple(model["m"]["acc"]))
+        return QualityModel(START[0], (START[1],) * 7, (START[2],) * 7)
+    return QualityModel(
+        model["m"]["prior"], tuple(r["s"] for r in model["m"]["rates"]), tuple(r["t"] for r in model["m"]["rates"])
+    )
 
 
 def posterior(model: QualityModel) -> Column:
     """Probability of good, from the column ``votes``."""
-    import math
-
-    logit = F.lit(math.log(model.prior / (1 - model.prior)))
-    for j, a in enumerate(model.accuracies):
-        logit = logit + F.col("votes")[j] * F.lit(math.log(a / (1 - a)))
+    logit = F.lit(log(model.prior / (1 - model.prior)))
+    for j, (s, t) in enumerate(zip(model.on_good, model.on_bad, strict=True)):
+        vote = F.col("votes")[j]
+        logit = logit + F.when(vote == 1, log(s / (1 - t))).when(vote == -1, log((1 - s) / t)).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 
