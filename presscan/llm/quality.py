@@ -1,6 +1,6 @@
 """Quality by weak supervision.
 
-Seven rules look at a document and vote good (1), bad (-1) or abstain (0).
+Eight rules look at a document and vote good (1), bad (-1) or abstain (0).
 Expectation-maximisation over the counts of vote patterns estimates how often
 each rule is right and how common good documents are, without labels. A document
 stays if no base rule fails and its posterior probability of being good is at
@@ -75,6 +75,7 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+        F.size(F.filter("w", lambda x: F.translate(x, SYMBOLS, "") != x)).cast("long").alias("n_marked"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("wh"),
         "word_chars",
         "n_symbols",
@@ -103,7 +104,8 @@ def votes() -> Column:
         vote(10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0),
         vote(100 * c("n_repeat_words") > 30 * n, 100 * c("n_repeat_words") <= 10 * n),
         vote(2 * c("upper") > c("letters"), 5 * c("upper") <= c("letters")),
-        vote(2 * c("letters") < c("word_chars"), 4 * c("letters") >= 3 * c("word_chars")),
+        vote(4 * c("letters") < 3 * c("word_chars"), 10 * c("letters") >= 9 * c("word_chars")),
+        vote(5 * c("n_marked") > n, 50 * c("n_marked") <= n),
     )
 
 
@@ -139,7 +141,7 @@ def fit(voted: DataFrame) -> QualityModel:
     start = f"struct({START[0]}D AS prior, transform({rules}, j -> struct({START[1]}D AS s, {START[2]}D AS t)) AS rates)"
     model = one.select(F.expr(f"aggregate(sequence(1, {ITERATIONS}), {start}, (m, _) -> {step})").alias("m")).first()
     if model is None:
-        return QualityModel(START[0], (START[1],) * 7, (START[2],) * 7)
+        return QualityModel(START[0], (START[1],) * 8, (START[2],) * 8)
     return QualityModel(
         model["m"]["prior"], tuple(r["s"] for r in model["m"]["rates"]), tuple(r["t"] for r in model["m"]["rates"])
     )
