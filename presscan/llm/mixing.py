@@ -2,9 +2,9 @@
 
 Every document of a source has the same fractional number of copies: its
 source's target over its source's words. The whole part is taken as it is. The
-rest is rounded in pairs: one document's words are moved to another, in either
+rest is rounded in pairs: words are moved from one side to the other, in either
 direction at random so that expectations hold, until one of the two is taken or
-left whole. The words of a source are thus kept to within one document.
+left whole. The words of a source are thus kept to within one small document.
 
 Rounding is a reduction tree. The leaves are blocks of a source by a hash of the
 id, each of bounded size and rounded large documents first; at most one document
@@ -67,6 +67,26 @@ def _round_pairs(ids: list[int], sizes: list[int], parts: list[float], seed: int
     return [m / s if s else 0.0 for m, s in zip(mass, sizes, strict=True)]
 
 
+def _round_block(ids: list[int], sizes: list[int], part: float, seed: int) -> list[float]:
+    """Shares of a block's documents, large ones first, that all start with ``part``.
+
+    Each document is paired with the pool of all smaller ones: words move between
+    the two until the document is taken or left whole, and the pool's members share
+    what it gained or lost alike. When the pool is too small for that, its documents
+    are paired with each other. What stays fractional is thus a small document.
+    """
+    shares, pool = [], sum(sizes)
+    for i, size in enumerate(sizes):
+        pool -= size
+        up, down = size * (1 - part), size * part
+        if not 0 < part < 1 or pool * part < up or pool * (1 - part) < down:
+            return shares + _round_pairs(ids[i:], sizes[i:], [part] * (len(ids) - i), seed)
+        taken = _uniform(seed, ids[i], i) * (up + down) < down
+        shares.append(float(taken))
+        part = min(max(part - up / pool if taken else part + down / pool, 0.0), 1.0)
+    return shares
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> DataFrame:
     """``sources`` (source, source_size; one row a source) with source_rank and target.
 
@@ -121,8 +141,17 @@ def mix(
         .select("doc_id", "size", "source_rank", "block", "whole", "part")
     )
 
-    def settle(frame):
-        frame = frame.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    def ordered(frame):
+        return frame.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+
+    def leaf(frame):
+        frame = ordered(frame)
+        part = float(frame["part"].iloc[0])
+        frame["part"] = _round_block(frame["doc_id"].tolist(), frame["size"].tolist(), part, seed)
+        return frame
+
+    def inner(frame):
+        frame = ordered(frame)
         frame["part"] = _round_pairs(frame["doc_id"].tolist(), frame["size"].tolist(), frame["part"].tolist(), seed)
         return frame
 
@@ -131,7 +160,7 @@ def mix(
             frame["part"] = [float(_uniform(seed, i) < p) for i, p in zip(frame["doc_id"], frame["part"], strict=True)]
             yield frame
 
-    settled = []
+    settled, settle = [], leaf
     most_blocks = source.agg(F.max(blocks)).first()[0] or 1
     while True:
         level = stored(drawn.groupBy("source_rank", "block").applyInPandas(settle, _OPEN))
@@ -140,7 +169,7 @@ def mix(
         drawn = level.filter(fractional)
         if most_blocks == 1:
             break
-        most_blocks = -(-most_blocks // fan_in)
+        most_blocks, settle = -(-most_blocks // fan_in), inner
         drawn = drawn.withColumn("block", F.floor(F.col("block") / fan_in).cast("long"))
     result = drawn.mapInPandas(toss, _OPEN)
     for rows in settled:
