@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presscan.llm import mixing, quality, sharding, topk
+from presscan.llm import language_id, mixing, quality, sharding, topk
+from presscan.llm.columns import id_bucket
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 4) == 2
+    model = language_id.fit(docs.filter(~held_out), language_id.default_vocabulary(spark))
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -32,6 +40,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
     "op5_exact_top_k": op5_exact_top_k,
     "op8_quality_rules": op8_quality_rules,
