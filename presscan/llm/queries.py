@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presscan.llm import language_id, mixing, quality, sharding, topk
+from presscan.llm import language_id, mixing, quality, sharding, topk, toxicity
 from presscan.llm.columns import id_bucket
 
 
@@ -39,12 +39,23 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 5) == 0
+    labels = _table(spark, sf_dir, "labels").filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scored = toxicity.score(docs, docs.filter(~held_out).join(labels, "doc_id"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "raw"
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
     "op5_exact_top_k": op5_exact_top_k,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
