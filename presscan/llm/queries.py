@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presscan.llm import language_id, mixing, quality, sharding, topk, toxicity
+from presscan.llm import bpe, language_id, mixing, quality, sharding, topk, toxicity
 from presscan.llm.columns import id_bucket
 
 
@@ -25,6 +25,19 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(_table(spark, sf_dir, "embeddings"))
     found = topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
@@ -52,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_top_k": op5_exact_top_k,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
