@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presscan.llm import bpe, language_id, mixing, quality, sharding, topk, toxicity
+from presscan.llm import bpe, jaccard, language_id, mixing, quality, sharding, topk, toxicity
 from presscan.llm.columns import id_bucket
 
 
@@ -44,6 +44,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
