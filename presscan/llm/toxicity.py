@@ -35,7 +35,7 @@ ORDER = 5
 DISCOUNT = 0.75
 #: Occurrences of a history in a class that weigh as much as what both classes have seen there.
 STRENGTH = 50.0
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: One text in this many calibrates; the others are counted.
 CALIBRATE = 4
 #: Steps per unit of raw value when calibration looks at them, and their bounds.
@@ -49,7 +49,7 @@ _GRAMS = "slot int, length int, top boolean, history int, suffix int, ordinary l
 def _slot(key: np.ndarray, length: int) -> np.ndarray:
     mixed = (key + np.uint64(length)) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(42)).astype(np.int64) % SLOTS
+    return (mixed >> np.uint64(40)).astype(np.int64) % SLOTS
 
 
 @dataclass
