@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presscan.llm import bpe, jaccard, language_id, mixing, quality, repeats, sharding, topk, toxicity
+from presscan.llm import bpe, jaccard, language_id, licenses, mixing, quality, repeats, sharding, topk, toxicity
 from presscan.llm.columns import id_bucket
 
 
@@ -59,6 +59,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -84,12 +88,14 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_license_scans": op7_license_scans,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
+    "op7_license_scans": licenses.scan_sql(),
     "op5_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
