@@ -1,10 +1,82 @@
-"""A corpus from raw documents to tokens, in stages that each write a table."""
+"""A training corpus from raw documents to tokens.
+
+Five stages, each an operator of ``presscan.llm``: documents in no known language
+go, one document of every group of near copies stays, repeated passages are cut out,
+sources are mixed to target weights (documents come as often as they are taken), and
+what is left is encoded. Every stage is written as a table and read again as the
+next one's documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from presscan.llm import bpe, jaccard, language_id, mixing, repeats
+from presscan.session import stored
+
+#: Posterior below which a document counts as being in no language that was learned.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without letters go."""
+    model = language_id.fit(docs, language_id.default_vocabulary(spark))
+    labelled = language_id.annotate(docs, model)
+    rejected = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)
+    return labelled.filter(~rejected).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group that shingle links connect."""
+    groups = jaccard.join_groups(docs)
+    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stays, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand in an earlier place; n_chars follows the text."""
+    cut = repeats.deduplicated(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    taken = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first("copies").alias("_copies"))
+    rows = docs.join(taken, F.col("doc_id").cast("long") == F.col("_id"))
+    times = F.array_repeat(F.lit(1), F.col("_copies").cast("int"))
+    return rows.withColumn("_time", F.explode(times)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and copy, with digests of the ids and of what they decode to."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "ids",
+    )
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_jaccard", one_of_each_group),
+    ("suffix_dedup", cut_repeats),
+    ("source_mixing", mix_sources),
+    ("byte_bpe", encode),
+]
+#: SQL has no forward algorithm, components or dependent rounding; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs

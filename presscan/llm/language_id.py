@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from presscan.llm.wordbatch import Words, letter_words, slices
 
@@ -247,34 +248,41 @@ def _scores(model: LanguageModel, words: Words) -> np.ndarray:
     )
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred and score (its posterior with all languages alike beforehand).
+def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` with lang_pred and score (its posterior with all languages alike beforehand).
 
     A text that is null or has no letters is ``und`` with score 0, and so is every
     text if nothing could be learned. Equal likelihoods go to the first language in
-    code-point order. Repeated rows are rows of their own.
+    code-point order. Columns of these two names are replaced; rows stay as they are,
+    repeated ones too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop("lang_pred", "score")
+    names = rows.columns
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array([*model.languages, UNKNOWN], object)
+        languages = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             for part in slices(batch):
                 words = letter_words(part.column("text"))
-                best = np.full(len(part), len(names) - 1)
+                best = np.full(len(part), len(languages) - 1)
                 score = np.zeros(len(part))
                 if words.distinct and model.languages:
                     logs = _scores(model, words)
                     some = np.bincount(words.row, minlength=len(part)) > 0
                     best[some] = logs[some].argmax(1)
                     score[some] = 1 / np.exp(logs[some] - logs[some].max(1, keepdims=True)).sum(1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
-                )
+                columns = [*part.columns, pa.array(languages[best], pa.string()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(label, schema)
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ids.mapInArrow(label, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, lang_pred and score of every document; see :func:`annotate`."""
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
 
 
 def default_vocabulary(spark: SparkSession) -> str:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presscan.llm.columns import partitions
+from presscan.llm.columns import WHITE, partitions
 from presscan.llm.shingles import mix
 from presscan.llm.wordbatch import slices
 from presscan.session import stored
@@ -403,3 +403,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     joined = _packed(ids).join(marks, "doc_id", "left").select("doc_id", "packed", "marks")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with their repeats cut out of ``text``, in their own columns; other columns keep their values.
+
+    What a cut leaves of a split character goes as well. Documents that are left
+    without a word go, unless they had none before.
+    """
+    cut = without_repeats(docs).select(F.col("doc_id").alias("_id"), "kept", (F.size("spans") > 0).alias("_cut")).distinct()
+    kept = F.try_validate_utf8(F.col("kept").cast("string"))
+    clean = F.coalesce(kept, F.make_valid_utf8(F.col("kept").cast("string")))
+    text = F.when(F.col("_cut"), F.replace(clean, F.lit("\ufffd"), F.lit(""))).otherwise(clean)
+    has_word = F.trim(F.translate(text, WHITE, " " * len(WHITE))) != ""
+    rows = docs.withColumn("_null", F.col("text").isNull()).drop("text").join(cut, F.col("doc_id").cast("long") == F.col("_id"))
+    rows = rows.filter(~F.col("_cut") | has_word).withColumn("text", F.when(~F.col("_null"), text))
+    return rows.select(*docs.columns)
