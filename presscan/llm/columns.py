@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -29,3 +29,15 @@ def id_bucket(doc_id: Column, buckets: int) -> Column:
 def partitions(spark: SparkSession) -> int:
     """The number of partitions a shuffle of this session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a few numbers that an executor holds easily (tens of MB).
+FEW = 500_000
+
+
+def broadcast_if_few(stored_rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for a broadcast if it is counted to be small.
+
+    Beyond :data:`FEW` rows the join is Spark's choice, by shuffling both sides.
+    """
+    return F.broadcast(stored_rows) if stored_rows.count() <= FEW else stored_rows

@@ -11,7 +11,8 @@ Allocation by cost. A band uses exact segments, or fewer and larger segments wit
 their one-deletion neighbourhoods, whichever costs less for its sizes. With exact
 segments there are more of them than differences, and every set spends what is to
 spare on not indexing its costliest segments: those it has no shingle in, which
-say nothing, and then its smallest. A set that has nothing to spare indexes all.
+say nothing, and then those with the fewest shingles that are not common to very
+many texts. A set that has nothing to spare indexes all.
 
 Copies of a group are never paired with each other. Inside a slice of a task, and
 then for all slices, sets with the same key are linked to their smallest id only;
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presscan.llm.columns import partitions
+from presscan.llm.columns import broadcast_if_few, partitions
 from presscan.llm.components import component_ids
 from presscan.llm.shingles import Sets, mix, shingle_sets
 from presscan.llm.wordbatch import slices
@@ -40,7 +41,10 @@ from presscan.session import stored
 #: A band's largest size is about this much above its smallest; a set then meets two bands at most.
 BAND = 16 / 9
 #: Exact segments per possible difference, and what an expected chance agreement costs in keys.
-SPARE, CHANCE = 1.2, 8.0
+SPARE, CHANCE = 1.4, 4.0
+#: Counters of shingles, and how many deviations above the mean make one common.
+SLOTS, COMMON = 1 << 18, 8.0
+_BLOCK = 1 << 12
 #: Words of the sketch that shows cheaply that two sets differ too much.
 SKETCH = 16
 #: Members that are compared with one copy of their partner.
@@ -69,7 +73,7 @@ def _keys(total: np.ndarray, count: np.ndarray, band: np.ndarray, segment: np.nd
     return mix(total + count.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) ^ place
 
 
-def _band_keys(sets: Sets, chosen: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _band_keys(sets: Sets, chosen: np.ndarray, band: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the ``chosen`` sets in their given bands, and the set of each key."""
     _, all_segments, all_exact, all_high = _bands()
     inside = np.repeat(np.isin(np.arange(len(sets.sizes)), chosen), sets.sizes)
@@ -84,13 +88,15 @@ def _band_keys(sets: Sets, chosen: np.ndarray, band: np.ndarray) -> tuple[np.nda
     total = half[0].astype(np.uint64) + (half[1].astype(np.uint64) << _U(32))
     cell_owner = np.repeat(np.arange(len(chosen)), segments)
     cell_segment = np.arange(cells) - base[cell_owner]
-    # What an exact set may leave out: its empty segments and so many of the smallest others.
+    # What an exact set may leave out: its empty segments and so many of those with the fewest rare shingles.
     empty = np.bincount(cell_owner, weights=count == 0, minlength=len(chosen))
     largest = np.maximum(sizes, np.minimum(4 * sizes // 3, 4 * all_high[band] // 3))
-    spare = np.floor((segments - 1 - empty) / 2 - largest / 7)
+    half_left = (segments - 1 - empty) / 2
     exact = all_exact[band]
-    left_out = np.where(exact & (spare >= 0) & (segments > 1), empty + spare, 0)
-    order = np.argsort(cell_owner * (int(count.max(initial=0)) + 1) + count, kind="stable")
+    left_out = np.where(exact & (half_left >= largest / 7) & (segments > 1), empty + np.floor(half_left - sizes / 7), 0)
+    rare = np.bincount(cell, weights=~common[_slot(h)], minlength=cells).astype(np.int64)
+    most = int(count.max(initial=0)) + 1
+    order = np.argsort((cell_owner * most + rare) * most + count, kind="stable")
     rank = np.empty(cells, np.int64)
     rank[order] = np.arange(cells) - base[cell_owner[order]]
     kept = rank >= left_out[cell_owner]
@@ -104,13 +110,21 @@ def _band_keys(sets: Sets, chosen: np.ndarray, band: np.ndarray) -> tuple[np.nda
     return np.concatenate(keys), chosen[np.concatenate(owners)]
 
 
-def index_keys(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-    """All keys under which the sets are indexed, and the set of each; empty sets have none."""
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes ^ _U(0xD6E8FEB86659FD93)) % _U(SLOTS)).astype(np.int64)
+
+
+def index_keys(sets: Sets, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys under which the sets are indexed, and the set of each; empty sets have none.
+
+    ``common`` marks slots of shingles that very many texts have. It decides which
+    segments are left out, never whether linked sets share a key.
+    """
     low, _, _, high = _bands()
     some = np.flatnonzero(sets.sizes > 0)
     band = np.searchsorted(low, sets.sizes[some], side="right") - 1
     below = (band > 0) & (-(-3 * sets.sizes[some] // 4) <= high[np.maximum(band - 1, 0)])
-    found = [_band_keys(sets, some, band), _band_keys(sets, some[below], band[below] - 1)]
+    found = [_band_keys(sets, some, band, common), _band_keys(sets, some[below], band[below] - 1, common)]
     return np.concatenate([k for k, _ in found]), np.concatenate([o for _, o in found])
 
 
@@ -124,20 +138,47 @@ def _sketches(sets: Sets) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and sketch of every document."""
+    """doc_id, n_shingles and sketch of every document; and rows without n_shingles, whose
+    ``counts`` a task adds to the counters of ``block``."""
+    names = ["doc_id", "n_shingles", "sketch", "block", "counts"]
+    blocks, width = SLOTS // _BLOCK, _BLOCK
+
+    def lists(values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
-                sketch = _sketches(sets)
-                offsets = pa.array(np.arange(0, sketch.size + 1, SKETCH, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sets.sizes), pa.ListArray.from_arrays(offsets, pa.array(sketch.ravel()))],
-                    ["doc_id", "n_shingles", "sketch"],
-                )
+                seen += np.bincount(_slot(sets.hashes), minlength=SLOTS)
+                none = pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.sizes), lists(_sketches(sets)), *none], names)
+        if seen.any():
+            none = (pa.nulls(blocks, kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(blocks, dtype=np.int32)), lists(seen.reshape(blocks, width))], names)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sketch array<long>, block int, counts array<long>")
+
+
+def common_slots(described: DataFrame) -> np.ndarray:
+    """Which counters stand out: blocks are summed by Spark, and a fixed number of counters comes to the driver."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                values = counts.values.to_numpy()
+                sums[block] = sums[block] + values if block in sums else values.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["block", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sketch array<long>")
+    rows = described.filter("n_shingles IS NULL").select("block", "counts")
+    seen = np.zeros((SLOTS // _BLOCK, _BLOCK), np.int64)
+    for row in rows.repartition(partitions(described.sparkSession), "block").mapInArrow(total, rows.schema).collect():
+        seen[row["block"]] = row["counts"]
+    mean = max(float(seen.mean()), 1.0)
+    return seen.ravel() > mean + COMMON * mean**0.5
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +199,14 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[starts], ids[starts], keys[other], head[other], ids[other]
 
 
-def memberships(docs: DataFrame) -> DataFrame:
+def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """key, head and doc: documents that share a key with a smaller id, its ``head``."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                keys, owner = index_keys(shingle_sets(part.column("text")))
+                keys, owner = index_keys(shingle_sets(part.column("text")), shared.value)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner]
                 key, first, met, head, doc = _stars(keys.view(np.int64), ids)
                 # Groups found here travel apart from their key, whatever their size.
@@ -228,7 +270,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     placed = pairs.join(counted, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     members = placed.select(F.col("b").alias("doc_id"), "a", "part", F.lit(True).alias("member"))
     heads = placed.select(F.col("a").alias("doc_id"), "a", "part", F.lit(False).alias("member")).distinct()
-    texts = members.unionByName(heads).join(docs, "doc_id")
+    roles = stored(members.unionByName(heads))
+    texts = docs.join(broadcast_if_few(roles), "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, mine = None, np.empty(0, np.uint64)
@@ -264,8 +307,9 @@ def join_groups(docs: DataFrame) -> DataFrame:
     of their own in the result. A table without rows gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = stored(describe(docs))
-    met = stored(memberships(docs))
+    both = stored(describe(docs))
+    described = both.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sketch")
+    met = stored(memberships(docs, common_slots(both)))
     pairs = stored(met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
     possible = stored(_possible(pairs, described))
     links = stored(verified(possible, docs))
