@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presscan.llm import bpe, jaccard, language_id, mixing, repeats
+from presscan.llm.columns import broadcast_if_few
 from presscan.session import stored
 
 #: Posterior below which a document counts as being in no language that was learned.
@@ -30,8 +31,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group that shingle links connect."""
     groups = jaccard.join_groups(docs)
-    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    goes = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    return docs.join(broadcast_if_few(goes), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
