@@ -31,8 +31,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group that shingle links connect."""
     groups = jaccard.join_groups(docs)
-    goes = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(broadcast_if_few(goes), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    goes = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(broadcast_if_few(goes), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    taken = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first("copies").alias("_copies"))
-    rows = docs.join(taken, F.col("doc_id").cast("long") == F.col("_id"))
-    times = F.array_repeat(F.lit(1), F.col("_copies").cast("int"))
-    return rows.withColumn("_time", F.explode(times)).select(*docs.columns)
+    taken = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.first("copies").alias("__copies"))
+    rows = docs.join(taken, F.col("doc_id").cast("long") == F.col("__id"))
+    times = F.array_repeat(F.lit(1), F.col("__copies").cast("int"))
+    return rows.withColumn("__time", F.explode(times)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

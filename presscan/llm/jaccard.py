@@ -304,10 +304,12 @@ def join_groups(docs: DataFrame) -> DataFrame:
 
     Empty sets (null texts, texts without words) link with nothing. doc_id is taken to
     be the documents' key: rows that repeat one are one document to the join and rows
-    of their own in the result. A table without rows gives none.
+    of their own in the result; a row without an id has no component. A table without
+    rows gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = stored(describe(docs))
+    docs = docs.filter(F.col("doc_id").isNotNull())
     described = both.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sketch")
     met = stored(memberships(docs, common_slots(both)))
     pairs = stored(met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())

@@ -28,6 +28,8 @@ SHARE = 1.5
 MOST_COPIES = 2
 BLOCK = 1024
 FAN_IN = 64
+#: Stands for a null id while documents are drawn.
+_NO_ID = -(1 << 63)
 
 _OPEN = "doc_id long, size long, source_rank int, block long, whole long, part double"
 
@@ -116,12 +118,12 @@ def mix(
     """One row per document: doc_id, size, source, source_size, target, copies and taken words.
 
     A null text has no words, and a document without words gets no copies. A null
-    source is a source of its own. Repeated rows are rows of their own. A table
+    source is a source of its own, a null id an id. Repeated rows are rows of their own. A table
     without rows gives none.
     """
     rows = stored(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
             "source",
             F.size(words(F.col("text"))).cast("long").alias("size"),
         )
@@ -178,5 +180,6 @@ def mix(
     return (
         result.join(sources.select("source", "source_size", "source_rank", "target"), "source_rank")
         .withColumn("copies", copies)
+        .withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
         .select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = id_bucket(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(id_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
     model = language_id.fit(docs.filter(~held_out), language_id.default_vocabulary(spark))
     return language_id.predict(docs, model).withColumn("held_out", held_out)
 
@@ -72,8 +72,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    held_out = id_bucket(F.col("doc_id"), 5) == 0
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = _table(spark, sf_dir, "labels").filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     scored = toxicity.score(docs, docs.filter(~held_out).join(labels, "doc_id"))
     return scored.select(

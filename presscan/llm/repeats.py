@@ -372,6 +372,7 @@ def _expanded(places: DataFrame, packed: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start and stop (bytes) of stretches that repeat; they may overlap or touch."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.filter(F.col("doc_id").isNotNull())
     dealt = stored(_dealt(docs))
     whole = dealt.filter("mode = 0").select("doc_id", "start", "stop")
     return whole.unionByName(_expanded(dealt.filter("mode > 0"), _packed(docs)))
@@ -382,7 +383,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A null text is empty; texts shorter than LENGTH never change. doc_id is the
     documents' key: rows that repeat an id with the same text are the same strings and
-    do not repeat each other. A table without rows gives none.
+    do not repeat each other. Rows without an id stay as they are and repeat nothing.
+    A table without rows gives none.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = stored(repeated_spans(ids)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
@@ -422,11 +424,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     What a cut leaves of a split character goes as well. Documents that are left
     without a word go, unless they had none before.
     """
-    cut = without_repeats(docs).select(F.col("doc_id").alias("_id"), "kept", (F.size("spans") > 0).alias("_cut")).distinct()
-    kept = F.try_validate_utf8(F.col("kept").cast("string"))
-    clean = F.coalesce(kept, F.make_valid_utf8(F.col("kept").cast("string")))
-    text = F.when(F.col("_cut"), F.replace(clean, F.lit("\ufffd"), F.lit(""))).otherwise(clean)
-    has_word = F.trim(F.translate(text, WHITE, " " * len(WHITE))) != ""
-    rows = docs.withColumn("_null", F.col("text").isNull()).drop("text").join(cut, F.col("doc_id").cast("long") == F.col("_id"))
-    rows = rows.filter(~F.col("_cut") | has_word).withColumn("text", F.when(~F.col("_null"), text))
-    return rows.select(*docs.columns)
+    names = {"doc_id": "__id", "kept": "__kept"}
+    cut = without_repeats(docs).withColumnsRenamed(names).withColumn("__cut", F.size("spans") > 0).drop("spans", "n_bytes").distinct()
+    kept = F.col("__kept").cast("string")
+    # Halves of characters become replacement marks, which are then left out.
+    clean = F.coalesce(F.try_validate_utf8(kept), F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
+    has_word = F.trim(F.translate(clean, WHITE, " " * len(WHITE))) != ""
+    rows = docs.withColumn("__null", F.col("text").isNull()).drop("text").join(cut, F.col("doc_id").cast("long") == F.col("__id"))
+    rows = rows.filter(~F.col("__cut") | has_word).withColumn("text", F.when(~F.col("__null"), clean))
+    return rows.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
