@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presscan.llm import bpe, jaccard, language_id, licenses, mixing, quality, repeats, sharding, topk, toxicity
-from presscan.llm.columns import id_bucket
+from presscan.llm.columns import broadcast_if_few, id_bucket
+from presscan.session import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = _table(spark, sf_dir, "labels").filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    scored = toxicity.score(docs, docs.filter(~held_out).join(labels, "doc_id"))
+    labelled = docs.filter(~held_out).join(broadcast_if_few(stored(labels)), "doc_id")
+    scored = toxicity.score(docs, labelled)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "raw"
     )
