@@ -18,8 +18,19 @@ ARTICLE_TYPES = (
     "report",
 )
 
-#: How many lists or ``@graph`` lists may be nested in one another.
-EXPANSIONS = 4
+
+def _depth(json: Column) -> Column:
+    """More than the lists that can be nested in ``json``: its opening brackets."""
+    return F.coalesce(F.length(json) - F.length(F.replace(json, F.lit("["), F.lit(""))), F.lit(0)) + 1
+
+
+def _until_closed(nodes: Column, depth: Column, step) -> Column:
+    """``step`` applied until no node is open, ``depth`` times at most."""
+    return F.aggregate(
+        F.sequence(F.lit(1), depth),
+        nodes,
+        lambda open_nodes, _: F.when(F.exists(open_nodes, lambda n: n["open"]), step(open_nodes)).otherwise(open_nodes),
+    )
 
 
 def _elements(value: Column, path: str = "$") -> Column:
@@ -71,9 +82,8 @@ def _flat(blocks: Column) -> Column:
         ),
     )
     nodes = F.filter(roots, lambda n: n["v"].isNotNull())
-    for _ in range(EXPANSIONS):
-        nodes = _expand_once(nodes)
-    return nodes
+    depth = F.coalesce(F.array_max(F.transform(blocks, _depth)), F.lit(1))
+    return _until_closed(nodes, depth, _expand_once)
 
 
 @built_once
@@ -139,39 +149,73 @@ def jsonld_string(node: Column | str, name: str) -> Column:
     return _string(jsonld_field(node, name))
 
 
-def _resolved(value: Column, from_object, from_list, nesting: int) -> Column:
-    """Dispatch on string, object and list; lists may nest ``nesting`` deep."""
-
-    def dispatch(v: Column) -> Column:
-        result = F.when(_is_object(v), from_object(v))
-        if nesting:
-            inner = F.filter(
-                F.transform(_elements(v), lambda e: _resolved(e, from_object, from_list, nesting - 1)),
-                lambda r: r.isNotNull(),
+def _leaves(value: Column) -> Column:
+    """What is no list inside a value's nested lists, with its ``path``."""
+
+    def step(nodes: Column) -> Column:
+        def opened(node: Column) -> Column:
+            listed = F.when(node["open"], _elements(node["v"]))
+            return F.when(
+                listed.isNull(),
+                F.array(F.struct(node["path"].alias("path"), node["v"].alias("v"), F.lit(False).alias("open"))),
+            ).otherwise(
+                F.transform(
+                    listed,
+                    lambda v, i: F.struct(F.concat(node["path"], F.array(i)).alias("path"), v.alias("v"), F.lit(True).alias("open")),
+                )
             )
-            result = result.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), from_list(inner))
-        return F.coalesce(_string(v), result)
 
-    return bind(value, dispatch)
+        return F.flatten(F.transform(nodes, opened))
+
+    root = F.struct(F.array().cast("array<int>").alias("path"), value.alias("v"), F.lit(True).alias("open"))
+    return _until_closed(F.array(root), _depth(F.to_json(value)), step)
+
+
+def _texts(value: Column, from_object) -> Column:
+    """``array<struct<path, text>>`` of the leaves that have a text, in order."""
+
+    def text(v: Column) -> Column:
+        return F.coalesce(_string(v), F.when(_is_object(v), from_object(v)))
+
+    texts = F.transform(_leaves(value), lambda n: F.struct(n["path"].alias("path"), bind(n["v"], text).alias("text")))
+    return F.array_sort(F.filter(texts, lambda n: n["text"].isNotNull()))
+
+
+def _joined(level: Column, entries: Column) -> Column:
+    """Entries with those of each list at ``level`` joined to one, each text once."""
+
+    def add(groups: Column, entry: Column) -> Column:
+        inside = F.size(entry["path"]) >= level
+        path = F.when(inside, F.slice(entry["path"], F.lit(1), level - 1)).otherwise(entry["path"])
+        last = F.element_at(groups, F.lit(-1))
+        one = F.struct(path.alias("path"), F.array(entry["text"]).alias("texts"))
+        more = F.struct(path.alias("path"), F.concat(last["texts"], F.array(entry["text"])).alias("texts"))
+        same = inside & (F.size(groups) > 0) & (F.try_element_at(groups, F.lit(-1))["path"] == path)
+        return F.when(same, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(more))).otherwise(
+            F.concat(groups, F.array(one))
+        )
+
+    groups = F.aggregate(entries, F.array().cast("array<struct<path:array<int>,texts:array<string>>>"), add)
+    return F.transform(
+        groups, lambda g: F.struct(g["path"].alias("path"), F.array_join(F.array_distinct(g["texts"]), ", ").alias("text"))
+    )
 
 
 @built_once
 def jsonld_name(value: Column | str) -> Column:
-    """Author name: a string, an object's name, or the distinct names of a list."""
-    return _resolved(
-        _col(value),
-        lambda v: jsonld_string(v, "name"),
-        lambda names: F.nullif(F.array_join(F.array_distinct(names), ", "), F.lit("")),
-        nesting=2,
-    )
+    """Author name: a string, an object's name, or the distinct names of a list; lists nest to any depth."""
+
+    def name(entries: Column) -> Column:
+        deepest = F.coalesce(F.array_max(F.transform(entries, lambda e: F.size(e["path"]))), F.lit(0))
+        levels = F.filter(F.sequence(deepest, F.lit(0)), lambda level: level > 0)
+        one = F.aggregate(levels, entries, lambda rest, level: _joined(level, rest))
+        return F.nullif(F.get(one, F.lit(0))["text"], F.lit(""))
+
+    return bind(_texts(_col(value), lambda v: jsonld_string(v, "name")), name)
 
 
 @built_once
 def jsonld_url(value: Column | str) -> Column:
-    """Image URL: a string, an object's URL, or the first of a list."""
-    return _resolved(
-        _col(value),
-        lambda v: F.coalesce(jsonld_string(v, "url"), jsonld_string(v, "contentUrl")),
-        lambda urls: F.get(urls, F.lit(0)),
-        nesting=2,
-    )
+    """Image URL: a string, an object's URL, or the first of a list; lists nest to any depth."""
+    texts = _texts(_col(value), lambda v: F.coalesce(jsonld_string(v, "url"), jsonld_string(v, "contentUrl")))
+    return F.get(texts, F.lit(0))["text"]

@@ -6,6 +6,8 @@ ever written, the table the last.
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
@@ -28,6 +30,9 @@ _CSV = {
 #: Deltas a table collects before an upsert folds them into a new base.
 COMPACT_AFTER = 16
 
+#: Seconds after which a write that was begun and not finished is taken for dead.
+ABANDONED_AFTER = 24 * 3600
+
 #: Marks a row of a delta that takes its key out of the table.
 REMOVED = "_removed"
 
@@ -67,10 +72,13 @@ class UpsertTable:
     """Parquet table with a key where the last write wins.
 
     A write adds one folder ``delta/seq=N`` and never touches older data, so
-    its cost is that of the batch, readers see whole writes only (a folder
-    counts once its ``_SUCCESS`` marker is there), and a write that is repeated
-    under the same number replaces itself. Reading takes the newest base and
-    lets the few deltas after it win; :meth:`compact` writes a new base.
+    its cost is that of the batch and readers see whole writes only (a folder
+    counts once its ``_SUCCESS`` marker is there). The table numbers the writes
+    itself; a number is claimed before it is written, so two writers never share
+    one. A caller that may repeat a write names it, and only the same name again
+    is a repeat. Reading takes the newest base and lets the few deltas after it
+    win; :meth:`compact` writes a new base and deletes what it replaces, but for
+    the base before it, which readers may still hold.
     """
 
     def __init__(
@@ -78,27 +86,28 @@ class UpsertTable:
     ):
         self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
 
-    def _complete(self, kind: str) -> list[int]:
-        found = []
+    def _folders(self, kind: str) -> dict[int, str]:
+        """Complete folders by number."""
+        found = {}
         for name in _list(self.spark, f"{self.path}/{kind}"):
             if name.startswith("seq=") and _exists(self.spark, f"{self.path}/{kind}/{name}/_SUCCESS"):
-                found.append(int(name[4:]))
-        return sorted(found)
+                found[_number(name)] = name
+        return dict(sorted(found.items()))
 
     def _parts(self) -> tuple[int | None, list[int]]:
-        base = max(self._complete("base"), default=None)
-        return base, [s for s in self._complete("delta") if base is None or s > base]
-
-    def _load(self, kind: str, seq: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{kind}/seq={seq}")
+        base = max(self._folders("base"), default=None)
+        return base, [s for s in self._folders("delta") if base is None or s > base]
 
-    def read(self) -> DataFrame:
+    def read(self, until: int | None = None) -> DataFrame:
+        """The rows after all writes, or after those numbered up to ``until``."""
         base, deltas = self._parts()
+        deltas = [seq for seq in deltas if until is None or seq <= until]
+        folders = self._folders("delta")
         layers = None
         for seq in deltas:
-            rows = self._load("delta", seq).withColumn("_seq", F.lit(seq))
+            rows = self.spark.read.parquet(f"{self.path}/delta/{folders[seq]}").withColumn("_seq", F.lit(seq))
             layers = rows if layers is None else layers.unionByName(rows)
-        rows = None if base is None else self._load("base", base)
+        rows = None if base is None else self.spark.read.parquet(f"{self.path}/base/seq={base}")
         if layers is None:
             return self.spark.createDataFrame([], self.schema) if rows is None else rows
         latest = _last_per_key(layers, self.key, "_seq")
@@ -107,20 +116,20 @@ class UpsertTable:
             return current
         return rows.join(latest.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(current)
 
-    def upsert(self, df: DataFrame, order: str | None = None, seq: int | None = None) -> int:
-        """Insert or replace whole rows; returns the batch size.
+    def upsert(self, df: DataFrame, order: str | None = None, write: tuple[str, int] | None = None) -> int:
+        """Insert or replace whole rows; returns the batch size, 0 for a repeat.
 
         ``order`` is the batch position that decides between rows of one key;
         it is not stored. Without it the rows count in the order they have.
         A true ``_removed`` in the batch takes the key out of the table.
-        ``seq`` names the write, for callers that may repeat
-        one (a streaming batch).
+        ``write`` names the write by its origin and number (a stream's query id
+        and batch id): the same pair again changes nothing, whatever was written
+        in between, and any other pair is a write of its own.
         """
-        base, deltas = self._parts()
-        if seq is None:
-            seq = max([-1 if base is None else base, *deltas]) + 1
-        elif base is not None and seq <= base:
-            return df.count()
+        label = _label(*write) if write else ""
+        known = [*self._folders("delta").values(), *_list(self.spark, f"{self.path}/applied")] if write else []
+        if any(name.endswith(label) for name in known):
+            return 0
         if order is None:
             order = "_position"
             df = df.withColumn(order, F.monotonically_increasing_id())
@@ -130,17 +139,56 @@ class UpsertTable:
         try:
             size = df.count()
             if size:
-                _last_per_key(df, self.key, order).write.mode("overwrite").parquet(f"{self.path}/delta/seq={seq}")
+                name = f"seq={self._claim()}{label}"
+                _last_per_key(df, self.key, order).write.parquet(f"{self.path}/delta/{name}")
         finally:
             df.unpersist()
-        if len(deltas) + 1 >= COMPACT_AFTER:
+        if len(self._parts()[1]) >= COMPACT_AFTER:
             self.compact()
         return size
 
+    def _claim(self) -> int:
+        """The next free number, taken by creating a file that nobody else can create."""
+        taken = [_number(name) for kind in ("base", "delta", "claims") for name in _list(self.spark, f"{self.path}/{kind}")]
+        seq = max(taken, default=-1) + 1
+        while not _create(self.spark, f"{self.path}/claims/seq={seq}"):
+            seq += 1
+        return seq
+
+    def _claims(self, younger_than: float) -> list[int]:
+        fs, target = _filesystem(self.spark, f"{self.path}/claims")
+        found = fs.listStatus(target) if fs.exists(target) else []
+        since = 1000 * (time.time() - younger_than)
+        return [_number(s.getPath().getName()) for s in found if s.getModificationTime() > since]
+
     def compact(self) -> None:
-        _, deltas = self._parts()
-        if deltas:
-            self.read().write.mode("overwrite").parquet(f"{self.path}/base/seq={max(deltas)}")
+        bases = self._folders("base")
+        written = self._folders("delta")
+        # A write that is still going on keeps its number and those above it out of the base.
+        open_ = [seq for seq in self._claims(ABANDONED_AFTER) if seq not in written and seq > max(bases, default=-1)]
+        deltas = [seq for seq in self._parts()[1] if seq < min(open_, default=seq + 1)]
+        if not deltas:
+            return
+        folded = {seq: name for seq, name in written.items() if seq <= max(deltas)}
+        self.read(max(deltas)).write.mode("overwrite").parquet(f"{self.path}/base/seq={max(deltas)}")
+        for name in folded.values():
+            if "." in name:  # a repeat is recognised after its delta is gone
+                _create(self.spark, f"{self.path}/applied/{name}")
+            _delete(self.spark, f"{self.path}/delta/{name}")
+        for seq, name in bases.items():
+            if seq != max(bases):
+                _delete(self.spark, f"{self.path}/base/{name}")
+        for name in _list(self.spark, f"{self.path}/claims"):
+            if _number(name) < max(deltas):
+                _delete(self.spark, f"{self.path}/claims/{name}")
+
+
+def _number(name: str) -> int:
+    return int(name.removeprefix("seq=").partition(".")[0])
+
+
+def _label(origin: str, number: int) -> str:
+    return f".{hashlib.sha256(origin.encode()).hexdigest()[:16]}-{number}"
 
 
 def upsert(df: DataFrame, path: str, key: str = "url", order: str | None = None) -> int:
@@ -163,7 +211,10 @@ def save_articles(df: DataFrame, output: str, base_name: str = "articles", forma
     """Write ``df`` in the chosen formats under ``output``."""
     available = {
         "csv": lambda rows: append_new(rows, f"{output}/{base_name}.csv"),
-        "table": lambda rows: upsert(as_rows(rows), f"{output}/{base_name}.table"),
+        # Rows of one URL are told apart by their content, so reruns keep the same one.
+        "table": lambda rows: upsert(
+            as_rows(rows).withColumn("_position", F.struct(*ARTICLE_FIELDS)), f"{output}/{base_name}.table", order="_position"
+        ),
     }
     chosen = list(formats)
     unknown = [f for f in chosen if f not in available]
@@ -194,3 +245,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _list(spark: SparkSession, path: str) -> list[str]:
     fs, target = _filesystem(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def _create(spark: SparkSession, path: str) -> bool:
+    """Whether this call created the empty file."""
+    fs, target = _filesystem(spark, path)
+    return fs.createNewFile(target)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, target = _filesystem(spark, path)
+    fs.delete(target, True)

@@ -80,8 +80,8 @@ def stream_articles(
 
     An entry and its page may arrive in either order and in different batches.
     Both are kept in tables of their own; a batch resolves the URLs it touches
-    against all that is known of them. Every write is an upsert numbered by the
-    batch, so a repeated batch changes nothing.
+    against all that is known of them. Every write is an upsert named by the query
+    and the batch, so a repeated batch changes nothing.
     """
     spark = documents.sparkSession
 
@@ -94,6 +94,8 @@ def stream_articles(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         candidates, pages, articles = tables()
+        # The query id lives in the checkpoint: another checkpoint's batches are other writes.
+        write = (batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint, batch_id)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             found = matched_entries(batch, sites, keyword)
@@ -104,14 +106,14 @@ def stream_articles(
                 ["url"],
                 [F.col("site_ord"), F.col("source_sitemap"), F.col("entry_ord")],
             )
-            candidates.upsert(found.select(*_CANDIDATES.names), seq=batch_id)
+            candidates.upsert(found.select(*_CANDIDATES.names), write=write)
             latest = (
                 article_pages(batch)
                 .where(F.col("body").isNotNull())
                 .groupBy("url")
                 .agg(F.max_by("body", F.struct("fetched_at", "attempt")).alias("body"))
             )
-            pages.upsert(page_metadata(latest, "body").select(*_METADATA.names), seq=batch_id)
+            pages.upsert(page_metadata(latest, "body").select(*_METADATA.names), write=write)
             touched = found.select("url").unionByName(latest.select("url")).distinct()
             known = candidates.read().join(touched, "url", "left_semi")
             metadata = pages.read().join(touched, "url", "left_semi")
@@ -119,7 +121,7 @@ def stream_articles(
             # A page can show that an entry's article does not qualify after all.
             judged = classify(known, metadata)
             dropped = F.col("dropped").isNotNull().alias(REMOVED)
-            articles.upsert(to_articles(judged, stamp, dropped), seq=batch_id)
+            articles.upsert(to_articles(judged, stamp, dropped), write=write)
         finally:
             batch.unpersist()
 

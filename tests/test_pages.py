@@ -133,3 +133,16 @@ def test_nodes_in_order(spark):
     assert row.select(keys).first()[0] == [
         '{"@graph":[{"c":3},[{"d":4}],"x"],"b":2}', '{"d":4}', '{"c":3}', '{"a":1}', '{"@graph":{"f":6}}',
     ]
+
+
+def test_nesting_has_no_bound(spark):
+    def deep(lists: int, graphs: int) -> str:
+        node: object = {"@type": "NewsArticle", "headline": "h", "author": [[[[["A", " "], {"name": "B"}], "A"]]], "image": [[[[{"url": "u"}]]]]}
+        for _ in range(lists):
+            node = [node]
+        for _ in range(graphs):
+            node = {"@graph": [node]}
+        return f'<script type="application/ld+json">{json.dumps(node)}</script>'
+
+    found = metadata(spark, *[deep(*n) for n in ((0, 0), (7, 0), (0, 6), (12, 12))])
+    assert {(m[0], m[2], m[4]) for m in found} == {("h", "A, B, A", "u")}

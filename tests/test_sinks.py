@@ -48,11 +48,22 @@ def test_upsert_replaces_whole_rows(spark, batch, tmp_path):
 def test_repeated_and_many_writes(spark, batch, tmp_path):
     table = ps.UpsertTable(spark, str(tmp_path / "table"))
     for seq in range(COMPACT_AFTER + 2):
-        table.upsert(batch(("u", f"v{seq}"), (f"u{seq}", "x")), seq=seq)
+        table.upsert(batch(("u", f"v{seq}"), (f"u{seq}", "x")), write=("q", seq))
     assert table._parts() == (COMPACT_AFTER - 1, [COMPACT_AFTER, COMPACT_AFTER + 1])
-    table.upsert(batch(("u", "replayed")), seq=3)
+    assert table.upsert(batch(("u", "replayed")), write=("q", 3)) == 0
     assert dict(stored_titles(table.read()))["u"] == f"v{COMPACT_AFTER + 1}"
     assert table.read().count() == COMPACT_AFTER + 3
+    # The same number of another origin is a write of its own, and older folders are gone.
+    assert table.upsert(batch(("other", "new")), write=("another", 3)) == 1
+    assert table.read().count() == COMPACT_AFTER + 4
+    assert len(list((tmp_path / "table" / "delta").iterdir())) == 3
+
+
+def test_saved_articles_do_not_depend_on_partitions(spark, batch, tmp_path):
+    rows = batch(*[("u", f"t{i}") for i in range(20)])
+    for n in (1, 7):
+        ps.save_articles(rows.repartition(n), str(tmp_path), f"n{n}", formats=["table"])
+    assert len({ps.UpsertTable(spark, str(tmp_path / f"n{n}.table")).read().first()["title"] for n in (1, 7)}) == 1
 
 
 def test_removal_marks(spark, batch, tmp_path):

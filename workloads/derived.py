@@ -266,12 +266,13 @@ def article_html(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit("NewsArticle").alias("@type"),
                 F.concat(F.lit("Listed "), F.col("doc_id")).alias("headline"),
                 F.col("text").alias("description"),
-                F.array(person, person).alias("author"),
-                F.array(F.struct(F.lit(" ").alias("url"), image.alias("contentUrl"))).alias("image"),
+                F.array(F.array(F.array(F.array(person), F.array(person)))).alias("author"),
+                F.array(F.array(F.array(F.array(F.struct(F.lit(" ").alias("url"), image.alias("contentUrl")))))).alias("image"),
                 iso.alias("datePublished"),
             )
         )
     )
+    listed = F.concat(F.lit("[" * 6), listed, F.lit("]" * 6))
     graph = F.to_json(
         F.struct(
             F.array(
