@@ -17,19 +17,20 @@ many texts. A set that has nothing to spare indexes all.
 Copies of a group are never paired with each other. Inside a slice of a task, and
 then for all slices, sets with the same key are linked to their smallest id only;
 a key's members that turn out not to link to it, and only those, are compared with
-the key's other members outside their component. Every candidate is verified
-exactly, on 64-bit shingle hashes. Connected components and all joins are Spark
+the key's other members outside their component, where sketches and the triangle
+inequality do not rule a link out. Every candidate is verified exactly, on 64-bit shingle hashes. Connected components and all joins are Spark
 jobs whose intermediate tables are written to the shared folder.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presscan.llm.columns import broadcast_if_few, partitions
@@ -251,17 +252,58 @@ def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.mapInArrow(meet, "key long, head long, doc long")
 
 
-def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """Pairs (a, b) that neither sizes nor sketches rule out."""
+def _differing(a: list[Column], b: list[Column]) -> Column:
+    """Bits in which two sketches differ: no more than the sets differ."""
+    return reduce(operator.add, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)))
+
+
+def _may_link(n_a: Column, n_b: Column, differing: Column) -> Column:
+    """Neither sizes nor sketches rule the link out."""
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * 75) & (differing * 7 <= n_a + n_b)
+
+
+def _measured(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sizes n_a, n_b and the differing bits of their sketches."""
     for side in ("a", "b"):
-        columns = [F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n_shingles", "sketch")]
-        pairs = pairs.join(described.select(*columns), F.col(side) == F.col(f"doc_id_{side}"))
-    differing = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, bits: n + bits
-    )
-    fits = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * 75
-    near = differing * 7 <= F.col("n_shingles_a") + F.col("n_shingles_b")
-    return pairs.filter(fits & near).select("a", "b")
+        columns = [F.col(c).alias(f"{name}_{side}") for c, name in (("doc_id", "id"), ("n_shingles", "n"), ("sketch", "s"))]
+        pairs = pairs.join(described.select(*columns), F.col(side) == F.col(f"id_{side}"))
+    differing = _differing(*([F.col(f"s_{side}")[i] for i in range(SKETCH)] for side in "ab"))
+    return pairs.select("a", "b", "n_a", "n_b", differing.alias("differing"))
+
+
+def _beyond_heads(met: DataFrame, measured: DataFrame, links: DataFrame, components: DataFrame, described: DataFrame) -> DataFrame:
+    """Pairs that share a key, may link and were not compared: no star shows whether they do.
+
+    Members of a key that link to its head are in its component. One that does not
+    is compared with the others like it; with those that link only if it is not too far
+    from the head, since differences obey the triangle inequality. Sketches are looked
+    at inside the join, so it gives out only pairs that may link.
+    """
+    failed = measured.join(links, ["a", "b"], "left_anti")
+    # A set that links to this one has 4/3 of its size at most, and differs from the head by a seventh of both.
+    far = 21 * F.col("differing") > 11 * F.col("n_b") + 3 * F.col("n_a")
+    apart = stored(met.join(failed.select(F.col("a").alias("head"), F.col("b").alias("doc"), far.alias("far")), ["head", "doc"]))
+    half = SKETCH // 2
+    folded = [F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + half]).alias(f"s{i}") for i in range(half)]
+    about = described.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *folded).dropDuplicates(["doc"])
+    label = components.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("of"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.join(about, "doc").join(label, "doc", "left").withColumn("of", F.coalesce("of", "doc"))
+        return rows.withColumnsRenamed({c: f"{name}_{c}" for c in rows.columns if c != "key"})
+
+    def paired(left: DataFrame, right: DataFrame, *conditions: Column) -> DataFrame:
+        differing = _differing(*([F.col(f"{name}_s{i}") for i in range(half)] for name in "xy"))
+        fits = (F.col("x_of") != F.col("y_of")) & _may_link(F.col("x_n"), F.col("y_n"), differing)
+        found = left.join(right.withColumnRenamed("key", "y_key"), reduce(operator.and_, conditions, (F.col("key") == F.col("y_key")) & fits))
+        return found.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"))
+
+    mine = apart.select("key", "doc")
+    each_other = paired(side(mine, "x"), side(mine, "y"), F.col("x_doc") < F.col("y_doc"))
+    near = apart.filter("NOT far").select("key", "doc")
+    linked = met.join(near.select("key").distinct(), "key", "left_semi").join(apart, ["key", "head", "doc"], "left_anti").select("key", "doc")
+    with_linked = paired(side(near, "x"), side(linked, "y"))
+    return each_other.unionByName(with_linked).distinct().join(measured, ["a", "b"], "left_anti")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -312,28 +354,12 @@ def join_groups(docs: DataFrame) -> DataFrame:
     docs = docs.filter(F.col("doc_id").isNotNull())
     described = both.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sketch")
     met = stored(memberships(docs, common_slots(both)))
-    pairs = stored(met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
-    possible = stored(_possible(pairs, described))
+    pairs = met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    measured = stored(_measured(pairs, described))
+    possible = measured.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("differing"))).select("a", "b")
     links = stored(verified(possible, docs))
-    components = component_ids(links)
-    failed = stored(pairs.join(links, ["a", "b"], "left_anti"))
-    # Keys with a member that does not link to the head, and their other members.
-    open_members = met.join(failed, (met["head"] == failed["a"]) & (met["doc"] == failed["b"]), "left_semi")
-    open_keys = open_members.select("key").distinct()
-    members = met.join(open_keys, "key", "left_semi")
-    members = members.select("key", F.col("doc").alias("y")).unionByName(members.select("key", F.col("head").alias("y"))).distinct()
-
-    def labelled(rows: DataFrame, column: str) -> DataFrame:
-        label = components.select(F.col("doc_id").alias(column), F.col("component_id").alias(f"of_{column}"))
-        return rows.join(label, column, "left").withColumn(f"of_{column}", F.coalesce(f"of_{column}", column))
-
-    left = labelled(open_members.select("key", F.col("doc").alias("x")), "x")
-    right = labelled(members, "y")
-    more = left.join(right, "key").filter("x <> y AND of_x <> of_y")
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _possible(more.join(pairs, ["a", "b"], "left_anti"), described)
-    links = stored(links.unionByName(verified(stored(more), docs)))
-    components = component_ids(links)
+    more = stored(_beyond_heads(met, measured, links, component_ids(links), described))
+    components = component_ids(stored(links.unionByName(verified(more, docs))))
     return described.select("doc_id", "n_shingles").join(components, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
