@@ -20,8 +20,8 @@ from presscan.functions.text import _col, bind, trim_space
 # White space of HTML, and what script text is trimmed of.
 _HTML_SPACE = "\t\n\f\r "
 _SCRIPT_SPACE = (
-    "\t\n\x0b\x0c\r \xa0            "
-    "    　﻿"
+    "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 _RAW = "script|style|textarea|noscript|template|iframe|xmp|noembed|noframes"
 _END = r"(?=[\s/>])"

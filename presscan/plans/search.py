@@ -27,9 +27,6 @@ from presscan.sources.pages import page_metadata
 from presscan.sources.sitemaps import expand_sitemaps, leaf_entries, sitemap_catalog
 from presscan.sources.sites import sitemap_roots
 
-#: Candidates up to this many are broadcast to the page scan.
-BROADCAST_CANDIDATES = 100_000
-
 
 @dataclass(frozen=True)
 class SearchOptions:
@@ -109,29 +106,27 @@ def shortlist(candidates: DataFrame, options: SearchOptions = SearchOptions()) -
     return interleave(candidates, limit=options.max_articles, per=("keyword",))
 
 
-def candidate_metadata(documents: DataFrame, candidates: DataFrame, bound: int, options: SearchOptions) -> DataFrame:
+def candidate_metadata(documents: DataFrame, candidates: DataFrame, options: SearchOptions) -> DataFrame:
     """Metadata of the candidates' pages, one row per URL.
 
     Raw pages are narrowed to the candidates before anything is parsed or
-    shuffled. ``bound`` is the most candidates there can be; while it is small
-    they are broadcast, and the page scan feeds straight into the semi join.
+    shuffled. The candidates are a written table, so Spark knows their size and
+    lets the page scan feed straight into the semi join while they are few.
     """
-    wanted = candidates.select("url")
-    if bound <= BROADCAST_CANDIDATES:
-        wanted = F.broadcast(wanted)
-    pages = article_pages(documents).select("url", "attempt", "body").join(wanted, "url", "left_semi")
+    pages = article_pages(documents).select("url", "attempt", "body").join(candidates.select("url"), "url", "left_semi")
     read = first_success(pages, options.retries)
     return page_metadata(read.drop("attempt"), "body", options.exact_dates)
 
 
 def _verdicts(corpus: Corpus, chosen: DataFrame, options: SearchOptions) -> DataFrame:
-    return robots_verdict(chosen, corpus.policies, options.user_agent, options.delay)
+    """The shortlist with its robots verdicts, stored: the page scan and the final join use it."""
+    return stored(robots_verdict(chosen, corpus.policies, options.user_agent, options.delay))
 
 
-def _resolved(corpus: Corpus, chosen: DataFrame, n_keywords: int, options: SearchOptions) -> DataFrame:
-    allowed = _verdicts(corpus, chosen, options).where("allowed").drop("allowed", "delay")
-    metadata = candidate_metadata(corpus.documents, chosen, options.max_articles * n_keywords, options)
-    return classify(allowed, metadata, options.exact_dates)
+def _resolved(corpus: Corpus, verdicts: DataFrame, options: SearchOptions) -> DataFrame:
+    """Refused pages are never read."""
+    allowed = verdicts.where("allowed").drop("allowed", "delay")
+    return classify(allowed, candidate_metadata(corpus.documents, allowed, options), options.exact_dates)
 
 
 def search_many(
@@ -141,18 +136,14 @@ def search_many(
     scraped_at: datetime | str | None = None,
     options: SearchOptions = SearchOptions(),
 ) -> DataFrame:
-    """Articles for several keywords at once, each with its own cap.
-
-    The shortlist is stored: its cap keeps it small, and both the page scan and
-    the final join use it.
-    """
+    """Articles for several keywords at once, each with its own cap."""
     words = list(dict.fromkeys(keywords))
     if not words or any(not w.strip() for w in words):
         raise ValueError("a keyword must not be empty")
     stamp = scraped_at if isinstance(scraped_at, str) else utc_stamp(scraped_at or datetime.now(timezone.utc))
     corpus = Corpus.of(documents)
-    chosen = stored(shortlist(discover(corpus, sites, words, options), options))
-    kept = _resolved(corpus, chosen, len(words), options).where(F.col("dropped").isNull())
+    verdicts = _verdicts(corpus, shortlist(discover(corpus, sites, words, options), options), options)
+    kept = _resolved(corpus, verdicts, options).where(F.col("dropped").isNull())
     return to_articles(kept, stamp)
 
 
@@ -176,9 +167,9 @@ def funnel(
     scanned = plan.join(sites.select("site_ord", "site_key"), "site_ord").select("site_key", F.col("take").alias("n"))
     entries = leaf_entries(plan, corpus.documents, take="take")
     candidates = stored(_first_matches(entries, sites, keyword))
-    chosen = stored(shortlist(candidates, options))
-    refused = _verdicts(corpus, chosen, options).where(~F.col("allowed"))
-    classified = _resolved(corpus, chosen, 1, options).select("site_key", "dropped")
+    verdicts = _verdicts(corpus, shortlist(candidates, options), options)
+    refused = verdicts.where(~F.col("allowed"))
+    classified = _resolved(corpus, verdicts, options).select("site_key", "dropped")
     return search_funnel(
         scanned, candidates, classified.unionByName(refused.select("site_key", F.lit("robots").alias("dropped")))
     )

@@ -35,14 +35,6 @@ KIND_ROBOTS = "robots"
 KIND_SITEMAP = "sitemap"
 KIND_PAGE = "page"
 
-#: What the page tokeniser yields; ``meta`` is an array because the first tag
-#: of a key wins and a map would have to pick or fail on duplicates.
-GATHERED_TYPE = (
-    "struct<ldjson:array<string>,"
-    "meta:array<struct<key:string,content:string>>,"
-    "doc_title:string>"
-)
-
 # Run defaults that change results.
 MAX_ARTICLES = 40
 MAX_SITEMAP_ENTRIES = 4000

@@ -40,7 +40,6 @@ _ROOT = rf"(?s){_PROLOG}<(?:[\w.\-]+:)?([\w.\-]+)"
 #: The root element closes at the end of the document.
 _CLOSED = rf"(?s)(?:</(?:[\w.\-]+:)?([\w.\-]+)\s*>|/>){_MISC}$"
 
-ENTRY_COLUMNS = ("source_sitemap", "url", "title", "published_at", "image_url", "entry_ord")
 
 
 @built_once
@@ -118,11 +117,16 @@ def _published(entry: Column, block: Column) -> Column:
     """The first date in document order, of ``lastmod`` and the news date."""
     lastmod = _first_of(entry["lastmod"], nonblank)
     news = _first_of(entry["news"], lambda n: _text(n["publication_date"]))
-    lastmod_at = F.regexp_instr(block, F.lit(r"<(?:[\w.\-]+:)?lastmod[\s>/]"))
-    news_first = lastmod_at > F.instr(block, F.lit("publication_date"))
+    lastmod_at, news_at = (F.regexp_instr(block, F.lit(_filled(tag))) for tag in ("lastmod", "publication_date"))
+    news_first = (news_at > 0) & ((lastmod_at == 0) | (news_at < lastmod_at))
     return F.when(news_first, F.coalesce(news, lastmod)).otherwise(F.coalesce(lastmod, news))
 
 
+def _filled(tag: str) -> str:
+    """Pattern of a tag that holds more than white space."""
+    return rf"<(?:[\w.\-]+:)?{tag}(?:\s[^>]*)?(?<!/)>\s*(?:<!\[CDATA\[\s*)?[^\s<\]]"
+
+
 def sitemap_entries(
     documents: DataFrame, body: str = "body", carry: tuple[str, ...] = (), take: str | None = None
 ) -> DataFrame:

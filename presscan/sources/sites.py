@@ -57,7 +57,7 @@ def select_sites(
     """The requested sites, in request order, repeats kept; no keys mean all.
 
     ``keys`` is a short list typed by a user, so the check for unknown ones
-    collects at most that many rows.
+    collects at most that many rows; only an error lists all keys there are.
     """
     sites = available_sites(spark) if sites is None else sites
     if not keys:
@@ -66,8 +66,8 @@ def select_sites(
     wanted = spark.createDataFrame(rows, "site_ord int, _raw string, site_key string")
     unknown = [r["_raw"] for r in wanted.join(sites, "site_key", "left_anti").orderBy("site_ord").collect()]
     if unknown:
-        known = [r["site_key"] for r in sites.orderBy("site_ord").select("site_key").limit(100).collect()]
-        raise KeyError(f"Unknown site(s): {', '.join(unknown)}. Available: {', '.join(known)}")
+        known = [r["site_key"] for r in sites.orderBy("site_ord").select("site_key").collect()]
+        raise KeyError(f"no site has the key {', '.join(unknown)}; keys are {', '.join(known)}")
     return wanted.drop("_raw").join(sites.drop("site_ord"), "site_key").select(*sites.columns)
 
 

@@ -50,8 +50,13 @@ def test_date_follows_document_order(web):
         f"<loc>b</loc><!-- <lastmod> -->{news}<lastmod>L</lastmod>",
         f"<loc>c</loc><lastmod/>{news}",
         "<loc>d</loc><news:news/><lastmod>L</lastmod>",
+        f"<loc>e</loc><lastmod/>{news}<lastmod>L</lastmod>",
+        f"<loc>f</loc><lastmod> </lastmod><lastmod><![CDATA[ L ]]></lastmod>{news}",
+        f"<loc>g</loc><lastmod>L</lastmod><news:news><news:title>publication_date</news:title></news:news>",
     )
-    assert [(u, p) for u, _, p, _ in entries(web, body)] == [("a", "L"), ("b", "N"), ("c", "N"), ("d", "L")]
+    assert [(u, p) for u, _, p, _ in entries(web, body)] == [
+        ("a", "L"), ("b", "N"), ("c", "N"), ("d", "L"), ("e", "N"), ("f", "L"), ("g", "L"),
+    ]
 
 
 MALFORMED = ["<not xml", "<broken>", "", "text", "<urlset><url><loc>a</loc></url>", urlset("<loc>a</loc>") + "junk",

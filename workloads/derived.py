@@ -206,7 +206,7 @@ def _injected() -> Column:
     )
     og = F.concat(
         F.lit('<meta property="og:title" content="'), escaped(F.col("headline")),
-        F.lit('"><meta name=author content="/cronologia/-/meta"><meta property=\'og:image\' content="https://img.example/og/'),
+        F.lit('"><meta name=author content="/staff/-/list"><meta property=\'og:image\' content="https://img.example/og/'),
         F.col("page_id"), F.lit('"/><meta property="article:published_time" content="not a date">'),
     )
     shape = F.col("page_id") % 4
