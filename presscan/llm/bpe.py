@@ -26,34 +26,40 @@ from presscan.llm.wordbatch import slices
 #: Words kept by a process, words contracted by one query, and what makes a word long.
 KNOWN, CHUNK, LONG = 400_000, 50_000, 64
 
-_START = "SELECT word, pos, id, true AS live FROM starts"
+#: One pair a word and round: the leftmost of minimum rank. A row knows the token after it and the rank of both
+#: together (a token's rank is its id), so a round looks up only the pairs that it changed.
+CONTRACT = """
+    WITH RECURSIVE tokens(word, pos, id, npos, nid, rank, live) AS (
+      SELECT s.word, s.pos, s.id, s.npos, s.nid, m.rank, true FROM starts s LEFT JOIN merges m ON m.first = s.id AND m.second = s.nid
+      UNION ALL
+      SELECT u.word, u.pos, u.id, u.npos, u.nid, CASE WHEN u.changed THEN m.rank ELSE u.rank END, u.live
+      FROM (
+        SELECT t.word, t.pos,
+          CASE WHEN t.pos = h.hpos THEN h.made ELSE t.id END AS id,
+          CASE WHEN t.pos = h.hpos THEN h.npos ELSE t.npos END AS npos,
+          CASE WHEN t.pos = h.hpos THEN h.nid WHEN t.npos = h.hpos THEN h.made ELSE t.nid END AS nid,
+          t.rank, coalesce(t.pos = h.hpos OR t.npos = h.hpos, false) AS changed, h.word IS NOT NULL AS live
+        FROM (SELECT * FROM tokens WHERE live) t LEFT JOIN (
+          SELECT x.word, x.pos AS hpos, x.rank::INTEGER AS made, x.npos AS spos, s.npos, s.nid
+          FROM (SELECT word, min(rank * 4294967296 + pos) AS best FROM tokens WHERE live AND rank IS NOT NULL GROUP BY word) b
+          JOIN tokens x ON x.word = b.word AND x.rank * 4294967296 + x.pos = b.best
+          JOIN tokens s ON s.word = x.word AND s.pos = x.npos
+        ) h ON h.word = t.word
+        WHERE h.spos IS NULL OR t.pos <> h.spos
+      ) u LEFT JOIN merges m ON m.first = u.id AND m.second = u.nid
+    )
+    SELECT word, id FROM tokens WHERE NOT live ORDER BY word, pos
+"""
 _PAIRS = """
     SELECT s.word, s.pos, s.id, m.made, m.rank, m.alone
     FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS following FROM tokens WHERE live) s
     LEFT JOIN merges m ON m.first = s.id AND m.second = s.following
 """
-#: One pair a word and round: the leftmost of minimum rank.
-CONTRACT = f"""
-    WITH RECURSIVE tokens(word, pos, id, live) AS (
-        {_START}
-        UNION ALL
-        SELECT word, pos, CASE WHEN hit THEN made ELSE id END, best IS NOT NULL
-        FROM (
-            SELECT *, lag(hit) OVER (PARTITION BY word ORDER BY pos) AS swallowed
-            FROM (
-                SELECT *, coalesce(rank * 4294967296 + pos = best, false) AS hit
-                FROM (SELECT *, min(rank * 4294967296 + pos) OVER (PARTITION BY word) AS best FROM ({_PAIRS}))
-            )
-        )
-        WHERE swallowed IS NOT true
-    )
-    SELECT word, id FROM tokens WHERE NOT live ORDER BY word, pos
-"""
 #: For long words: all pairs of minimum rank in one round, leftmost first, unless a token they make could take part in
 #: a pair of lower rank, which one-by-one contraction would prefer (``alone``). In a run of one token every other pair counts.
 CONTRACT_LONG = f"""
     WITH RECURSIVE tokens(word, pos, id, live) AS (
-        {_START}
+        SELECT word, pos, id, true AS live FROM starts
         UNION ALL
         SELECT word, pos, CASE WHEN hit THEN made ELSE id END, best IS NOT NULL
         FROM (
@@ -121,7 +127,9 @@ class Codec:
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         pos = (np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        self.db.register("starts", pa.table({"word": word, "pos": pos, "id": ids}))
+        last = np.concatenate([word[1:] != word[:-1], [True]])
+        following = pa.array(np.concatenate([ids[1:], ids[:1]]), mask=last)
+        self.db.register("starts", pa.table({"word": word, "pos": pos, "id": ids, "npos": pa.array(pos + 1, mask=last), "nid": following}))
         found = self.db.execute(query).fetchnumpy()
         self.db.unregister("starts")
         at, data = np.asarray(found["word"]), np.asarray(found["id"]).astype("<u4")
@@ -132,13 +140,12 @@ class Codec:
             start = end
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not known yet."""
-        if len(self.known) + len(words) > KNOWN:
-            self.known.clear()
+        """Encode words that are not known yet; beyond the bound, only the given ones stay known."""
+        missing = words.difference(self.known)
+        if len(self.known) + len(missing) > KNOWN:
+            self.known = {word: self.known[word] for word in words - missing}
         fresh: list[bytes] = []
-        for word in words:
-            if word in self.known:
-                continue
+        for word in missing:
             whole = self.rank.get(word)
             if whole is None:
                 fresh.append(word)
