@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +37,12 @@ def match_entries(entries: DataFrame, sites: DataFrame, keywords: str | Sequence
         return shaped.where(contains_tokens(text, constant_tokens(keywords))).select(
             *kept, F.lit(keywords).alias("keyword")
         )
-    hits = F.array_compact(
-        F.array(
-            *[F.when(contains_tokens(F.col("_text"), constant_tokens(k)), F.lit(k)) for k in dict.fromkeys(keywords)]
-        )
+    # One constant, whatever its length: the plan does not grow with the keywords.
+    asked = [{"keyword": k, "tokens": constant_tokens(k)} for k in dict.fromkeys(keywords)]
+    known = F.from_json(F.lit(json.dumps(asked)), "array<struct<keyword:string,tokens:array<string>>>")
+    found = F.filter(
+        known, lambda k: (F.size(k["tokens"]) > 0) & F.forall(k["tokens"], lambda t: F.contains(F.col("_text"), t))
     )
+    hits = F.transform(found, lambda k: k["keyword"])
     folded = shaped.select(*kept, text.alias("_text"))
     return folded.select(*kept, F.explode(hits).alias("keyword"))

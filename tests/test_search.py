@@ -109,8 +109,20 @@ def test_pages_are_narrowed_before_they_are_parsed(world, spark):
 
     docs, _ = world
     candidates = spark.createDataFrame([("https://a.test/uno",)], "url string")
-    plan = candidate_metadata(docs, candidates, 40, SearchOptions())._jdf.queryExecution().executedPlan().toString()
+    plan = candidate_metadata(docs, candidates, SearchOptions())._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
     assert plan.index("regexp_extract_all") < plan.index("LeftSemi")  # plans are printed top down
-    large = candidate_metadata(docs, candidates, 10**7, SearchOptions())._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in large.lower()
+    logical = candidate_metadata(docs, candidates, SearchOptions())._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in logical.lower()
+
+
+def test_plan_does_not_grow_with_keywords(web, outlets):
+    from presscan.operators.matching import match_entries
+
+    entries = web(("https://a.test/2031/x", "sitemap", "")).selectExpr("0 AS site_ord", "url", "'Uno dos' AS title")
+    plans = []
+    for n in (2, 400):
+        found = match_entries(entries, outlets(a=([], [])), ["uno DOS", *[f"k{i}" for i in range(n)]])
+        assert [r["keyword"] for r in found.collect()] == ["uno DOS"]
+        plans.append(len(found._jdf.queryExecution().analyzed().toString()))
+    assert plans[1] < plans[0] + 40_000
