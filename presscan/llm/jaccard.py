@@ -358,7 +358,9 @@ def join_groups(docs: DataFrame) -> DataFrame:
     measured = stored(_measured(pairs, described))
     possible = measured.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("differing"))).select("a", "b")
     links = stored(verified(possible, docs))
-    more = stored(_beyond_heads(met, measured, links, component_ids(links), described))
+    # The join looked at half-size sketches; the whole ones leave less to verify.
+    more = stored(_measured(_beyond_heads(met, measured, links, component_ids(links), described), described))
+    more = more.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("differing"))).select("a", "b")
     components = component_ids(stored(links.unionByName(verified(more, docs))))
     return described.select("doc_id", "n_shingles").join(components, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
