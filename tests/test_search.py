@@ -106,9 +106,10 @@ def test_listing(spark):
 
 def test_pages_are_narrowed_before_they_are_parsed(world, spark):
     from presscan.plans.search import SearchOptions, candidate_metadata
+    from presscan.session import stored
 
     docs, _ = world
-    candidates = spark.createDataFrame([("https://a.test/uno",)], "url string")
+    candidates = stored(spark.createDataFrame([("https://a.test/uno",)], "url string"))
     plan = candidate_metadata(docs, candidates, SearchOptions())._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
     assert plan.index("regexp_extract_all") < plan.index("LeftSemi")  # plans are printed top down
