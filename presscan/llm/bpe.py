@@ -4,7 +4,7 @@ A word (a match of the splitting pattern) becomes rows of token and position. A
 recursive query joins neighbouring tokens with the merge table, contracts each
 word's leftmost pair of minimum rank and repeats until no pair is left. Texts
 are decoded by an aggregation of token bytes in the order of positions. Words
-already encoded in a task's process are kept up to a bound, so a frequent word
+already encoded are kept up to a bound until the task ends, so a frequent word
 is contracted once.
 
 Token ids are stored as little-endian unsigned 32-bit integers in a binary column.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from presscan.llm.wordbatch import slices
 
 #: Words kept by a process, words contracted by one query, and what makes a word long.
-KNOWN, CHUNK, LONG = 400_000, 50_000, 64
+KNOWN, CHUNK, LONG = 200_000, 50_000, 64
 
 #: One pair a word and round: the leftmost of minimum rank. A row knows the token after it and the rank of both
 #: together (a token's rank is its id), so a round looks up only the pairs that it changed.
@@ -203,6 +203,7 @@ def _mapped(docs: DataFrame, path: str, schema: str, work) -> DataFrame:
             for part in slices(batch, batch.schema.names[1]):
                 columns = [pa.array(c, pa.binary()) for c in work(codec, part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+        codec.known = {}  # the process may go on with other work
 
     return docs.mapInArrow(run, schema)
 
