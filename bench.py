@@ -4,7 +4,7 @@
 derived and written before the clock starts: engines read them from storage.
 Every query's result is written to the no-op sink, so all rows and columns are
 computed. ``queries`` has the times of the first run of each, ``warm`` those of a
-second, when code is compiled.
+second (but for the streams), when code is compiled.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def main() -> None:
         return round(time.perf_counter() - started, 3)
 
     seconds = {name: timed(name) for name in HEADLINE}
-    warm = {name: timed(name) for name in HEADLINE}
+    warm = {name: timed(name) for name in HEADLINE if not name.startswith("stream")}
     total = round(sum(seconds.values()), 3)
     sf = os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline queries, total wall time", "value": total, "unit": "sec", "queries": seconds, "warm": warm, "sf": sf}))
