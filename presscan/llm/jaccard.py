@@ -15,11 +15,12 @@ say nothing, and then those with the fewest shingles that are not common to very
 many texts. A set that has nothing to spare indexes all.
 
 Copies of a group are never paired with each other. Inside a slice of a task, and
-then for all slices, sets with the same key are linked to their smallest id only;
-a key's members that turn out not to link to it, and only those, are compared with
-the key's other members outside their component, where sketches and the triangle
-inequality do not rule a link out. Every candidate is verified exactly, on 64-bit shingle hashes. Connected components and all joins are Spark
-jobs whose intermediate tables are written to the shared folder.
+then for all slices, sets with the same key are linked to their smallest id only.
+Where that leaves a key's members, heads among them, in several components, those
+outside the largest are compared with all members of other components, unless sizes
+and sketches rule a link out. Every candidate is verified exactly, on 64-bit shingle
+hashes. Connected components and all joins are Spark jobs whose intermediate tables
+are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -271,39 +272,41 @@ def _measured(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", differing.alias("differing"))
 
 
-def _beyond_heads(met: DataFrame, measured: DataFrame, links: DataFrame, components: DataFrame, described: DataFrame) -> DataFrame:
+def _beyond_heads(met: DataFrame, measured: DataFrame, components: DataFrame, described: DataFrame) -> DataFrame:
     """Pairs that share a key, may link and were not compared: no star shows whether they do.
 
-    Members of a key that link to its head are in its component. One that does not
-    is compared with the others like it; with those that link only if it is not too far
-    from the head, since differences obey the triangle inequality. Sketches are looked
-    at inside the join, so it gives out only pairs that may link.
+    A key whose stars all stay in one component is settled. Of any other key all members
+    count, heads too: those outside the component that most of them are in are compared with
+    every member of another component. Sketches are looked at inside the join, so it gives
+    out only pairs that may link.
     """
-    failed = measured.join(links, ["a", "b"], "left_anti")
-    # A set that links to this one has 4/3 of its size at most, and differs from the head by a seventh of both.
-    far = 21 * F.col("differing") > 11 * F.col("n_b") + 3 * F.col("n_a")
-    apart = stored(met.join(failed.select(F.col("a").alias("head"), F.col("b").alias("doc"), far.alias("far")), ["head", "doc"]))
+    label = components.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("of"))
+
+    def labelled(rows: DataFrame, doc: str, of: str) -> DataFrame:
+        rows = rows.join(label.withColumnsRenamed({"doc": doc, "of": of}), doc, "left")
+        return rows.withColumn(of, F.coalesce(of, doc))
+
+    split = labelled(labelled(measured.select("a", "b"), "a", "of_a"), "b", "of_b").filter("of_a <> of_b")
+    keys = met.join(split.select(F.col("a").alias("head"), F.col("b").alias("doc")), ["head", "doc"]).select("key").distinct()
+    members = met.join(stored(keys), "key", "left_semi").select("key", F.explode(F.array("head", "doc")).alias("doc")).distinct()
+    members = stored(labelled(members, "doc", "of"))
+    counted = members.groupBy("key", "of").count()
+    main = counted.groupBy("key").agg(F.max_by("of", F.struct("count", "of")).alias("main"))
     half = SKETCH // 2
     folded = [F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + half]).alias(f"s{i}") for i in range(half)]
     about = described.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *folded).dropDuplicates(["doc"])
-    label = components.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("of"))
+    members = members.join(main, "key").withColumn("minor", F.col("of") != F.col("main")).drop("main")
+    members = stored(members.join(about, "doc"))
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(about, "doc").join(label, "doc", "left").withColumn("of", F.coalesce("of", "doc"))
-        return rows.withColumnsRenamed({c: f"{name}_{c}" for c in rows.columns if c != "key"})
-
-    def paired(left: DataFrame, right: DataFrame, *conditions: Column) -> DataFrame:
-        differing = _differing(*([F.col(f"{name}_s{i}") for i in range(half)] for name in "xy"))
-        fits = (F.col("x_of") != F.col("y_of")) & _may_link(F.col("x_n"), F.col("y_n"), differing)
-        found = left.join(right.withColumnRenamed("key", "y_key"), reduce(operator.and_, conditions, (F.col("key") == F.col("y_key")) & fits))
-        return found.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"))
+        return rows.withColumnsRenamed({c: f"{name}_{c}" for c in rows.columns})
 
-    mine = apart.select("key", "doc")
-    each_other = paired(side(mine, "x"), side(mine, "y"), F.col("x_doc") < F.col("y_doc"))
-    near = apart.filter("NOT far").select("key", "doc")
-    linked = met.join(near.select("key").distinct(), "key", "left_semi").join(apart, ["key", "head", "doc"], "left_anti").select("key", "doc")
-    with_linked = paired(side(near, "x"), side(linked, "y"))
-    return each_other.unionByName(with_linked).distinct().join(measured, ["a", "b"], "left_anti")
+    differing = _differing(*([F.col(f"{name}_s{i}") for i in range(half)] for name in "xy"))
+    once = (F.col("x_of") != F.col("y_of")) & (~F.col("y_minor") | (F.col("x_doc") < F.col("y_doc")))
+    fits = once & _may_link(F.col("x_n"), F.col("y_n"), differing)
+    found = side(members.filter("minor"), "x").join(side(members, "y"), (F.col("x_key") == F.col("y_key")) & fits)
+    pairs = found.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+    return pairs.join(measured, ["a", "b"], "left_anti")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -359,7 +362,7 @@ def join_groups(docs: DataFrame) -> DataFrame:
     possible = measured.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("differing"))).select("a", "b")
     links = stored(verified(possible, docs))
     # The join looked at half-size sketches; the whole ones leave less to verify.
-    more = stored(_measured(_beyond_heads(met, measured, links, component_ids(links), described), described))
+    more = stored(_measured(_beyond_heads(met, measured, component_ids(links), described), described))
     more = more.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("differing"))).select("a", "b")
     components = component_ids(stored(links.unionByName(verified(more, docs))))
     return described.select("doc_id", "n_shingles").join(components, "doc_id", "left").select(

@@ -132,6 +132,21 @@ def test_jaccard_at_the_threshold(make_docs):
     assert by_id(jaccard.join_groups(make_docs(rows)), "n_shingles", "component_id") == brute_groups(rows)
 
 
+@pytest.fixture
+def in_slices(spark):
+    """Documents of (doc_id, text) in one partition that tasks look at two by two."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    yield lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_jaccard_head_of_a_key_meets_members_of_other_slices(in_slices, mixed_rows):
+    rows = [(1, "a b c d e f g h"), (2, "z"), (5001, "x a b c d e f g"), (5002, "a b c d e f g")]
+    rows += [(i + 10_000, text) for i, text, *_ in mixed_rows if i < 47]
+    found = by_id(jaccard.join_groups(in_slices(rows)), "n_shingles", "component_id")
+    assert found[5001] == (4, 1) and found == brute_groups(rows)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     from presscan.llm.shingles import Sets
@@ -217,8 +232,7 @@ def test_long_words_contract_as_short_ones_do(tokenizer):
 
 def test_languages(make_docs, mixed_rows, spark):
     from tests.llm.conftest import words
-    import random
-
+    
     rng = random.Random(1)
     rows = [(i, words(rng, rng.randint(3, 60), lang), lang if i % 3 else None) for i in range(1, 90) for lang in [("en", "fr")[i % 2]]]
     model = language_id.fit(make_docs([r for r in rows if r[2]]), language_id.default_vocabulary(spark))
