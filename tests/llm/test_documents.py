@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -147,6 +148,19 @@ def test_jaccard_head_of_a_key_meets_members_of_other_slices(in_slices, mixed_ro
     assert found[5001] == (4, 1) and found == brute_groups(rows)
 
 
+def test_jaccard_members_far_from_a_head_meet_those_of_other_heads(in_slices):
+    """A chain of three texts, all of whose keys unrelated texts with smaller ids also have."""
+    rng, rows = random.Random(100), []
+    base = [f"w100x{j}" for j in range(8)]
+    for i in range(80):
+        start, before, width = rng.randrange(4), rng.randint(1, 8), rng.choice((5, 6))
+        others = [f"f100x{i}x{j}" for j in range(20)]
+        after = others[before : before + max(3 - before, 0) + 2]
+        rows.append((i, " ".join([*others[:before], *base[start : start + width], *after])))
+    rows += [(900, " ".join(["p", *base])), (901, " ".join(base)), (902, " ".join([*base, "q"])), (903, "z")]
+    assert by_id(jaccard.join_groups(in_slices(rows)), "n_shingles", "component_id") == brute_groups(rows)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     from presscan.llm.shingles import Sets
@@ -232,7 +246,8 @@ def test_long_words_contract_as_short_ones_do(tokenizer):
 
 def test_languages(make_docs, mixed_rows, spark):
     from tests.llm.conftest import words
-    
+    import random
+
     rng = random.Random(1)
     rows = [(i, words(rng, rng.randint(3, 60), lang), lang if i % 3 else None) for i in range(1, 90) for lang in [("en", "fr")[i % 2]]]
     model = language_id.fit(make_docs([r for r in rows if r[2]]), language_id.default_vocabulary(spark))
