@@ -7,17 +7,18 @@ direction at random so that expectations hold, until one of the two is taken or
 left whole. The words of a source are thus kept to within one small document.
 
 Rounding is a reduction tree. The leaves are blocks of a source by a hash of the
-id, each of bounded size and rounded large documents first; at most one document
-of a block stays fractional, and blocks' residuals meet block by block until one
-a source is left, which its own probability decides. Draws are hashes of the ids
-that meet, so reruns agree whatever the partitioning.
+row (its id, its text and its number among equal rows, so rows without an id or that
+repeat one are dealt out too), each of bounded size and rounded large documents first;
+at most one document of a block stays fractional, and blocks' residuals meet block by
+block until one a source is left, which its own probability decides. Draws are hashes
+of the rows that meet, so reruns agree whatever the partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presscan.llm.columns import words
@@ -28,10 +29,8 @@ SHARE = 1.5
 MOST_COPIES = 2
 BLOCK = 1024
 FAN_IN = 64
-#: Stands for a null id while documents are drawn.
-_NO_ID = -(1 << 63)
 
-_OPEN = "doc_id long, size long, source_rank int, block long, whole long, part double"
+_OPEN = "row long, doc_id long, key long, size long, source_rank int, block long, whole long, part double"
 
 
 def _uniform(*numbers: int) -> float:
@@ -113,9 +112,12 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES)
 
 
 def mix(
-    docs: DataFrame, *, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, block: int = BLOCK, fan_in: int = FAN_IN, seed: int = 0
+    docs: DataFrame, *, key: Column | None = None, weights=WEIGHTS, share=SHARE, most=MOST_COPIES, block: int = BLOCK, fan_in: int = FAN_IN, seed: int = 0
 ) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, copies and taken words.
+    """One row per document: doc_id, size, source, source_size, target, copies and taken words; and ``key``.
+
+    ``key`` (long) tells rows of one id apart, by default a hash of the text. Rows alike in
+    id, source and key are drawn one by one, but nothing says which of them a result is.
 
     A null text has no words, and a document without words gets no copies. A null
     source is a source of its own, a null id an id. Repeated rows are rows of their own. A table
@@ -123,10 +125,16 @@ def mix(
     """
     rows = stored(
         docs.select(
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
+            F.col("doc_id").cast("long").alias("doc_id"),
             "source",
+            (F.xxhash64("text") if key is None else key).alias("key"),
             F.size(words(F.col("text"))).cast("long").alias("size"),
         )
+        .groupBy("doc_id", "source", "key", "size")
+        .count()
+        .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("count"))))
+        .withColumn("row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "key", "nth"))
+        .drop("count", "nth")
     )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = stored(targets(sources, weights, share, most))
@@ -139,27 +147,27 @@ def mix(
             sources.select("source_rank", F.col("source").alias("_source"), blocks.alias("_blocks"), whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("part")),
             F.col("source").eqNullSafe(F.col("_source")),
         )
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")))
-        .select("doc_id", "size", "source_rank", "block", "whole", "part")
+        .withColumn("block", F.pmod("row", F.col("_blocks")))
+        .select("row", "doc_id", "key", "size", "source_rank", "block", "whole", "part")
     )
 
     def ordered(frame):
-        return frame.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        return frame.sort_values(["size", "row"], ascending=[False, True], kind="stable")
 
     def leaf(frame):
         frame = ordered(frame)
         part = float(frame["part"].iloc[0])
-        frame["part"] = _round_block(frame["doc_id"].tolist(), frame["size"].tolist(), part, seed)
+        frame["part"] = _round_block(frame["row"].tolist(), frame["size"].tolist(), part, seed)
         return frame
 
     def inner(frame):
         frame = ordered(frame)
-        frame["part"] = _round_pairs(frame["doc_id"].tolist(), frame["size"].tolist(), frame["part"].tolist(), seed)
+        frame["part"] = _round_pairs(frame["row"].tolist(), frame["size"].tolist(), frame["part"].tolist(), seed)
         return frame
 
     def toss(frames: Iterator):
         for frame in frames:
-            frame["part"] = [float(_uniform(seed, i) < p) for i, p in zip(frame["doc_id"], frame["part"], strict=True)]
+            frame["part"] = [float(_uniform(seed, i) < p) for i, p in zip(frame["row"], frame["part"], strict=True)]
             yield frame
 
     settled, settle = [], leaf
@@ -180,6 +188,5 @@ def mix(
     return (
         result.join(sources.select("source", "source_size", "source_rank", "target"), "source_rank")
         .withColumn("copies", copies)
-        .withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
-        .select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
     )

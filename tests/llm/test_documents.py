@@ -103,6 +103,20 @@ def test_mix_without_ids_or_words(make_docs):
     assert len(rows) == 4 and sum(r["doc_id"] is None for r in rows) == 2
 
 
+def test_mix_deals_out_rows_without_ids(make_docs, monkeypatch):
+    most, docs = [], make_docs([(None, f"a b {i % 100}") for i in range(400)])
+    whole = type(docs).groupBy
+
+    def grouped(frame, *columns):
+        if columns == ("source_rank", "block"):
+            most.append(whole(frame, *columns).count().agg({"count": "max"}).first()[0])
+        return whole(frame, *columns)
+
+    monkeypatch.setattr(type(docs), "groupBy", grouped)
+    mixing.mix(docs, block=20).collect()
+    assert 20 <= most[0] < 60
+
+
 def brute_groups(rows):
     sets = {}
     for doc_id, text, *_ in rows:
