@@ -42,11 +42,26 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    taken = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.first("copies").alias("__copies"))
-    rows = docs.join(taken, F.col("doc_id").cast("long") == F.col("__id"))
+    """Every document as often as the mix takes it.
+
+    Rows without an id, and rows that repeat one, are documents of their own with their own
+    copies. Rows alike in all columns share what is taken of them. Rows of one id (or
+    without) are told apart by a 64-bit hash of all columns.
+    """
+    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    drawn = mixing.mix(docs, key=key).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    taken = drawn.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__alike"))
+    taken = stored(taken.filter("__copies > 0"))
+
+    def rows(of: DataFrame) -> DataFrame:
+        return docs.withColumn("__row", key).join(of, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")))
+
+    found = rows(taken.filter("__alike = 1"))
+    alike = taken.filter("__alike > 1")
+    if not alike.isEmpty():
+        found = found.unionByName(rows(alike).dropDuplicates(["__id", "__key"]))
     times = F.array_repeat(F.lit(1), F.col("__copies").cast("int"))
-    return rows.withColumn("__time", F.explode(times)).select(*docs.columns)
+    return found.withColumn("__time", F.explode(times)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,6 +103,21 @@ def test_mix_without_ids_or_words(make_docs):
     assert len(rows) == 4 and sum(r["doc_id"] is None for r in rows) == 2
 
 
+def test_mix_sources_keeps_rows_without_ids_and_repeated_ids_apart(make_docs, spark):
+    rows = [(None, f"n{i} a b", "en", "s") for i in range(40)] + [(7, f"r{i} a b", "en", "s") for i in range(40)]
+    rows += [(None, "same same same", "en", "s")] * 10 + [(i, f"u{i} a b", "en", "t") for i in range(100, 110)]
+    docs = make_docs(rows)
+    drawn = mixing.mix(docs).collect()
+    assert len(drawn) == len(rows)
+    out = collections.Counter((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert set(out) <= set(rows[i][:2] + rows[i][3:] for i in range(len(rows)))
+    assert all(n <= 2 for (_, text, _), n in out.items() if text != "same same same")
+    assert {i is None for i, _, s in out if s == "s"} == {True, False}
+    for source in "st":
+        taken = sum(3 * n for (_, _, s), n in out.items() if s == source)
+        assert abs(taken - next(r["target"] for r in drawn if r["source"] == source)) <= 3
+
+
 def test_mix_deals_out_rows_without_ids(make_docs, monkeypatch):
     most, docs = [], make_docs([(None, f"a b {i % 100}") for i in range(400)])
     whole = type(docs).groupBy
