@@ -1,7 +1,7 @@
 """A training corpus from raw documents to tokens.
 
-Five stages, each an operator of ``presscan.llm``: documents in no known language
-go, one document of every group of near copies stays, repeated passages are cut out,
+Five stages, each an operator of ``presscan.llm``: documents without letters go,
+one document of every group of near copies stays, repeated passages are cut out,
 sources are mixed to target weights (documents come as often as they are taken), and
 what is left is encoded. Every stage is written as a table and read again as the
 next one's documents.
@@ -16,12 +16,13 @@ from presscan.llm import bpe, jaccard, language_id, mixing, repeats
 from presscan.llm.columns import broadcast_if_few
 from presscan.session import stored
 
-#: Posterior below which a document counts as being in no language that was learned.
+#: Posterior of the best learned language below which a document goes. It is next to 1 for all but the
+#: shortest texts, also in a language that was not learned, so in effect only texts without letters go.
 LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without letters go."""
+    """Documents with letters. One in a language that was not learned counts as the likeliest learned one and stays."""
     model = language_id.fit(docs, language_id.default_vocabulary(spark))
     labelled = language_id.annotate(docs, model)
     rejected = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)
