@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presscan.llm import bpe, jaccard, language_id, licenses, mixing, quality, repeats, sharding, topk, toxicity
+from presscan.llm import bpe, interaction, jaccard, language_id, licenses, mixing, quality, repeats, resample, sharding, topk, toxicity, url_filter
 from presscan.llm.columns import broadcast_if_few, id_bucket
 from presscan.session import stored
 
@@ -83,6 +83,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of enough words, drawn towards the benchmark's words."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Fixed rules of the query.
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of the five filters removes from each source."""
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
@@ -94,10 +119,15 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_url_filters": op12_url_filters,
+    "op13_filter_interaction": op13_filter_interaction,
 }
 
 SQL = {
     "op7_license_scans": licenses.scan_sql(),
+    "op11_importance_resampling": resample.resample_sql(),
+    "op13_filter_interaction": interaction.audit_sql(),
     "op5_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
