@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presscan.functions.text import nonblank
 from presscan.operators.matching import match_entries
 from presscan.operators.ranking import interleave, limit_leaves
 from presscan.operators.resolve import classify, search_funnel, to_articles, utc_stamp
@@ -83,7 +84,7 @@ def scan_entries(
     return leaf_entries(scan_plan(corpus, sites, options), corpus.documents, take="take")
 
 
-def _first_matches(entries: DataFrame, sites: DataFrame, keywords: str | Sequence[str]) -> DataFrame:
+def _first_matches(entries: DataFrame, sites: DataFrame, keywords: str | Sequence[str] | DataFrame) -> DataFrame:
     matched = match_entries(entries, sites, keywords)
     return first_per_key(matched, ["keyword", "url"], [F.col(c) for c in ("site_ord", "path", "entry_ord")])
 
@@ -91,7 +92,7 @@ def _first_matches(entries: DataFrame, sites: DataFrame, keywords: str | Sequenc
 def discover(
     documents: DataFrame | Corpus,
     sites: DataFrame,
-    keywords: str | Sequence[str],
+    keywords: str | Sequence[str] | DataFrame,
     options: SearchOptions = SearchOptions(),
 ) -> DataFrame:
     """Matching entries, one per keyword and URL: the first in scan order.
@@ -132,13 +133,21 @@ def _resolved(corpus: Corpus, verdicts: DataFrame, options: SearchOptions) -> Da
 def search_many(
     documents: DataFrame | Corpus,
     sites: DataFrame,
-    keywords: Sequence[str],
+    keywords: Sequence[str] | DataFrame,
     scraped_at: datetime | str | None = None,
     options: SearchOptions = SearchOptions(),
 ) -> DataFrame:
-    """Articles for several keywords at once, each with its own cap."""
-    words = list(dict.fromkeys(keywords))
-    if not words or any(not w.strip() for w in words):
+    """Articles for several keywords at once, each with its own cap.
+
+    ``keywords`` is a list, or a table of any size with a column ``keyword``.
+    """
+    if isinstance(keywords, DataFrame):
+        words = keywords.select("keyword")
+        blank = not words.where(nonblank("keyword").isNull()).isEmpty()
+    else:
+        words = list(dict.fromkeys(keywords))
+        blank = not words or any(not w.strip() for w in words)
+    if blank:
         raise ValueError("a keyword must not be empty")
     stamp = scraped_at if isinstance(scraped_at, str) else utc_stamp(scraped_at or datetime.now(timezone.utc))
     corpus = Corpus.of(documents)

@@ -127,3 +127,29 @@ def test_plan_does_not_grow_with_keywords(web, outlets):
         assert [r["keyword"] for r in found.collect()] == ["uno DOS"]
         plans.append(len(found._jdf.queryExecution().analyzed().toString()))
     assert plans[1] < plans[0] + 40_000
+
+
+def test_a_keyword_table_finds_what_the_list_finds(spark, world, web):
+    words = ["CAFÉ", "cafe  frio", "é", "o", "secreto café", "ausente", "ca fe", "é", "solo CAFÉ solo", "xyz cafe", "́"]
+    table = spark.createDataFrame([(w, 1) for w in words], "keyword string, site_ord int")
+    columns = ["keyword", "site_key", "url", "title"]
+    expected = ps.discover(*world, list(dict.fromkeys(words))).select(*columns).collect()
+    found = ps.discover(*world, table).select(*columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected)) and len(expected) > 10
+    articles = ps.search_many(*world, table.where("keyword <> '́'"), NOW).collect()
+    assert sorted(map(repr, articles)) == sorted(map(repr, ps.search_many(*world, [w for w in dict.fromkeys(words) if w != "́"], NOW).collect()))
+
+
+def test_a_large_keyword_table_joins_by_key(spark, world):
+    table = spark.range(10_000).selectExpr("concat('palabra ', id) AS keyword").union(spark.createDataFrame([("café 1",), ("tres",)], "keyword string"))
+    found = ps.discover(*world, table)
+    assert {(r["keyword"], r["url"]) for r in found.collect()} == {("tres", "https://a.test/tres")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_keyword_tables_without_words(spark, world):
+    blank = spark.createDataFrame([("café",), (" ",)], "keyword string")
+    with pytest.raises(ValueError, match="empty"):
+        ps.search_many(*world, blank)
+    assert ps.search_many(*world, blank.limit(0)).count() == 0

@@ -297,6 +297,20 @@ def search_many(spark, sf):
     return ps.search_many(documents_table(spark, sf), sites_table(spark, sf), KEYWORDS, STAMP)
 
 
+def keyword_table(spark, sf) -> DataFrame:
+    """A keyword for every page: its number, which other pages' titles and slugs hold as well."""
+    return table(spark, sf, "pages").select(F.concat(F.lit("STÓRY  "), F.col("page_id")).alias("keyword"))
+
+
+def discover_table(spark, sf):
+    found = ps.discover(documents_table(spark, sf), sites_table(spark, sf), keyword_table(spark, sf))
+    return found.select("keyword", "site_key", "url", "title")
+
+
+def search_table(spark, sf):
+    return ps.search_many(documents_table(spark, sf), sites_table(spark, sf), keyword_table(spark, sf), STAMP)
+
+
 def search_funnel(spark, sf):
     return ps.funnel(documents_table(spark, sf), sites_table(spark, sf), KEYWORD)
 
@@ -376,7 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         slug_text, article_url, page_titles, gathered_pages, jsonld_flatten, page_metadata, real_authors,
         sitemap_entries, sitemap_index, sitemap_expansion, sitemap_budget, scan_limit, robots_rules,
         robots_verdict, robots_delays, interleave_cap, interleave_all, keep_first, first_success,
-        usable_documents, discover, resolve_articles, search, search_many, search_funnel, article_report,
+        usable_documents, discover, resolve_articles, search, search_many, discover_table, search_table, search_funnel, article_report,
         append_new, upsert, stream_entries, stream_articles,
     )
 }
