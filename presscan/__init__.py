@@ -30,6 +30,6 @@ from presscan.sources.documents import article_pages, first_success, read_docume
 from presscan.sources.pages import is_real_author, page_metadata, resolve_metadata
 from presscan.sources.sitemaps import expand_sitemaps, is_sitemap_index, sitemap_children, sitemap_entries
 from presscan.sources.sites import available_sites, select_sites, sitemap_roots
-from presscan.streaming.articles import stream_articles, stream_documents, stream_entries
+from presscan.streaming.articles import articles_table, read_entries, stream_articles, stream_documents, stream_entries
 
 __all__ = [name for name in dir() if not name.startswith("_")]

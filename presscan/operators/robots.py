@@ -113,16 +113,30 @@ def robots_groups(body: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_GROUP), F.lit(0)), _group)
 
 
+def robots_answers(documents: DataFrame) -> DataFrame:
+    """What every origin asked for its robots file said: ``(origin, attempt, no_file, fetched_at, groups)``.
+
+    A text resource is requested once, so the lowest attempt counts, and of its answers the
+    first that holds a file; ``groups`` is NULL where none does.
+    """
+    asked = usable_documents(documents, KIND_ROBOTS).where(F.col("url") == F.concat(url_origin("url"), F.lit("/robots.txt")))
+    answers = asked.select(
+        url_origin("url").alias("origin"),
+        "attempt",
+        (F.coalesce("body", F.lit("")) == "").alias("no_file"),
+        "fetched_at",
+        F.when(F.col("body") != "", robots_groups("body")).alias("groups"),
+    )
+    return first_per_key(answers, ["origin"], [F.col(c) for c in ANSWER_ORDER])
+
+
+#: Which of an origin's answers counts.
+ANSWER_ORDER = ("attempt", "no_file", "fetched_at")
+
+
 def robots_policies(documents: DataFrame) -> DataFrame:
     """``(origin, groups)``: the one robots file of every origin that has one."""
-    files = usable_documents(documents, KIND_ROBOTS).where(
-        (F.col("url") == F.concat(url_origin("url"), F.lit("/robots.txt")))
-        & (F.col("attempt") == 1)
-        & (F.col("body") != "")
-    )
-    per_origin = files.select(url_origin("url").alias("origin"), "fetched_at", "body")
-    first = first_per_key(per_origin, ["origin"], [F.col("fetched_at")])
-    return first.select("origin", robots_groups("body").alias("groups"))
+    return robots_answers(documents).where(~F.col("no_file")).select("origin", "groups")
 
 
 def robots_rules(documents: DataFrame) -> DataFrame:

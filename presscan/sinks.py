@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,9 +82,10 @@ class UpsertTable:
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, key: str = "url", schema: T.StructType = ARTICLE_SCHEMA
+        self, spark: SparkSession, path: str, key: str | Sequence[str] = "url", schema: T.StructType | str = ARTICLE_SCHEMA
     ):
-        self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key = [key] if isinstance(key, str) else list(key)
 
     def _folders(self, kind: str) -> dict[int, str]:
         """Complete folders by number."""
@@ -114,7 +115,7 @@ class UpsertTable:
         current = latest.where(~F.col(REMOVED)).drop(REMOVED)
         if rows is None:
             return current
-        return rows.join(latest.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(current)
+        return rows.join(latest.select(*self.key), self.key, "left_anti").select(*rows.columns).unionByName(current)
 
     def upsert(self, df: DataFrame, order: str | None = None, write: tuple[str, int] | None = None) -> int:
         """Insert or replace whole rows; returns the batch size, 0 for a repeat.
@@ -135,14 +136,13 @@ class UpsertTable:
             df = df.withColumn(order, F.monotonically_increasing_id())
         if REMOVED not in df.columns:
             df = df.withColumn(REMOVED, F.lit(False))
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            size = df.count()
-            if size:
-                name = f"seq={self._claim()}{label}"
-                _last_per_key(df, self.key, order).write.parquet(f"{self.path}/delta/{name}")
-        finally:
-            df.unpersist()
+        # Rows are counted while they are written: the batch is computed once, and nothing is cached.
+        seen = Observation()
+        folder = f"{self.path}/delta/seq={self._claim()}{label}"
+        _last_per_key(df.observe(seen, F.count(F.lit(1)).alias("n")), self.key, order).write.parquet(folder)
+        size = seen.get["n"]
+        if not size:
+            _delete(self.spark, folder)
         if len(self._parts()[1]) >= COMPACT_AFTER:
             self.compact()
         return size
@@ -191,7 +191,7 @@ def _label(origin: str, number: int) -> str:
     return f".{hashlib.sha256(origin.encode()).hexdigest()[:16]}-{number}"
 
 
-def upsert(df: DataFrame, path: str, key: str = "url", order: str | None = None) -> int:
+def upsert(df: DataFrame, path: str, key: str | Sequence[str] = "url", order: str | None = None) -> int:
     return UpsertTable(df.sparkSession, path, key).upsert(df, order)
 
 
@@ -223,12 +223,12 @@ def save_articles(df: DataFrame, output: str, base_name: str = "articles", forma
     return write_all(df, [available[f] for f in chosen])
 
 
-def _last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
+def _last_per_key(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """The last row of every key; combined map-side, whole rows incl. NULLs."""
-    rest = [c for c in df.columns if c not in (key, order)]
-    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    rest = [c for c in df.columns if c not in (*key, order)]
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     kept = [c for c in df.columns if c != order]
-    return last.select(*[F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in kept])
+    return last.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in kept])
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -247,6 +247,12 @@ def _list(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
+def folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the completely written folders ``batch=N``."""
+    names = [n for n in _list(spark, path) if n.startswith("batch=")]
+    return sorted(int(n.removeprefix("batch=")) for n in names if _exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def _create(spark: SparkSession, path: str) -> bool:
     """Whether this call created the empty file."""
     fs, target = _filesystem(spark, path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from presscan.functions.reuse import built_once
 from presscan.functions.text import _col, bind, nonblank
+from presscan.functions.urls import url_origin
 from presscan.operators.robots import robots_verdict
 from presscan.session import stored
 from presscan.schema import KIND_SITEMAP, MAX_INDEX_DEPTH, USER_AGENT
@@ -201,9 +202,9 @@ def sitemap_catalog(documents: DataFrame) -> DataFrame:
 
 
 def _readable(documents: DataFrame) -> DataFrame:
-    """A text resource is requested once, so only the first attempt counts."""
+    """A text resource is requested once, so only the first attempt counts, numbered from 1 or from 0."""
     usable = usable_documents(documents, KIND_SITEMAP)
-    return usable.where(F.col("body").isNotNull() & (F.col("attempt") == 1))
+    return usable.where(F.col("body").isNotNull() & (F.col("attempt") <= 1))
 
 
 def leaf_entries(leaves: DataFrame, documents: DataFrame, take: str | None = None) -> DataFrame:
@@ -216,15 +217,25 @@ def leaf_entries(leaves: DataFrame, documents: DataFrame, take: str | None = Non
     return sitemap_entries(leaves.join(bodies, "url"), carry=("site_ord", "path"), take=take)
 
 
+def of_origins(urls: DataFrame, origins: DataFrame) -> DataFrame:
+    """Rows whose ``url`` belongs to one of the origins."""
+    located = urls.withColumn("_origin", url_origin("url"))
+    return located.join(origins.select(F.col("origin").alias("_origin")), "_origin", "left_semi").select(*urls.columns)
+
+
 def expand_sitemaps(
     roots: DataFrame,
     catalog: DataFrame,
     rules: DataFrame | None = None,
     max_depth: int = MAX_INDEX_DEPTH,
     user_agent: str = USER_AGENT,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Url-sets reached from the roots: ``(site_ord, path, url, n_entries)``.
 
+    With ``asked`` (column ``origin``) only sitemaps of those origins are opened: the others
+    wait until it is known what their robots file says.
+
     ``path`` holds the position among siblings at every level, so ordering by
     it is the depth-first order of a reader that opens indexes in place. A
     sitemap reached twice is there twice. The depth is fixed, so the joins are
@@ -236,6 +247,8 @@ def expand_sitemaps(
     for depth in range(max_depth + 1):
         if rules is not None:
             frontier = robots_verdict(frontier, rules, user_agent).where("allowed").drop("allowed", "delay")
+        if asked is not None:
+            frontier = of_origins(frontier, asked)
         found = frontier.join(facts, "url")
         if depth < max_depth:
             found = stored(found)

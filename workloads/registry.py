@@ -36,6 +36,8 @@ STAMP = "2026-06-16T00:00:00+00:00"
 KEYWORD = "1"
 KEYWORDS = ["1", "STÓRY 2", "thé"]
 BUDGET = 3
+#: Files that documents arrive in.
+ARRIVALS = 6
 
 # --- text, dates, URLs ---------------------------------------------------
 
@@ -360,27 +362,28 @@ def upsert(spark, sf):
     return ps.UpsertTable(spark, path).read().select("url", "title", "description", "author")
 
 
+def _arriving(spark, sf) -> str:
+    """The documents as files that a stream reads a few at a time, in no order of kinds."""
+    folder = _new_path(spark, "arriving")
+    docs = documents_table(spark, sf)
+    docs.repartition(ARRIVALS, F.xxhash64("url", "attempt")).write.parquet(folder)
+    return folder
+
+
 def stream_entries(spark, sf):
-    """Arriving sitemaps, each matching URL once, through a file stream."""
-    docs = _new_path(spark, "arriving")
-    documents_table(spark, sf).write.parquet(docs)
+    """Arriving sitemaps and robots files, each matching URL once, for several keywords."""
     out, state = _new_path(spark, "seen"), _new_path(spark, "state")
-    stream = ps.stream_entries(ps.stream_documents(spark, docs), sites_table(spark, sf), KEYWORD)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    return spark.read.parquet(out).select("site_key", "url", "title")
+    stream = ps.stream_documents(spark, _arriving(spark, sf), files_per_batch=2)
+    ps.stream_entries(stream, sites_table(spark, sf), KEYWORDS, out, state).awaitTermination()
+    return ps.read_entries(spark, out).select("keyword", "site_key", "url", "title")
 
 
 def stream_articles(spark, sf):
-    """Arriving documents kept up to date in an articles table."""
-    docs = _new_path(spark, "arriving")
-    documents_table(spark, sf).write.parquet(docs)
+    """Arriving documents kept up to date in an articles table, for several keywords."""
     out, state = _new_path(spark, "articles"), _new_path(spark, "state")
-    query = ps.stream_articles(
-        ps.stream_documents(spark, docs, files_per_batch=2), sites_table(spark, sf), KEYWORD, out, state, scraped_at=STAMP
-    )
-    query.awaitTermination()
-    return ps.UpsertTable(spark, f"{out}/articles").read().select(*ps.ARTICLE_FIELDS)
+    stream = ps.stream_documents(spark, _arriving(spark, sf), files_per_batch=2)
+    ps.stream_articles(stream, sites_table(spark, sf), KEYWORDS, out, state, scraped_at=STAMP).awaitTermination()
+    return ps.articles_table(spark, out).read().select(*ps.ARTICLE_FIELDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
