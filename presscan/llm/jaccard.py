@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presscan.llm.columns import broadcast_if_few, partitions
+from presscan.llm.columns import KEY, broadcast_if_few, partitions, with_row_keys
 from presscan.llm.components import component_ids
 from presscan.llm.shingles import Sets, mix, shingle_sets
 from presscan.llm.wordbatch import slices
@@ -139,10 +139,17 @@ def _sketches(sets: Sets) -> np.ndarray:
     return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
 
 
+def _digests(sets: Sets) -> np.ndarray:
+    """A number of each set as a whole, 0 for an empty one."""
+    sums = np.concatenate([[_U(0)], np.cumsum(mix(sets.hashes ^ _U(0xA0761D6478BD642F)), dtype=np.uint64)])
+    ends = sets.ends
+    return (sums[ends] - sums[ends - sets.sizes]).view(np.int64)
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and sketch of every document; and rows without n_shingles, whose
+    """doc_id, n_shingles, sketch and digest of every document; and rows without n_shingles, whose
     ``counts`` a task adds to the counters of ``block``."""
-    names = ["doc_id", "n_shingles", "sketch", "block", "counts"]
+    names = ["doc_id", "n_shingles", "sketch", "digest", "block", "counts"]
     blocks, width = SLOTS // _BLOCK, _BLOCK
 
     def lists(values: np.ndarray) -> pa.ListArray:
@@ -155,12 +162,12 @@ def describe(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column("text"))
                 seen += np.bincount(_slot(sets.hashes), minlength=SLOTS)
                 none = pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.sizes), lists(_sketches(sets)), *none], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.sizes), lists(_sketches(sets)), pa.array(_digests(sets)), *none], names)
         if seen.any():
-            none = (pa.nulls(blocks, kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64())))
+            none = (pa.nulls(blocks, kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()))
             yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(blocks, dtype=np.int32)), lists(seen.reshape(blocks, width))], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sketch array<long>, block int, counts array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sketch array<long>, digest long, block int, counts array<long>")
 
 
 def common_slots(described: DataFrame) -> np.ndarray:
@@ -208,7 +215,12 @@ def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                keys, owner = index_keys(shingle_sets(part.column("text")), shared.value)
+                sets = shingle_sets(part.column("text"))
+                keys, owner = index_keys(sets, shared.value)
+                # Equal sets also meet under a key of their own, and need no comparison then.
+                some = np.flatnonzero(sets.sizes > 0)
+                keys = np.concatenate([keys, mix(_digests(sets)[some].view(np.uint64))])
+                owner = np.concatenate([owner, some])
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner]
                 key, first, met, head, doc = _stars(keys.view(np.int64), ids)
                 # Groups found here travel apart from their key, whatever their size.
@@ -263,22 +275,39 @@ def _may_link(n_a: Column, n_b: Column, differing: Column) -> Column:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * 75) & (differing * 7 <= n_a + n_b)
 
 
-def _measured(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their sizes n_a, n_b and the differing bits of their sketches."""
+def _about(described: DataFrame) -> DataFrame:
+    """One row a document: doc, its size n, its digest and its sketch as columns."""
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    return described.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "digest", *words)
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.withColumnsRenamed({c: f"{name}_{c}" for c in rows.columns})
+
+
+def _compared(a: str, b: str) -> tuple[Column, Column]:
+    """Whether two sides are the same set, and whether they may link."""
+    differing = _differing(*([F.col(f"{side}_s{i}") for i in range(SKETCH)] for side in (a, b)))
+    n_a, n_b = F.col(f"{a}_n"), F.col(f"{b}_n")
+    same = (n_a == n_b) & (F.col(f"{a}_digest") == F.col(f"{b}_digest")) & (differing == 0)
+    return same, _may_link(n_a, n_b, differing)
+
+
+def _measured(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may link, and whether they are the ``same`` set."""
     for side in ("a", "b"):
-        columns = [F.col(c).alias(f"{name}_{side}") for c, name in (("doc_id", "id"), ("n_shingles", "n"), ("sketch", "s"))]
-        pairs = pairs.join(described.select(*columns), F.col(side) == F.col(f"id_{side}"))
-    differing = _differing(*([F.col(f"s_{side}")[i] for i in range(SKETCH)] for side in "ab"))
-    return pairs.select("a", "b", "n_a", "n_b", differing.alias("differing"))
+        pairs = pairs.join(_side(about, side), F.col(side) == F.col(f"{side}_doc"))
+    same, may = _compared("a", "b")
+    return pairs.filter(may).select("a", "b", same.alias("same"))
 
 
-def _beyond_heads(met: DataFrame, measured: DataFrame, components: DataFrame, described: DataFrame) -> DataFrame:
+def _beyond_heads(met: DataFrame, tried: DataFrame, components: DataFrame, about: DataFrame) -> DataFrame:
     """Pairs that share a key, may link and were not compared: no star shows whether they do.
 
     A key whose stars all stay in one component is settled. Of any other key all members
-    count, heads too: those outside the component that most of them are in are compared with
-    every member of another component. Sketches are looked at inside the join, so it gives
-    out only pairs that may link.
+    count, heads too, but equal sets only once: those outside the component that most of them are
+    in are compared with every member of another component. Sizes and whole sketches are looked
+    at inside the join, so it gives out only pairs that may link.
     """
     label = components.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("of"))
 
@@ -286,27 +315,22 @@ def _beyond_heads(met: DataFrame, measured: DataFrame, components: DataFrame, de
         rows = rows.join(label.withColumnsRenamed({"doc": doc, "of": of}), doc, "left")
         return rows.withColumn(of, F.coalesce(of, doc))
 
-    split = labelled(labelled(measured.select("a", "b"), "a", "of_a"), "b", "of_b").filter("of_a <> of_b")
+    split = labelled(labelled(tried.select("a", "b"), "a", "of_a"), "b", "of_b").filter("of_a <> of_b")
     keys = met.join(split.select(F.col("a").alias("head"), F.col("b").alias("doc")), ["head", "doc"]).select("key").distinct()
     members = met.join(stored(keys), "key", "left_semi").select("key", F.explode(F.array("head", "doc")).alias("doc")).distinct()
-    members = stored(labelled(members, "doc", "of"))
+    members = labelled(members, "doc", "of").join(about, "doc")
+    # Equal sets are in one component by now, so the smallest id stands for all of them.
+    whole = [c for c in about.columns if c not in ("doc", "n", "digest")]
+    one = members.groupBy("key", "of", "n", "digest").agg(F.min("doc").alias("doc"), *[F.min(c).alias(c) for c in whole])
+    members = stored(one)
     counted = members.groupBy("key", "of").count()
     main = counted.groupBy("key").agg(F.max_by("of", F.struct("count", "of")).alias("main"))
-    half = SKETCH // 2
-    folded = [F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + half]).alias(f"s{i}") for i in range(half)]
-    about = described.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), *folded).dropDuplicates(["doc"])
-    members = members.join(main, "key").withColumn("minor", F.col("of") != F.col("main")).drop("main")
-    members = stored(members.join(about, "doc"))
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.withColumnsRenamed({c: f"{name}_{c}" for c in rows.columns})
-
-    differing = _differing(*([F.col(f"{name}_s{i}") for i in range(half)] for name in "xy"))
+    members = stored(members.join(main, "key").withColumn("minor", F.col("of") != F.col("main")).drop("main"))
+    _, may = _compared("x", "y")
     once = (F.col("x_of") != F.col("y_of")) & (~F.col("y_minor") | (F.col("x_doc") < F.col("y_doc")))
-    fits = once & _may_link(F.col("x_n"), F.col("y_n"), differing)
-    found = side(members.filter("minor"), "x").join(side(members, "y"), (F.col("x_key") == F.col("y_key")) & fits)
+    found = _side(members.filter("minor"), "x").join(_side(members, "y"), (F.col("x_key") == F.col("y_key")) & once & may)
     pairs = found.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
-    return pairs.join(measured, ["a", "b"], "left_anti")
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -347,24 +371,41 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def join_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id a document reaches by links.
 
-    Empty sets (null texts, texts without words) link with nothing. doc_id is taken to
-    be the documents' key: rows that repeat one are one document to the join and rows
-    of their own in the result; a row without an id has no component. A table without
-    rows gives none.
+    Empty sets (null texts, texts without words) link with nothing. Rows that repeat an id are
+    documents of their own: they are in one component only if links connect their texts. A row
+    without an id has no component. A table without rows gives none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = stored(describe(docs))
-    docs = docs.filter(F.col("doc_id").isNotNull())
-    described = both.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sketch")
-    met = stored(memberships(docs, common_slots(both)))
-    pairs = met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    measured = stored(_measured(pairs, described))
-    possible = measured.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("differing"))).select("a", "b")
-    links = stored(verified(possible, docs))
-    # The join looked at half-size sketches; the whole ones leave less to verify.
-    more = stored(_measured(_beyond_heads(met, measured, component_ids(links), described), described))
-    more = more.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("differing"))).select("a", "b")
-    components = component_ids(stored(links.unionByName(verified(more, docs))))
-    return described.select("doc_id", "n_shingles").join(components, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    rows = keyed_groups(docs)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "component_id")
+
+
+def keyed_groups(docs: DataFrame) -> DataFrame:
+    """The rows of :func:`join_groups` with ``__key``, which tells rows of one id and different texts
+    apart, and ``__first``, the key of the component's first document."""
+    keyed, shift = with_row_keys(docs.select("doc_id", "text"))
+    both = stored(describe(keyed.select(F.col(KEY).alias("doc_id"), "text")))
+    described = both.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sketch", "digest")
+    texts = keyed.select(F.col(KEY).alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    about = _about(described)
+    if shift:  # rows alike in id and text share a key
+        texts, about = texts.dropDuplicates(["doc_id"]), about.filter("doc IS NOT NULL").dropDuplicates(["doc"])
+    met = stored(memberships(texts, common_slots(both)))
+    tried = met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    measured = stored(_measured(tried, about))
+    links = _links(measured, texts)
+    more = stored(_measured(_beyond_heads(met, tried, component_ids(links), about), about))
+    components = component_ids(stored(links.unionByName(_links(more, texts))))
+    found = described.select(F.col("doc_id").alias(KEY), "n_shingles").join(components, F.col(KEY) == F.col("doc_id"), "left")
+    found = found.select(KEY, "n_shingles", F.coalesce("component_id", KEY).alias("__first"))
+    if not shift:
+        return found.select(F.col(KEY).alias("doc_id"), "n_shingles", F.col("__first").alias("component_id"), KEY, "__first")
+    ids = stored(keyed.select(F.col(KEY).alias("k"), F.col("doc_id").cast("long").alias("id")).filter("k IS NOT NULL").distinct())
+    for key, name in ((KEY, "doc_id"), ("__first", "component_id")):
+        found = found.join(ids.withColumnsRenamed({"k": f"k_{name}", "id": name}), F.col(key) == F.col(f"k_{name}"), "left")
+    return found.select("doc_id", "n_shingles", "component_id", KEY, "__first")
+
+
+def _links(measured: DataFrame, docs: DataFrame) -> DataFrame:
+    """The measured pairs that link: equal sets, and those whose texts show it."""
+    compared = verified(measured.filter("NOT same").select("a", "b"), docs)
+    return stored(measured.filter("same").select("a", "b").unionByName(compared))

@@ -1,7 +1,8 @@
 """Removal of repeated byte strings with a Burrows-Wheeler transform.
 
 A byte goes if it lies in a string of :data:`LENGTH` bytes that also starts
-earlier: in a document with a smaller id, or earlier in its own.
+earlier: in a document with a smaller id, or earlier in its own. Documents have a key
+whose order is that of the ids (``key >> shift``), see :func:`columns.with_row_keys`.
 
 Dealing out. Every window of that length has a minimiser, its m-gram of smallest
 hash. Windows that share one in a text form a stretch; equal windows have equal
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presscan.llm.columns import WHITE, partitions
+from presscan.llm.columns import KEY, WHITE, partitions, with_row_keys
 from presscan.llm.shingles import mix
 from presscan.llm.wordbatch import slices
 from presscan.session import stored
@@ -42,6 +43,8 @@ LENGTH, GRAM = 100, 24
 CROWD = 1024
 #: Bytes of stretches that are transformed together, unless one minimiser has more.
 BLOCK = 1 << 19
+#: Bytes of text that a task cuts into stretches at once.
+TOGETHER = 1 << 20
 _PLACE_BITS = 28
 _U = np.uint64
 _BASE = 0x100000001B3
@@ -50,16 +53,17 @@ _MARK = "doc_id long, start int, stop int"
 
 def _grams(data: np.ndarray) -> np.ndarray:
     """Hash of the m-gram at every position; those that run over the end mean nothing."""
-    level, factor, powers = data.astype(np.uint64) + _U(1), _BASE, {}
+    level, factor, eight = data.astype(np.uint64), _BASE, None
+    level += _U(1)
     for width in (1, 2, 4, 8):
-        powers[width] = level
-        longer = level.copy()
-        longer[:-width] = level[:-width] * _U(factor) + level[width:]
-        level, factor = longer, factor * factor % (1 << 64)
-    eight = powers[8]
-    out = level.copy()
-    out[:-16] = level[:-16] * _U(pow(_BASE, 8, 1 << 64)) + eight[16:]
-    return mix(out)
+        eight = level
+        level = level * _U(factor)
+        level[:-width] += eight[width:]
+        level[-width:] = eight[-width:]
+        factor = factor * factor % (1 << 64)
+    level[:-16] *= _U(pow(_BASE, 8, 1 << 64))
+    level[:-16] += eight[16:]
+    return mix(level)
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,6 +77,28 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return reach
 
 
+def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Runs of whole texts of some bytes together, or a part of a long one; with their rows and offsets.
+
+    Parts of a text overlap by all but one byte of a window, so every window lies in one of them
+    and memory is bounded whatever a text's length.
+    """
+    held, rows, size = [], [], 0
+    for row, text in enumerate(texts):
+        if held and size + len(text) > TOGETHER:
+            yield held, np.array(rows), np.zeros(len(rows), np.int64)
+            held, rows, size = [], [], 0
+        if len(text) > TOGETHER:
+            for at in range(0, len(text) - LENGTH + 1, TOGETHER):
+                yield [text[at : at + TOGETHER + LENGTH - 1]], np.array([row]), np.array([at])
+            continue
+        held.append(text)
+        rows.append(row)
+        size += len(text)
+    if held:
+        yield held, np.array(rows), np.zeros(len(rows), np.int64)
+
+
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """row, start, stop, minimiser hash and stretch hash of every stretch."""
     import xxhash
@@ -100,9 +126,10 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return owner, start - begin[owner], stop - begin[owner], hashes[gram[edge]], whole
 
 
-def _earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys, then place; and which rows of that order open a group of equal keys.
+def _earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by keys, then place; and which rows of that order repeat nothing in their group of equal keys.
 
+    These are the first place of the smallest id, and of each further document of that id.
     Rows with the same place as the row before are dropped: they are the same string.
     """
     order = np.lexsort((start, doc, *reversed(keys)))
@@ -115,6 +142,11 @@ def _earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray)
     twice[1:] = same[1:] & (ordered_doc[1:] == ordered_doc[:-1]) & (ordered_start[1:] == ordered_start[:-1])
     opens = ~same
     opens[:1] = True
+    if shift:
+        first = ordered_doc[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
+        own = same.copy()
+        own[1:] = ordered_doc[1:] != ordered_doc[:-1]
+        opens |= own & (ordered_doc >> shift == first >> shift)
     return order[~twice], opens[~twice]
 
 
@@ -180,10 +212,10 @@ def split_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return suffix_text[window], suffix_offset[window], interval[window]
 
 
-def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, start and stop of runs of windows that also occur at an earlier place of the given ones."""
     text, offset, interval = split_suffixes(texts)
-    order, opens = _earliest((interval,), doc[text], start[text] + offset)
+    order, opens = _earliest((interval,), doc[text], start[text] + offset, shift)
     again = order[~opens]
     text, offset = text[again], offset[again]
     order = np.lexsort((offset, text))
@@ -216,7 +248,7 @@ def _unpacked(data: list[bytes]) -> list[bytes]:
     return [unpack(d) for d in data]
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
+def _dealt(docs: DataFrame, shift: int) -> DataFrame:
     """Places of stretches by minimiser: whole repeats (``mode`` 0), and the earliest places of
     stretches that meet different ones, few (1) or a crowd (2)."""
 
@@ -224,24 +256,21 @@ def _dealt(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts = [t or b"" for t in pc.cast(part.column("text"), pa.binary()).to_pylist()]
-                row, start, stop, gram, whole = stretches(texts)
-                if not len(row):
-                    continue
-                doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
-                order, opens = _earliest((gram, whole), doc, start)
-                gram, whole, doc, start, stop = (x[order] for x in (gram, whole, doc, start, stop))
-                # Later places of a stretch are decided; they travel apart from their minimiser.
-                spread = np.where(opens, gram, mix(gram ^ mix(doc.astype(np.uint64) * _U(LENGTH) + start.astype(np.uint64))))
-                place = (start << 8) | (stop - start)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(spread.view(np.int64)),
-                        pa.array(whole.view(np.int64)),
-                        pa.array(doc),
-                        pa.array(np.where(opens, place, ~place)),
-                    ],
-                    ["gram", "whole", "doc_id", "place"],
-                )
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                for some, rows, offset in pieces(texts):
+                    yield from deal(*stretches(some), ids[rows], offset)
+
+    def deal(row, start, stop, gram, whole, ids, offset):
+        if not len(row):
+            return
+        doc, start, stop = ids[row], start + offset[row], stop + offset[row]
+        order, opens = _earliest((gram, whole), doc, start, shift)
+        gram, whole, doc, start, stop = (x[order] for x in (gram, whole, doc, start, stop))
+        # Later places of a stretch are decided; they travel apart from their minimiser.
+        spread = np.where(opens, gram, mix(gram ^ mix(doc.astype(np.uint64) * _U(LENGTH) + start.astype(np.uint64))))
+        place = (start << 8) | (stop - start)
+        columns = [spread.view(np.int64), whole.view(np.int64), doc, np.where(opens, place, ~place)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "whole", "doc_id", "place"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tuple(np.empty(0, np.int64) for _ in range(4))
@@ -253,7 +282,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "doc_id", "start", "stop", "mode"])
 
         def decide(gram, whole, doc, place):
-            order, opens = _earliest((gram, whole), doc, place >> 8)
+            order, opens = _earliest((gram, whole), doc, place >> 8, shift)
             gram, doc, place = gram[order], doc[order], place[order]
             starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             group = np.cumsum(np.concatenate([[False], gram[1:] != gram[:-1]]))
@@ -290,13 +319,13 @@ def _dealt(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(meet, "gram long, doc_id long, start int, stop int, mode int")
 
 
-def _expanded(places: DataFrame, packed: DataFrame) -> DataFrame:
+def _expanded(places: DataFrame, packed: DataFrame, shift: int) -> DataFrame:
     """Marks (doc_id, start, stop) of windows of the given places that repeat."""
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "stop", "mode")).alias("places"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "packed"):
+            for part in slices(batch, "packed", TOGETHER):
                 texts = _unpacked(part.column("packed").to_pylist())
                 gram, doc, start, data, crowd = [], [], [], [], {}
                 for one, text, wants in zip(part.column("doc_id").to_pylist(), texts, part.column("places").to_pylist(), strict=True):
@@ -316,12 +345,16 @@ def _expanded(places: DataFrame, packed: DataFrame) -> DataFrame:
                     import xxhash
 
                     for window, found in crowd.items():
-                        found.sort()
-                        gram.append(xxhash.xxh64_intdigest(window) - (1 << 63))
-                        doc.append(found[0][0])
-                        start.append(found[0][1])
-                        data.append(window)
-                        marks += [p for p in found[1:] if p != found[0]]
+                        found = sorted(set(found))
+                        for i, (one, at) in enumerate(found):
+                            # The first place of each document of the smallest id here goes on.
+                            if i and (one >> shift != found[0][0] >> shift or one == found[i - 1][0]):
+                                marks.append((one, at))
+                                continue
+                            gram.append(xxhash.xxh64_intdigest(window) - (1 << 63))
+                            doc.append(one)
+                            start.append(at)
+                            data.append(window)
                 # Windows that repeat inside this slice are decided; they travel apart as well.
                 gram += [hash(p) for p in marks]
                 doc += [p[0] for p in marks]
@@ -352,7 +385,7 @@ def _expanded(places: DataFrame, packed: DataFrame) -> DataFrame:
                     done[1].append(start)
                     continue
                 if gram != last and size > BLOCK:
-                    yield out(*repeated_windows(texts, np.array(docs), np.array(starts)))
+                    yield out(*repeated_windows(texts, np.array(docs), np.array(starts), shift))
                     texts, docs, starts, size = [], [], [], 0
                 last = gram
                 texts.append(data)
@@ -362,36 +395,28 @@ def _expanded(places: DataFrame, packed: DataFrame) -> DataFrame:
             if done[0]:
                 yield out(done[0], done[1], [s + LENGTH for s in done[1]])
         if texts:
-            yield out(*repeated_windows(texts, np.array(docs), np.array(starts)))
+            yield out(*repeated_windows(texts, np.array(docs), np.array(starts), shift))
 
     rows = wanted.join(packed, "doc_id").select("doc_id", "packed", "places").mapInArrow(fetch, "gram long, doc_id long, start int, data binary")
     rows = rows.repartition(partitions(places.sparkSession), "gram").sortWithinPartitions("gram")
     return rows.mapInArrow(transform, _MARK)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start and stop (bytes) of stretches that repeat; they may overlap or touch."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.filter(F.col("doc_id").isNotNull())
-    dealt = stored(_dealt(docs))
+def _repeated_spans(keyed: DataFrame, shift: int) -> DataFrame:
+    """doc_id, start and stop (bytes) of stretches that repeat; they may overlap or touch. ``keyed`` has doc_id, a key, and text."""
+    dealt = stored(_dealt(keyed, shift))
     whole = dealt.filter("mode = 0").select("doc_id", "start", "stop")
-    return whole.unionByName(_expanded(dealt.filter("mode > 0"), _packed(docs)))
-
+    return whole.unionByName(_expanded(dealt.filter("mode > 0"), _packed(keyed), shift))
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, spans (maximal removed runs: start, stop) and kept bytes.
 
-    A null text is empty; texts shorter than LENGTH never change. doc_id is the
-    documents' key: rows that repeat an id with the same text are the same strings and
-    do not repeat each other. Rows without an id stay as they are and repeat nothing.
-    A table without rows gives none.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = stored(repeated_spans(ids)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
+def _cut(keyed: DataFrame, shift: int) -> DataFrame:
+    """doc_id (a key), n_bytes, spans and kept of every row of ``keyed`` (doc_id, text); a null key has no spans."""
+    spans = stored(_repeated_spans(keyed.filter(F.col("doc_id").isNotNull()), shift))
+    marks = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "packed"):
+            for part in slices(batch, "packed", TOGETHER):
                 texts = _unpacked(part.column("packed").to_pylist())
                 spans, kept = [], []
                 for text, found in zip(texts, part.column("marks").to_pylist(), strict=True):
@@ -414,22 +439,42 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "spans", "kept"],
                 )
 
-    joined = _packed(ids).join(marks, "doc_id", "left").select("doc_id", "packed", "marks")
+    joined = _packed(keyed).join(marks, "doc_id", "left").select("doc_id", "packed", "marks")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_bytes, spans (maximal removed runs: start, stop) and kept bytes.
+
+    A null text is empty; texts shorter than LENGTH never change. Rows that repeat an id are
+    documents of their own: none has the smaller id, so they do not repeat each other, and what
+    one of them loses another keeps unless it repeats an earlier place itself. Rows alike in id and
+    text are the same strings. Rows without an id stay as they are and repeat nothing.
+    A table without rows gives none.
+    """
+    keyed, shift = with_row_keys(docs.select("doc_id", "text"))
+    cut = _cut(keyed.select(F.col(KEY).alias("doc_id"), "text"), shift)
+    if not shift:
+        return cut
+    ids = keyed.select(F.col(KEY).alias("__k"), F.col("doc_id").cast("long").alias("__id")).distinct()
+    found = cut.join(ids, F.col("doc_id").eqNullSafe(F.col("__k")), "left")
+    return found.select(F.col("__id").alias("doc_id"), "n_bytes", "spans", "kept")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with their repeats cut out of ``text``, in their own columns; other columns keep their values.
 
     What a cut leaves of a split character goes as well. Documents that are left
-    without a word go, unless they had none before.
+    without a word go, unless they had none before. Rows that repeat an id lose their own repeats only.
     """
-    names = {"doc_id": "__id", "kept": "__kept"}
-    cut = without_repeats(docs).withColumnsRenamed(names).withColumn("__cut", F.size("spans") > 0).drop("spans", "n_bytes").distinct()
+    keyed, shift = with_row_keys(docs)
+    known = keyed.filter(F.col(KEY).isNotNull())
+    cut = _cut(known.select(F.col(KEY).alias("doc_id"), "text"), shift).withColumnsRenamed({"doc_id": "__id", "kept": "__kept"})
+    cut = cut.withColumn("__cut", F.size("spans") > 0).drop("spans", "n_bytes").distinct()
     kept = F.col("__kept").cast("string")
     # Halves of characters become replacement marks, which are then left out.
     clean = F.coalesce(F.try_validate_utf8(kept), F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
     has_word = F.trim(F.translate(clean, WHITE, " " * len(WHITE))) != ""
-    rows = docs.withColumn("__null", F.col("text").isNull()).drop("text").join(cut, F.col("doc_id").cast("long") == F.col("__id"))
+    rows = known.withColumn("__null", F.col("text").isNull()).drop("text").join(cut, F.col(KEY) == F.col("__id"))
     rows = rows.filter(~F.col("__cut") | has_word).withColumn("text", F.when(~F.col("__null"), clean))
     return rows.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

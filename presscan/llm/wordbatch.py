@@ -17,12 +17,12 @@ import pyarrow.compute as pc
 SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with bounded text."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``most`` bytes of text, unless a single one has more."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, held = 0, 0
     for i, size in enumerate(sizes):
-        if i > start and (held + size > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (held + size > most or i - start >= SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size

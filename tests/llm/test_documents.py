@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from presscan.llm import bpe, jaccard, language_id, licenses, mixing, quality, repeats, sharding
+from presscan.session import stored
+from tests.llm.conftest import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -190,6 +192,42 @@ def test_jaccard_members_far_from_a_head_meet_those_of_other_heads(in_slices):
     assert by_id(jaccard.join_groups(in_slices(rows)), "n_shingles", "component_id") == brute_groups(rows)
 
 
+def groups_by_hand(rows):
+    """doc_id, n_shingles and smallest id of the group of every row; rows of one id are told apart by their texts."""
+    different = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    found = brute_groups([(i, text) for i, (_, text) in enumerate(different)])
+    of = {row: (found[i][0], different[found[i][1]][0]) for i, row in enumerate(different)}
+    return sorted((r[0], *of[r[0], r[1]]) for r in rows if r[0] is not None)
+
+
+def test_jaccard_rows_of_one_id(make_docs, mixed_rows, spark):
+    """Rows that repeat an id are in a group only if their texts link."""
+    rng = random.Random(12)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (1, a), (5, b), (7, f"{b} more"), (7, c), (9, c), (5, None), (5, ""), (-2, "one"), (5, "one"), (None, a)]
+    rows += [(100 + i % 5, t) for i, t, *_ in mixed_rows]
+    found = jaccard.join_groups(make_docs(rows)).collect()
+    assert sorted(tuple(r) for r in found if r["doc_id"] is not None) == groups_by_hand(rows)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, make_docs(rows[:7] + rows[-1:] + rows[11:12]), "").collect()]
+    assert {(5, b), (1, a), (7, c), (None, a)} <= set(kept) and (5, a) not in kept and (7, f"{b} more") not in kept
+    assert kept.count((5, b)) == 1
+
+
+def test_jaccard_copies_meet_strangers_once(make_docs):
+    """Clusters of copies and near copies that share a passage with each other and with a smaller id."""
+    rng = random.Random(13)
+    passage = words(rng, 30)
+    rows = [(0, f"{words(rng, 40)} {passage}")]
+    for cluster in range(6):
+        own = words(rng, 60).split()
+        for i in range(12):
+            text = list(own)
+            if i % 3:
+                text[rng.randrange(60)] = f"edit{cluster}x{i}"
+            rows.append((100 * cluster + i + 1, f"{' '.join(text)} {passage}"))
+    assert by_id(jaccard.join_groups(make_docs(rows)), "n_shingles", "component_id") == brute_groups(rows)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     from presscan.llm.shingles import Sets
@@ -205,26 +243,49 @@ def test_linked_sets_share_a_key():
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
-def brute_cuts(rows):
-    seen, out = set(), {}
-    for doc_id, text, *_ in sorted(rows):
+def cut_by_hand(rows):
+    """What each row keeps: bytes go that lie in a window of a smaller id, or earlier in the row."""
+    seen, out = {}, []
+    for doc_id, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         data = (text or "").encode()
-        gone = bytearray(len(data))
+        gone, own = bytearray(len(data)), set()
         for i in range(len(data) - 99):
             window = data[i : i + 100]
-            if window in seen:
+            if seen.get(window, doc_id) < doc_id or window in own:
                 gone[i : i + 100] = b"\1" * 100
-            seen.add(window)
+            own.add(window)
+            seen.setdefault(window, doc_id)
         spans = sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(data)))
-        out[doc_id] = (len(data), spans, bytes(b for b, g in zip(data, gone, strict=True) if not g))
-    return out
+        out.append((doc_id, len(data), spans, bytes(b for b, g in zip(data, gone, strict=True) if not g)))
+    return sorted(out)
+
+
+def brute_cuts(rows):
+    return {r[0]: r[1:] for r in cut_by_hand(rows)}
+
+
+def cuts_of(docs):
+    return sorted((r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in repeats.without_repeats(docs).collect())
+
+
+@pytest.mark.parametrize(("crowd", "together"), [(repeats.CROWD, repeats.TOGETHER), (1, 700)])
+def test_repeats(docs, mixed_rows, crowd, together, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    assert cuts_of(docs) == cut_by_hand(mixed_rows)
 
 
 @pytest.mark.parametrize("crowd", [repeats.CROWD, 1])
-def test_repeats(docs, mixed_rows, crowd, monkeypatch):
+def test_rows_of_one_id_keep_their_own_texts(make_docs, mixed_rows, crowd, monkeypatch):
+    """Rows that repeat an id never cut each other, but both lose what a smaller id has."""
     monkeypatch.setattr(repeats, "CROWD", crowd)
-    rows = repeats.without_repeats(docs).collect()
-    assert {r["doc_id"]: (r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in rows} == brute_cuts(mixed_rows)
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(5, a), (5, b), (1, a), (5, f"{b} {c} {b}"), (7, f"{c} {d}"), (7, f"x {d}"), (9, f"{d} {b}"), (7, f"x {d}"), (-3, d[:150]), (5, None), (5, "")]
+    rows += [(i % 7, t) for i, t, *_ in mixed_rows]
+    assert cuts_of(make_docs(rows)) == cut_by_hand(rows)
+    kept = sorted((r["doc_id"], r["text"]) for r in repeats.deduplicated(make_docs([(5, a), (5, b), (1, a)])).collect())
+    assert kept == [(1, a), (5, b)]
 
 
 def test_deduplicated_texts_are_valid(docs, mixed_rows, make_docs):
@@ -274,7 +335,6 @@ def test_long_words_contract_as_short_ones_do(tokenizer):
 
 
 def test_languages(make_docs, mixed_rows, spark):
-    from tests.llm.conftest import words
     import random
 
     rng = random.Random(1)
@@ -324,6 +384,19 @@ def test_empty_tables(no_docs, tokenizer, spark):
     assert language_id.predict(no_docs, model).count() == 0
 
 
+def test_pipeline_of_nulls_or_nothing(spark):
+    """Every stage takes rows without any value, and a table without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    nulls = spark.createDataFrame([(None,) * 5, (None,) * 5, (3, None, None, None, None), (4, "just a few words", None, None, None)], schema)
+    for rows, n in ((nulls, 4), (nulls.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, rows, "").count() <= 2 * n
+        docs = rows
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, ""))
+        assert {r["doc_id"] for r in docs.collect()} <= {4}
+
+
 def test_pipeline_stages(make_docs, mixed_rows, spark):
     rows = [r for r in mixed_rows if r[0] != 7]
     docs = make_docs(rows)
