@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presscan.llm import bpe, jaccard, language_id, mixing, repeats
-from presscan.llm.columns import broadcast_if_few
+from presscan.llm.columns import KEY, broadcast_if_few, with_row_keys
 from presscan.session import stored
 
 #: Posterior of the best learned language below which a document goes. It is next to 1 for all but the
@@ -30,10 +30,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that shingle links connect."""
-    groups = jaccard.join_groups(docs)
-    goes = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(broadcast_if_few(goes), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """The document of smallest id of each group that shingle links connect; rows without an id stay.
+
+    Rows that repeat an id are documents of their own, and go only if a link shows them to be near
+    copies of one that stays. Of rows alike in id and text one stays.
+    """
+    keyed, shift = with_row_keys(docs)
+    groups = jaccard.keyed_groups(docs)
+    goes = stored(groups.filter(F.col(KEY) != F.col("__first")).select(F.col(KEY).alias("__gone")).distinct())
+    kept = keyed.join(broadcast_if_few(goes), F.col(KEY) == F.col("__gone"), "left_anti")
+    if shift:  # equal ids and texts share a key
+        kept = kept.filter(F.col(KEY).isNotNull()).dropDuplicates([KEY]).unionByName(kept.filter(F.col(KEY).isNull()))
+    return kept.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
