@@ -9,7 +9,7 @@ a forward-backward pass gives every piece its expected count in a word, summed
 over all segmentations, and the counts of each language are normalised.
 
 Words are runs of letters in lower case, led by a space as the vocabulary writes
-them. Runs longer than :data:`RUN` bytes are scored in parts of that length.
+them, of any length: sums are rescaled every few bytes, so none leaves the range of numbers.
 Expected counts are summed by Spark; the model that is broadcast has one number
 per piece and language, whatever the number of documents.
 """
@@ -17,7 +17,6 @@ per piece and language, whatever the number of documents.
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,12 +30,12 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from presscan.llm.wordbatch import Words, letter_words, slices
 
 UNKNOWN = "und"
-RUN = 48
 #: Strength of the vocabulary's own distribution in a language's.
 SMOOTHING = 2000.0
-#: Per-byte factor that keeps probabilities of runs in range.
-GAIN = float(np.exp(2.5))
-_CHUNK = 20_000
+#: Bytes after which the sums of a word are rescaled.
+_EVERY = 16
+#: Positions of words, times languages, that a pass looks at together, unless one word has more.
+_CELLS = 1 << 20
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -57,127 +56,158 @@ def read_vocabulary(path: str) -> list[bytes]:
 
 
 class Pieces:
-    """A trie over the vocabulary that walks all positions of many words at once."""
+    """A trie over the vocabulary that walks all positions of many words at once.
+
+    Its edges are one sorted array of (node, byte), so it takes no more room than the pieces.
+    """
 
     def __init__(self, pieces: tuple[bytes, ...]):
-        self.symbol = np.zeros(256, np.int32)
-        used = sorted(set(b"".join(pieces)))
-        self.symbol[used] = np.arange(1, len(used) + 1)
-        width, children = len(used) + 1, [defaultdict(int)]
-        piece_at = [-1]
+        children, piece_at = [{}], [-1]
         for i, piece in enumerate(pieces):
             node = 0
             for byte in piece:
-                nxt = children[node][byte]
-                if not nxt:
+                nxt = children[node].get(byte)
+                if nxt is None:
                     nxt = children[node][byte] = len(children)
-                    children.append(defaultdict(int))
+                    children.append({})
                     piece_at.append(-1)
                 node = nxt
             piece_at[node] = i
-        self.table = np.zeros((len(children), width), np.int32)
-        for node, kids in enumerate(children):
-            for byte, nxt in kids.items():
-                self.table[node, self.symbol[byte]] = nxt
+        edges = sorted((node << 8 | byte, nxt) for node, kids in enumerate(children) for byte, nxt in kids.items())
+        self.edge = np.array([e for e, _ in edges], np.int64)
+        self.target = np.array([n for _, n in edges], np.int32)
+        #: Where the first byte leads, without a search.
+        self.root = np.array([children[0].get(byte, 0) for byte in range(256)], np.int32)
         self.piece_at = np.array(piece_at, np.int32)
         self.longest = max(map(len, pieces))
         order = np.arange(len(pieces)) + 10.0
         self.prior = (1 / order) / (1 / order).sum()
 
+    def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next node, 0 where there is none."""
+        wanted = node.astype(np.int64) << 8 | byte
+        place = np.minimum(np.searchsorted(self.edge, wanted), len(self.edge) - 1)
+        return np.where(self.edge[place] == wanted, self.target[place], 0)
+
     def matches(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """word, offset, length and piece of all occurrences of pieces, and the words' lengths."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        text = self.symbol[np.frombuffer(b"\x00".join(words) + b"\x00", np.uint8)]
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        text[starts + lengths] = 0  # ends a walk
-        word = np.repeat(np.arange(len(words)), lengths)
-        offset = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = starts[word] + offset
-        node, found = np.zeros(len(at), np.int32), []
+        text = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        at = np.arange(len(text))
+        offset = (at - (ends - lengths)[word]).astype(np.int32)
+        left = (lengths[word] - offset).astype(np.int32)  # bytes up to the word's end
+        node, found = self.root[text], []
         for length in range(1, self.longest + 1):
-            node = self.table[node, text[at]]
+            if length > 1:
+                node = self._step(node, text[at])
             alive = node > 0
-            word, offset, at, node = word[alive], offset[alive], at[alive] + 1, node[alive]
+            word, offset, left, at, node = word[alive], offset[alive], left[alive], at[alive], node[alive]
             piece = self.piece_at[node]
             hit = piece >= 0
-            found.append((word[hit], offset[hit], np.full(hit.sum(), length), piece[hit]))
+            found.append((word[hit], offset[hit], np.full(hit.sum(), length, np.int32), piece[hit]))
+            on = left > length
+            word, offset, left, at, node = word[on], offset[on], left[on], at[on] + 1, node[on]
             if not len(node):
                 break
         return (*(np.concatenate(x) for x in zip(*found, strict=True)), lengths)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _trie(pieces: tuple[bytes, ...]) -> Pieces:
     return Pieces(pieces)
 
 
-def _runs(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words led by a space, long ones cut; with the word each run comes from."""
-    if all(len(w) < RUN for w in words):
-        return [b" " + w for w in words], np.arange(len(words))
-    runs, origin = [], []
-    for i, word in enumerate(words):
-        led = b" " + word
-        for start in range(0, len(led), RUN):
-            runs.append(led[start : start + RUN])
-            origin.append(i)
-    return runs, np.array(origin, np.int64)
-
-
 class _Lattice:
-    """All segmentations of a chunk of runs; offsets and lengths in groups for vectorised passes."""
+    """All segmentations of a chunk of words; offsets and lengths in groups for vectorised passes.
 
-    def __init__(self, trie: Pieces, runs: list[bytes]):
-        word, offset, length, piece, self.lengths = trie.matches(runs)
-        key = offset * (trie.longest + 1) + length
+    Sums at a position are kept relative to a scale of their word (and column), which changes at
+    every :data:`_EVERY`-th position.
+    """
+
+    def __init__(self, trie: Pieces, words: list[bytes]):
+        word, offset, length, piece, self.lengths = trie.matches(words)
+        self.longest = trie.longest
+        key = offset.astype(np.int64) * (trie.longest + 1) + length
         order = np.argsort(key, kind="stable")
         self.word, self.piece, key = word[order], piece[order], key[order]
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts = np.concatenate([[0], cuts]).astype(int)
         ends = np.concatenate([cuts, [len(key)]]).astype(int)
         self.groups = [(int(key[s] // (trie.longest + 1)), int(key[s] % (trie.longest + 1)), s, e) for s, e in zip(starts, ends, strict=True) if e > s]
-        self.n = len(runs)
+        self.n = len(words)
+
+    def forward(self, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed probability of all segmentations up to a position, by (position, word, column), and the
+        logarithm of its scale, by (position // _EVERY, word, column)."""
+        most = int(self.lengths.max(initial=0))
+        alpha = np.zeros((most + 1, self.n, probability.shape[1]))
+        scale = np.zeros((most // _EVERY + 1, *alpha.shape[1:]))
+        alpha[0] = 1.0
 
-    def _scaled(self, probability: np.ndarray, group: tuple[int, int, int, int]) -> np.ndarray:
-        _, length, s, e = group
-        return probability[self.piece[s:e]] * GAIN**length
+        def rescale(check: int) -> None:
+            rows = alpha[check * _EVERY : check * _EVERY + self.longest]
+            top = rows.max(0)
+            top[top == 0] = 1.0
+            rows /= top
+            scale[check] = scale[check - 1] + np.log(top)
+
+        check = 1
+        for offset, length, s, e in self.groups:
+            while offset >= check * _EVERY:
+                rescale(check)
+                check += 1
+            word = self.word[s:e]
+            alpha[offset + length, word] += alpha[offset, word] * probability[self.piece[s:e]]
+        for rest in range(check, len(scale)):
+            rescale(rest)
+        return alpha, scale
 
-    def forward(self, probability: np.ndarray) -> np.ndarray:
-        """(position, run, column): summed probability of all segmentations up to there."""
-        alpha = np.zeros((int(self.lengths.max(initial=0)) + 1, self.n, probability.shape[1]))
-        alpha[0] = 1.0
-        for group in self.groups:
-            offset, length, s, e = group
-            alpha[offset + length, self.word[s:e]] += alpha[offset, self.word[s:e]] * self._scaled(probability, group)
-        return alpha
+    def _totals(self, alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        each = np.arange(self.n)
+        return np.log(alpha[self.lengths, each]) + scale[self.lengths // _EVERY, each]
 
     def log_totals(self, probability: np.ndarray) -> np.ndarray:
-        alpha = self.forward(probability)
-        return np.log(alpha[self.lengths, np.arange(self.n)]) - np.log(GAIN) * self.lengths[:, None]
+        return self._totals(*self.forward(probability))
 
     def expected(self, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """run, piece and expected number of the piece in a segmentation, for every match."""
-        column = prior[:, None]
-        alpha = self.forward(column)
-        total = alpha[self.lengths, np.arange(self.n), 0]
+        """word, piece and expected number of the piece in a segmentation, for every match."""
+        alpha, scale = (x[:, :, 0] for x in self.forward(prior[:, None]))
+        total = self._totals(alpha, scale)
         beta = np.zeros(alpha.shape)
-        beta[self.lengths, np.arange(self.n), 0] = 1.0
-        share = np.zeros(len(self.piece))
-        for group in reversed(self.groups):
-            offset, length, s, e = group
+        beta[self.lengths, np.arange(self.n)] = 1.0
+        behind = np.zeros(self.n)  # logarithm of the scale of what lies behind
+        share, check = np.zeros(len(self.piece)), len(scale) - 1
+        for offset, length, s, e in reversed(self.groups):
+            while offset < check * _EVERY:
+                rows = beta[check * _EVERY : check * _EVERY + self.longest]
+                top = rows.max(0)
+                # A word that ends here has not been begun, and needs no scale.
+                top[(top == 0) | (self.lengths <= check * _EVERY + self.longest)] = 1.0
+                rows /= top
+                behind += np.log(top)
+                check -= 1
             word = self.word[s:e]
-            through = self._scaled(column, group) * beta[offset + length, word]
+            through = prior[self.piece[s:e]] * beta[offset + length, word]
             beta[offset, word] += through
-            share[s:e] = (alpha[offset, word] * through)[:, 0] / total[word]
+            with np.errstate(divide="ignore"):  # what cannot be continued has no share
+                logs = np.log(alpha[offset, word]) + np.log(through)
+            share[s:e] = np.exp(logs + scale[offset // _EVERY, word] + behind[word] - total[word])
         return self.word, self.piece, share
 
 
-def _chunks(words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    runs, origin = _runs(words)
-    order = np.argsort(np.fromiter(map(len, runs), np.int64, len(runs)), kind="stable")
-    for start in range(0, len(order), _CHUNK):
-        some = order[start : start + _CHUNK]
-        yield [runs[i] for i in some], origin[some]
+def _chunks(words: list[bytes], columns: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words led by a space, about equally long ones together, with their numbers."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    while start < len(order):
+        # Lengths rise, so the last one decides how many positions the chunk has.
+        cells = lengths[order[start:]] * np.arange(1, len(order) - start + 1) * columns
+        some = order[start : start + max(1, int(np.searchsorted(cells, _CELLS, side="right")))]
+        yield [b" " + words[i] for i in some], some
+        start += len(some)
 
 
 @dataclass(frozen=True)
@@ -208,7 +238,7 @@ def fit(docs: DataFrame, vocabulary: str) -> LanguageModel:
                 code = lang.indices.to_numpy(zero_copy_only=False)[words.row]
                 cell = code * len(words.distinct) + words.index
                 occurrences = np.bincount(cell, minlength=len(names) * len(words.distinct)).reshape(len(names), -1)
-                for runs, origin in _chunks(words.distinct):
+                for runs, origin in _chunks(words.distinct, 1):
                     run, piece, share = _Lattice(trie, runs).expected(trie.prior)
                     for i, name in enumerate(names):
                         seen = occurrences[i, origin[run]] * share
@@ -239,7 +269,7 @@ def _scores(model: LanguageModel, words: Words) -> np.ndarray:
     """Log-likelihood of each row under each language."""
     trie = _trie(model.pieces)
     logs = np.zeros((len(words.distinct), len(model.languages)))
-    for runs, origin in _chunks(words.distinct):
+    for runs, origin in _chunks(words.distinct, len(model.languages)):
         totals = _Lattice(trie, runs).log_totals(model.probability)
         for i in range(logs.shape[1]):
             logs[:, i] += np.bincount(origin, weights=totals[:, i], minlength=len(logs))

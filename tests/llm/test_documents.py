@@ -360,6 +360,41 @@ def test_segmentations_are_summed():
     assert share[piece == 3].sum() == pytest.approx(0.1 * 0.25 / by_hand)
 
 
+def test_long_words_are_summed_whole():
+    """Against sums position by position, for words far beyond the range of plain products."""
+    rng = random.Random(9)
+    pieces = tuple({b" ", *(bytes([b]) for b in b"abcxyz"), *(bytes(rng.choices(b"abcxyz", k=rng.randint(2, 9))) for _ in range(150))})
+    trie = language_id.Pieces(pieces)
+    prior = np.array([rng.uniform(1e-9, 1e-2) for _ in pieces])
+    samples = [bytes(rng.choices(b"abcxyz", k=k)) for k in (1, 5, 15, 16, 17, 31, 48, 49, 64, 200, 3000)]
+    number = {p: i for i, p in enumerate(pieces)}
+
+    def by_hand(word):
+        n, spans = len(word), []
+        ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        ahead[0] = behind[n] = 0
+        for i in range(n):
+            for j in range(i + 1, min(n, i + trie.longest) + 1):
+                if word[i:j] in number:
+                    spans.append((i, j, number[word[i:j]]))
+                    ahead[j] = np.logaddexp(ahead[j], ahead[i] + np.log(prior[spans[-1][2]]))
+        for i, j, p in sorted(spans, reverse=True):
+            behind[i] = np.logaddexp(behind[i], behind[j] + np.log(prior[p]))
+        counts = np.zeros(len(pieces))
+        for i, j, p in spans:
+            counts[p] += np.exp(ahead[i] + np.log(prior[p]) + behind[j] - ahead[n])
+        return ahead[n], counts
+
+    for some, origin in language_id._chunks(samples, 1):
+        lattice = language_id._Lattice(trie, some)
+        totals = lattice.log_totals(prior[:, None])[:, 0]
+        word, piece, share = lattice.expected(prior)
+        for k in range(len(some)):
+            total, counts = by_hand(b" " + samples[origin[k]])
+            assert totals[k] == pytest.approx(total)
+            assert np.bincount(piece[word == k], weights=share[word == k], minlength=len(pieces)) == pytest.approx(counts)
+
+
 def test_licenses(make_docs):
     mit = "Permission to do. Released under the MIT License."
     wrapped = (
