@@ -1,19 +1,17 @@
 """Any date string to an ISO 8601 string that keeps its own UTC offset.
 
-Each supported layout is one regular expression that rewrites its match into
-the same ten fields; the fields are then checked and assembled natively.
-Layouts outside the list can be handed to a small Arrow-batched helper, which
-only ever sees the strings no native layout took.
+Each supported layout is one regular expression that names the parts of a date. The layouts are
+tried one after another on the same text: the one that fits rewrites it into ten fields behind a
+mark, and the others then fail at the first character. The fields are checked and
+assembled natively, so no date leaves the scanning task.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+import re
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from presscan.functions.reuse import built_once
 from presscan.functions.text import bind, trim_space
@@ -26,15 +24,23 @@ MONTHS = (
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 UTC_NAMES = ("utc", "gmt", "z")
 
-_MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "may" else m for m in MONTHS) + r"|sept)\.?"
+_MONTH = "(?<m>" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "may" else m for m in MONTHS) + r"|sept)\.?"
 _WEEKDAY = "(?:(?:" + "|".join(f"{d[:3]}(?:{d[3:]})?" for d in WEEKDAYS) + r")\.?,?\s*)?"
-_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+_DAY = r"(?<d>0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?"
+_YEAR = r"(?<y>\d{4}|\d{2})"
+_GAP = r"(?:[,.]?\s+|[-/.])"
 _SEP = r"(?:t|,?\s+(?:at\s+)?)"
 # An unknown zone name is read and dropped; it must not be a month or weekday.
 _RESERVED = "(?!(?:" + "|".join([m[:3] for m in MONTHS] + [d[:3] for d in WEEKDAYS]) + r")\b)"
-_ZONE = rf"(z|utc|gmt|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?|{_RESERVED}(?-i:[A-Z]{{3,5}}))?"
-_TIME = rf"(?:{_SEP}(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:[.,](\d{{1,9}}))?)?\s*(?:([ap])\.?m?\.?(?![a-z]))?\s*{_ZONE})?"
-_COMPACT_TIME = rf"(?:t?(\d{{2}})(\d{{2}})(?:(\d{{2}})(?:\.(\d{{1,9}}))?)?()\s*{_ZONE})?"
+_NAME = rf"(?:z|utc|gmt|{_RESERVED}(?-i:[A-Z]{{3,5}}))"
+_OFFSET = r"(?:[+-](?:(?:[01]\d|2[0-3])(?::?[0-5]\d)?|\d)(?!\d))"
+_ZONE = rf"(?:{_NAME}\s+(?=[+-]))?(?<z>{_OFFSET}|{_NAME}{_OFFSET}?)?(?:\s\((?-i:[A-Z]{{3,5}})\))?"
+_CLOCK = (
+    r"(?=\d{1,2}(?::|\s*[ap]))(?<h>\d{1,2})(?::(?<n>\d{2})(?::(?<s>\d{2})(?:[.,](?<f>\d+))?)?)?"
+    r"\s*(?:(?<p>[ap])\.?m?\.?(?![a-z]))?"
+)
+_TIME = rf"(?:{_SEP}{_CLOCK}\s*{_ZONE})?"
+_COMPACT_TIME = rf"(?:t?(?<h>\d{{2}})(?<n>\d{{2}})(?:(?<s>\d{{2}})(?:\.(?<f>\d+))?)?(?<p>)\s*{_ZONE})?"
 
 #: Already in the form of the result, but for an offset of minus zero.
 _CANONICAL = (
@@ -42,28 +48,40 @@ _CANONICAL = (
     r"(?!-00:00)(?:[+-](?:[01]\d|2[0-3]):[0-5]\d)?$"
 )
 
-#: pattern -> order in which its date groups give (year, month, day).
+_CUT = r"(?<c>[-/. ])"
+#: Three numbers mean year first if the first cannot be a day, day first if it cannot be a month, else month first.
 _LAYOUTS = (
-    (rf"(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){_TIME}", ("$1", "$3", "$4"), 5),
-    (rf"(\d{{4}})(\d{{2}})(\d{{2}}){_COMPACT_TIME}", ("$1", "$2", "$3"), 4),
-    (rf"(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}", ("$1", "$2", "$3"), 4),
-    (rf"{_WEEKDAY}{_DAY}(?:\s+|-)(?:of\s+)?{_MONTH}(?:,?\s+|-)(\d{{4}}){_TIME}", ("$3", "$2", "$1"), 4),
-    (rf"{_WEEKDAY}{_MONTH}\s+{_DAY},?\s+(\d{{4}}){_TIME}", ("$3", "$1", "$2"), 4),
-    # Day first only where the first number cannot be a month.
-    (rf"(1[3-9]|2\d|3[01])([-/.])(\d{{1,2}})\2(\d{{4}}){_TIME}", ("$4", "$3", "$1"), 5),
-    (rf"(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}}){_TIME}", ("$4", "$1", "$3"), 5),
+    rf"{_WEEKDAY}(?<y>\d{{4}}){_CUT}(?<m>\d{{1,2}})\k<c>(?<d>\d{{1,2}}){_TIME}",
+    rf"(?<y>\d{{4}})(?<m>\d{{2}})(?<d>\d{{2}}){_COMPACT_TIME}",
+    rf"(?<y>\d{{4}})(?<m>\d{{2}})(?<d>\d{{2}}){_TIME}",
+    rf"{_WEEKDAY}{_DAY}{_GAP}(?:of\s+)?{_MONTH}{_GAP}{_YEAR}{_TIME}",
+    rf"{_WEEKDAY}{_MONTH}{_GAP}{_DAY}{_GAP}{_YEAR}{_TIME}",
+    rf"(?<y>\d{{4}}|3[2-9]|[4-9]\d){_GAP}{_MONTH}{_GAP}{_DAY}{_TIME}",
+    rf"{_WEEKDAY}(?<d>1[3-9]|2\d|3[01]){_CUT}(?<m>\d{{1,2}})\k<c>{_YEAR}{_TIME}",
+    rf"{_WEEKDAY}(?<y>3[2-9]|[4-9]\d){_CUT}(?<m>\d{{1,2}})\k<c>(?<d>\d{{1,2}}){_TIME}",
+    rf"{_WEEKDAY}(?<m>\d{{1,2}}){_CUT}(?<d>\d{{1,2}})\k<c>{_YEAR}{_TIME}",
 )
+_MARK = "\u0001"
+_REWRITTEN = _MARK + "|".join(f"${{{name}}}" for name in "ymdhnsfpz")
+
+
+def _unnamed(pattern: str) -> str:
+    return re.sub(r"\(\?<\w>", "(?:", pattern)
+
+
+#: Clock in front of the date, and clock between day and year: both are put behind.
+#: A hyphen behind an abbreviated month would be the sign of an offset there.
+_CLOCK_FIRST = rf"^(?i)({_unnamed(_CLOCK)}\s*{_unnamed(_ZONE)}),?\s+(?:on\s+)?(?!.*[a-z]\.-)(\S.*)$"
+_YEAR_LAST = rf"^(?i){_WEEKDAY}({_unnamed(_MONTH)}\s+{_unnamed(_DAY)}),?\s+({_unnamed(_CLOCK)}\s*{_unnamed(_ZONE)})\s+(\d{{4}})$"
 
 
 def _fields(text: Column) -> Column:
     """``[year, month, day, hour, minute, second, fraction, a/p, zone]`` or NULL."""
-    found = F.lit(None).cast("array<string>")
-    for pattern, date_refs, first_time in reversed(_LAYOUTS):
-        anchored = f"^(?i){pattern}$"
-        refs = [*date_refs, *(f"${first_time + i}" for i in range(6))]
-        split = F.split(F.regexp_replace(text, anchored, "|".join(refs)), r"\|")
-        found = F.when(F.regexp_like(text, F.lit(anchored)), split).otherwise(found)
-    return found
+    text = F.regexp_replace(text, _CLOCK_FIRST, "$2 $1")
+    text = F.regexp_replace(text, _YEAR_LAST, "$1 $3 $2")
+    for pattern in _LAYOUTS:
+        text = F.regexp_replace(text, f"^(?i){pattern}$", _REWRITTEN)
+    return bind(text, lambda t: F.when(F.startswith(t, F.lit(_MARK)), F.split(F.substr(t, F.lit(2)), r"\|")))
 
 
 def _assemble(f: Column) -> Column:
@@ -73,10 +91,15 @@ def _assemble(f: Column) -> Column:
     def two(text: Column) -> Column:
         return F.lpad(text, 2, "0")
 
+    # Two digits mean the year of that ending that is less than fifty years off.
+    now = F.year(F.current_date())
+    near = part(0).cast("int") + now - now % 100
+    full = near + F.when(near >= now + 50, -100).when(near < now - 50, 100).otherwise(0)
+    year = F.when(F.length(part(0)) == 2, F.lpad(full.cast("string"), 4, "0")).otherwise(part(0))
     names = F.array(*[F.lit(m[:3]) for m in MONTHS])
     named = F.array_position(names, F.substring(F.lower(part(1)), 1, 3))
     month = F.when(named > 0, named.cast("string")).otherwise(part(1))
-    day = F.concat_ws("-", part(0), two(month), two(part(2)))
+    day = F.concat_ws("-", year, two(month), two(part(2)))
 
     meridiem = F.lower(part(7))
     hour_in = F.when(part(3) == "", F.lit(0)).otherwise(part(3).cast("int"))
@@ -94,12 +117,16 @@ def _assemble(f: Column) -> Column:
     fraction = F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros))
 
     zone = F.lower(part(8))
-    digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
+    found = F.regexp_replace(zone, "[^0-9]", "")
+    digits = F.rpad(F.when(F.length(found) == 1, F.concat(F.lit("0"), found)).otherwise(found), 4, "0")
+    # Behind a name the sign says how far UTC is from there.
+    plus = F.contains(zone, F.lit("+")) != F.regexp_like(zone, F.lit("^[a-z]+[+-]"))
+    signed = F.regexp_like(zone, F.lit("[+-]"))
     offset = (
-        F.when(zone.isin(*UTC_NAMES) | (digits == "0000") & zone.rlike("^[+-]"), F.lit("+00:00"))
+        F.when(zone.isin(*UTC_NAMES) | signed & (digits == "0000"), F.lit("+00:00"))
         .when(
-            zone.rlike("^[+-]"),
-            F.concat(F.substring(zone, 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2)),
+            signed,
+            F.concat(F.when(plus, "+").otherwise("-"), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2)),
         )
         .otherwise(F.lit(""))
     )
@@ -109,8 +136,8 @@ def _assemble(f: Column) -> Column:
 
 
 @built_once
-def iso_or_null(value: Column | str) -> Column:
-    """The native layouts alone; the common one is only checked."""
+def to_iso8601(value: Column | str) -> Column:
+    """ISO 8601 with the source offset, NULL if it is no complete date; the common layout is only checked."""
 
     def normal(text: Column) -> Column:
         is_day = F.substring(text, 1, 10).try_cast("date").isNotNull()
@@ -118,56 +145,3 @@ def iso_or_null(value: Column | str) -> Column:
         return F.when(F.regexp_like(text, F.lit(_CANONICAL)), checked).otherwise(bind(_fields(text), _assemble))
 
     return bind(trim_space(value), normal)
-
-
-@F.arrow_udf(StringType())
-def _parse_other(values: pa.Array) -> pa.Array:
-    """Dates in layouts outside the native list.
-
-    Missing parts would be filled from a default day; two different defaults
-    giving two results show that the string is incomplete, hence NULL.
-    """
-    import warnings
-
-    from dateutil import parser
-
-    def parse(text):
-        if not text:
-            return None
-        try:
-            first, second = (
-                parser.parse(text, default=datetime(year, month, day)).isoformat()
-                for year, month, day in ((2000, 1, 1), (2004, 3, 3))
-            )
-        except (ValueError, OverflowError, TypeError):
-            return None
-        return first if first == second else None
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", parser.UnknownTimezoneWarning)
-        return pa.array([parse(v) for v in values.to_pylist()], pa.string())
-
-
-def to_iso8601(value: Column | str, exact: bool = False) -> Column:
-    """ISO 8601 with the source offset, NULL if it is no complete date.
-
-    ``exact`` adds the helper for rare layouts; rows a native layout took, and
-    blank ones, cross to Python as NULL.
-    """
-    if not exact:
-        return iso_or_null(value)
-    return F.coalesce(iso_or_null(value), _parse_other(_unknown_layout(value)))
-
-
-@built_once
-def _unknown_layout(value: Column | str) -> Column:
-    """The text, where no native layout takes it and it may be a date."""
-
-    def unknown(text: Column) -> Column:
-        known = F.regexp_like(text, F.lit(_CANONICAL))
-        for pattern, *_ in _LAYOUTS:
-            known = known | F.regexp_like(text, F.lit(f"^(?i){pattern}$"))
-        # Without a digit there is no complete date.
-        return F.when(F.regexp_like(text, F.lit(r"\d")) & ~known, text)
-
-    return bind(trim_space(value), unknown)

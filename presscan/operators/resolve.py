@@ -23,7 +23,7 @@ def utc_stamp(at: datetime) -> str:
     return at.astimezone(timezone.utc).isoformat(timespec="seconds")
 
 
-def classify(candidates: DataFrame, metadata: DataFrame, exact_dates: bool = True) -> DataFrame:
+def classify(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
     """Candidates merged with their page, and why a row would be dropped.
 
     ``metadata`` has one row per ``url``; a candidate without one lives on its
@@ -36,7 +36,7 @@ def classify(candidates: DataFrame, metadata: DataFrame, exact_dates: bool = Tru
             "description": F.col("_page_description"),
             "author": F.col("_page_author"),
             "published_at": F.coalesce(
-                _filled(F.col("_page_published_at")), to_iso8601("published_at", exact=exact_dates)
+                _filled(F.col("_page_published_at")), to_iso8601("published_at")
             ),
             "image_url": F.coalesce(_filled(F.col("_page_image_url")), _filled(F.col("image_url"))),
         }
@@ -52,11 +52,11 @@ def _reason_to_drop() -> Column:
 
 
 def resolve_articles(
-    candidates: DataFrame, metadata: DataFrame, scraped_at: datetime | str, exact_dates: bool = True
+    candidates: DataFrame, metadata: DataFrame, scraped_at: datetime | str
 ) -> DataFrame:
     """Articles in canonical column order; the clock is passed in."""
     stamp = scraped_at if isinstance(scraped_at, str) else utc_stamp(scraped_at)
-    kept = classify(candidates, metadata, exact_dates).where(F.col("dropped").isNull())
+    kept = classify(candidates, metadata).where(F.col("dropped").isNull())
     return to_articles(kept, stamp)
 
 

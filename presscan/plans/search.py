@@ -39,7 +39,6 @@ class SearchOptions:
     retries: int = RETRIES
     delay: float = CRAWL_DELAY
     user_agent: str = USER_AGENT
-    exact_dates: bool = True
 
     def __post_init__(self) -> None:
         for name in ("max_articles", "max_sitemap_entries"):
@@ -116,7 +115,7 @@ def candidate_metadata(documents: DataFrame, candidates: DataFrame, options: Sea
     """
     pages = article_pages(documents).select("url", "attempt", "body").join(candidates.select("url"), "url", "left_semi")
     read = first_success(pages, options.retries)
-    return page_metadata(read.drop("attempt"), "body", options.exact_dates)
+    return page_metadata(read.drop("attempt"), "body")
 
 
 def _verdicts(corpus: Corpus, chosen: DataFrame, options: SearchOptions) -> DataFrame:
@@ -127,7 +126,7 @@ def _verdicts(corpus: Corpus, chosen: DataFrame, options: SearchOptions) -> Data
 def _resolved(corpus: Corpus, verdicts: DataFrame, options: SearchOptions) -> DataFrame:
     """Refused pages are never read."""
     allowed = verdicts.where("allowed").drop("allowed", "delay")
-    return classify(allowed, candidate_metadata(corpus.documents, allowed, options), options.exact_dates)
+    return classify(allowed, candidate_metadata(corpus.documents, allowed, options))
 
 
 def search_many(

@@ -23,14 +23,14 @@ def is_real_author(value: Column | str) -> Column:
     )
 
 
-def page_metadata(pages: DataFrame, html: str = "html", exact_dates: bool = True) -> DataFrame:
+def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without ``html``, plus the five metadata columns."""
     tokens = pages.withColumn("_tokens", markup.page_tokens(html)).drop(html)
     raw = tokens.withColumn("_page", markup.gathered("_tokens")).drop("_tokens")
-    return resolve_metadata(raw, "_page", exact_dates)
+    return resolve_metadata(raw, "_page")
 
 
-def resolve_metadata(gathered: DataFrame, page: str = "gathered", exact_dates: bool = True) -> DataFrame:
+def resolve_metadata(gathered: DataFrame, page: str = "gathered") -> DataFrame:
     """The five columns from a gathered page, which is dropped.
 
     JSON-LD comes first for everything but the image; a first date that does
@@ -49,7 +49,7 @@ def resolve_metadata(gathered: DataFrame, page: str = "gathered", exact_dates: b
         "title",
         "description",
         _author("_ld_author", "_meta_author").alias("author"),
-        to_iso8601("_date", exact=exact_dates).alias("published_at"),
+        to_iso8601("_date").alias("published_at"),
         "image_url",
     )
 

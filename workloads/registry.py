@@ -64,16 +64,22 @@ def keyword_column(spark, sf):
 
 def iso_dates(spark, sf):
     orders = table(spark, sf, "orders")
-    day, shape = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    day, shape = F.col("o_orderdate"), F.col("o_orderkey") % 12
     text = (
         F.when(shape == 0, F.date_format(day, "yyyy-MM-dd"))
         .when(shape == 1, F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
         .when(shape == 2, F.date_format(day, "MMMM d, yyyy h:mm a"))
         .when(shape == 3, F.date_format(day, "MM/dd/yyyy"))
         .when(shape == 4, F.date_format(day, "yyyyMMdd"))
-        .otherwise(F.concat(F.lit(" "), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("-0600\n")))
+        .when(shape == 5, F.concat(F.lit(" "), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("-0600\n")))
+        .when(shape == 6, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 6pm")))
+        .when(shape == 7, F.date_format(day, "dd-MMM-yy"))
+        .when(shape == 8, F.date_format(day, "yyyy MMMM d"))
+        .when(shape == 9, F.date_format(day, "EEE, d MMM yyyy HH:mm:ss '-0600 (CST)'"))
+        .when(shape == 10, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'.1234567890Z'"))
+        .otherwise(F.date_format(day, "EEE MMM dd '18:14:00 EST' yyyy"))
     )
-    return orders.select("o_orderkey", ps.to_iso8601(text, exact=True).alias("iso"))
+    return orders.select("o_orderkey", ps.to_iso8601(text).alias("iso"))
 
 
 def iso_timestamps(spark, sf):
