@@ -27,7 +27,7 @@ from presscan.schema import ARTICLE_FIELDS, ARTICLE_SCHEMA, DOCUMENT_SCHEMA
 from presscan.session import build_session, configure
 from presscan.sinks import UpsertTable, append_new, read_csv, save_articles, upsert, write_all
 from presscan.sources.documents import article_pages, first_success, read_documents, usable_documents
-from presscan.sources.pages import is_real_author, page_metadata, resolve_metadata
+from presscan.sources.pages import first_page_metadata, is_real_author, page_metadata, resolve_metadata
 from presscan.sources.sitemaps import expand_sitemaps, is_sitemap_index, sitemap_children, sitemap_entries
 from presscan.sources.sites import available_sites, select_sites, sitemap_roots
 from presscan.streaming.articles import articles_table, read_entries, stream_articles, stream_documents, stream_entries

@@ -46,44 +46,40 @@ def limit_scan(
 def limit_leaves(leaves: DataFrame, n: int) -> DataFrame:
     """The per-site entry budget, spent on documents instead of entries.
 
-    Adds ``take``, the number of entries wanted from each url-set. Every
-    url-set holds at least one entry, so the first ``n`` of them suffice and
-    the running total runs over at most ``n`` narrow rows per site.
+    Adds ``take``, the number of entries wanted from each url-set. Of a large site only the
+    ranges that the budget reaches are added up row by row.
     """
-    ranked = top_n_per_group(leaves.where(F.col("n_entries") > 0), ["site_ord"], ["path"], n)
-    before = Window.partitionBy("site_ord").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("n_entries").over(before), F.lit(0))
-    return (
-        ranked.withColumn("_left", F.lit(n) - spent)
-        .where(F.col("_left") > 0)
-        .withColumn("take", F.least("_left", "n_entries"))
-        .drop("_rn", "_left")
-    )
+    counted = _running(leaves.where(F.col("n_entries") > 0), ["site_ord"], ["path"], "n_entries", until=n)
+    left = counted.withColumn("_left", F.lit(n) - F.col("_before")).where(F.col("_left") > 0)
+    return left.withColumn("take", F.least("_left", "n_entries")).drop("_left", "_before")
 
 
-def row_number_all(df: DataFrame, group: list[str], order: list[str], rank: str = "_rn") -> DataFrame:
-    """Number every row of every group, for groups of any size.
+def _running(df: DataFrame, group: list[str], order: list[str], weight: Column | str, until: int | None = None) -> DataFrame:
+    """``df`` with ``_before``, the weight of the rows of its group that come earlier, for groups of any size.
 
     Rows are range-partitioned by (group, order), so a large group spans many
-    partitions and lies in them in order. A row's number is its place within
-    its partition plus the rows of the group in earlier partitions. The
-    partitioned rows are stored once, with their partition number: sampled
-    range bounds may differ between two runs of the same stage.
+    partitions and lies in them in order. What is before a row is what is before it in its
+    partition plus the group's weight in earlier partitions. Partitions that begin at ``until`` or
+    later are left out. The partitioned rows are stored once, with their partition
+    number: sampled range bounds may differ between two runs of the same stage.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in (*group, *order)]).withColumn(
-        "_part", F.spark_partition_id()
-    )
-    ranged = stored(ranged)
-    sizes = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    ranged = df.withColumn("_weight", weight.cast("bigint")).repartitionByRange(*[F.col(c) for c in (*group, *order)])
+    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*group, "_part").agg(F.sum("_weight").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*group, "_part").orderBy(*order)
-    return (
-        ranged.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*group, "_part"])
-        .withColumn(rank, (F.col("_local") + F.col("_offset")).cast("bigint"))
-        .drop("_part", "_local", "_offset")
-    )
+    if until is not None:
+        offsets = offsets.where(F.col("_offset") < until)
+    local = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reached = ranged.join(offsets, [*group, "_part"])
+    before = F.col("_offset") + F.coalesce(F.sum("_weight").over(local), F.lit(0))
+    return reached.withColumn("_before", before).drop("_part", "_offset", "_weight").select(*df.columns, "_before")
+
+
+def row_number_all(df: DataFrame, group: list[str], order: list[str], rank: str = "_rn") -> DataFrame:
+    """Number every row of every group, for groups of any size."""
+    return _running(df, group, order, F.lit(1)).withColumn(rank, F.col("_before") + 1).drop("_before")
 
 
 def interleave(
@@ -103,7 +99,7 @@ def interleave(
     position = [F.col("turn"), F.col("_first")]
     if limit is None:
         ranked = row_number_all(df, keys, list(order), "turn")
-        first = ranked.where("turn = 1").select(*keys, F.struct(*order).alias("_first"))
+        first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
         return ranked.join(first, keys).orderBy(*per, *position).drop("_first")
     ranked = top_n_per_group(df, keys, list(order), limit, rank="turn")
     # At most ``limit`` rows are left of a group, partitioned and sorted already.

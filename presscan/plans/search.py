@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presscan.functions.text import nonblank
+from presscan.functions.urls import url_origin
 from presscan.operators.matching import match_entries
 from presscan.operators.ranking import interleave, limit_leaves
 from presscan.operators.resolve import classify, search_funnel, to_articles, utc_stamp
@@ -23,8 +24,8 @@ from presscan.schema import (
     USER_AGENT,
 )
 from presscan.session import stored
-from presscan.sources.documents import article_pages, first_per_key, first_success
-from presscan.sources.pages import page_metadata
+from presscan.sources.documents import article_pages, first_per_key
+from presscan.sources.pages import first_page_metadata
 from presscan.sources.sitemaps import expand_sitemaps, leaf_entries, sitemap_catalog
 from presscan.sources.sites import sitemap_roots
 
@@ -49,26 +50,48 @@ class SearchOptions:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Fetched documents with what every search needs to know about them."""
+    """Fetched documents, and what is known about their sitemaps and robots files.
+
+    Without a catalog a search reads only the sitemaps that its sites lead to, and the robots files
+    of the origins it meets; :meth:`of` reads them all once, for many searches over many sites.
+    """
 
     documents: DataFrame
-    catalog: DataFrame
-    policies: DataFrame
+    catalog: DataFrame | None = None
+    policies: DataFrame | None = None
 
     @classmethod
     def of(cls, documents: DataFrame | Corpus) -> Corpus:
         """Read robots files and sitemap structure once; keep it for more searches."""
-        if isinstance(documents, Corpus):
+        if isinstance(documents, Corpus) and documents.catalog is not None:
             return documents
+        documents = documents.documents if isinstance(documents, Corpus) else documents
         return cls(documents, stored(sitemap_catalog(documents)), stored(robots_policies(documents)))
 
+    @classmethod
+    def over(cls, documents: DataFrame | Corpus) -> Corpus:
+        return documents if isinstance(documents, Corpus) else cls(documents)
+
+    def facts(self, urls: DataFrame) -> DataFrame:
+        """The catalog's rows of the sitemaps ``urls``."""
+        if self.catalog is not None:
+            return self.catalog
+        return sitemap_catalog(self.documents.join(urls.select("url").distinct(), "url", "left_semi"))
+
+    def rules(self, urls: DataFrame) -> DataFrame:
+        """The robots policies of the origins of ``urls``."""
+        if self.policies is not None:
+            return self.policies
+        files = urls.select(F.concat(url_origin("url"), F.lit("/robots.txt")).alias("url")).distinct()
+        return robots_policies(self.documents.join(files, "url", "left_semi"))
+
 
 def scan_plan(corpus: Corpus, sites: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Url-sets to read, and how many entries of each fit the site's budget."""
     leaves = expand_sitemaps(
         sitemap_roots(sites, options.include_archive),
-        corpus.catalog,
-        corpus.policies,
+        corpus.facts,
+        corpus.rules,
         MAX_INDEX_DEPTH,
         options.user_agent,
     )
@@ -79,7 +102,7 @@ def scan_entries(
     documents: DataFrame | Corpus, sites: DataFrame, options: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """The entries within every site's budget, in a form that carries order."""
-    corpus = Corpus.of(documents)
+    corpus = Corpus.over(documents)
     return leaf_entries(scan_plan(corpus, sites, options), corpus.documents, take="take")
 
 
@@ -109,18 +132,17 @@ def shortlist(candidates: DataFrame, options: SearchOptions = SearchOptions()) -
 def candidate_metadata(documents: DataFrame, candidates: DataFrame, options: SearchOptions) -> DataFrame:
     """Metadata of the candidates' pages, one row per URL.
 
-    Raw pages are narrowed to the candidates before anything is parsed or
-    shuffled. The candidates are a written table, so Spark knows their size and
-    lets the page scan feed straight into the semi join while they are few.
+    Raw pages are narrowed to the candidates before anything is parsed, and
+    read before anything is shuffled. The candidates are a written table, so Spark knows their
+    size and lets the page scan feed straight into the semi join while they are few.
     """
     pages = article_pages(documents).select("url", "attempt", "body").join(candidates.select("url"), "url", "left_semi")
-    read = first_success(pages, options.retries)
-    return page_metadata(read.drop("attempt"), "body")
+    return first_page_metadata(pages, options.retries)
 
 
 def _verdicts(corpus: Corpus, chosen: DataFrame, options: SearchOptions) -> DataFrame:
     """The shortlist with its robots verdicts, stored: the page scan and the final join use it."""
-    return stored(robots_verdict(chosen, corpus.policies, options.user_agent, options.delay))
+    return stored(robots_verdict(chosen, corpus.rules(chosen), options.user_agent, options.delay))
 
 
 def _resolved(corpus: Corpus, verdicts: DataFrame, options: SearchOptions) -> DataFrame:
@@ -149,8 +171,8 @@ def search_many(
     if blank:
         raise ValueError("a keyword must not be empty")
     stamp = scraped_at if isinstance(scraped_at, str) else utc_stamp(scraped_at or datetime.now(timezone.utc))
-    corpus = Corpus.of(documents)
-    verdicts = _verdicts(corpus, shortlist(discover(corpus, sites, words, options), options), options)
+    corpus = Corpus.over(documents)
+    verdicts = _verdicts(corpus, stored(shortlist(discover(corpus, sites, words, options), options)), options)
     kept = _resolved(corpus, verdicts, options).where(F.col("dropped").isNull())
     return to_articles(kept, stamp)
 
@@ -170,12 +192,12 @@ def funnel(
     documents: DataFrame | Corpus, sites: DataFrame, keyword: str, options: SearchOptions = SearchOptions()
 ) -> DataFrame:
     """What every stage of :func:`search` kept and dropped, per site."""
-    corpus = Corpus.of(documents)
+    corpus = Corpus.over(documents)
     plan = scan_plan(corpus, sites, options)
     scanned = plan.join(sites.select("site_ord", "site_key"), "site_ord").select("site_key", F.col("take").alias("n"))
     entries = leaf_entries(plan, corpus.documents, take="take")
     candidates = stored(_first_matches(entries, sites, keyword))
-    verdicts = _verdicts(corpus, shortlist(candidates, options), options)
+    verdicts = _verdicts(corpus, stored(shortlist(candidates, options)), options)
     refused = verdicts.where(~F.col("allowed"))
     classified = _resolved(corpus, verdicts, options).select("site_key", "dropped")
     return search_funnel(

@@ -9,6 +9,8 @@ from presscan.functions import jsonld, markup
 from presscan.functions.dates import to_iso8601
 from presscan.functions.reuse import built_once
 from presscan.functions.text import first_nonblank, trim_space
+from presscan.schema import RETRIES
+from presscan.sources.documents import first_per_key
 
 METADATA_COLUMNS = ("title", "description", "author", "published_at", "image_url")
 
@@ -30,6 +32,17 @@ def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
     return resolve_metadata(raw, "_page")
 
 
+def first_page_metadata(attempts: DataFrame, retries: int = RETRIES) -> DataFrame:
+    """Metadata of the first attempt at every ``url`` that has a ``body``, of ``retries + 1``.
+
+    Attempts with a body are read where they are scanned; only what was found in them is
+    compared, so no page is sorted or sent anywhere. A URL has one such attempt as a rule.
+    """
+    tried = attempts.where((F.col("attempt") <= retries + 1) & F.col("body").isNotNull())
+    read = page_metadata(tried.select("url", "attempt", "body"), "body")
+    return first_per_key(read, ["url"], [F.col("attempt")]).drop("attempt")
+
+
 def resolve_metadata(gathered: DataFrame, page: str = "gathered") -> DataFrame:
     """The five columns from a gathered page, which is dropped.
 

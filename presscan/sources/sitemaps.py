@@ -7,6 +7,8 @@ expand indexes. Bodies are read again for the documents that are really used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +62,68 @@ def _first_of(items: Column, pick) -> Column:
 
 @built_once
 def _parsed(xml: Column | str, schema: str) -> Column:
-    xml = _col(xml)
-    body = F.regexp_replace(xml, rf"(?s)({_PROLOG})(?=<)", "")
-    return F.from_xml(F.when(_single_root(xml), body), schema, _XML_OPTIONS)
+    def tree(text: Column) -> Column:
+        body = F.regexp_replace(text, rf"(?s)({_PROLOG})(?=<)", "")
+        return F.from_xml(F.when(_single_root(text), body), schema, _XML_OPTIONS)
+
+    return bind(_prepared(_col(xml)), tree)
+
+
+# The names of elements that hold data.
+_NAMES = "url|loc|lastmod|news|title|publication_date|image|sitemap"
+#: A tag whose name differs from those in case only; the parser would not tell it apart.
+_OTHER_CASE = rf"(</?(?:[\w.\-]+:)?)(?!(?:{_NAMES})[\s/>])((?i:{_NAMES})[\s/>])"
+_ENTITY = r"""<!ENTITY\s+([\w.\-:]+)\s+("[^"]*"|'[^']*')\s*>"""
+#: Text and markup, and what must stay as it is: CDATA sections and comments.
+_SECTIONS = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|(?:[^<]++|<(?!!\[CDATA\[|!--))++"
+#: Characters that a document may grow to by its entities.
+MAX_EXPANDED = 8 << 20
+
+
+def _prepared(xml: Column) -> Column:
+    """The document with its internal entities expanded and tags of other case renamed; most need neither.
+
+    NULL if an entity holds itself, or if the text would grow too long.
+    """
+
+    def expanded(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+        entities = F.transform(
+            found,
+            lambda e: F.struct(
+                F.concat(F.lit("&"), F.regexp_extract(e, _ENTITY, 1), F.lit(";")).alias("name"),
+                F.regexp_replace(F.regexp_extract(e, _ENTITY, 2), r"(?s)^.|.$", "").alias("value"),
+            ),
+        )
+        # Of two declarations of a name the first counts: it is replaced first.
+        body = F.regexp_replace(text, rf"(?s)^({_PROLOG})(?=<)", "")
+
+        def replaced(part: Column, e: Column) -> Column:
+            # The length is known before the text is made.
+            rest = F.length(F.replace(part, e["name"], F.lit("")))
+            uses = (F.length(part) - rest) / F.length(e["name"])
+            return F.when(rest + uses * F.length(e["value"]) <= MAX_EXPANDED, F.replace(part, e["name"], e["value"]))
+
+        def once(part: Column, known: Column) -> Column:
+            return F.aggregate(known, part, replaced)
+
+        def open_(part: Column, known: Column) -> Column:
+            rounds = F.aggregate(F.sequence(F.lit(1), F.size(known)), part, lambda acc, _: once(acc, known))
+            closed = ~F.exists(known, lambda e: F.contains(rounds, e["name"]))
+            return F.when(F.size(known) == 0, part).otherwise(F.when(closed, rounds))
+
+        def section(part: Column, known: Column) -> Column:
+            other = F.regexp_replace(open_(part, known), _OTHER_CASE, "$1_$2")
+            return F.when(F.startswith(part, F.lit("<!")), part).otherwise(other)
+
+        def joined(known: Column) -> Column:
+            parts = F.transform(F.regexp_extract_all(body, F.lit(_SECTIONS), F.lit(0)), lambda p: section(p, known))
+            return bind(parts, lambda p: F.when(F.forall(p, lambda x: x.isNotNull()), F.array_join(p, "")))
+
+        return bind(entities, joined)
+
+    odd = F.contains(xml, F.lit("<!ENTITY")) | F.regexp_like(xml, F.lit(_OTHER_CASE))
+    return F.when(odd, bind(xml, expanded)).otherwise(xml)
 
 
 def _single_root(xml: Column) -> Column:
@@ -128,29 +189,26 @@ def _filled(tag: str) -> str:
     return rf"<(?:[\w.\-]+:)?{tag}(?:\s[^>]*)?(?<!/)>\s*(?:<!\[CDATA\[\s*)?[^\s<\]]"
 
 
-def sitemap_entries(
-    documents: DataFrame, body: str = "body", carry: tuple[str, ...] = (), take: str | None = None
-) -> DataFrame:
+def sitemap_entries(documents: DataFrame, body: str = "body", carry: tuple[str, ...] = ()) -> DataFrame:
     """Entries of url-sets, one row each, in document order.
 
-    Row-local, hence usable on a stream as well. ``carry`` names columns to
-    keep; ``take`` names a column with the number of entries wanted from each
-    document, cut before the rows are made.
+    Row-local, hence usable on a stream as well. ``carry`` names columns to keep.
     """
+    keep = ["source_sitemap", *carry]
+    parsed = _with_trees(documents.withColumn("source_sitemap", F.col("url")), body, keep)
+    rows = _exploded(parsed, _entries("_tree", "_blocks"), keep, "entry_ord", "_entry")
+    return rows.select(*carry, "source_sitemap", "_entry.*", "entry_ord")
+
+
+def _with_trees(documents: DataFrame, body: str, keep: list[str]) -> DataFrame:
+    """``keep``, ``_tree`` and, where the order of dates matters, ``_blocks`` of documents that may be XML."""
     xml = F.col(body)
     both_dates = F.contains(xml, F.lit("lastmod")) & F.contains(xml, F.lit("publication_date"))
-    parsed = documents.where(F.contains(xml, F.lit("<"))).select(
-        F.col("url").alias("source_sitemap"),
-        *carry,
-        *([take] if take else []),
+    return documents.where(F.contains(xml, F.lit("<"))).select(
+        *keep,
         _parsed(body, _TREE).alias("_tree"),
         F.when(both_dates, _parsed(body, _BLOCKS)["url"]).alias("_blocks"),
     )
-    entries = _entries("_tree", "_blocks")
-    if take:
-        entries = F.slice(entries, F.lit(1), F.col(take).cast("int"))
-    rows = _exploded(parsed, entries, ["source_sitemap", *carry], "entry_ord", "_entry")
-    return rows.select(*carry, "source_sitemap", "_entry.*", "entry_ord")
 
 
 iter_entries = sitemap_entries
@@ -210,11 +268,18 @@ def _readable(documents: DataFrame) -> DataFrame:
 def leaf_entries(leaves: DataFrame, documents: DataFrame, take: str | None = None) -> DataFrame:
     """Entries of the url-sets in ``leaves``, with their ``site_ord`` and ``path``.
 
-    Documents no leaf asks for are dropped before anything is shuffled.
+    Documents no leaf asks for are dropped before they are parsed, and the others parsed where they
+    are scanned: only entries are compared and joined, never bodies.
     """
-    bodies = _readable(documents).join(leaves.select("url"), "url", "left_semi")
-    bodies = first_per_key(bodies.select("url", "fetched_at", "body"), ["url"], [F.col("fetched_at")])
-    return sitemap_entries(leaves.join(bodies, "url"), carry=("site_ord", "path"), take=take)
+    wanted = _readable(documents).join(leaves.select("url"), "url", "left_semi")
+    parsed = _with_trees(wanted.select("url", "fetched_at", "body"), "body", ["url", "fetched_at"])
+    listed = parsed.select("url", "fetched_at", _entries("_tree", "_blocks").alias("_list"))
+    first = first_per_key(listed, ["url"], [F.col("fetched_at")])
+    items = F.slice("_list", F.lit(1), F.col(take).cast("int")) if take else F.col("_list")
+    carry = ["site_ord", "path"]
+    rows = leaves.join(first, "url").select(*carry, F.col("url").alias("source_sitemap"), items.alias("_list"))
+    rows = _exploded(rows, F.col("_list"), [*carry, "source_sitemap"], "entry_ord", "_entry")
+    return rows.select(*carry, "source_sitemap", "_entry.*", "entry_ord")
 
 
 def of_origins(urls: DataFrame, origins: DataFrame) -> DataFrame:
@@ -225,14 +290,17 @@ def of_origins(urls: DataFrame, origins: DataFrame) -> DataFrame:
 
 def expand_sitemaps(
     roots: DataFrame,
-    catalog: DataFrame,
-    rules: DataFrame | None = None,
+    catalog: DataFrame | Callable[[DataFrame], DataFrame],
+    rules: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     max_depth: int = MAX_INDEX_DEPTH,
     user_agent: str = USER_AGENT,
     asked: DataFrame | None = None,
 ) -> DataFrame:
     """Url-sets reached from the roots: ``(site_ord, path, url, n_entries)``.
 
+    Catalog and rules are tables, or what gives the part of them that some URLs need: then a level
+    is read when it is reached, and nothing else is.
+
     With ``asked`` (column ``origin``) only sitemaps of those origins are opened: the others
     wait until it is known what their robots file says.
 
@@ -241,15 +309,16 @@ def expand_sitemaps(
     sitemap reached twice is there twice. The depth is fixed, so the joins are
     unrolled; a level feeds both the result and the next level, hence stored.
     """
-    facts = catalog.select("url", "is_index", "children", "n_entries")
+    facts_of = catalog if callable(catalog) else lambda _: catalog
+    rules_of = rules if callable(rules) or rules is None else lambda _: rules
     frontier = roots.select("site_ord", "path", "url")
     leaves = None
     for depth in range(max_depth + 1):
-        if rules is not None:
-            frontier = robots_verdict(frontier, rules, user_agent).where("allowed").drop("allowed", "delay")
+        if rules_of is not None:
+            frontier = robots_verdict(frontier, rules_of(frontier), user_agent).where("allowed").drop("allowed", "delay")
         if asked is not None:
             frontier = of_origins(frontier, asked)
-        found = frontier.join(facts, "url")
+        found = frontier.join(facts_of(frontier).select("url", "is_index", "children", "n_entries"), "url")
         if depth < max_depth:
             found = stored(found)
         level = found.where(~F.col("is_index") & (F.col("n_entries") > 0)).select(

@@ -1,7 +1,8 @@
 from __future__ import annotations
 
 import presscan as ps
-from presscan.plans.search import SearchOptions, scan_entries
+from presscan.operators.ranking import limit_leaves
+from presscan.plans.search import Corpus, SearchOptions, scan_entries
 from presscan.sources.sitemaps import sitemap_catalog
 from tests.conftest import index, titled, urlset
 
@@ -70,6 +71,64 @@ def test_malformed_documents_give_nothing(web):
     assert docs.where(ps.is_sitemap_index("body")).collect() == []
 
 
+def test_names_count_in_their_own_case(web):
+    body = "<URLSET><URL><LOC>a</LOC></URL><url><LOC>b</LOC><loc>c</loc><Lastmod>x</Lastmod><news><Title>t</Title></news></url><url><loc>d</loc><news><title><![CDATA[<LOC>]]></title></news></url></URLSET>"
+    assert entries(web, body) == [("c", None, None, None), ("d", "<LOC>", None, None)]
+    assert entries(web, "<URLSET><URL><LOC>a</LOC></URL></URLSET>") == []
+
+
+def test_internal_entities(web):
+    declared = '<!DOCTYPE urlset [<!ENTITY site "https://a.test"> <!ENTITY path \'&site;/p\'><!ENTITY path "late"><!ENTITY e "<loc>&path;/2</loc>">]>'
+    body = declared + urlset("<loc>&path;/1</loc><news><title><![CDATA[&site;]]> &amp; x</title></news>", "&e;").removeprefix('<?xml version="1.0"?>')
+    assert entries(web, body) == [("https://a.test/p/1", "&site; & x", None, None), ("https://a.test/p/2", None, None, None)]
+    looped = '<!DOCTYPE u [<!ENTITY a "&b;"><!ENTITY b "&a;">]><u><url><loc>&a;</loc></url></u>'
+    laughs = "<!DOCTYPE u [" + '<!ENTITY a0 "lololololol">' + "".join(f'<!ENTITY a{i} "{f"&a{i - 1};" * 10}">' for i in range(1, 10)) + "]><u><url><loc>&a9;</loc></url></u>"
+    undeclared = "<!DOCTYPE u [<!ENTITY a 'x'>]><u><url><loc>&b;</loc></url></u>"
+    outside = '<!DOCTYPE u [<!ENTITY a SYSTEM "file:///x">]><u><url><loc>&a;</loc></url></u>'
+    for bad in (looped, laughs, undeclared, outside):
+        assert entries(web, bad) == []
+
+
+def test_bodies_are_never_sorted_or_sent(spark, web, outlets):
+    docs, sites = nested(web), outlets(a=(["https://a.test/root"], []))
+    pages = ps.first_page_metadata(ps.article_pages(docs).select("url", "attempt", "body"))
+    for rows in (scan_entries(docs, sites), pages, sitemap_catalog(docs)):
+        plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [part for part in plan.split("\n\n") if " Sort\n" in part or " Exchange\n" in part]
+        assert moved and not [part for part in moved if "body#" in part]
+
+
+def test_only_reached_sitemaps_are_read(web, outlets):
+    sites = outlets(a=(["https://a.test/root"], []))
+    others = [(f"https://b{i}.test/s", "sitemap", urlset("<loc>x</loc>")) for i in range(60)]
+    corpus = Corpus.over(nested(web, *others))
+    asked = []
+    facts = Corpus.facts
+
+    def counted(self, urls):
+        found = facts(self, urls)
+        asked.append(found.count())
+        return found
+
+    Corpus.facts = counted
+    try:
+        assert scanned(corpus, sites) == ["p1", "p2", "p5", "p1", "p2", "p3", "p4"]
+    finally:
+        Corpus.facts = facts
+    assert asked == [1, 3, 3]
+
+
+def test_a_large_budget_is_added_up_in_ranges(spark):
+    """No row is ranked among all of its site: a site's documents span partitions."""
+    leaves = spark.range(20_000).selectExpr("0 AS site_ord", "array(int(id)) AS path", "concat('u', id) AS url", "id % 7 AS n_entries")
+    total = sum(i % 7 for i in range(20_000))
+    rows = limit_leaves(leaves, 50_000)
+    assert rows.agg({"take": "sum"}).first()[0] == 50_000 < total
+    assert limit_leaves(leaves, 1_000_000).agg({"take": "sum"}).first()[0] == total
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "site_ord" in plan and "_part" in plan
+
+
 def test_index(web):
     docs = web(
         ("i", "sitemap", "﻿<?xml version='1.0'?><!-- x --><!DOCTYPE sitemapindex>\n" + index("b", " ", "a")),

@@ -2,7 +2,9 @@
 
 Every row of ``pages`` becomes a sitemap entry, an article page and its fetch
 attempts; every host becomes a site with an index, a middle index and url-sets
-of at most 50 entries. The expected answers follow from ``pages`` alone.
+of at most 50 entries, and an archive of the same url-sets, the last ones first. Every
+second url-set writes the host as an entity, and all hold elements whose names
+differ in case only. The expected answers follow from ``pages`` alone.
 """
 
 from __future__ import annotations
@@ -71,7 +73,9 @@ def sites_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _entry_xml() -> Column:
     """Four shapes: news, plain, lastmod before news, news before lastmod."""
-    loc = F.concat(F.lit("<loc> "), escaped(F.col("url")), F.lit(" </loc>"))
+    url = escaped(F.col("url"))
+    url = F.when(_has_entity(F.col("page_id")), F.replace(url, F.concat(F.lit("//"), F.col("host")), F.lit("&site;"))).otherwise(url)
+    loc = F.concat(F.lit("<LOC>https://never.example/</LOC><loc> "), url, F.lit(" </loc>"))
     lastmod = F.concat(F.lit("<lastmod>"), day(), F.lit("</lastmod>"))
     title = F.concat(F.lit("<news:title>"), escaped(F.col("headline")), F.lit("</news:title>"))
     news = F.concat(
@@ -104,23 +108,31 @@ def _document(url: Column, kind: str, body: Column, attempt: Column | int = 1, s
     ]
 
 
-def _joined(group: DataFrame, keys: list[str], order: str, text: str, head: str, tail: str) -> DataFrame:
-    """Bodies of at most about a thousand short parts each, in order."""
+def _joined(group: DataFrame, keys: list[str], order: str, text: str, head: str | Column, tail: str) -> DataFrame:
+    """Bodies of at most about a thousand short parts each, in order; ``head`` may use the keys."""
     parts = F.array_sort(F.collect_list(F.struct(order, text)))
     body = F.array_join(F.transform(parts, lambda p: p[text]), "")
-    return group.groupBy(*keys).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("body"))
+    head = F.lit(head) if isinstance(head, str) else head
+    return group.groupBy(*keys).agg(body.alias("body")).withColumn("body", F.concat(head, "body", F.lit(tail)))
+
+
+def _has_entity(page_id: Column) -> Column:
+    return F.floor(page_id / SET_SIZE) % 2 == 1
 
 
 def url_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = titled_pages(spark, sf_dir).select(
         "host", "page_id", F.floor(F.col("page_id") / SET_SIZE).alias("set_no"), _entry_xml().alias("xml")
     )
+    entity = F.concat(F.lit('<!DOCTYPE urlset [\n<!ENTITY site "//&name;"> <!ENTITY name "'), F.col("host"), F.lit('">\n]>\n'))
     head = (
-        '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" '
+        '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" '
         'xmlns:news="http://www.google.com/schemas/sitemap-news/0.9" '
         'xmlns:image="http://www.google.com/schemas/sitemap-image/1.1">\n'
     )
-    sets = _joined(pages, ["host", "set_no"], "page_id", "xml", head, "</urlset>\n")
+    with_entity = F.when(_has_entity(F.col("set_no") * SET_SIZE), entity).otherwise(F.lit(""))
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), with_entity, F.lit(head))
+    sets = _joined(pages, ["host", "set_no"], "page_id", "xml", head, "<URL><loc>https://never.example/</loc></URL></urlset>\n")
     url = F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemaps/"), F.col("set_no"), F.lit(".xml"))
     return sets.select("host", "set_no", *_document(url, KIND_SITEMAP, F.col("body")))
 
@@ -131,32 +143,34 @@ def _index(children: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per host: ``sitemap.xml`` -> ``index/N.xml`` -> ``sitemaps/N.xml``."""
+    """Per host: ``sitemap.xml`` -> ``index/N.xml`` -> ``sitemaps/N.xml``, and the same behind ``archive.xml``."""
     sets = url_sets(spark, sf_dir)
     pages = table(spark, sf_dir, "pages").select(
         url_netloc("url").alias("host"), F.floor(F.col("page_id") / SET_SIZE).alias("set_no")
     )
     numbered = pages.distinct().withColumn("index_no", F.floor(F.col("set_no") / SETS_PER_INDEX))
     base = F.concat(F.lit("https://"), F.col("host"))
-    middle = _index(
-        numbered.select(
-            "host", "index_no", F.col("set_no").alias("child_no"),
-            F.concat(base, F.lit("/sitemaps/"), F.col("set_no"), F.lit(".xml")).alias("child"),
-        ),
-        ["host", "index_no"],
-    )
-    root = _index(
-        numbered.select("host", "index_no").distinct().select(
-            "host", F.col("index_no").alias("child_no"),
-            F.concat(base, F.lit("/index/"), F.col("index_no"), F.lit(".xml")).alias("child"),
-        ),
-        ["host"],
-    )
-    index_url = F.concat(base, F.lit("/index/"), F.col("index_no"), F.lit(".xml"))
+
+    def indexes(root: str, middle: str, leaf: str, sign: int) -> DataFrame:
+        """The root and middle indexes; ``sign`` -1 lists what has the highest number first."""
+        listed = numbered.select(
+            "host", "index_no", (sign * F.col("set_no")).alias("child_no"),
+            F.concat(base, F.lit(f"/{leaf}/"), F.col("set_no"), F.lit(".xml")).alias("child"),
+        )
+        tops = numbered.select("host", "index_no").distinct().select(
+            "host", (sign * F.col("index_no")).alias("child_no"),
+            F.concat(base, F.lit(f"/{middle}/"), F.col("index_no"), F.lit(".xml")).alias("child"),
+        )
+        middle_url = F.concat(base, F.lit(f"/{middle}/"), F.col("index_no"), F.lit(".xml"))
+        middles = _index(listed, ["host", "index_no"]).select(*_document(middle_url, KIND_SITEMAP, F.col("body")))
+        return middles.unionByName(_index(tops, ["host"]).select(*_document(F.concat(base, F.lit(f"/{root}.xml")), KIND_SITEMAP, F.col("body"))))
+
+    archived = sets.withColumn("url", F.replace("url", F.lit("/sitemaps/"), F.lit("/archive/")))
     return (
-        sets.drop("host", "set_no")
-        .unionByName(middle.select(*_document(index_url, KIND_SITEMAP, F.col("body"))))
-        .unionByName(root.select(*_document(F.concat(base, F.lit("/sitemap.xml")), KIND_SITEMAP, F.col("body"))))
+        sets.unionByName(archived)
+        .drop("host", "set_no")
+        .unionByName(indexes("sitemap", "index", "sitemaps", 1))
+        .unionByName(indexes("archive", "archive-index", "archive", -1))
     )
 
 

@@ -293,8 +293,8 @@ def resolve_articles(spark, sf):
         F.lit(None).cast("string").alias("image_url"),
         F.lit(KEYWORD).alias("keyword"),
     )
-    pages = ps.first_success(ps.article_pages(docs).select("url", "attempt", "body"))
-    return ps.resolve_articles(candidates, ps.page_metadata(pages.drop("attempt"), "body"), STAMP)
+    metadata = ps.first_page_metadata(ps.article_pages(docs).select("url", "attempt", "body"))
+    return ps.resolve_articles(candidates, metadata, STAMP)
 
 
 def search(spark, sf):
