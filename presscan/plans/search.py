@@ -157,10 +157,13 @@ def search_many(
     keywords: Sequence[str] | DataFrame,
     scraped_at: datetime | str | None = None,
     options: SearchOptions = SearchOptions(),
+    position: bool = False,
 ) -> DataFrame:
     """Articles for several keywords at once, each with its own cap.
 
-    ``keywords`` is a list, or a table of any size with a column ``keyword``.
+    ``keywords`` is a list, or a table of any size with a column ``keyword``. With ``position``
+    a column of that name orders the articles: keywords as listed (those of a table by
+    their text), and the turns of each.
     """
     if isinstance(keywords, DataFrame):
         words = keywords.select("keyword")
@@ -174,7 +177,10 @@ def search_many(
     corpus = Corpus.over(documents)
     verdicts = _verdicts(corpus, stored(shortlist(discover(corpus, sites, words, options), options)), options)
     kept = _resolved(corpus, verdicts, options).where(F.col("dropped").isNull())
-    return to_articles(kept, stamp)
+    if not position:
+        return to_articles(kept, stamp)
+    listed = F.lit(0) if isinstance(words, DataFrame) else F.array_position(F.lit(words), F.col("keyword"))
+    return to_articles(kept, stamp, F.struct(listed.alias("listed"), "keyword", "turn", "site_ord", "path", "entry_ord").alias("position"))
 
 
 def search(
@@ -183,9 +189,10 @@ def search(
     keyword: str,
     scraped_at: datetime | str | None = None,
     options: SearchOptions = SearchOptions(),
+    position: bool = False,
 ) -> DataFrame:
     """Articles of ``sites`` that mention ``keyword``."""
-    return search_many(documents, sites, [keyword], scraped_at, options)
+    return search_many(documents, sites, [keyword], scraped_at, options, position)
 
 
 def funnel(

@@ -7,15 +7,17 @@ ever written, the table the last.
 from __future__ import annotations
 
 import hashlib
+import random
 import time
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from presscan.schema import ARTICLE_FIELDS, ARTICLE_SCHEMA
+from presscan.session import stored
 
 # Quotes are doubled, an empty field stands for NULL.
 _CSV = {
@@ -48,24 +50,44 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTICLE_SCHEMA).options(**_CSV, multiLine="true").csv(path)
 
 
+#: Folders that the keys of a CSV lie in, by hash; an append looks into those of its own keys.
+KEY_BUCKETS = 16
+
+
 def append_new(df: DataFrame, path: str) -> int:
     """Append rows whose URL is not stored yet; returns how many.
 
     Duplicates within the batch are all written; a batch with nothing new
     writes nothing. The header is repeated in every part file, which is how
-    CSV folders are read.
+    CSV folders are read. URLs are known from Parquet files in a hidden folder beside the
+    parts, so the CSV itself is only read where that folder is missing or where an append did
+    not come to its end.
     """
     spark = df.sparkSession
-    known = read_csv(spark, path).where(F.col("url") != "").select("url")
-    fresh = as_rows(df).join(known, "url", "left_anti").select(*ARTICLE_FIELDS)
-    fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        count = fresh.count()
-        if count:
-            fresh.write.mode("append").options(**_CSV, emptyValue="").csv(path)
-        return count
-    finally:
-        fresh.unpersist()
+    keys, unfinished = f"{path}/_keys", f"{path}/_appending"
+    bucket = F.pmod(F.xxhash64("url"), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
+
+    def write_keys(rows: DataFrame, mode: str) -> None:
+        known = rows.where(F.col("url") != "").select("url", bucket).repartition("bucket")
+        known.write.mode(mode).partitionBy("bucket").parquet(keys)
+
+    if _exists(spark, path) and (_exists(spark, unfinished) or not _exists(spark, f"{keys}/_SUCCESS")):
+        write_keys(read_csv(spark, path), "overwrite")
+        _delete(spark, unfinished)
+    rows = as_rows(df)
+    if _exists(spark, keys):
+        rows = stored(rows)
+        mine = [r["bucket"] for r in rows.select(bucket).distinct().collect()]  # KEY_BUCKETS at most
+        known = spark.read.schema("url string, bucket int").parquet(keys).where(F.col("bucket").isin(mine))
+        rows = rows.join(known.select("url"), "url", "left_anti").select(*ARTICLE_FIELDS)
+    fresh = stored(rows)
+    count = fresh.count()
+    if count:
+        _create(spark, unfinished)
+        fresh.write.mode("append").options(**_CSV, emptyValue="").csv(path)
+        write_keys(fresh, "append")
+        _delete(spark, unfinished)
+    return count
 
 
 class UpsertTable:
@@ -117,11 +139,11 @@ class UpsertTable:
             return current
         return rows.join(latest.select(*self.key), self.key, "left_anti").select(*rows.columns).unionByName(current)
 
-    def upsert(self, df: DataFrame, order: str | None = None, write: tuple[str, int] | None = None) -> int:
+    def upsert(self, df: DataFrame, order: str, write: tuple[str, int] | None = None) -> int:
         """Insert or replace whole rows; returns the batch size, 0 for a repeat.
 
-        ``order`` is the batch position that decides between rows of one key;
-        it is not stored. Without it the rows count in the order they have.
+        ``order`` is the column whose largest value decides between rows of one key;
+        it is not stored. Rows of a table have no order of their own.
         A true ``_removed`` in the batch takes the key out of the table.
         ``write`` names the write by its origin and number (a stream's query id
         and batch id): the same pair again changes nothing, whatever was written
@@ -131,9 +153,6 @@ class UpsertTable:
         known = [*self._folders("delta").values(), *_list(self.spark, f"{self.path}/applied")] if write else []
         if any(name.endswith(label) for name in known):
             return 0
-        if order is None:
-            order = "_position"
-            df = df.withColumn(order, F.monotonically_increasing_id())
         if REMOVED not in df.columns:
             df = df.withColumn(REMOVED, F.lit(False))
         # Rows are counted while they are written: the batch is computed once, and nothing is cached.
@@ -148,12 +167,21 @@ class UpsertTable:
         return size
 
     def _claim(self) -> int:
-        """The next free number, taken by creating a file that nobody else can create."""
-        taken = [_number(name) for kind in ("base", "delta", "claims") for name in _list(self.spark, f"{self.path}/{kind}")]
-        seq = max(taken, default=-1) + 1
-        while not _create(self.spark, f"{self.path}/claims/seq={seq}"):
-            seq += 1
-        return seq
+        """The next free number: of the writers that want one at once, whoever sees another's claim leaves it.
+
+        A claim is made before the others are looked at, so no two writers miss each other,
+        also on file systems that do not create a file for one caller only.
+        """
+        token = uuid.uuid4().hex
+        while True:
+            taken = [_number(name) for kind in ("base", "delta", "claims") for name in _list(self.spark, f"{self.path}/{kind}")]
+            claim = f"seq={max(taken, default=-1) + 1}.{token}"
+            _create(self.spark, f"{self.path}/claims/{claim}")
+            rivals = [n for n in _list(self.spark, f"{self.path}/claims") if _number(n) == _number(claim) and n != claim]
+            if not rivals:
+                return _number(claim)
+            _delete(self.spark, f"{self.path}/claims/{claim}")
+            time.sleep(random.uniform(0, 0.2))
 
     def _claims(self, younger_than: float) -> list[int]:
         fs, target = _filesystem(self.spark, f"{self.path}/claims")
@@ -191,30 +219,29 @@ def _label(origin: str, number: int) -> str:
     return f".{hashlib.sha256(origin.encode()).hexdigest()[:16]}-{number}"
 
 
-def upsert(df: DataFrame, path: str, key: str | Sequence[str] = "url", order: str | None = None) -> int:
+def upsert(df: DataFrame, path: str, order: str, key: str | Sequence[str] = "url") -> int:
     return UpsertTable(df.sparkSession, path, key).upsert(df, order)
 
 
 def write_all(df: DataFrame, sinks: Iterable[Callable[[DataFrame], int]]) -> int:
-    """Hand the same rows to every sink in turn; returns the batch size."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        size = df.count()
-        for sink in sinks:
-            sink(df)
-        return size
-    finally:
-        df.unpersist()
+    """Hand the same rows to every sink in turn; returns the batch size. They are computed once, into a table."""
+    rows = stored(df)
+    for sink in sinks:
+        sink(rows)
+    return rows.count()
+
 
+def save_articles(
+    df: DataFrame, output: str, order: str = "position", base_name: str = "articles", formats: Iterable[str] = ("csv", "table")
+) -> int:
+    """Write ``df`` in the chosen formats under ``output``.
 
-def save_articles(df: DataFrame, output: str, base_name: str = "articles", formats: Iterable[str] = ("csv", "table")) -> int:
-    """Write ``df`` in the chosen formats under ``output``."""
+    ``order`` is the column that places the rows of the batch, as :func:`search_many` adds on
+    request: of rows of one URL the table keeps the last.
+    """
     available = {
         "csv": lambda rows: append_new(rows, f"{output}/{base_name}.csv"),
-        # Rows of one URL are told apart by their content, so reruns keep the same one.
-        "table": lambda rows: upsert(
-            as_rows(rows).withColumn("_position", F.struct(*ARTICLE_FIELDS)), f"{output}/{base_name}.table", order="_position"
-        ),
+        "table": lambda rows: upsert(rows.select(*ARTICLE_FIELDS, order), f"{output}/{base_name}.table", order),
     }
     chosen = list(formats)
     unknown = [f for f in chosen if f not in available]

@@ -350,6 +350,12 @@ def _two_batches(spark, sf) -> tuple[DataFrame, DataFrame]:
     return _articles(docs.where(F.col("doc_id") % 2 == 0), "old"), _articles(docs, "new")
 
 
+def _with_earlier(batch: DataFrame) -> DataFrame:
+    """The batch with an earlier version of every row in it, in no order."""
+    earlier = batch.withColumns({"title": F.lit("earlier"), "description": F.lit(None).cast("string"), "position": F.lit(1)})
+    return earlier.unionByName(batch.withColumn("position", F.lit(2))).repartition(8, F.xxhash64("url", "position"))
+
+
 def _new_path(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -364,10 +370,28 @@ def append_new(spark, sf):
 def upsert(spark, sf):
     path = _new_path(spark, "table")
     for batch in _two_batches(spark, sf):
-        ps.upsert(batch, path)
+        ps.upsert(_with_earlier(batch), path, "position")
     return ps.UpsertTable(spark, path).read().select("url", "title", "description", "author")
 
 
+def save_articles(spark, sf):
+    """Articles of several keywords in both formats: of a URL that more than one of them finds, the table keeps the last."""
+    out = _new_path(spark, "saved")
+    found = ps.search_many(documents_table(spark, sf), sites_table(spark, sf), KEYWORDS, STAMP, position=True)
+    for _ in range(2):  # saving again adds nothing
+        ps.save_articles(found, out)
+    csv = ps.read_csv(spark, f"{out}/articles.csv").groupBy("url").agg(F.count("*").alias("n_csv"))
+    return ps.UpsertTable(spark, f"{out}/articles.table").read().join(csv, "url", "full").select("url", "title", "keyword", "n_csv")
+
+
+def selected_sites(spark, sf):
+    """Sites by keys in any case, in the order asked, repeats kept."""
+    sites = sites_table(spark, sf)
+    first, last = sites.agg(F.min("site_key"), F.max("site_key")).first()
+    chosen = ps.select_sites(spark, [last, f" {first.upper()} ", last], sites)
+    return chosen.select(F.col("site_ord").cast("bigint").alias("site_ord"), "site_key", "base_url")
+
+
 def _arriving(spark, sf) -> str:
     """The documents as files that a stream reads a few at a time, in no order of kinds."""
     folder = _new_path(spark, "arriving")
@@ -400,6 +424,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sitemap_entries, sitemap_index, sitemap_expansion, sitemap_budget, scan_limit, robots_rules,
         robots_verdict, robots_delays, interleave_cap, interleave_all, keep_first, first_success,
         usable_documents, discover, resolve_articles, search, search_many, discover_table, search_table, search_funnel, article_report,
-        append_new, upsert, stream_entries, stream_articles,
+        append_new, upsert, save_articles, selected_sites, stream_entries, stream_articles,
     )
 }
