@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         shared = tempfile.mkdtemp(prefix="presscan-checkpoint-")
     context.setCheckpointDir(shared)
@@ -63,6 +65,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+class _Written(threading.local):
+    """Paths that the open calls of :func:`stored_alone` have seen written, per thread."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_WRITTEN = _Written()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read back.
 
@@ -73,4 +85,25 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _WRITTEN.open:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, stored; the tables it stores on the way are deleted.
+
+    They are not needed any more: what followed from them is written, so nothing is ever
+    computed from them again.
+    """
+    paths: list[str] = []
+    _WRITTEN.open.append(paths)
+    try:
+        result = stored(make())
+        paths.pop()
+    finally:
+        _WRITTEN.open.pop()
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return result
