@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presscan.session import stored
+from presscan.session import stored, stored_alone
 
 
 def component_ids(links: DataFrame) -> DataFrame:
@@ -16,6 +16,10 @@ def component_ids(links: DataFrame) -> DataFrame:
     halves the distance to the smallest id or better. A node with very many neighbours
     is an aggregation key and one side of a join, never a group held in one place.
     """
+    return stored_alone(links.sparkSession, lambda: _component_ids(links))
+
+
+def _component_ids(links: DataFrame) -> DataFrame:
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,4 +34,4 @@ def component_ids(links: DataFrame) -> DataFrame:
         if not changed:
             break
     roots = edges.select(F.col("v").alias("doc_id")).distinct().withColumn("component_id", F.col("doc_id"))
-    return stored(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(roots).distinct())
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(roots).distinct()

@@ -38,7 +38,7 @@ from presscan.llm.columns import KEY, broadcast_if_few, partitions, with_row_key
 from presscan.llm.components import component_ids
 from presscan.llm.shingles import Sets, mix, shingle_sets
 from presscan.llm.wordbatch import slices
-from presscan.session import stored
+from presscan.session import stored, stored_alone
 
 #: A band's largest size is about this much above its smallest; a set then meets two bands at most.
 BAND = 16 / 9
@@ -389,12 +389,8 @@ def keyed_groups(docs: DataFrame) -> DataFrame:
     about = _about(described)
     if shift:  # rows alike in id and text share a key
         texts, about = texts.dropDuplicates(["doc_id"]), about.filter("doc IS NOT NULL").dropDuplicates(["doc"])
-    met = stored(memberships(texts, common_slots(both)))
-    tried = met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    measured = stored(_measured(tried, about))
-    links = _links(measured, texts)
-    more = stored(_measured(_beyond_heads(met, tried, component_ids(links), about), about))
-    components = component_ids(stored(links.unionByName(_links(more, texts))))
+    common = common_slots(both)
+    components = component_ids(stored_alone(docs.sparkSession, lambda: _all_links(texts, about, common)))
     found = described.select(F.col("doc_id").alias(KEY), "n_shingles").join(components, F.col(KEY) == F.col("doc_id"), "left")
     found = found.select(KEY, "n_shingles", F.coalesce("component_id", KEY).alias("__first"))
     if not shift:
@@ -405,7 +401,19 @@ def keyed_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", KEY, "__first")
 
 
+def _all_links(texts: DataFrame, about: DataFrame, common: np.ndarray) -> DataFrame:
+    """Links (a, b): those of stars, and those between members of a key that stars leave apart."""
+    spark = texts.sparkSession
+    met = stored(memberships(texts, common))
+    tried = met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    measured = stored(_measured(tried, about))
+    links = stored_alone(spark, lambda: _links(measured, texts))
+    components = component_ids(links)
+    more = stored_alone(spark, lambda: _measured(_beyond_heads(met, tried, components, about), about))
+    return links.unionByName(_links(more, texts))
+
+
 def _links(measured: DataFrame, docs: DataFrame) -> DataFrame:
     """The measured pairs that link: equal sets, and those whose texts show it."""
     compared = verified(measured.filter("NOT same").select("a", "b"), docs)
-    return stored(measured.filter("same").select("a", "b").unionByName(compared))
+    return measured.filter("same").select("a", "b").unionByName(compared)

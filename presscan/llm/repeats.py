@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from presscan.llm.columns import KEY, WHITE, partitions, with_row_keys
 from presscan.llm.shingles import mix
 from presscan.llm.wordbatch import slices
-from presscan.session import stored
+from presscan.session import stored, stored_alone
 
 LENGTH, GRAM = 100, 24
 CROWD = 1024
@@ -411,7 +411,7 @@ def _repeated_spans(keyed: DataFrame, shift: int) -> DataFrame:
 
 def _cut(keyed: DataFrame, shift: int) -> DataFrame:
     """doc_id (a key), n_bytes, spans and kept of every row of ``keyed`` (doc_id, text); a null key has no spans."""
-    spans = stored(_repeated_spans(keyed.filter(F.col("doc_id").isNotNull()), shift))
+    spans = stored_alone(keyed.sparkSession, lambda: _repeated_spans(keyed.filter(F.col("doc_id").isNotNull()), shift))
     marks = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,16 +11,15 @@ exceeds a margin (else the languages a class happens to hold outweigh a few
 expressions in a long text); a logistic curve, fitted on
 labelled texts that were kept out of the counts, turns it into a probability.
 
-Counts are gathered by Spark over all labelled rows. N-grams are numbered by a
-hash into a fixed number of slots, which bounds what is collected and broadcast
-however large the corpus is.
+Counts are gathered by Spark over all labelled rows, by a 64-bit key of the n-gram itself: what is
+gathered grows with the text, and no two n-grams share a count. The model that is
+broadcast has one row for every n-gram of up to five characters that labelled words have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presscan.llm.columns import bytes_of
+from presscan.llm.shingles import mix
 from presscan.llm.wordbatch import letter_words, slices
 from presscan.session import stored
 
@@ -35,7 +35,8 @@ ORDER = 5
 DISCOUNT = 0.75
 #: Occurrences of a history in a class that weigh as much as what both classes have seen there.
 STRENGTH = 50.0
-SLOTS = 1 << 21
+#: N-grams a task holds before it hands its counts on.
+HELD = 1 << 20
 #: One text in this many calibrates; the others are counted.
 CALIBRATE = 4
 #: Steps per unit of raw value when calibration looks at them, and their bounds.
@@ -43,21 +44,19 @@ STEPS, FARTHEST = 20_000, 6000
 #: What a word's log-likelihood ratio must exceed to count, either way.
 MARGIN = 2.0
 _ALPHABET = 1 << 16
-_GRAMS = "slot int, length int, top boolean, history int, suffix int, ordinary long, toxic long"
+_GRAMS = "key long, length int, top boolean, history long, suffix long, ordinary long, toxic long"
 
 
-def _slot(key: np.ndarray, length: int) -> np.ndarray:
-    mixed = (key + np.uint64(length)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(40)).astype(np.int64) % SLOTS
+def _mixed(key: np.ndarray, length: int) -> np.ndarray:
+    return mix(key + np.uint64(length)).view(np.int64)
 
 
 @dataclass
 class _Grams:
-    """``slot[m - 1]``: the n-gram of length m that ends at each predicted character; ``longest``: the longest m."""
+    """``key[m - 1]``: the n-gram of length m that ends at each predicted character; ``longest``: the longest m."""
 
     word: np.ndarray
-    slot: list[np.ndarray]
+    key: list[np.ndarray]
     history: list[np.ndarray]
     longest: np.ndarray
 
@@ -69,28 +68,36 @@ def _grams(words: list[bytes]) -> _Grams:
     lengths = np.diff(np.concatenate([[-1], ends])) - 1
     word = np.repeat(np.arange(len(words)), lengths + 1)
     place = np.arange(len(codes)) - np.repeat(np.concatenate([[0], ends[:-1] + 1]), lengths + 1)
-    key, slots = np.zeros(len(codes), np.uint64), []
+    total, keys = np.zeros(len(codes), np.uint64), []
     factor = np.uint64(1)
     for m in range(1, ORDER + 1):
         shifted = np.zeros_like(codes)
         shifted[m - 1 :] = codes[: len(codes) - m + 1]
-        key = key + (shifted + np.uint64(1)) * factor
+        total = total + (shifted + np.uint64(1)) * factor
         factor = np.uint64(int(factor) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF)
-        slots.append(_slot(key, m))
+        keys.append(_mixed(total, m))
     at = np.flatnonzero((codes != 0) & (place > 0))
     return _Grams(
         word[at],
-        [s[at] for s in slots],
-        [np.zeros(len(at), np.int64), *[s[at - 1] for s in slots[:-1]]],
+        [k[at] for k in keys],
+        [np.zeros(len(at), np.int64), *[k[at - 1] for k in keys[:-1]]],
         np.minimum(place[at] + 1, ORDER),
     )
 
 
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is among the sorted ``keys``, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return place, keys[place] == wanted
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """For n-grams seen: their probabilities (ordinary, toxic); for histories: the weight of what is below."""
+    """By sorted keys. For n-grams seen: their probabilities (ordinary, toxic); for histories: the weight of what is below."""
 
-    slots: np.ndarray
+    keys: np.ndarray
     probability: np.ndarray
     histories: np.ndarray
     backoff: np.ndarray
@@ -98,9 +105,19 @@ class ToxicityModel:
 
 
 def _gather(labelled: DataFrame) -> DataFrame:
+    names = ["key", "length", "top", "history", "suffix", "ordinary", "toxic"]
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        key, *about, ordinary, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, first, index = np.unique(key, return_index=True, return_inverse=True)
+        sums = (np.bincount(index, weights=c, minlength=len(key)).astype(np.int64) for c in (ordinary, toxic))
+        return (key, *(x[first] for x in about), *sums)
+
+    def batch_of(held: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in held], names)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, SLOTS), np.int64)
-        about = np.zeros((4, SLOTS), np.int32)
+        held = None
         for batch in batches:
             for part in slices(batch):
                 words = letter_words(part.column("text"))
@@ -112,42 +129,43 @@ def _gather(labelled: DataFrame) -> DataFrame:
                 grams = _grams(words.distinct)
                 for m in range(1, ORDER + 1):
                     fits = grams.longest >= m
-                    slot, word = grams.slot[m - 1][fits], grams.word[fits]
-                    about[0, slot], about[1, slot] = m, grams.longest[fits] == m
-                    about[2, slot] = grams.history[m - 1][fits]
-                    about[3, slot] = grams.slot[m - 2][fits] if m > 1 else 0
-                    for c in range(2):
-                        np.add.at(counts[c], slot, times[c][word])
-        some = np.flatnonzero(counts.sum(0))
-        length, top, history, suffix = (a[some] for a in about)
-        columns = [some.astype(np.int32), length, top > 0, history, suffix, counts[0, some], counts[1, some]]
-        names = ["slot", "length", "top", "history", "suffix", "ordinary", "toxic"]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                    word, size = grams.word[fits], int(fits.sum())
+                    suffix = grams.key[m - 2][fits] if m > 1 else np.zeros(size, np.int64)
+                    length, top = np.full(size, m, np.int32), grams.longest[fits] == m
+                    found = (grams.key[m - 1][fits], length, top, grams.history[m - 1][fits], suffix, times[0][word], times[1][word])
+                    held = merged([found] if held is None else [held, found])
+                if len(held[0]) > HELD:
+                    yield batch_of(held)
+                    held = None
+        if held is not None:
+            yield batch_of(held)
 
     rows = labelled.mapInArrow(count, _GRAMS)
-    # Different n-grams of one slot count as one.
-    first = [F.min(F.struct("length", "top", "history", "suffix")).alias("about")]
-    sums = rows.groupBy("slot").agg(*first, F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    return sums.select("slot", "about.*", "ordinary", "toxic")
+    # What a key stands for is the same in every row of it.
+    about = [F.first(c).alias(c) for c in names[1:5]]
+    return rows.groupBy("key").agg(*about, F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def _smooth(table) -> ToxicityModel:
-    """Interpolated probabilities of all n-grams seen, shortest first; at most :data:`SLOTS` of them.
+    """Interpolated probabilities of all n-grams seen, shortest first.
 
     Longest n-grams have a probability in each class, the others the shared one twice.
     """
-    slot, length, history, suffix = (table[c].to_numpy(np.int64) for c in ("slot", "length", "history", "suffix"))
+    table = table.sort_values("key")
+    keys, length = table["key"].to_numpy(np.int64), table["length"].to_numpy(np.int64)
     top = table["top"].to_numpy(bool)
     own = np.stack([table["ordinary"].to_numpy(np.float64), table["toxic"].to_numpy(np.float64)])
-    contexts = np.bincount(suffix[length > 1], minlength=SLOTS)
-    dense = np.zeros((2, SLOTS), np.float32)
-    weight = np.ones((2, SLOTS), np.float32)
+    suffix, _ = _places(keys, table["suffix"].to_numpy(np.int64))
+    histories, history = np.unique(table["history"].to_numpy(np.int64), return_inverse=True)
+    contexts = np.bincount(suffix[length > 1], minlength=len(keys))
+    value = np.zeros((2, len(keys)))
+    weight = np.ones((2, len(histories)))
     floor = 1.0 / _ALPHABET
 
     def interpolate(some, counts: np.ndarray, below: np.ndarray, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         place = history[some]
-        total = np.bincount(place, weights=counts, minlength=SLOTS)[place]
-        kinds = np.bincount(place, weights=counts > 0, minlength=SLOTS)[place]
+        total = np.bincount(place, weights=counts, minlength=len(histories))[place]
+        kinds = np.bincount(place, weights=counts > 0, minlength=len(histories))[place]
         seen = total > 0
         back = np.divide(DISCOUNT * kinds + strength, total + strength, out=np.ones(len(place)), where=seen)
         share = np.divide(np.maximum(counts - DISCOUNT, 0), total + strength, out=np.zeros(len(place)), where=seen)
@@ -156,44 +174,43 @@ def _smooth(table) -> ToxicityModel:
     for m in range(1, ORDER + 1):
         some = (length == m) & ~top
         if some.any():
-            below = dense[0, suffix[some]].astype(np.float64) if m > 1 else np.full(some.sum(), floor)
-            value, back = interpolate(some, contexts[slot[some]].astype(np.float64), below)
-            dense[:, slot[some]] = value
+            below = value[0, suffix[some]] if m > 1 else np.full(some.sum(), floor)
+            value[:, some], back = interpolate(some, contexts[some].astype(np.float64), below)
             if m > 1:
                 weight[:, history[some]] = back
             else:
                 floor *= float(back[0])
-    below = np.maximum(dense[0, suffix[top]], floor).astype(np.float64)
+    below = np.maximum(value[0, suffix[top]], floor)
     both, pooled = interpolate(top, own[:, top].sum(0), below)
     for c in range(2):
-        dense[c, slot[top]], back = interpolate(top, own[c, top], both, STRENGTH)
+        value[c, top], back = interpolate(top, own[c, top], both, STRENGTH)
         weight[c, history[top]] = back * pooled
-    histories = np.unique(history[length > 1])
-    return ToxicityModel(slot, dense[:, slot], histories, weight[:, histories], floor)
+    return ToxicityModel(keys, value.astype(np.float32), histories, weight.astype(np.float32), floor)
 
 
-@lru_cache(maxsize=1)
-def _tables(holder) -> tuple[np.ndarray, np.ndarray, float]:
-    model: ToxicityModel = holder.value
-    dense, weight = np.zeros((2, SLOTS), np.float32), np.ones((2, SLOTS), np.float32)
-    dense[:, model.slots], weight[:, model.histories] = model.probability, model.backoff
-    return dense, weight, model.floor
+def _log_ratios(grams: _Grams, model: ToxicityModel) -> np.ndarray:
+    """How much likelier toxic words have each predicted character, from its longest n-gram seen on."""
+    p = np.full((2, len(grams.word)), model.floor)
+    for m, (key, history) in enumerate(zip(grams.key, grams.history, strict=True), 1):
+        place, seen = _places(model.keys, key)
+        back = 1.0
+        if m > 1:
+            at, known = _places(model.histories, history)
+            back = np.where(known, model.backoff[:, at], 1.0) if len(model.histories) else 1.0
+        found = model.probability[:, place] if len(model.keys) else p
+        p = np.where(grams.longest >= m, np.where(seen & (found > 0), found, back * p), p)
+    return np.log(np.maximum(p[1], 1e-30)) - np.log(np.maximum(p[0], 1e-30))
 
 
-def _word_values(words: list[bytes], tables) -> tuple[np.ndarray, np.ndarray]:
+def _word_values(words: list[bytes], model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood ratio beyond the margin and number of predicted characters of each word."""
-    dense, weight, floor = tables
     grams = _grams(words)
-    ratio = np.zeros(len(grams.word))
-    for c, sign in ((0, -1.0), (1, 1.0)):
-        p = np.full(len(grams.word), floor, np.float32)
-        for m, (slot, history) in enumerate(zip(grams.slot, grams.history, strict=True), 1):
-            seen = dense[c, slot]
-            back = weight[c, history] if m > 1 else np.float32(1)
-            p = np.where(grams.longest >= m, np.where(seen > 0, seen, back * p), p)
-        ratio += sign * np.log(np.maximum(p, 1e-30))
+    # A character's longest n-gram holds all its shorter ones and histories: each is looked up once.
+    whole = np.stack(grams.key)[grams.longest - 1, np.arange(len(grams.word))]
+    _, first, index = np.unique(whole, return_index=True, return_inverse=True)
+    some = _Grams(grams.word[first], [k[first] for k in grams.key], [h[first] for h in grams.history], grams.longest[first])
     n = len(words)
-    total = np.bincount(grams.word, weights=ratio, minlength=n)
+    total = np.bincount(grams.word, weights=_log_ratios(some, model)[index], minlength=n)
     return np.sign(total) * np.maximum(np.abs(total) - MARGIN, 0), np.bincount(grams.word, minlength=n)
 
 
@@ -203,13 +220,12 @@ def raw_values(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
     rows = docs.select("doc_id", "text", *keep)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(shared)
         for batch in batches:
             for part in slices(batch):
                 words = letter_words(part.column("text"))
                 raw = np.full(len(part), np.nan)
                 if words.distinct:
-                    ratio, size = _word_values(words.distinct, tables)
+                    ratio, size = _word_values(words.distinct, shared.value)
                     total = np.bincount(words.row, weights=ratio[words.index], minlength=len(part))
                     chars = np.bincount(words.row, weights=size[words.index], minlength=len(part))
                     raw = np.divide(total, chars, out=raw, where=chars > 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import random
 
 import numpy as np
@@ -64,6 +66,83 @@ def test_toxicity_on_unseen_texts(make_docs, spark):
     assert len(scores[702]) == 2 and all(0 <= s <= 1 for v in scores.values() for s in v)
 
 
+def ratios_by_hand(texts, words):
+    """Log-likelihood ratio of each word, from dictionaries of strings: discounted counts, continuation counts below."""
+    counts = [collections.Counter(), collections.Counter()]
+    tops = set()
+    for text, toxic in texts:
+        for word in text.split():
+            s = f" {word}\x01"
+            for end in range(1, len(s)):
+                longest = min(end + 1, 5)
+                for m in range(1, longest + 1):
+                    counts[toxic][s[end - m + 1 : end + 1]] += 1
+                tops.add(s[end - longest + 1 : end + 1])
+    seen = set(counts[0]) | set(counts[1])
+    contexts = collections.Counter(g[1:] for g in seen if len(g) > 1)
+    shared, floor = {}, 1 / 65536
+
+    def discounted(grams, count, below, strength=0.0):
+        total, kinds = collections.Counter(), collections.Counter()
+        for g in grams:
+            total[g[:-1]] += count(g)
+            kinds[g[:-1]] += count(g) > 0
+        values, back = {}, {}
+        for g in grams:
+            h = g[:-1]
+            back[h] = (0.75 * kinds[h] + strength) / (total[h] + strength) if total[h] else 1.0
+            share = max(count(g) - 0.75, 0) / (total[h] + strength) if total[h] else 0.0
+            values[g] = share + back[h] * below(g)
+        return values, back
+
+    weight = [{}, {}]
+    for m in range(1, 6):
+        some = [g for g in seen if len(g) == m and g not in tops]
+        if some:
+            values, back = discounted(some, lambda g: contexts[g], lambda g: shared[g[1:]] if len(g) > 1 else floor)
+            shared |= values
+            if m == 1:
+                floor *= back[""]
+            else:
+                weight[0] |= back
+                weight[1] |= back
+    both, pooled = discounted(tops, lambda g: counts[0][g] + counts[1][g], lambda g: max(shared.get(g[1:], 0), floor))
+    value = []
+    for c in range(2):
+        own, back = discounted(tops, counts[c].__getitem__, both.__getitem__, 50.0)
+        value.append(shared | own)
+        weight[c] |= {h: back[h] * pooled[h] for h in back}
+    out = []
+    for word in words:
+        s, total = f" {word}\x01", 0.0
+        for end in range(1, len(s)):
+            logs = []
+            for c in range(2):
+                p = floor
+                for m in range(1, min(end + 1, 5) + 1):
+                    g = s[end - m + 1 : end + 1]
+                    found = value[c].get(g, 0)
+                    p = found if found > 0 else (weight[c].get(g[:-1], 1.0) if m > 1 else 1.0) * p
+                logs.append(math.log(max(p, 1e-30)))
+            total += logs[1] - logs[0]
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("held", [toxicity.HELD, 50])
+def test_toxicity_model_by_hand(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "HELD", held)
+    monkeypatch.setattr(toxicity, "MARGIN", 0.0)
+    rng = random.Random(8)
+    texts = [(words(rng, rng.randint(1, 30)), int(rng.random() < 0.3)) for _ in range(60)] + [("ab", 1), ("ab ba", 0), ("é", 1)]
+    labelled = spark.createDataFrame(texts, "text string, toxic int").repartition(4)
+    model = toxicity._smooth(toxicity._gather(labelled).toArrow().to_pandas())
+    asked = ["the", "ing", "ab", "unseen", "é", "x", "tion", "zzzzzzzz"]
+    found, size = toxicity._word_values([w.encode() for w in asked], model)
+    assert size.tolist() == [len(w) + 1 for w in asked]
+    assert found == pytest.approx(ratios_by_hand(texts, asked), abs=1e-4)
+
+
 def test_toxicity_without_labels(make_docs, spark):
     nothing = spark.createDataFrame([], "text string, toxic int")
     assert [r["score"] for r in toxicity.score(make_docs([(1, "text")]), nothing).collect()] == [0.0]
