@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from presscan.llm import bpe, jaccard, language_id, mixing, repeats
 from presscan.llm.columns import KEY, broadcast_if_few, with_row_keys
-from presscan.session import stored
+from presscan.session import stored, stored_alone
 
 #: Posterior of the best learned language below which a document goes. It is next to 1 for all but the
 #: shortest texts, also in a language that was not learned, so in effect only texts without letters go.
@@ -103,5 +103,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
