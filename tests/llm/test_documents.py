@@ -74,6 +74,56 @@ def test_shards_are_even_with_a_heavy_group_of_copies(make_docs):
     assert max(sizes) < 1.1 * min(sizes)
 
 
+def test_equal_texts_share_a_shard_unless_they_exceed_it(make_docs):
+    """Groups of up to a shard stay whole, shards stay even; rows without an id or of one id are dealt out too."""
+    rows = [(i, f"group {i % 7} " * 40) for i in range(280)] + [(i, f"own {i} " * (i % 11 + 20)) for i in range(280, 1200)]
+    rows += [(None, "heavy " * 50)] * 400 + [(3, "heavy again " * 25)] * 300 + [(None, None), (5, ""), (5, None)]
+    found = sharding.shard_documents(make_docs(rows), 10).collect()
+    assert len(found) == len(rows)
+    sizes, places = collections.Counter(), collections.defaultdict(set)
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        places[r["text_crc32"]].add(r["shard"])
+    assert set(sizes) == set(range(10)) and max(sizes.values()) < 1.1 * min(sizes.values())
+    totals = collections.Counter(t or "" for _, t in rows)
+    for text, n in totals.items():
+        if n * (len(text) + 16) <= sum(sizes.values()) / 10:
+            assert len(places[zlib.crc32(text.encode())]) == 1
+    for shard in range(10):
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
+
+
+def test_tree_by_hand(spark):
+    """Every split is at the weighted median of the node's widest dimension."""
+    rng = random.Random(6)
+    points = [(rng.randrange(1 << 32), rng.randrange(17, 900), rng.randrange(1, 900), 0, rng.randrange(17, 900)) for _ in range(400)]
+    columns = ["text_crc32", "size", "n_points", "piece", "weight"]
+    df = spark.createDataFrame(points, "text_crc32 long, size long, n_points long, piece long, weight long").repartition(5)
+    room = [1.0, 0.5, 1.0, 0.0, 2.0, 1.0]
+    got = {tuple(r[c] for c in columns[:4]): r["shard"] for r in sharding.kd_shards(df, room).collect()}
+    rows = [dict(zip(columns, p, strict=True)) for p in points]
+    whole = {d: max(r[d] for r in rows) - min(r[d] for r in rows) for d in sharding.DIMENSIONS}
+    want = {}
+
+    def split(some, first, k):
+        if k == 1:
+            want.update({tuple(r[c] for c in columns[:4]): first for r in some})
+            return
+        widest = max(sharding.DIMENSIONS, key=lambda d: (max(r[d] for r in some) - min(r[d] for r in some)) / whole[d])
+        some = sorted(some, key=lambda r: (r[widest], r["text_crc32"], r["size"], r["n_points"]))
+        share = sum(room[first : first + k // 2]) / sum(room[first : first + k])
+        middle, before, left = sum(r["weight"] for r in some) * share, 0, []
+        for r in some:
+            if before + r["weight"] / 2 < middle:
+                left.append(r)
+            before += r["weight"]
+        split(left, first, k // 2)
+        split(some[len(left) :], first + k // 2, k - k // 2)
+
+    split(rows, 0, len(room))
+    assert got == want
+
+
 def test_mix_reaches_targets(docs, mixed_rows):
     rows = mixing.mix(docs, block=8, fan_in=2).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(7), block=8, fan_in=2).collect())
