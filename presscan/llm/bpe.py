@@ -4,7 +4,7 @@ A word (a match of the splitting pattern) becomes rows of token and position. A
 recursive query joins neighbouring tokens with the merge table, contracts each
 word's leftmost pair of minimum rank and repeats until no pair is left. Texts
 are decoded by an aggregation of token bytes in the order of positions. Words
-already encoded are kept up to a bound until the task ends, so a frequent word
+already encoded are kept up to a bound, from task to task of a process, so a frequent word
 is contracted once.
 
 Token ids are stored as little-endian unsigned 32-bit integers in a binary column.
@@ -21,32 +21,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presscan.llm.wordbatch import slices
+from presscan.llm.wordbatch import CACHES, slices, tidy
 
 #: Words kept by a process, words contracted by one query, and what makes a word long.
-KNOWN, CHUNK, LONG = 200_000, 50_000, 64
+KNOWN, CHUNK, LONG = 500_000, 50_000, 64
 
-#: One pair a word and round: the leftmost of minimum rank. A row knows the token after it and the rank of both
-#: together (a token's rank is its id), so a round looks up only the pairs that it changed.
+#: One pair a word and round: the leftmost of minimum rank. A row knows the token after it and, in one number, the rank of
+#: both together (a token's rank is its id) and its place, so a round looks up only the pairs that it changed.
 CONTRACT = """
-    WITH RECURSIVE tokens(word, pos, id, npos, nid, rank, live) AS (
-      SELECT s.word, s.pos, s.id, s.npos, s.nid, m.rank, true FROM starts s LEFT JOIN merges m ON m.first = s.id AND m.second = s.nid
+    WITH RECURSIVE tokens(word, pos, id, npos, nid, best, live) AS (
+      SELECT s.word, s.pos, s.id, s.npos, s.nid, m.rank * 65536 + s.pos, true
+      FROM starts s LEFT JOIN merges m ON m.pair = s.id::BIGINT * 4294967296 + s.nid
       UNION ALL
-      SELECT u.word, u.pos, u.id, u.npos, u.nid, CASE WHEN u.changed THEN m.rank ELSE u.rank END, u.live
+      SELECT u.word, u.pos, u.id, u.npos, u.nid, CASE WHEN u.changed THEN m.rank * 65536 + u.pos ELSE u.best END, u.live
       FROM (
         SELECT t.word, t.pos,
           CASE WHEN t.pos = h.hpos THEN h.made ELSE t.id END AS id,
           CASE WHEN t.pos = h.hpos THEN h.npos ELSE t.npos END AS npos,
           CASE WHEN t.pos = h.hpos THEN h.nid WHEN t.npos = h.hpos THEN h.made ELSE t.nid END AS nid,
-          t.rank, coalesce(t.pos = h.hpos OR t.npos = h.hpos, false) AS changed, h.word IS NOT NULL AS live
+          t.best, t.pos = h.hpos OR t.npos = h.hpos AS changed, h.word IS NOT NULL AS live
         FROM (SELECT * FROM tokens WHERE live) t LEFT JOIN (
-          SELECT x.word, x.pos AS hpos, x.rank::INTEGER AS made, x.npos AS spos, s.npos, s.nid
-          FROM (SELECT word, min(rank * 4294967296 + pos) AS best FROM tokens WHERE live AND rank IS NOT NULL GROUP BY word) b
-          JOIN tokens x ON x.word = b.word AND x.rank * 4294967296 + x.pos = b.best
-          JOIN tokens s ON s.word = x.word AND s.pos = x.npos
+          SELECT b.word, b.low & 65535 AS hpos, (b.low >> 16)::INTEGER AS made, b.spos, s.npos, s.nid
+          FROM (
+            SELECT word, min(best) AS low, arg_min(npos, best) AS spos FROM tokens WHERE live AND best IS NOT NULL GROUP BY word
+          ) b
+          JOIN tokens s ON s.word = b.word AND s.pos = b.spos
         ) h ON h.word = t.word
         WHERE h.spos IS NULL OR t.pos <> h.spos
-      ) u LEFT JOIN merges m ON m.first = u.id AND m.second = u.nid
+      ) u LEFT JOIN merges m ON m.pair = CASE WHEN u.changed THEN u.id::BIGINT * 4294967296 + u.nid END
     )
     SELECT word, id FROM tokens WHERE NOT live ORDER BY word, pos
 """
@@ -115,7 +117,8 @@ class Codec:
         for part in (first, second):
             drawn[part[made < part]] = True
         alone = drawn[made]
-        merges = pa.table({"first": first, "second": second, "made": made, "rank": made.astype(np.int64), "alone": alone})
+        pair = first.astype(np.int64) << 32 | second
+        merges = pa.table({"pair": pair, "first": first, "second": second, "made": made, "rank": made.astype(np.int64), "alone": alone})
         vocabulary = pa.table({"id": np.arange(len(ranks), dtype=np.int32), "bytes": [_as_text(t) for t in ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
@@ -179,11 +182,14 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(ranks: tuple[bytes, ...]) -> Codec:
     return Codec(ranks)
 
 
+CACHES["bpe"] = _codec.cache_clear
+
+
 def read_ranks(path: str) -> tuple[bytes, ...]:
     """Tokens of a ranks file in the order of their ids."""
     with open(path, "rb") as lines:
@@ -203,9 +209,8 @@ def _mapped(docs: DataFrame, path: str, schema: str, work) -> DataFrame:
             for part in slices(batch, batch.schema.names[1]):
                 columns = [pa.array(c, pa.binary()) for c in work(codec, part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
-        codec.known = {}  # the process may go on with other work
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run, "bpe"), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

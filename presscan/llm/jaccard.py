@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from presscan.llm.columns import KEY, broadcast_if_few, partitions, with_row_keys
 from presscan.llm.components import component_ids
 from presscan.llm.shingles import Sets, mix, shingle_sets
-from presscan.llm.wordbatch import slices
+from presscan.llm.wordbatch import slices, tidy
 from presscan.session import stored, stored_alone
 
 #: A band's largest size is about this much above its smallest; a set then meets two bands at most.
@@ -49,6 +49,8 @@ SLOTS, COMMON = 1 << 18, 8.0
 _BLOCK = 1 << 12
 #: Words of the sketch that shows cheaply that two sets differ too much.
 SKETCH = 16
+#: Bytes of text that a task looks at together.
+TEXTS = 2 << 20
 #: Members that are compared with one copy of their partner.
 TOGETHER = 256
 _U = np.uint64
@@ -158,7 +160,7 @@ def describe(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXTS):
                 sets = shingle_sets(part.column("text"))
                 seen += np.bincount(_slot(sets.hashes), minlength=SLOTS)
                 none = pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.list_(pa.int64()))
@@ -167,7 +169,7 @@ def describe(docs: DataFrame) -> DataFrame:
             none = (pa.nulls(blocks, kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()))
             yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(blocks, dtype=np.int32)), lists(seen.reshape(blocks, width))], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sketch array<long>, digest long, block int, counts array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, sketch array<long>, digest long, block int, counts array<long>")
 
 
 def common_slots(described: DataFrame) -> np.ndarray:
@@ -184,7 +186,7 @@ def common_slots(described: DataFrame) -> np.ndarray:
 
     rows = described.filter("n_shingles IS NULL").select("block", "counts")
     seen = np.zeros((SLOTS // _BLOCK, _BLOCK), np.int64)
-    for row in rows.repartition(partitions(described.sparkSession), "block").mapInArrow(total, rows.schema).collect():
+    for row in rows.repartition(partitions(described.sparkSession), "block").mapInArrow(tidy(total), rows.schema).collect():
         seen[row["block"]] = row["counts"]
     mean = max(float(seen.mean()), 1.0)
     return seen.ravel() > mean + COMMON * mean**0.5
@@ -214,7 +216,7 @@ def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXTS):
                 sets = shingle_sets(part.column("text"))
                 keys, owner = index_keys(sets, shared.value)
                 # Equal sets also meet under a key of their own, and need no comparison then.
@@ -260,9 +262,9 @@ def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
         if len(key):
             yield out(key, head, doc)
 
-    rows = docs.mapInArrow(index, "spread long, key long, doc long, head long")
+    rows = docs.mapInArrow(tidy(index), "spread long, key long, doc long, head long")
     rows = rows.repartition(partitions(docs.sparkSession), "spread").sortWithinPartitions("spread")
-    return rows.mapInArrow(meet, "key long, head long, doc long")
+    return rows.mapInArrow(tidy(meet), "key long, head long, doc long")
 
 
 def _differing(a: list[Column], b: list[Column]) -> Column:
@@ -345,7 +347,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, mine = None, np.empty(0, np.uint64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXTS):
                 sets = shingle_sets(part.column("text"))
                 ends = sets.ends
                 rows = zip(part.column("a").to_pylist(), part.column("part").to_pylist(), part.column("member").to_pylist(), part.column("doc_id").to_pylist(), strict=True)
@@ -365,7 +367,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     )
 
     dealt = texts.repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "member")
-    return dealt.select("a", "part", "member", "doc_id", "text").mapInArrow(compare, "a long, b long")
+    return dealt.select("a", "part", "member", "doc_id", "text").mapInArrow(tidy(compare), "a long, b long")
 
 
 def join_groups(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from presscan.llm.wordbatch import Words, letter_words, slices
+from presscan.llm.wordbatch import CACHES, Words, letter_words, slices, tidy
 
 UNKNOWN = "und"
 #: Strength of the vocabulary's own distribution in a language's.
@@ -119,6 +119,9 @@ def _trie(pieces: tuple[bytes, ...]) -> Pieces:
     return Pieces(pieces)
 
 
+CACHES["language_id"] = _trie.cache_clear
+
+
 class _Lattice:
     """All segmentations of a chunk of words; offsets and lengths in groups for vectorised passes.
 
@@ -252,7 +255,7 @@ def fit(docs: DataFrame, vocabulary: str) -> LanguageModel:
             )
 
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sums = labelled.mapInArrow(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    sums = labelled.mapInArrow(tidy(count, "language_id"), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     table = sums.toArrow().to_pandas()
     prior = _trie(pieces).prior
     languages = sorted(table["lang"].unique())
@@ -307,7 +310,7 @@ def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
 
     schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(label, schema)
+    return rows.mapInArrow(tidy(label, "language_id"), schema)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

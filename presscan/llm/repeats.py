@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from presscan.llm.columns import KEY, WHITE, partitions, with_row_keys
 from presscan.llm.shingles import mix
-from presscan.llm.wordbatch import slices
+from presscan.llm.wordbatch import slices, tidy
 from presscan.session import stored, stored_alone
 
 LENGTH, GRAM = 100, 24
@@ -238,7 +238,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             data = [pack(t or b"") for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, packed binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, packed binary")
 
 
 def _unpacked(data: list[bytes]) -> list[bytes]:
@@ -314,9 +314,9 @@ def _dealt(docs: DataFrame, shift: int) -> DataFrame:
         if len(held[0]):
             yield decide(*held)
 
-    rows = docs.mapInArrow(cut, "gram long, whole long, doc_id long, place long")
+    rows = docs.mapInArrow(tidy(cut), "gram long, whole long, doc_id long, place long")
     rows = rows.repartition(partitions(docs.sparkSession), "gram").sortWithinPartitions("gram", "whole")
-    return rows.mapInArrow(meet, "gram long, doc_id long, start int, stop int, mode int")
+    return rows.mapInArrow(tidy(meet), "gram long, doc_id long, start int, stop int, mode int")
 
 
 def _expanded(places: DataFrame, packed: DataFrame, shift: int) -> DataFrame:
@@ -397,9 +397,9 @@ def _expanded(places: DataFrame, packed: DataFrame, shift: int) -> DataFrame:
         if texts:
             yield out(*repeated_windows(texts, np.array(docs), np.array(starts), shift))
 
-    rows = wanted.join(packed, "doc_id").select("doc_id", "packed", "places").mapInArrow(fetch, "gram long, doc_id long, start int, data binary")
+    rows = wanted.join(packed, "doc_id").select("doc_id", "packed", "places").mapInArrow(tidy(fetch), "gram long, doc_id long, start int, data binary")
     rows = rows.repartition(partitions(places.sparkSession), "gram").sortWithinPartitions("gram")
-    return rows.mapInArrow(transform, _MARK)
+    return rows.mapInArrow(tidy(transform), _MARK)
 
 
 def _repeated_spans(keyed: DataFrame, shift: int) -> DataFrame:
@@ -440,7 +440,7 @@ def _cut(keyed: DataFrame, shift: int) -> DataFrame:
                 )
 
     joined = _packed(keyed).join(marks, "doc_id", "left").select("doc_id", "packed", "marks")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
+    return joined.mapInArrow(tidy(cut), "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presscan.llm.columns import partitions
-from presscan.llm.wordbatch import slices
+from presscan.llm.wordbatch import slices, tidy
 from presscan.session import stored
 
 BUCKETS = 10_000
@@ -63,7 +63,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], ["bucket", "n"])
 
     counts = np.zeros(BUCKETS, np.int64)
-    for row in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[row["bucket"]] = row["n"]
     return counts
 
@@ -96,7 +96,7 @@ def scored(docs: DataFrame, gain: np.ndarray) -> DataFrame:
                 columns = [part.column("doc_id"), pa.array((ends - starts).astype(np.int64)), pa.array((sums[ends] - sums[starts]).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_features", "weight"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_features long, weight long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_features long, weight long")
     return rows.withColumn("score", F.col("weight") + noise(F.col("doc_id")))
 
 

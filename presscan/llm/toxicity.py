@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from presscan.llm.columns import bytes_of
 from presscan.llm.shingles import mix
-from presscan.llm.wordbatch import letter_words, slices
+from presscan.llm.wordbatch import letter_words, slices, tidy
 from presscan.session import stored
 
 ORDER = 5
@@ -140,7 +140,7 @@ def _gather(labelled: DataFrame) -> DataFrame:
         if held is not None:
             yield batch_of(held)
 
-    rows = labelled.mapInArrow(count, _GRAMS)
+    rows = labelled.mapInArrow(tidy(count), _GRAMS)
     # What a key stands for is the same in every row of it.
     about = [F.first(c).alias(c) for c in names[1:5]]
     return rows.groupBy("key").agg(*about, F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
@@ -233,7 +233,7 @@ def raw_values(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, from_pandas=True)], ["doc_id", *keep, "raw"])
 
     schema = rows.drop("text").schema.add("raw", "double")
-    return rows.mapInArrow(value, schema)
+    return rows.mapInArrow(tidy(value), schema)
 
 
 def calibrate(values: DataFrame) -> tuple[float, float]:

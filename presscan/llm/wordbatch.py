@@ -6,7 +6,8 @@ slice of a batch, however often the word occurs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,31 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         yield batch.slice(start)
 
 
+#: What operators keep in a process between their tasks, by name, as what forgets it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable:
+    """``run`` for a task whose process has done other work and goes on with other work.
+
+    What other operators than ``owner`` have kept goes first; freed memory goes back to the machine at the end.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in CACHES.items():
+            if name != owner:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 @dataclass
 class Words:
     """``distinct`` words; ``index`` of each occurrence, in order; ``row`` each occurrence stands in."""
