@@ -456,6 +456,76 @@ def test_licenses(make_docs):
     assert found == {1: (1, "MIT"), 2: (1, "Apache-2.0"), 3: (0, ""), 4: (0, ""), 5: (3, "GPL-3.0, CC-BY-NC-4.0"), 6: (0, "")}
 
 
+WARRANTY = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE'
+BSD = """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU {0}General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+NOTICES = {
+    "Apache-2.0": """# Copyright 2020 Somebody
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+""",
+    "MIT": "MIT License\n\nCopyright (c) 2020 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n" + WARRANTY.strip(),
+    "BSD-2-Clause": BSD,
+    "BSD-3-Clause": BSD + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "GPL-3.0-or-later": GPL.format(""),
+    "AGPL-3.0-or-later": GPL.format("Affero "),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "LGPL-2.1-or-later": "// SPDX-License-Identifier: LGPL-2.1-or-later",
+}
+
+
+def test_standard_notices(make_docs, spark):
+    """Whole notices as they stand in files; SQL says the same, on nulls, empty and repeated rows too."""
+    texts = [*NOTICES.values(), "\n".join(NOTICES.values()), None, "", "no license here. v. 2", NOTICES["MIT"], "distributed in the hope"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (90, "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")]
+    found = licenses.scan(make_docs(rows)).collect()
+    by_row = {r["doc_id"]: r for r in found}
+    assert [by_row[i]["licences"] for i in range(len(NOTICES))] == list(NOTICES)
+    assert all(by_row[i]["n_matches"] == 1 for i in range(len(NOTICES)))
+    assert set(by_row[len(NOTICES)]["licences"].split(", ")) == set(NOTICES)
+    assert [by_row[len(NOTICES) + i]["n_matches"] for i in range(1, 4)] == [0, 0, 0] and by_row[90]["n_sentences"] == 1
+    import duckdb
+    import pyarrow as pa
+
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    assert sorted(map(repr, db.sql(licenses.scan_sql()).fetchall())) == sorted(repr(tuple(r)) for r in found)
+
+
 def test_empty_tables(no_docs, tokenizer, spark):
     path, pattern, _ = tokenizer
     assert quality.judge(no_docs).count() == 0
