@@ -419,3 +419,27 @@ def _links(measured: DataFrame, docs: DataFrame) -> DataFrame:
     """The measured pairs that link: equal sets, and those whose texts show it."""
     compared = verified(measured.filter("NOT same").select("a", "b"), docs)
     return measured.filter("same").select("a", "b").unionByName(compared)
+
+
+def groups_sql() -> str:
+    """The same from all pairs that share a shingle, in DuckDB; for small tables."""
+    return """
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE
+                WHEN len(w) > 4 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g
+            FROM texts
+        ), shingles AS (SELECT doc_id, unnest(g) AS s FROM sets),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * c >= 75 * (len(x.g) + len(y.g) - c)
+        ), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON l.a = r.b
+        )
+        SELECT doc_id, CAST(any_value(len(g)) AS BIGINT) AS n_shingles, min(b) AS component_id FROM sets JOIN reached ON a = doc_id GROUP BY doc_id
+    """

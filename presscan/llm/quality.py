@@ -74,7 +74,6 @@ def features(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
         F.size(F.filter("w", lambda x: F.translate(x, SYMBOLS, "") != x)).cast("long").alias("n_marked"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("wh"),
         "word_chars",
@@ -174,3 +173,61 @@ def judge(docs: DataFrame) -> DataFrame:
         posterior(fit(voted)).alias("posterior"),
         "votes",
     ).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+
+
+def judge_sql() -> str:
+    """Counts and verdict in DuckDB; each step of expectation-maximisation is a step of a recursion."""
+    rules, space = range(1, 9), r"\x20\x09-\x0D"
+    good = [
+        "n >= 40", "word_chars >= 3 * m AND word_chars <= 11 * m", "50 * n_symbols <= m", "n_dup_lines = 0",
+        "100 * n_repeat_words <= 10 * m", "5 * upper <= letters", "10 * letters >= 9 * word_chars", "50 * n_marked <= m",
+    ]
+    bad = [
+        "n < 20", "word_chars < 2 * m OR word_chars > 14 * m", "10 * n_symbols > m", "10 * n_dup_lines > 3 * n_lines",
+        "100 * n_repeat_words > 30 * m", "2 * upper > letters", "4 * letters < 3 * word_chars", "5 * n_marked > m",
+    ]
+    votes = ", ".join(f"CASE WHEN {b} THEN -1 WHEN {g} THEN 1 ELSE 0 END AS v{j}" for j, b, g in zip(rules, bad, good, strict=True))
+    each = ", ".join(f"v{j}" for j in rules)
+    odds = "ln(p / (1 - p)) + " + " + ".join(f"(CASE v{j} WHEN 1 THEN ln(s{j} / (1 - t{j})) WHEN -1 THEN ln((1 - s{j}) / t{j}) ELSE 0 END)" for j in rules)
+
+    def rate(share: str, vote: int, j: int, low: float, high: float) -> str:
+        part = f"sum(c * {share}) FILTER (v{j} = {vote}) / nullif(sum(c * {share}) FILTER (v{j} <> 0), 0)"
+        return f"greatest({low}::DOUBLE, least({high}::DOUBLE, CASE WHEN sum(c * {share}) FILTER (v{j} <> 0) > 0 THEN coalesce({part}, 0) ELSE 0.9 END))"
+
+    steps = ", ".join(f"{rate('q', 1, j, *PASSES_GOOD)} AS s{j}, {rate('(1 - q)', -1, j, *CATCHES_BAD)} AS u{j}" for j in rules)
+    start = ", ".join(f"{START[1]}::DOUBLE AS s{j}, {START[2]}::DOUBLE AS t{j}" for j in rules)
+    rates = ", ".join(f"s{j}, greatest(u{j}, 1.001::DOUBLE - s{j}) AS t{j}" for j in rules)
+    return f"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, text, regexp_extract_all(text, '[^{space}]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{space}]')) AS l
+            FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+        ), starts AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS times
+            FROM (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM texts))
+        ), covered AS (
+            SELECT doc_id, sum(least({WINDOW}, coalesce(i - before, {WINDOW}))) AS n_repeat_words
+            FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM starts WHERE times > 1) GROUP BY doc_id
+        ), counted AS (
+            SELECT doc_id, len(w) AS n, greatest(len(w), 1) AS m, length(regexp_replace(text, '[{space}]+', '', 'g')) AS word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS upper,
+                length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) AS letters, len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_marked
+            FROM texts LEFT JOIN covered USING (doc_id)
+        ), voted AS (SELECT *, {votes} FROM counted),
+        patterns AS (SELECT {each}, count(*)::DOUBLE AS c FROM voted GROUP BY {each}),
+        model AS (
+            SELECT 0 AS step, {START[0]}::DOUBLE AS p, {start}
+            UNION ALL
+            SELECT step, p, {rates} FROM (
+                SELECT step + 1 AS step, greatest({PRIOR[0]}::DOUBLE, least({PRIOR[1]}::DOUBLE, sum(c * q) / sum(c))) AS p, {steps}
+                FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS q FROM model, patterns WHERE step < {ITERATIONS}) GROUP BY step
+            )
+        ), judged AS (
+            SELECT voted.*, n < 20 OR 100 * n_repeat_words > 30 * n AS base_failed, 1 / (1 + exp(-({odds}))) AS posterior
+            FROM voted, (SELECT * FROM model WHERE step = {ITERATIONS})
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+            CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+            NOT base_failed AND posterior >= 0.5 AS kept
+        FROM judged
+    """

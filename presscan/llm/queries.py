@@ -15,18 +15,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
     model = language_id.fit(docs.filter(~held_out), language_id.default_vocabulary(spark))
-    return language_id.predict(docs, model).withColumn("held_out", held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses as a repeat of an earlier place, and a digest of what it keeps."""
     cut = repeats.without_repeats(_table(spark, sf_dir, "documents"))
     return cut.select(
         "doc_id",
@@ -38,6 +41,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,28 +55,39 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector."""
     vectors = topk.quantized(_table(spark, sf_dir, "embeddings"))
     found = topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document."""
     return jaccard.join_groups(_table(spark, sf_dir, "documents"))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document names."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+QUALITY_COLUMNS = (
+    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    """Counts and verdict of the quality rules on every document."""
+    return quality.judge(_table(spark, sf_dir, "documents")).select(*QUALITY_COLUMNS)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and a slot for every document, by bytes."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = _table(spark, sf_dir, "labels").filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -125,6 +140,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_suffix_dedup": repeats.repeats_sql(),
+    "op6_ngram_jaccard": jaccard.groups_sql(),
+    "op8_quality_rules": quality.judge_sql(),
     "op7_license_scans": licenses.scan_sql(),
     "op11_importance_resampling": resample.resample_sql(),
     "op13_filter_interaction": interaction.audit_sql(),
@@ -134,13 +152,17 @@ SQL = {
             FROM embeddings
             WHERE embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), rows AS (
+            SELECT vec_id, v, row_number() OVER () AS r, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS copy FROM (SELECT DISTINCT vec_id, v FROM v)
         ), parts AS (
-            SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v
-        ), scores AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            SELECT vec_id, r, copy, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM rows
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, c.r, CAST(sum(q.x * c.x) AS BIGINT) AS score
             FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id
-            WHERE q.vec_id % 100 = 0
+            WHERE q.vec_id % 100 = 0 AND q.copy = 1
             GROUP BY ALL
+        ), scores AS (
+            SELECT DISTINCT query_id, vec_id, score FROM pairs
         ), ranked AS (
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
         )

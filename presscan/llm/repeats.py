@@ -478,3 +478,33 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = known.withColumn("__null", F.col("text").isNull()).drop("text").join(cut, F.col(KEY) == F.col("__id"))
     rows = rows.filter(~F.col("__cut") | has_word).withColumn("text", F.when(~F.col("__null"), clean))
     return rows.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def repeats_sql() -> str:
+    """n_bytes, n_removed, n_spans and the digest of what is left, from all windows, in DuckDB; for small tables."""
+    return f"""
+        WITH texts AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), windows AS (
+            SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, h, unnest(range(n - {LENGTH - 1})) AS i FROM texts)
+        ), repeated AS (
+            SELECT doc_id, i FROM (
+                SELECT *, min(doc_id) OVER (PARTITION BY k) AS first_doc, min(i) OVER (PARTITION BY k, doc_id) AS first_i FROM windows
+            ) WHERE doc_id > first_doc OR i > first_i
+        ), runs AS (
+            SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS z FROM (
+                SELECT *, sum(CAST(coalesce(i > before + {LENGTH}, true) AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run
+                FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM repeated)
+            ) GROUP BY doc_id, run
+        ), cuts AS (
+            SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM runs GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+                CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(len(a) + 1), lambda j: substr(h,
+                    2 * (CASE WHEN j = 0 THEN 0 ELSE z[j] END) + 1,
+                    2 * ((CASE WHEN j = len(a) THEN n ELSE a[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE z[j] END)))), '') END AS h
+            FROM texts LEFT JOIN cuts USING (doc_id)
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+            sha256(unhex(h)) AS kept_sha256 FROM kept
+    """

@@ -1,29 +1,33 @@
 """Exact top-k by inner product with a pivot table.
 
 The distances of every vector to a fixed number of pivots are computed once and
-kept beside it. By the triangle inequality each pivot bounds the distance of a
-query and a candidate from below, the largest of these bounds their inner product
-from above. A task evaluates its candidates in the order of that bound and stops
+kept beside it. Together they say where a vector lies in the span of the pivots and how far
+off it, which bounds the distance of a query and a candidate from below: by their distance inside
+the span and the difference of their distances off it. No lower bound that follows from the
+table is larger; it bounds their inner product from above. A task evaluates its candidates in the order of that bound and stops
 for a query as soon as no bound left reaches the query's k-th best score.
 
-Queries are answered in blocks of a fixed number against all rows; only one block
+Queries are answered in blocks of a fixed number against all rows, a job each; only one block
 and the pivots, both of bounded size, are ever broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presscan.session import stored
+from presscan.session import shared_folder, stored
 
 K = 10
 SCALE = 1024
-PIVOTS = 32
+PIVOTS = 48
 QUERY_BLOCK = 4096
 #: Queries whose bounds a task holds at once, and candidates evaluated between two looks at the bounds.
 TILE, STEP = 128, 256
@@ -65,12 +69,35 @@ def _merge(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return ids[new][:k], scores[new][:k]
 
 
-def _search(batches: Iterator[pa.RecordBatch], queries, width: int, k: int) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class _Pivots:
+    """Pivots, and what turns products with them into coordinates of an orthonormal basis of their span."""
+
+    centres: np.ndarray
+    squares: np.ndarray
+    basis: np.ndarray
+
+    @classmethod
+    def of(cls, centres: np.ndarray) -> _Pivots:
+        left, size, _ = np.linalg.svd(centres, full_matrices=False) if centres.size else (np.zeros((len(centres), 0)), np.zeros(0), None)
+        some = size > 1e-9 * size.max(initial=0)
+        return cls(centres, (centres * centres).sum(1), left[:, some] / size[some])
+
+    def placed(self, distances: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates in the span and distance off it of vectors with these distances to the pivots and squared norms."""
+        products = (self.squares[None, :] + squares[:, None] - distances * distances) / 2
+        inside = products @ self.basis
+        return inside, np.sqrt(np.maximum(squares - (inside * inside).sum(1), 0.0))
+
+
+def _search(batches: Iterator[pa.RecordBatch], queries, pivots, width: int, k: int, evaluated) -> Iterator[pa.RecordBatch]:
     ids, integers, near = queries.value
     exact = np.abs(integers).max(initial=0)
     query = integers.astype(np.float64)
     norms = (query * query).sum(1)
+    inside, off = pivots.value.placed(near, norms)
     best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+    count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -78,14 +105,13 @@ def _search(batches: Iterator[pa.RecordBatch], queries, width: int, k: int) -> I
         table = np.asarray(batch.column("pivot_distances").flatten()).reshape(batch.num_rows, -1)
         rows = wide.astype(np.float64)
         squares = (rows * rows).sum(1)
+        own_inside, own_off = pivots.value.placed(table, squares)
         small = float(np.abs(wide).max(initial=0)) * float(exact) * max(width, 1) < _EXACT
         for start in range(0, len(ids), TILE):
             tile = slice(start, start + TILE)
-            lower = np.zeros((len(ids[tile]), len(own)))
-            for p in range(table.shape[1]):
-                np.maximum(lower, np.abs(near[tile, p, None] - table[None, :, p]), out=lower)
-            upper = (norms[tile, None] + squares[None, :] - lower * lower) / 2
-            upper += 1e-9 * (norms[tile, None] + squares[None, :]) + 1  # what rounding may have taken off
+            # Half of both squared norms less the lower bound of the squared distance.
+            upper = inside[tile] @ own_inside.T + off[tile, None] * own_off[None, :]
+            upper += 1e-6 * (norms[tile, None] + squares[None, :]) + 1  # what rounding may have taken off
             for j, bound in enumerate(upper):
                 q = start + j
                 found, scores = best[q]
@@ -95,9 +121,12 @@ def _search(batches: Iterator[pa.RecordBatch], queries, width: int, k: int) -> I
                     if len(scores) == k and bound[some[0]] < scores[-1]:
                         break
                     some = some[own[some] != ids[q]]
+                    count += len(some)
                     product = np.rint(rows[some] @ query[q]).astype(np.int64) if small else wide[some] @ integers[q]
                     found, scores = _merge(np.concatenate([found, own[some]]), np.concatenate([scores, product]), k)
                 best[q] = found, scores
+    if evaluated is not None:
+        evaluated.add(count)
     counts = [len(found) for found, _ in best]
     if sum(counts):
         yield pa.RecordBatch.from_arrays(
@@ -110,12 +139,15 @@ def _search(batches: Iterator[pa.RecordBatch], queries, width: int, k: int) -> I
         )
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(
+    vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, evaluated: Accumulator | None = None
+) -> DataFrame:
     """The ``k`` vectors of highest inner product for each query, without the query's own id.
 
     Both tables have vec_id and ``v`` (integers). Ties go to the smaller id. Rows
     repeated with the same id and score count once; of a query id that is repeated the
-    smallest vector is asked. Without queries or vectors there are no rows.
+    smallest vector is asked. Without queries or vectors there are no rows. ``evaluated``
+    counts the pairs that the bounds leave to be evaluated.
     """
     spark = vectors.sparkSession
     width = vectors.agg(F.max(F.size("v"))).first()[0] or 0
@@ -132,10 +164,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int = P
 
     with_distances = "vec_id long, v array<long>, pivot_distances array<double>"
     table = stored(vectors.mapInArrow(measure, with_distances))
+    span = spark.sparkContext.broadcast(_Pivots.of(centres))
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = -(-asked.count() // query_block)
     asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1)))))
-    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    schema, answers = "query_id long, vec_id long, score long", f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(answers)
     for b in range(blocks):
         rows = asked.filter(F.col("block") == b).orderBy("vec_id").collect()
         integers = np.zeros((len(rows), width), np.int64)
@@ -143,8 +177,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, pivots: int = P
             integers[i, : len(row["v"])] = row["v"]
         ids = np.array([row["vec_id"] for row in rows], np.int64)
         block = spark.sparkContext.broadcast((ids, integers, _distances(integers.astype(np.float64), centres)))
-        found = found.unionByName(
-            table.mapInArrow(lambda batches, block=block: _search(batches, block, width, k), found.schema)
-        )
+        best = table.mapInArrow(lambda batches, block=block: _search(batches, block, span, width, k, evaluated), schema)
+        best.write.mode("append").parquet(answers)
+        block.unpersist()
+    found = spark.read.schema(schema).parquet(answers)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)

@@ -54,6 +54,34 @@ def test_quality_drops_junk_and_keeps_clean(make_docs, mixed_rows):
     assert not any(kept[r[0]][0] for r in junk)
 
 
+def test_expectation_maximisation_by_hand(spark):
+    """The model after its steps over vote patterns, and the posterior of a pattern."""
+    rng = random.Random(14)
+    rows = []
+    for _ in range(400):
+        good = rng.random() < 0.8
+        rows.append([rng.choice((1, 1, 1, 0, -1)) if good else rng.choice((1, 0, -1, -1)) for _ in range(8)])
+    model = quality.fit(spark.createDataFrame([(r,) for r in rows], "votes array<int>"))
+    patterns = collections.Counter(map(tuple, rows))
+    prior, rates = quality.START[0], [(quality.START[1], quality.START[2])] * 8
+    for _ in range(quality.ITERATIONS):
+        share = {}
+        for p in patterns:
+            odds = np.log(prior / (1 - prior))
+            for v, (s, t) in zip(p, rates, strict=True):
+                odds += np.log(s / (1 - t)) if v == 1 else np.log((1 - s) / t) if v == -1 else 0
+            share[p] = 1 / (1 + np.exp(-odds))
+        prior = min(max(sum(n * share[p] for p, n in patterns.items()) / len(rows), quality.PRIOR[0]), quality.PRIOR[1])
+        rates = []
+        for j in range(8):
+            voted = [(n, share[p], p[j]) for p, n in patterns.items() if p[j]]
+            s = sum(n * q for n, q, v in voted if v == 1) / sum(n * q for n, q, _ in voted)
+            t = sum(n * (1 - q) for n, q, v in voted if v == -1) / sum(n * (1 - q) for n, q, _ in voted)
+            s, t = min(max(s, quality.PASSES_GOOD[0]), quality.PASSES_GOOD[1]), min(max(t, quality.CATCHES_BAD[0]), quality.CATCHES_BAD[1])
+            rates.append((s, max(t, 1.001 - s)))
+    assert (model.prior, *model.on_good, *model.on_bad) == pytest.approx((prior, *(s for s, _ in rates), *(t for _, t in rates)), rel=1e-6)
+
+
 def test_sharding(docs, mixed_rows):
     rows = sharding.shard_documents(docs, 4).collect()
     assert len(rows) == len(mixed_rows)

@@ -36,6 +36,14 @@ def test_top_k(vectors, block):
     assert got == sorted(expected)
 
 
+def test_bounds_leave_less_than_half_to_evaluate(spark):
+    given = topk.quantized(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).coalesce(4)
+    asked = given.filter("vec_id % 100 = 0")
+    evaluated = spark.sparkContext.accumulator(0)
+    topk.top_k(given, asked, evaluated=evaluated).count()
+    assert 0 < evaluated.value < 0.5 * given.count() * asked.count()
+
+
 def test_top_k_of_few_or_none(vectors):
     quantized = topk.quantized(vectors)
     few = quantized.filter("vec_id < 4")
