@@ -36,6 +36,7 @@ HEADLINE = (
     "resolve_articles",
     "search",
     "search_many",
+    "search_table",
     "search_funnel",
     "append_new",
     "upsert",
