@@ -50,7 +50,7 @@ _BLOCK = 1 << 12
 #: Words of the sketch that shows cheaply that two sets differ too much.
 SKETCH = 16
 #: Bytes of text that a task looks at together.
-TEXTS = 2 << 20
+TEXTS = 3 << 20
 #: Members that are compared with one copy of their partner.
 TOGETHER = 256
 _U = np.uint64
@@ -198,16 +198,17 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For keys in order: each key and its smallest id; and key, smallest and other id of the members."""
-    order = np.lexsort((ids, keys))
+    """For keys in order: each key and its smallest id; and key, smallest and other id of the members.
+
+    A member that has a key twice may be given twice.
+    """
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
     starts, lengths = _runs(keys)
-    head = np.repeat(ids[starts] if len(starts) else ids, lengths)
+    least = np.minimum.reduceat(ids, starts) if len(starts) else ids
+    head = np.repeat(least, lengths)
     other = ids != head
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    other &= new
-    return keys[starts], ids[starts], keys[other], head[other], ids[other]
+    return keys[starts], least, keys[other], head[other], ids[other]
 
 
 def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
