@@ -31,6 +31,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,6 @@ BAND = 16 / 9
 SPARE, CHANCE = 1.4, 4.0
 #: Counters of shingles, and how many deviations above the mean make one common.
 SLOTS, COMMON = 1 << 18, 8.0
-_BLOCK = 1 << 12
 #: Words of the sketch that shows cheaply that two sets differ too much.
 SKETCH = 16
 #: Bytes of text that a task looks at together.
@@ -148,48 +148,10 @@ def _digests(sets: Sets) -> np.ndarray:
     return (sums[ends] - sums[ends - sets.sizes]).view(np.int64)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sketch and digest of every document; and rows without n_shingles, whose
-    ``counts`` a task adds to the counters of ``block``."""
-    names = ["doc_id", "n_shingles", "sketch", "digest", "block", "counts"]
-    blocks, width = SLOTS // _BLOCK, _BLOCK
-
-    def lists(values: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for part in slices(batch, most=TEXTS):
-                sets = shingle_sets(part.column("text"))
-                seen += np.bincount(_slot(sets.hashes), minlength=SLOTS)
-                none = pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.sizes), lists(_sketches(sets)), pa.array(_digests(sets)), *none], names)
-        if seen.any():
-            none = (pa.nulls(blocks, kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(blocks, dtype=np.int32)), lists(seen.reshape(blocks, width))], names)
-
-    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, sketch array<long>, digest long, block int, counts array<long>")
-
-
-def common_slots(described: DataFrame) -> np.ndarray:
-    """Which counters stand out: blocks are summed by Spark, and a fixed number of counters comes to the driver."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                values = counts.values.to_numpy()
-                sums[block] = sums[block] + values if block in sums else values.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["block", "counts"])
-
-    rows = described.filter("n_shingles IS NULL").select("block", "counts")
-    seen = np.zeros((SLOTS // _BLOCK, _BLOCK), np.int64)
-    for row in rows.repartition(partitions(described.sparkSession), "block").mapInArrow(tidy(total), rows.schema).collect():
-        seen[row["block"]] = row["counts"]
+def _common(seen: np.ndarray) -> np.ndarray:
+    """Which counters stand out."""
     mean = max(float(seen.mean()), 1.0)
-    return seen.ravel() > mean + COMMON * mean**0.5
+    return seen > mean + COMMON * mean**0.5
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,44 +173,58 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[starts], least, keys[other], head[other], ids[other]
 
 
-def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """key, head and doc: documents that share a key with a smaller id, its ``head``."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def memberships(docs: DataFrame) -> DataFrame:
+    """key, head and doc: documents that share a key with a smaller id, its ``head``; and, in the same
+    pass over the texts, a row for every document whose ``about`` holds size, digest and sketch of its set.
+
+    Rows without an id have no keys. What is common is judged by what a task has seen so far, which
+    decides what a set leaves out, never whether linked sets share a key.
+    """
+    names = ["spread", "key", "doc", "head", "about"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch, most=TEXTS):
                 sets = shingle_sets(part.column("text"))
-                keys, owner = index_keys(sets, shared.value)
+                seen += np.bincount(_slot(sets.hashes), minlength=SLOTS)
+                n, doc = len(part), part.column("doc_id")
+                digests = _digests(sets)
+                packed = np.concatenate([sets.sizes[:, None], digests[:, None], _sketches(sets)], axis=1).astype("<i8")
+                about = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * packed.shape[1]), n, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+                # Documents that are alike travel apart.
+                spread = mix(mix(digests.view(np.uint64)) + np.arange(n, dtype=np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(n, np.int64)), doc, pa.nulls(n, pa.int64()), about], names)
+                named = doc.is_valid().to_numpy(zero_copy_only=False)
+                ids = doc.fill_null(0).to_numpy()
+                keys, owner = index_keys(sets, _common(seen))
                 # Equal sets also meet under a key of their own, and need no comparison then.
                 some = np.flatnonzero(sets.sizes > 0)
-                keys = np.concatenate([keys, mix(_digests(sets)[some].view(np.uint64))])
+                keys = np.concatenate([keys, mix(digests[some].view(np.uint64))])
                 owner = np.concatenate([owner, some])
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner]
-                key, first, met, head, doc = _stars(keys.view(np.int64), ids)
+                keys, owner = keys[named[owner]], owner[named[owner]]
+                key, first, met, head, other = _stars(keys.view(np.int64), ids[owner])
                 # Groups found here travel apart from their key, whatever their size.
-                spread = mix(met.view(np.uint64) ^ mix(doc.astype(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([key, spread])),
-                        pa.array(np.concatenate([key, met])),
-                        pa.array(np.concatenate([first, doc])),
-                        pa.array(np.concatenate([np.full(len(key), -1), head]), mask=np.arange(len(key) + len(met)) < len(key)),
-                    ],
-                    ["spread", "key", "doc", "head"],
-                )
+                spread = mix(met.view(np.uint64) ^ mix(other.astype(np.uint64))).view(np.int64)
+                n = len(key) + len(met)
+                heads = pa.array(np.concatenate([np.full(len(key), -1), head]), mask=np.arange(n) < len(key))
+                columns = [np.concatenate(x) for x in ((key, spread), (key, met), (first, other))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), heads, pa.nulls(n, pa.binary())], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held_docs = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def out(key, head, doc):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(head), pa.array(doc)], ["key", "head", "doc"])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(head), pa.array(doc), pa.nulls(len(key), pa.binary())], ["key", "head", "doc", "about"])
 
         for batch in batches:
+            described = batch.filter(batch.column("about").is_valid())
+            if len(described):
+                yield described.select(["key", "head", "doc", "about"])
             known = batch.filter(batch.column("head").is_valid())
             if len(known):
                 yield out(*(known.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "head", "doc")))
-            fresh = batch.filter(batch.column("head").is_null())
+            fresh = batch.filter(pc.and_(batch.column("head").is_null(), batch.column("about").is_null()))
             keys = np.concatenate([held_keys, fresh.column("key").to_numpy(zero_copy_only=False)])
             ids = np.concatenate([held_docs, fresh.column("doc").to_numpy(zero_copy_only=False)])
             if not len(keys):
@@ -263,9 +239,24 @@ def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
         if len(key):
             yield out(key, head, doc)
 
-    rows = docs.mapInArrow(tidy(index), "spread long, key long, doc long, head long")
+    rows = docs.mapInArrow(tidy(index), "spread long, key long, doc long, head long, about binary")
     rows = rows.repartition(partitions(docs.sparkSession), "spread").sortWithinPartitions("spread")
-    return rows.mapInArrow(tidy(meet), "key long, head long, doc long")
+    return rows.mapInArrow(tidy(meet), "key long, head long, doc long, about binary")
+
+
+def _described(indexed: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, digest and sketch of every document, from :func:`memberships`."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = np.frombuffer(b"".join(batch.column("about").to_pylist()), "<i8").reshape(len(batch), SKETCH + 2)
+            ends = pa.array(np.arange(0, len(batch) * SKETCH + 1, SKETCH, dtype=np.int32))
+            sketches = pa.ListArray.from_arrays(ends, pa.array(packed[:, 2:].ravel()))
+            columns = [batch.column("doc"), pa.array(packed[:, 0]), sketches, pa.array(packed[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "sketch", "digest"])
+
+    rows = indexed.filter("about IS NOT NULL").select("doc", "about")
+    return rows.mapInArrow(tidy(unpack), "doc_id long, n_shingles long, sketch array<long>, digest long")
 
 
 def _differing(a: list[Column], b: list[Column]) -> Column:
@@ -385,15 +376,22 @@ def join_groups(docs: DataFrame) -> DataFrame:
 def keyed_groups(docs: DataFrame) -> DataFrame:
     """The rows of :func:`join_groups` with ``__key``, which tells rows of one id and different texts
     apart, and ``__first``, the key of the component's first document."""
+    return stored_alone(docs.sparkSession, lambda: _keyed_groups(docs))
+
+
+def _keyed_groups(docs: DataFrame) -> DataFrame:
     keyed, shift = with_row_keys(docs.select("doc_id", "text"))
-    both = stored(describe(keyed.select(F.col(KEY).alias("doc_id"), "text")))
-    described = both.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sketch", "digest")
-    texts = keyed.select(F.col(KEY).alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    about = _about(described)
+    rows = keyed.select(F.col(KEY).alias("doc_id"), "text")
+    indexed = stored(memberships(rows))
+    described = stored(_described(indexed))
+    met = indexed.filter("about IS NULL").select("key", "head", "doc")
+    texts, about = rows.filter(F.col("doc_id").isNotNull()), _about(described).filter("doc IS NOT NULL")
     if shift:  # rows alike in id and text share a key
-        texts, about = texts.dropDuplicates(["doc_id"]), about.filter("doc IS NOT NULL").dropDuplicates(["doc"])
-    common = common_slots(both)
-    components = component_ids(stored_alone(docs.sparkSession, lambda: _all_links(texts, about, common)))
+        texts, about = texts.dropDuplicates(["doc_id"]), about.dropDuplicates(["doc"])
+    tried = met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    links = stored(_links(stored(_measured(tried, about)), texts))
+    more = stored(_measured(_beyond_heads(met, tried, component_ids(links), about), about))
+    components = component_ids(stored(links.unionByName(_links(more, texts))))
     found = described.select(F.col("doc_id").alias(KEY), "n_shingles").join(components, F.col(KEY) == F.col("doc_id"), "left")
     found = found.select(KEY, "n_shingles", F.coalesce("component_id", KEY).alias("__first"))
     if not shift:
@@ -404,18 +402,6 @@ def keyed_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", KEY, "__first")
 
 
-def _all_links(texts: DataFrame, about: DataFrame, common: np.ndarray) -> DataFrame:
-    """Links (a, b): those of stars, and those between members of a key that stars leave apart."""
-    spark = texts.sparkSession
-    met = stored(memberships(texts, common))
-    tried = met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    measured = stored(_measured(tried, about))
-    links = stored_alone(spark, lambda: _links(measured, texts))
-    components = component_ids(links)
-    more = stored_alone(spark, lambda: _measured(_beyond_heads(met, tried, components, about), about))
-    return links.unionByName(_links(more, texts))
-
-
 def _links(measured: DataFrame, docs: DataFrame) -> DataFrame:
     """The measured pairs that link: equal sets, and those whose texts show it."""
     compared = verified(measured.filter("NOT same").select("a", "b"), docs)
