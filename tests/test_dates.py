@@ -4,7 +4,6 @@ import random
 import warnings
 from datetime import datetime
 
-import pytest
 from dateutil import parser
 
 from pyspark.sql import functions as F
