@@ -58,7 +58,7 @@ def read_vocabulary(path: str) -> list[bytes]:
 class Pieces:
     """A trie over the vocabulary that walks all positions of many words at once.
 
-    Its edges are one sorted array of (node, byte), so it takes no more room than the pieces.
+    Its edges are one hashed table of (node, byte), so it takes little more room than the pieces.
     """
 
     def __init__(self, pieces: tuple[bytes, ...]):
@@ -73,9 +73,14 @@ class Pieces:
                     piece_at.append(-1)
                 node = nxt
             piece_at[node] = i
-        edges = sorted((node << 8 | byte, nxt) for node, kids in enumerate(children) for byte, nxt in kids.items())
-        self.edge = np.array([e for e, _ in edges], np.int64)
-        self.target = np.array([n for _, n in edges], np.int32)
+        edges = np.array([(node << 8 | byte, nxt) for node, kids in enumerate(children) for byte, nxt in kids.items()], np.int64)
+        bits = max(int(len(edges)).bit_length() + 2, 4)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.edge, self.target = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        for slot, (edge, nxt) in zip(self._slot(edges[:, 0]).tolist(), edges.tolist(), strict=True):
+            while self.edge[slot] >= 0:
+                slot = slot + 1 & self.mask
+            self.edge[slot], self.target[slot] = edge, nxt
         #: Where the first byte leads, without a search.
         self.root = np.array([children[0].get(byte, 0) for byte in range(256)], np.int32)
         self.piece_at = np.array(piece_at, np.int32)
@@ -83,11 +88,23 @@ class Pieces:
         order = np.arange(len(pieces)) + 10.0
         self.prior = (1 / order) / (1 / order).sum()
 
+    def _slot(self, edge: np.ndarray) -> np.ndarray:
+        return (edge.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The next node, 0 where there is none."""
         wanted = node.astype(np.int64) << 8 | byte
-        place = np.minimum(np.searchsorted(self.edge, wanted), len(self.edge) - 1)
-        return np.where(self.edge[place] == wanted, self.target[place], 0)
+        slot = self._slot(wanted)
+        held = self.edge[slot]
+        out = np.where(held == wanted, self.target[slot], 0)
+        on = np.flatnonzero((held != wanted) & (held >= 0))
+        while len(on):
+            slot[on] = slot[on] + 1 & self.mask
+            held = self.edge[slot[on]]
+            hit = held == wanted[on]
+            out[on[hit]] = self.target[slot[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out
 
     def matches(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """word, offset, length and piece of all occurrences of pieces, and the words' lengths."""
@@ -178,6 +195,7 @@ class _Lattice:
         """word, piece and expected number of the piece in a segmentation, for every match."""
         alpha, scale = (x[:, :, 0] for x in self.forward(prior[:, None]))
         total = self._totals(alpha, scale)
+        ends = alpha[self.lengths, np.arange(self.n)]
         beta = np.zeros(alpha.shape)
         beta[self.lengths, np.arange(self.n)] = 1.0
         behind = np.zeros(self.n)  # logarithm of the scale of what lies behind
@@ -194,6 +212,9 @@ class _Lattice:
             word = self.word[s:e]
             through = prior[self.piece[s:e]] * beta[offset + length, word]
             beta[offset, word] += through
+            if len(scale) == 1:  # short words, in one scale
+                share[s:e] = alpha[offset, word] * through / ends[word]
+                continue
             with np.errstate(divide="ignore"):  # what cannot be continued has no share
                 logs = np.log(alpha[offset, word]) + np.log(through)
             share[s:e] = np.exp(logs + scale[offset // _EVERY, word] + behind[word] - total[word])
