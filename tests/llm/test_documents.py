@@ -7,14 +7,16 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from presscan.llm import bpe, jaccard, language_id, licenses, mixing, quality, repeats, sharding
+from presscan.llm import bpe, jaccard, language_id, licenses, mixing, quality, repeats, sharding, shingles
 from presscan.session import stored
 from tests.llm.conftest import words
 
@@ -321,6 +323,44 @@ def test_linked_sets_share_a_key():
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+def sets_by_hand(text):
+    found = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(found[i : i + 5]) for i in range(max(len(found) - 4, min(len(found), 1))))
+
+
+def test_shingle_sets_are_those_of_plain_python():
+    rng = random.Random(5)
+    parts = ["a", "B", "b", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "é", "É", "\x00", "x\x00", "\xa0", "\x1f", "eightbyt", "ninebytes", "sixteen bytes it is", "日本"]
+    texts = [None, "", " ", "A"] + ["".join(rng.choices(parts, k=rng.choice([1, 2, 4, 9, 30, 200]))) for _ in range(300)] + [None]
+    whole = pa.array(texts)
+    known = {}
+    for array in (whole, whole.cast(pa.large_string()), whole.slice(2, 100), whole.slice(0, 1), pa.array([], pa.string())):
+        sets = shingles.shingle_sets(array)
+        assert len(sets.sizes) == len(array)
+        for i, text in enumerate(array.to_pylist()):
+            expected = sets_by_hand(text)
+            assert sets.sizes[i] == len(expected) and (sets[i][1:] > sets[i][:-1]).all()
+            assert known.setdefault(expected, sets[i].tolist()) == sets[i].tolist()
+    assert len({tuple(s) for s in known.values()}) == len(known)
+
+
+def test_shingles_take_no_python_call_a_word():
+    calls = 0
+
+    def count(frame, event, function):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    texts = pa.array([" ".join(f"word{i}" for i in range(20_000))])
+    shingles.shingle_sets(texts)
+    sys.setprofile(count)
+    try:
+        sets = shingles.shingle_sets(texts)
+    finally:
+        sys.setprofile(None)
+    assert sets.sizes.tolist() == [19_996] and calls < 2000
+
+
 def cut_by_hand(rows):
     """What each row keeps: bytes go that lie in a window of a smaller id, or earlier in the row."""
     seen, out = {}, []
