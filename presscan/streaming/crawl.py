@@ -107,7 +107,8 @@ class Crawl:
         policies = known.where("groups IS NOT NULL").select("origin", "groups")
         origins = known.select("origin") if self.wait_for_robots else None
         roots = sitemap_roots(self.sites, self.include_archive)
-        now = expand_sitemaps(roots, self.catalog.read(), policies, MAX_INDEX_DEPTH, self.user_agent, origins)
+        catalog = self.catalog.read()  # a written table already
+        now = expand_sitemaps(roots, lambda _: catalog, policies, MAX_INDEX_DEPTH, self.user_agent, origins)
         now.select(*LEAVES).write.mode("overwrite").parquet(f"{self.path}/leaves/batch={batch_id}")
         now = self.spark.read.schema(_ddl(LEAVES)).parquet(f"{self.path}/leaves/batch={batch_id}")
 

@@ -5,6 +5,7 @@ from presscan.operators.ranking import limit_leaves
 from presscan.plans.search import Corpus, SearchOptions, scan_entries
 from presscan.sources.sitemaps import sitemap_catalog
 from tests.conftest import index, titled, urlset
+from workloads.derived import documents_table
 
 
 def entries(web, body):
@@ -181,6 +182,26 @@ def test_catalog_keeps_bodies_out_of_joins(web):
     assert set(sitemap_catalog(nested(web)).columns) == {"url", "fetched_at", "is_index", "children", "n_entries"}
 
 
+def test_a_catalog_is_read_once_for_all_levels(web, outlets):
+    roots = ps.sitemap_roots(outlets(a=(["https://a.test/root"], [])))
+    leaves = ps.expand_sitemaps(roots, sitemap_catalog(nested(web)))
+    assert "from_xml" not in leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["url"], r["n_entries"]) for r in leaves.collect()) == [
+        ("https://a.test/1", 2), ("https://a.test/1", 2), ("https://a.test/2", 2), ("https://a.test/3", 1),
+    ]
+
+
+def test_derived_documents_are_kept_apart_by_kind(spark, tmp_path):
+    rows = [(i, f"https://h{i % 2}.test/en/{i}", f"<html><head><title>t{i}</title></head></html>") for i in range(5)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    docs = documents_table(spark, str(tmp_path))
+    assert docs.columns == ps.DOCUMENT_SCHEMA.names
+    # Five pages, two of them tried twice.
+    assert docs.where("kind = 'page'").count() == 7
+    plan = docs.where("kind = 'sitemap'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan
+
+
 def test_documents_are_parsed_once(web):
     plan = ps.sitemap_children(nested(web))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_xml") <= 1
