@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from presscan.llm.wordbatch import CACHES, slices, tidy
 
 #: Words kept by a process, words contracted by one query, and what makes a word long.
-KNOWN, CHUNK, LONG = 500_000, 50_000, 64
+KNOWN, CHUNK, LONG = 500_000, 10_000, 64
+#: Bytes of text, or of ids, that a task splits, encodes or decodes together: every word and token of them is held at once.
+TEXTS = 1 << 20
 
 #: One pair a word and round: the leftmost of minimum rank. A row knows the token after it and, in one number, the rank of
 #: both together (a token's rank is its id) and its place, so a round looks up only the pairs that it changed.
@@ -206,7 +208,7 @@ def _mapped(docs: DataFrame, path: str, schema: str, work) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value)
         for batch in batches:
-            for part in slices(batch, batch.schema.names[1]):
+            for part in slices(batch, batch.schema.names[1], TEXTS):
                 columns = [pa.array(c, pa.binary()) for c in work(codec, part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 

@@ -452,6 +452,28 @@ def test_long_words_contract_as_short_ones_do(tokenizer):
             assert codec.known[word] == np.array(library._core_bpe.encode_single_piece(word), "<u4").tobytes()
 
 
+def test_a_task_holds_the_tokens_of_one_megabyte(make_docs, monkeypatch):
+    held = []
+
+    class Counted(bpe.Codec):
+        def __init__(self):
+            pass
+
+        def encode(self, texts, pattern):
+            held.append(sum(map(len, texts)))
+            return [b""] * len(texts)
+
+    monkeypatch.setattr(bpe, "_codec", lambda ranks: Counted())
+    monkeypatch.setattr(bpe, "read_ranks", lambda path: ())
+    works = []
+    monkeypatch.setattr(bpe, "tidy", lambda run, owner: works.append(run) or (lambda batches: batches))
+    bpe.encode(make_docs([(1, "x")]), "", "x")
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["x" * 200_000] * 39 + ["x" * 1_500_000]})
+    made = list(works[0](iter([batch])))
+    # A text of more than that stands alone.
+    assert max(held[:-1]) <= 1 << 20 and held[-1] == 1_500_000 and sum(map(len, made)) == 40
+
+
 def test_languages(make_docs, mixed_rows, spark):
     import random
 
