@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presscan.llm.columns import KEY, broadcast_if_few, partitions, with_row_keys
+from presscan.llm.columns import FEW, KEY, broadcast_if_few, partitions, with_row_keys
 from presscan.llm.components import component_ids
 from presscan.llm.shingles import Sets, mix, shingle_sets
 from presscan.llm.wordbatch import slices, tidy
@@ -310,38 +310,43 @@ def _beyond_heads(met: DataFrame, tried: DataFrame, components: DataFrame, about
     A key whose stars all stay in one component is settled. Of any other key all members
     count, heads too, but equal sets only once: those outside the component that most of them are
     in are compared with every member of another component. Sizes and whole sketches are looked
-    at inside the join, so it gives out only pairs that may link.
+    at inside the join, so it gives out only pairs that may link. ``tried`` and ``components`` are written tables.
     """
     label = components.select(F.col("doc_id").alias("doc"), F.col("component_id").alias("of"))
+    few = label.count() <= FEW
 
     def labelled(rows: DataFrame, doc: str, of: str) -> DataFrame:
-        rows = rows.join(label.withColumnsRenamed({"doc": doc, "of": of}), doc, "left")
+        known = label.withColumnsRenamed({"doc": doc, "of": of})
+        rows = rows.join(F.broadcast(known) if few else known, doc, "left")
         return rows.withColumn(of, F.coalesce(of, doc))
 
-    split = labelled(labelled(tried.select("a", "b"), "a", "of_a"), "b", "of_b").filter("of_a <> of_b")
-    keys = met.join(split.select(F.col("a").alias("head"), F.col("b").alias("doc")), ["head", "doc"]).select("key").distinct()
-    members = met.join(stored(keys), "key", "left_semi").select("key", F.explode(F.array("head", "doc")).alias("doc")).distinct()
+    split = labelled(labelled(tried, "a", "of_a"), "b", "of_b").filter("of_a <> of_b")
+    split = stored(split.select(F.col("a").alias("head"), F.col("b").alias("doc")))
+    keys = stored(met.join(broadcast_if_few(split), ["head", "doc"]).select("key").distinct())
+    members = met.join(broadcast_if_few(keys), "key", "left_semi").select("key", F.explode(F.array("head", "doc")).alias("doc")).distinct()
     members = labelled(members, "doc", "of").join(about, "doc")
     # Equal sets are in one component by now, so the smallest id stands for all of them.
     whole = [c for c in about.columns if c not in ("doc", "n", "digest")]
     one = members.groupBy("key", "of", "n", "digest").agg(F.min("doc").alias("doc"), *[F.min(c).alias(c) for c in whole])
     members = stored(one)
     counted = members.groupBy("key", "of").count()
-    main = counted.groupBy("key").agg(F.max_by("of", F.struct("count", "of")).alias("main"))
-    members = stored(members.join(main, "key").withColumn("minor", F.col("of") != F.col("main")).drop("main"))
+    main = stored(counted.groupBy("key").agg(F.max_by("of", F.struct("count", "of")).alias("main")))
+    members = stored(members.join(broadcast_if_few(main), "key").withColumn("minor", F.col("of") != F.col("main")).drop("main"))
     _, may = _compared("x", "y")
     once = (F.col("x_of") != F.col("y_of")) & (~F.col("y_minor") | (F.col("x_doc") < F.col("y_doc")))
     found = _side(members.filter("minor"), "x").join(_side(members, "y"), (F.col("x_key") == F.col("y_key")) & once & may)
     pairs = found.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    return pairs.join(broadcast_if_few(tried), ["a", "b"], "left_anti")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link; b's are compared with copies of a's text, a bounded number each."""
-    counted = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("long").alias("parts"))
-    placed = pairs.join(counted, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    """The pairs (a, b) whose sets link; b's are compared with copies of a's text, a bounded number each. ``pairs`` is a written table."""
+    counted = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("long").alias("parts")))
+    several = broadcast_if_few(counted.filter("parts > 1"))
+    placed = pairs.join(several, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))))
     members = placed.select(F.col("b").alias("doc_id"), "a", "part", F.lit(True).alias("member"))
-    heads = placed.select(F.col("a").alias("doc_id"), "a", "part", F.lit(False).alias("member")).distinct()
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    heads = counted.select(F.col("a").alias("doc_id"), "a", parts.alias("part"), F.lit(False).alias("member"))
     roles = stored(members.unionByName(heads))
     texts = docs.join(broadcast_if_few(roles), "doc_id")
 
@@ -405,15 +410,16 @@ def keyed_groups(docs: DataFrame) -> DataFrame:
 
 
 def _all_links(texts: DataFrame, about: DataFrame, common: np.ndarray) -> DataFrame:
-    """Links (a, b): those of stars, and those between members of a key that stars leave apart."""
+    """Links (a, b) with the same components as all: those of stars, as their components' own
+    stars, and those between members of a key that stars leave apart."""
     spark = texts.sparkSession
     met = stored(memberships(texts, common))
-    tried = met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    tried = stored(met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
     measured = stored(_measured(tried, about))
-    links = stored_alone(spark, lambda: _links(measured, texts))
-    components = component_ids(links)
-    more = stored_alone(spark, lambda: _measured(_beyond_heads(met, tried, components, about), about))
-    return links.unionByName(_links(more, texts))
+    components = component_ids(stored_alone(spark, lambda: _links(measured, texts)))
+    # Their sizes and sketches have been looked at, and equal sets are in one component.
+    more = stored_alone(spark, lambda: _beyond_heads(met, tried, components, about))
+    return components.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(verified(more, texts))
 
 
 def _links(measured: DataFrame, docs: DataFrame) -> DataFrame:

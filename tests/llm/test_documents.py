@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from presscan.llm import bpe, jaccard, language_id, licenses, mixing, quality, repeats, sharding, shingles
+from presscan.llm import bpe, components, jaccard, language_id, licenses, mixing, quality, repeats, sharding, shingles
 from presscan.session import stored
 from tests.llm.conftest import words
 
@@ -308,6 +308,42 @@ def test_jaccard_copies_meet_strangers_once(make_docs):
     assert by_id(jaccard.join_groups(make_docs(rows)), "n_shingles", "component_id") == brute_groups(rows)
 
 
+def components_by_hand(links):
+    smallest = {x: x for link in links if link[0] != link[1] for x in link}
+    while any(smallest[a] != smallest[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    return sorted(smallest.items())
+
+
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components(spark, few, monkeypatch):
+    """Paths, a hub, repeated links and links of a node with itself; by broadcasts and by shuffles."""
+    monkeypatch.setattr(components, "FEW", few)
+    path = random.Random(4).sample(range(-20, 20), 40)
+    links = [*zip(path, path[1:25], strict=False), *zip(path[25:], path[26:], strict=False), *((100, i) for i in range(101, 140)), (7, 7), (200, 201), (201, 200), (300, 300)]
+    found = components.component_ids(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(tuple(r) for r in found.collect()) == components_by_hand(links)
+
+
+def test_jaccard_takes_few_shuffles(spark, make_docs, mixed_rows):
+    """Every shuffle costs a task a partition, however little there is to do."""
+    docs = make_docs(mixed_rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("shuffles", "")
+    try:
+        jaccard.join_groups(docs).collect()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("shuffles") for s in tracker.getJobInfo(job).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    run = [i for i in map(tracker.getStageInfo, stages) if i and i.numCompletedTasks]
+    tasks = sum(i.numCompletedTasks for i in run)
+    assert tasks <= 900, tasks
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     from presscan.llm.shingles import Sets
