@@ -10,6 +10,11 @@ minimisers, so stretches are dealt out by minimiser. A stretch whose minimiser
 occurs once is done. Equal stretches (by hash) count once, for their earliest
 place; the later ones repeat it as a whole.
 
+Cores. Equal windows have their minimiser at the same offset, so those of :data:`STEP`
+neighbouring offsets share the bytes that all of them cover. Stretches of a minimiser
+that share no such core share no window, however many texts have the minimiser; only
+the others, cut down to the windows of shared cores, go on.
+
 Interval expansion. The different stretches of a minimiser are written one after
 another and suffix-sorted. From one interval a character, intervals of suffixes
 with a common prefix are extended backwards on the transform by all characters at
@@ -41,6 +46,8 @@ from presscan.session import stored, stored_alone
 
 LENGTH, GRAM = 100, 24
 CROWD = 1024
+#: Offsets of the minimiser in a window that are looked at together.
+STEP = 20
 #: Bytes of stretches that are transformed together, unless one minimiser has more.
 BLOCK = 1 << 19
 #: Bytes of text that a task cuts into stretches at once.
@@ -100,14 +107,14 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.nda
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """row, start, stop, minimiser hash and stretch hash of every stretch."""
+    """row, start, stop, minimiser hash, stretch hash and the minimiser's offset of every stretch."""
     import xxhash
 
     lengths = np.array([len(t) for t in texts], np.int64)
     raw = b"".join(texts)
     empty = np.empty(0, np.int64)
     if len(raw) < LENGTH:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
     hashes = _grams(np.frombuffer(raw, np.uint8))
     low = _U((1 << _PLACE_BITS) - 1)
     first = _smallest((hashes & ~low) | np.arange(len(raw), dtype=np.uint64), LENGTH - GRAM + 1)
@@ -123,7 +130,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     digest = xxhash.xxh64_intdigest
     whole = np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
     owner = row[start]
-    return owner, start - begin[owner], stop - begin[owner], hashes[gram[edge]], whole
+    return owner, start - begin[owner], stop - begin[owner], hashes[gram[edge]], whole, gram[edge] - start
 
 
 def _earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +157,35 @@ def _earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray,
     return order[~twice], opens[~twice]
 
 
+def sharing(texts: list[bytes], ats: list[int]) -> list[tuple[int, int, int]]:
+    """Index, start and stop within its text of what may share a window with another of the texts.
+
+    ``ats`` has the offset of each text's minimiser, or -1 for a text that is looked at as a whole.
+    """
+    width = LENGTH - STEP + 1
+    first: list[dict[bytes, int]] = [{} for _ in range((LENGTH - GRAM) // STEP + 2)]
+    shared = [0] * len(texts)
+    for i, (text, at) in enumerate(zip(texts, ats, strict=True)):
+        # In the text's windows, the minimiser has the offsets from ``low`` to ``at``.
+        low = at - (len(text) - LENGTH)
+        for k in range(low // STEP, at // STEP + 1) if at >= 0 else (-1,):
+            core = text[at - k * STEP : at - k * STEP + width] if at >= 0 else text
+            other = first[k].setdefault(core, i)
+            if other != i:
+                shared[other] |= 1 << (k + 1)
+                shared[i] |= 1 << (k + 1)
+    found = []
+    for i, (bits, text, at) in enumerate(zip(shared, texts, ats, strict=True)):
+        if not bits:
+            continue
+        if at < 0:
+            found.append((i, 0, len(text)))
+            continue
+        k_low, k_high = (bits & -bits).bit_length() - 2, bits.bit_length() - 2
+        found.append((i, max(at - k_high * STEP - STEP + 1, 0), min(at - k_low * STEP + LENGTH, len(text))))
+    return found
+
+
 def split_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """text, offset and class of every LENGTH-byte window; equal windows have equal classes."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -260,15 +296,15 @@ def _dealt(docs: DataFrame, shift: int) -> DataFrame:
                 for some, rows, offset in pieces(texts):
                     yield from deal(*stretches(some), ids[rows], offset)
 
-    def deal(row, start, stop, gram, whole, ids, offset):
+    def deal(row, start, stop, gram, whole, at, ids, offset):
         if not len(row):
             return
         doc, start, stop = ids[row], start + offset[row], stop + offset[row]
         order, opens = _earliest((gram, whole), doc, start, shift)
-        gram, whole, doc, start, stop = (x[order] for x in (gram, whole, doc, start, stop))
+        gram, whole, doc, start, stop, at = (x[order] for x in (gram, whole, doc, start, stop, at))
         # Later places of a stretch are decided; they travel apart from their minimiser.
         spread = np.where(opens, gram, mix(gram ^ mix(doc.astype(np.uint64) * _U(LENGTH) + start.astype(np.uint64))))
-        place = (start << 8) | (stop - start)
+        place = (start << 15) | ((stop - start) << 7) | at
         columns = [spread.view(np.int64), whole.view(np.int64), doc, np.where(opens, place, ~place)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "whole", "doc_id", "place"])
 
@@ -277,12 +313,12 @@ def _dealt(docs: DataFrame, shift: int) -> DataFrame:
         crowded = None  # minimiser whose stretches are already too many
 
         def out(gram, doc, place, mode):
-            start = place >> 8
-            columns = [gram, doc, start.astype(np.int32), (start + (place & 255)).astype(np.int32), mode.astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "doc_id", "start", "stop", "mode"])
+            start = place >> 15
+            numbers = [c.astype(np.int32) for c in (start, start + (place >> 7 & 255), mode, place & 127)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (gram, doc, *numbers)], ["gram", "doc_id", "start", "stop", "mode", "at"])
 
         def decide(gram, whole, doc, place):
-            order, opens = _earliest((gram, whole), doc, place >> 8, shift)
+            order, opens = _earliest((gram, whole), doc, place >> 15, shift)
             gram, doc, place = gram[order], doc[order], place[order]
             starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             group = np.cumsum(np.concatenate([[False], gram[1:] != gram[:-1]]))
@@ -316,18 +352,18 @@ def _dealt(docs: DataFrame, shift: int) -> DataFrame:
 
     rows = docs.mapInArrow(tidy(cut), "gram long, whole long, doc_id long, place long")
     rows = rows.repartition(partitions(docs.sparkSession), "gram").sortWithinPartitions("gram", "whole")
-    return rows.mapInArrow(tidy(meet), "gram long, doc_id long, start int, stop int, mode int")
+    return rows.mapInArrow(tidy(meet), "gram long, doc_id long, start int, stop int, mode int, at int")
 
 
 def _expanded(places: DataFrame, packed: DataFrame, shift: int) -> DataFrame:
     """Marks (doc_id, start, stop) of windows of the given places that repeat."""
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "stop", "mode")).alias("places"))
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "stop", "mode", "at")).alias("places"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "packed", TOGETHER):
                 texts = _unpacked(part.column("packed").to_pylist())
-                gram, doc, start, data, crowd = [], [], [], [], {}
+                gram, doc, start, offset, data, crowd = [], [], [], [], [], {}
                 for one, text, wants in zip(part.column("doc_id").to_pylist(), texts, part.column("places").to_pylist(), strict=True):
                     for want in wants:
                         a, b = want["start"], want["stop"]
@@ -335,6 +371,7 @@ def _expanded(places: DataFrame, packed: DataFrame, shift: int) -> DataFrame:
                             gram.append(want["gram"])
                             doc.append(one)
                             start.append(a)
+                            offset.append(want["at"])
                             data.append(text[a:b])
                             continue
                         for at in range(a, b - LENGTH + 1):
@@ -354,50 +391,75 @@ def _expanded(places: DataFrame, packed: DataFrame, shift: int) -> DataFrame:
                             gram.append(xxhash.xxh64_intdigest(window) - (1 << 63))
                             doc.append(one)
                             start.append(at)
+                            offset.append(-1)
                             data.append(window)
                 # Windows that repeat inside this slice are decided; they travel apart as well.
                 gram += [hash(p) for p in marks]
                 doc += [p[0] for p in marks]
                 start += [p[1] for p in marks]
+                offset += [-1] * len(marks)
                 data += [None] * len(marks)
                 if gram:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(data, pa.binary())],
-                        ["gram", "doc_id", "start", "data"],
+                        [pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(offset, pa.int32()), pa.array(data, pa.binary())],
+                        ["gram", "doc_id", "start", "at", "data"],
                     )
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[bytes] = []
-        docs: list[int] = []
-        starts: list[int] = []
-        size, last = 0, None
+        # Whole groups of a minimiser: as they come, and what of them may repeat.
+        texts, docs, starts, ats, size, last = [], [], [], [], 0, None
+        alike: tuple[list[bytes], list[int], list[int]] = ([], [], [])
+        alike_size = 0
 
         def out(doc, start, stop):
             return pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "start", "stop"]
             )
 
+        def sift():
+            nonlocal alike_size
+            for i, a, b in sharing(texts, ats):
+                alike[0].append(texts[i][a:b])
+                alike[1].append(docs[i])
+                alike[2].append(starts[i] + a)
+                alike_size += b - a
+            for held in (texts, docs, starts, ats):
+                held.clear()
+
+        def expand():
+            nonlocal alike_size
+            marks = repeated_windows(alike[0], np.array(alike[1]), np.array(alike[2]), shift)
+            for held in alike:
+                held.clear()
+            alike_size = 0
+            return out(*marks)
+
         for batch in batches:
             done: tuple[list, list] = ([], [])
-            for gram, doc, start, data in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "start", "data")), strict=True):
+            rows = (batch.column(c).to_pylist() for c in ("gram", "doc_id", "start", "at", "data"))
+            for gram, doc, start, at, data in zip(*rows, strict=True):
                 if data is None:
                     done[0].append(doc)
                     done[1].append(start)
                     continue
                 if gram != last and size > BLOCK:
-                    yield out(*repeated_windows(texts, np.array(docs), np.array(starts), shift))
-                    texts, docs, starts, size = [], [], [], 0
+                    sift()
+                    size = 0
+                    if alike_size > BLOCK:
+                        yield expand()
                 last = gram
                 texts.append(data)
                 docs.append(doc)
                 starts.append(start)
+                ats.append(at)
                 size += len(data)
             if done[0]:
                 yield out(done[0], done[1], [s + LENGTH for s in done[1]])
-        if texts:
-            yield out(*repeated_windows(texts, np.array(docs), np.array(starts), shift))
+        sift()
+        if alike[0]:
+            yield expand()
 
-    rows = wanted.join(packed, "doc_id").select("doc_id", "packed", "places").mapInArrow(tidy(fetch), "gram long, doc_id long, start int, data binary")
+    rows = wanted.join(packed, "doc_id").select("doc_id", "packed", "places").mapInArrow(tidy(fetch), "gram long, doc_id long, start int, at int, data binary")
     rows = rows.repartition(partitions(places.sparkSession), "gram").sortWithinPartitions("gram")
     return rows.mapInArrow(tidy(transform), _MARK)
 

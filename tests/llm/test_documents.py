@@ -429,6 +429,35 @@ def test_repeats(docs, mixed_rows, crowd, together, monkeypatch):
     assert cuts_of(docs) == cut_by_hand(mixed_rows)
 
 
+def test_stretches_of_a_minimiser_go_on_only_if_they_share_a_window():
+    """Texts that share a frequent phrase, some of them enough around it for a window, some one byte less."""
+    rng, phrase = random.Random(21), "by the end of the following business day "
+    def noise():
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(150))
+    around = [(noise(), noise()) for _ in range(30)]
+    texts = [f"{a}{phrase}{z}".encode() for a, z in around]
+    for n, (a, z) in enumerate(around[:20]):
+        left = rng.randrange(60)
+        texts.append(f"{noise()}#{a[150 - left:]}{phrase}{z[:59 - left - n % 2]}#{noise()}".encode())
+    row, start, stop, gram, _, at = repeats.stretches(texts)
+    shared = 0
+    for value in set(gram.tolist()):
+        group = [(int(row[i]), int(start[i]), int(stop[i]), int(at[i])) for i in (gram == value).nonzero()[0]]
+        found = repeats.sharing([texts[r][a:b] for r, a, b, _ in group], [g[3] for g in group])
+        places = {}
+        for i, (r, a, b, _) in enumerate(group):
+            for k in range(a, b - repeats.LENGTH + 1):
+                places.setdefault(texts[r][k : k + repeats.LENGTH], []).append((i, k - a))
+        kept = {i: (a, b) for i, a, b in found}
+        for met in places.values():
+            for i, k in met if len(met) > 1 else ():
+                assert kept[i][0] <= k and k + repeats.LENGTH <= kept[i][1]
+                shared += 1
+        # Of the texts that share the phrase only, none goes on.
+        assert all(group[i][0] < 20 or group[i][0] >= 30 for i in kept)
+    assert shared >= 20
+
+
 @pytest.mark.parametrize("crowd", [repeats.CROWD, 1])
 def test_rows_of_one_id_keep_their_own_texts(make_docs, mixed_rows, crowd, monkeypatch):
     """Rows that repeat an id never cut each other, but both lose what a smaller id has."""
