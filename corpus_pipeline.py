@@ -9,12 +9,14 @@ next one's documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presscan.llm import bpe, jaccard, language_id, mixing, repeats
 from presscan.llm.columns import KEY, broadcast_if_few, with_row_keys
-from presscan.session import stored, stored_alone
+from presscan.session import configure, stored, stored_alone
 
 #: Posterior of the best learned language below which a document goes. It is next to 1 for all but the
 #: shortest texts, also in a language that was not learned, so in effect only texts without letters go.
@@ -88,12 +90,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _configured(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with the library's settings, so that it can run alone."""
+    return lambda spark, docs, sf_dir: stage(configure(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("language_id", known_language),
-    ("ngram_jaccard", one_of_each_group),
-    ("suffix_dedup", cut_repeats),
-    ("source_mixing", mix_sources),
-    ("byte_bpe", encode),
+    ("language_id", _configured(known_language)),
+    ("ngram_jaccard", _configured(one_of_each_group)),
+    ("suffix_dedup", _configured(cut_repeats)),
+    ("source_mixing", _configured(mix_sources)),
+    ("byte_bpe", _configured(encode)),
 ]
 #: SQL has no forward algorithm, components or dependent rounding; the tests hold the stages against plain Python.
 ORACLE_SQL = None

@@ -50,8 +50,8 @@ CROWD = 1024
 STEP = 20
 #: Bytes of stretches that are transformed together, unless one minimiser has more.
 BLOCK = 1 << 19
-#: Bytes of text that a task cuts into stretches at once.
-TOGETHER = 1 << 20
+#: Bytes of text that a task cuts into stretches at once; each takes about fifty bytes of memory meanwhile.
+TOGETHER = 1 << 18
 _PLACE_BITS = 28
 _U = np.uint64
 _BASE = 0x100000001B3

@@ -707,6 +707,31 @@ def test_pipeline_of_nulls_or_nothing(spark):
         assert {r["doc_id"] for r in docs.collect()} <= {4}
 
 
+def test_pipeline_stages_bound_the_bytes_handed_to_python(spark):
+    """A stage that runs alone brings the setting along; 1200 texts of 20 kB are several batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        stage(spark, spark.createDataFrame([], schema), "")
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+    texts = spark.range(0, 1200, 1, 1).selectExpr("id", "repeat('0123456789', 2000) AS text")
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+    assert max(r["n"] for r in sizes.collect()) <= 9 << 20
+
+
+def test_stretches_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(15)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=4000)) for _ in range(400)]
+    tracemalloc.start()
+    found = sum(len(repeats.stretches(some)[0]) for some, _, _ in repeats.pieces(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 400 and peak < 25 << 20, peak
+
+
 def test_pipeline_stages(make_docs, mixed_rows, spark):
     rows = [r for r in mixed_rows if r[0] != 7]
     docs = make_docs(rows)
