@@ -31,6 +31,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,7 +199,8 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For keys in order: each key and its smallest id; and key, smallest and other id of the members.
+    """For keys in order: each key, its smallest id, how many others it has and the sum of their hashes;
+    and key, smallest and other id of the members.
 
     A member that has a key twice may be given twice.
     """
@@ -208,11 +210,15 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     least = np.minimum.reduceat(ids, starts) if len(starts) else ids
     head = np.repeat(least, lengths)
     other = ids != head
-    return keys[starts], least, keys[other], head[other], ids[other]
+    hashed = np.zeros(len(ids), np.uint64)
+    hashed[other] = mix(ids[other].astype(np.uint64))
+    others, total = (np.add.reduceat(x, starts) if len(starts) else x for x in (other.astype(np.int64), hashed))
+    return keys[starts], least, others, total, keys[other], head[other], ids[other]
 
 
 def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """key, head and doc: documents that share a key with a smaller id, its ``head``."""
+    """key, head and doc: documents that share a key with a smaller id, its ``head``; and a row for each key
+    of three members or more, without them: how many ``members`` it has and their ``total`` of hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,47 +231,64 @@ def memberships(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 keys = np.concatenate([keys, mix(_digests(sets)[some].view(np.uint64))])
                 owner = np.concatenate([owner, some])
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner]
-                key, first, met, head, doc = _stars(keys.view(np.int64), ids)
-                # Groups found here travel apart from their key, whatever their size.
+                key, first, others, total, met, head, doc = _stars(keys.view(np.int64), ids)
+                # Groups found here travel apart from their key, whatever their size; their number and total go with it.
                 spread = mix(met.view(np.uint64) ^ mix(doc.astype(np.uint64))).view(np.int64)
+                group = others > 0
+                firsts, groups, rest = np.full(len(key), -1), np.full(group.sum(), -1), len(met)
+                without_key = np.arange(len(key) + len(groups) + rest) < len(key)
+                without_head = np.arange(len(key) + len(groups) + rest) < len(key) + len(groups)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([key, spread])),
-                        pa.array(np.concatenate([key, met])),
-                        pa.array(np.concatenate([first, doc])),
-                        pa.array(np.concatenate([np.full(len(key), -1), head]), mask=np.arange(len(key) + len(met)) < len(key)),
+                        pa.array(np.concatenate([key, key[group], spread])),
+                        pa.array(np.concatenate([firsts, total[group].view(np.int64), met]), mask=without_key),
+                        pa.array(np.concatenate([first, others[group], doc])),
+                        pa.array(np.concatenate([firsts, groups, head]), mask=without_head),
                     ],
                     ["spread", "key", "doc", "head"],
                 )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_docs = np.empty(0, np.int64), np.empty(0, np.int64)
+        # Rows of keys: smallest ids (no total) and groups (number, total) of the slices.
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
 
         def out(key, head, doc):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(head), pa.array(doc)], ["key", "head", "doc"])
+            none = pa.nulls(len(key), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(head), pa.array(doc), none, none], ["key", "head", "doc", "members", "total"])
+
+        def decide(keys, ids, totals, group):
+            key, first, members, total, met, head, doc = _stars(keys[~group], ids[~group])
+            if len(met):
+                yield out(met, head, doc)
+            members, total = members + 1, total + mix(first.astype(np.uint64))
+            place = np.searchsorted(key, keys[group])
+            np.add.at(members, place, ids[group])
+            np.add.at(total, place, totals[group].view(np.uint64))
+            many = members > 2
+            if many.any():
+                none = pa.nulls(int(many.sum()), pa.int64())
+                columns = [pa.array(key[many]), none, none, pa.array(members[many]), pa.array(total[many].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "head", "doc", "members", "total"])
 
         for batch in batches:
             known = batch.filter(batch.column("head").is_valid())
             if len(known):
                 yield out(*(known.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "head", "doc")))
             fresh = batch.filter(batch.column("head").is_null())
-            keys = np.concatenate([held_keys, fresh.column("key").to_numpy(zero_copy_only=False)])
-            ids = np.concatenate([held_docs, fresh.column("doc").to_numpy(zero_copy_only=False)])
-            if not len(keys):
+            totals = fresh.column("key")
+            rows = [*(c.to_numpy(zero_copy_only=False) for c in (fresh.column("spread"), fresh.column("doc"), pc.fill_null(totals, 0), totals.is_valid()))]
+            rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+            if not len(rows[0]):
                 continue
-            # The last key may go on in the next batch; one row for each slice of the input at most.
-            open_ = keys == keys[-1]
-            held_keys, held_docs = keys[open_], ids[open_]
-            _, _, key, head, doc = _stars(keys[~open_], ids[~open_])
-            if len(key):
-                yield out(key, head, doc)
-        _, _, key, head, doc = _stars(held_keys, held_docs)
-        if len(key):
-            yield out(key, head, doc)
+            # The last key may go on in the next batch; two rows for each slice of the input at most.
+            open_ = rows[0] == rows[0][-1]
+            held = tuple(r[open_] for r in rows)
+            yield from decide(*(r[~open_] for r in rows))
+        yield from decide(*held)
 
     rows = docs.mapInArrow(tidy(index), "spread long, key long, doc long, head long")
     rows = rows.repartition(partitions(docs.sparkSession), "spread").sortWithinPartitions("spread")
-    return rows.mapInArrow(tidy(meet), "key long, head long, doc long")
+    return rows.mapInArrow(tidy(meet), "key long, head long, doc long, members long, total long")
 
 
 def _differing(a: list[Column], b: list[Column]) -> Column:
@@ -307,7 +330,9 @@ def _measured(pairs: DataFrame, about: DataFrame) -> DataFrame:
 def _beyond_heads(met: DataFrame, tried: DataFrame, components: DataFrame, about: DataFrame) -> DataFrame:
     """Pairs that share a key, may link and were not compared: no star shows whether they do.
 
-    A key whose stars all stay in one component is settled. Of any other key all members
+    The only pair of a key of two members was compared. Alike texts share many keys with the same
+    members, told by their number and the total of their 64-bit hashes: one key stands for all of
+    them. A key whose stars all stay in one component is settled. Of any other key all members
     count, heads too, but equal sets only once: those outside the component that most of them are
     in are compared with every member of another component. Sizes and whole sketches are looked
     at inside the join, so it gives out only pairs that may link. ``tried`` and ``components`` are written tables.
@@ -320,6 +345,8 @@ def _beyond_heads(met: DataFrame, tried: DataFrame, components: DataFrame, about
         rows = rows.join(F.broadcast(known) if few else known, doc, "left")
         return rows.withColumn(of, F.coalesce(of, doc))
 
+    one_of_each = stored(met.filter("members IS NOT NULL").groupBy("members", "total").agg(F.min("key").alias("key")).select("key"))
+    met = stored(met.filter("head IS NOT NULL").join(broadcast_if_few(one_of_each), "key", "left_semi").select("key", "head", "doc"))
     split = labelled(labelled(tried, "a", "of_a"), "b", "of_b").filter("of_a <> of_b")
     split = stored(split.select(F.col("a").alias("head"), F.col("b").alias("doc")))
     keys = stored(met.join(broadcast_if_few(split), ["head", "doc"]).select("key").distinct())
@@ -335,7 +362,7 @@ def _beyond_heads(met: DataFrame, tried: DataFrame, components: DataFrame, about
     _, may = _compared("x", "y")
     once = (F.col("x_of") != F.col("y_of")) & (~F.col("y_minor") | (F.col("x_doc") < F.col("y_doc")))
     found = _side(members.filter("minor"), "x").join(_side(members, "y"), (F.col("x_key") == F.col("y_key")) & once & may)
-    pairs = found.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+    pairs = stored(found.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct())
     return pairs.join(broadcast_if_few(tried), ["a", "b"], "left_anti")
 
 
@@ -414,7 +441,7 @@ def _all_links(texts: DataFrame, about: DataFrame, common: np.ndarray) -> DataFr
     stars, and those between members of a key that stars leave apart."""
     spark = texts.sparkSession
     met = stored(memberships(texts, common))
-    tried = stored(met.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
+    tried = stored(met.filter("head IS NOT NULL").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
     measured = stored(_measured(tried, about))
     components = component_ids(stored_alone(spark, lambda: _links(measured, texts)))
     # Their sizes and sketches have been looked at, and equal sets are in one component.

@@ -308,6 +308,42 @@ def test_jaccard_copies_meet_strangers_once(make_docs):
     assert by_id(jaccard.join_groups(make_docs(rows)), "n_shingles", "component_id") == brute_groups(rows)
 
 
+def test_jaccard_keys_of_the_same_members_stand_once(make_docs, in_slices, monkeypatch):
+    """Alike texts share many keys; slices and whole tasks count the same members."""
+    rng, rows = random.Random(14), []
+    for cluster in range(3):
+        own = words(rng, 150).split()
+        for i in range(9):
+            text = list(own)
+            for place in rng.sample(range(150), 1 + 2 * i):
+                text[place] = f"edit{cluster}x{i}"
+            rows.append((100 * cluster + i, " ".join(text)))
+    side, seen = jaccard._side, []
+    monkeypatch.setattr(jaccard, "_side", lambda rows, name: (name == "y" and seen.append(rows)) or side(rows, name))
+    kept = []
+    alone = jaccard.stored_alone
+    monkeypatch.setattr(jaccard, "stored_alone", lambda spark, make: (found := alone(spark, lambda: kept_rows(make))))
+
+    def kept_rows(make):
+        found = make()
+        while seen:
+            kept.extend((r["key"], r["doc"]) for r in seen.pop().collect())
+        return found
+
+    assert by_id(jaccard.join_groups(make_docs(rows)), "n_shingles", "component_id") == brute_groups(rows)
+    of = collections.defaultdict(set)
+    for key, doc in kept:
+        of[key].add(doc)
+    assert len({frozenset(docs) for docs in of.values()}) == len(of) > 0
+    assert all(len(docs) > 2 for docs in of.values())
+    common = np.zeros(jaccard.SLOTS, bool)
+    docs = in_slices(rows)
+    sliced = jaccard.memberships(docs, common).filter("members IS NOT NULL").select("key", "members", "total").collect()
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    whole = jaccard.memberships(docs, common).filter("members IS NOT NULL").select("key", "members", "total").collect()
+    assert sorted(map(tuple, sliced)) == sorted(map(tuple, whole)) and len(whole) > 0
+
+
 def components_by_hand(links):
     smallest = {x: x for link in links if link[0] != link[1] for x in link}
     while any(smallest[a] != smallest[b] for a, b in links if a != b):
